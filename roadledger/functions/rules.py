@@ -67,13 +67,14 @@ def detect(rules: Sequence[Rule] = RULES) -> Column:
     A rule over a null field is false. Apply it to the values as received: rounding a raw
     acceleration of -7.0004 to its stored scale first would lose the label.
     """
-    hits = [
-        F.when(F.coalesce(F.expr(rule.condition), F.lit(False)), F.lit(rule.label))
+    marks = [
+        F.when(F.coalesce(F.expr(rule.condition), F.lit(False)), F.lit(rule.label)).otherwise("")
         for rule in rules
     ]
-    if not hits:
+    if not marks:
         return F.array().cast(LABELS)
-    found = F.array_compact(F.array(*hits))
+    # array_remove is compiled with the rest of the stage; a lambda filter would not be.
+    found = F.array_remove(F.array(*marks), "")
     if len(labels(rules)) < len(rules):
         found = F.array_distinct(found)
     return found

@@ -183,10 +183,17 @@ def admit(
     )
 
 
-def outcomes(admitted: DataFrame) -> DataFrame:
-    """Fleet and status of every event that went through admission."""
-    status = F.when(F.col("admitted"), "success").otherwise("rate_limited")
-    return admitted.select("fleet_id", status.alias("status"))
+def outcomes(granted: DataFrame) -> DataFrame:
+    """Events per fleet and status, straight from the grants; no event is looked at again."""
+    counts = granted.groupBy("fleet_id").agg(
+        F.sum("granted").alias("success"),
+        F.sum(F.col("requested") - F.col("granted")).alias("rate_limited"),
+    )
+    statuses = [
+        F.struct(F.lit(name).alias("status"), F.col(name).alias("event_count"))
+        for name in ("success", "rate_limited")
+    ]
+    return counts.select("fleet_id", F.inline(F.array(*statuses))).filter("event_count > 0")
 
 
 def _keyed(key: T.DataType, columns: str) -> T.StructType:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roadledger.functions.expressions import label_text
 from roadledger.functions.rules import description_table
-from roadledger.operators.filters import between, for_keys, tagged
+from roadledger.operators.filters import between, for_keys
 
 
 def label_counts(
@@ -20,8 +20,8 @@ def label_counts(
     end: datetime | None = None,
 ) -> DataFrame:
     """Events per fleet and label, most frequent first. Counted map-side, so the shuffle
-    carries one row per task, fleet and label."""
-    found = tagged(between(for_keys(events, fleet_id), start, end))
+    carries one row per task, fleet and label. Events without labels vanish in the explode."""
+    found = between(for_keys(events, fleet_id), start, end)
     return (
         found.select("fleet_id", F.explode("scenarios").alias("scenario_label"))
         .groupBy("fleet_id", "scenario_label")

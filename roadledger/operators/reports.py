@@ -13,15 +13,21 @@ TASK_BOUNDS = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0)
 PERCENTILES = (0.5, 0.95, 0.99)
 
 
+def invalid_counts(refused: DataFrame) -> DataFrame:
+    """Rows per fleet that failed the ingest checks, in the form of admission outcomes."""
+    counts = refused.groupBy("fleet_id").agg(F.count("*").alias("event_count"))
+    return counts.select("fleet_id", F.lit("invalid").alias("status"), "event_count")
+
+
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
-    """Events per fleet and ingest status."""
-    return outcomes.groupBy("fleet_id", "status").agg(F.count("*").alias("event_count"))
+    """Events per fleet and ingest status over any number of partial counts."""
+    return outcomes.groupBy("fleet_id", "status").agg(F.sum("event_count").alias("event_count"))
 
 
 def rejection_counts(outcomes: DataFrame) -> DataFrame:
     """Events per fleet refused by the rate limit."""
     limited = outcomes.filter(F.col("status") == "rate_limited")
-    return limited.groupBy("fleet_id").agg(F.count("*").alias("rejected"))
+    return limited.groupBy("fleet_id").agg(F.sum("event_count").alias("rejected"))
 
 
 def ingest_lag() -> Column:

@@ -32,8 +32,9 @@ FUTURE_SECONDS = 300
 CODES = {"latitude": "lat", "longitude": "lon", "battery_level": "battery", "engine_on": "engine"}
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_ZONE = r"^(.*\d{2}:\d{2}.*?)\s?([zZ]|[+-]\d{2}:?\d{2})$"
-_UUID = (
+_ZONE = r"\d{2}:\d{2}.*([zZ]|[+-]\d{2}:?\d{2})$"
+_UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+_LOOSE_UUID = (
     r"^(?:urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})\}?$"
 )
 _TRUE = ("true", "t", "yes", "y", "on", "1")
@@ -44,25 +45,24 @@ def _code(field: str) -> str:
     return CODES.get(field, field)
 
 
-def _number(field: str) -> Column:
-    """The text as a wide decimal; null when it is no finite number."""
-    text = F.col(field)
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast(RAW_DECIMAL))
+def _value(field: str) -> Column:
+    """The typed value of a raw field, kept under its own name next to the text."""
+    return F.col(f"typed_{field}")
 
 
 def _instant(field: str) -> Column:
     """A zone-aware instant; null for text without an offset or without a readable time."""
     text = F.trim(F.col(field))
-    offset = F.upper(F.regexp_extract(text, _ZONE, 2))
-    colon = F.regexp_replace(offset, r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    local = F.regexp_extract(text, _ZONE, 1)
-    return F.when(text.rlike(_ZONE), F.concat(local, colon).try_cast("timestamp"))
+    usual = text.try_cast("timestamp")
+    colon = F.regexp_replace(F.upper(text), r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
+    return F.when(text.rlike(_ZONE), F.coalesce(usual, colon))
 
 
 def _uuid(field: str) -> Column:
+    """Lower case with hyphens; other accepted spellings are brought to that form."""
     text = F.lower(F.trim(F.col(field)))
-    plain = F.regexp_replace(text, _UUID, "$1-$2-$3-$4-$5")
-    return F.when(text.rlike(_UUID), plain)
+    spelled_out = F.regexp_replace(text, _LOOSE_UUID, "$1-$2-$3-$4-$5")
+    return F.when(text.rlike(_UUID), text).when(text.rlike(_LOOSE_UUID), spelled_out)
 
 
 def _flag(field: str) -> Column:
@@ -71,70 +71,79 @@ def _flag(field: str) -> Column:
 
 
 def typed(raw: DataFrame, uuid_keys: bool = True) -> DataFrame:
-    """Add ``_typed``, a struct of the parsed fields; unreadable text becomes null."""
+    """Add a ``typed_`` column per field; unreadable text becomes null."""
     require_columns(raw, REQUIRED_FIELDS)
-    missing = {name: F.lit(None).cast("string") for name in OPTIONAL_FIELDS if name not in raw.columns}
-    key = _uuid if uuid_keys else F.col
+    absent = [name for name in OPTIONAL_FIELDS if name not in raw.columns]
+    raw = raw.withColumns({name: F.lit(None).cast("string") for name in absent})
     numbers = ("speed", "latitude", "longitude", "battery_level", "acceleration")
-    return raw.withColumns(missing).withColumn(
-        "_typed",
-        F.struct(
-            key("fleet_id").alias("fleet_id"),
-            key("vehicle_id").alias("vehicle_id"),
-            *[_number(name).alias(name) for name in numbers],
-            _instant("recorded_at").alias("recorded_at"),
-            F.col("weather"),
-            _flag("engine_on").alias("engine_on"),
-        ),
+    key = _uuid if uuid_keys else F.col
+    values = {name: F.trim(F.col(name)).try_cast(RAW_DECIMAL) for name in numbers}
+    values.update(
+        fleet_id=key("fleet_id"),
+        vehicle_id=key("vehicle_id"),
+        recorded_at=_instant("recorded_at"),
+        weather=F.col("weather"),
+        engine_on=_flag("engine_on"),
     )
+    # Going through a generator pins these values: a filter on them further up cannot be moved
+    # below, where every mention of a value would be replaced by its whole parsing expression.
+    row = F.struct(*[column.alias(f"typed_{name}") for name, column in values.items()])
+    return raw.select("*", F.inline(F.array(row)))
 
 
 def _reasons(as_of: Column, uuid_keys: bool) -> Column:
-    """Reason codes of one typed row, in a fixed order."""
-    value = {name: F.col(f"_typed.{name}") for name in REQUIRED_FIELDS + OPTIONAL_FIELDS}
-    raw = {name: F.col(name) for name in value}
-    checks: list[tuple[str, Column]] = [
-        (f"missing_{name}", raw[name].isNull()) for name in REQUIRED_FIELDS
-    ]
+    """Reason codes of one typed row, in a fixed order.
+
+    The patterns are tried only on text that could not be typed, to tell the defects apart.
+    """
+
+    def unread(name: str) -> Column:
+        return _value(name).isNull() & F.col(name).isNotNull()
+
+    def no_number(name: str) -> Column:
+        return unread(name) & ~F.col(name).rlike(_NUMBER)
+
+    def out_of(name: str, low: int, high: int) -> Column:
+        # A number too long for the wide decimal is out of range rather than unreadable.
+        return ~_value(name).between(low, high) | (unread(name) & F.col(name).rlike(_NUMBER))
+
+    checks = [(f"missing_{name}", F.col(name).isNull()) for name in REQUIRED_FIELDS]
     if uuid_keys:
-        for name in ("fleet_id", "vehicle_id"):
-            code = name.replace("_id", "_uuid")
-            checks.append((code, raw[name].isNotNull() & value[name].isNull()))
-    for name, (low, high) in RANGES.items():
-        number = raw[name].rlike(_NUMBER)
-        # A number too large for the wide decimal is out of range rather than unreadable.
-        outside = number & ~F.coalesce(value[name].between(low, high), F.lit(False))
-        checks.append((f"{_code(name)}_type", ~number))
-        checks.append((f"{_code(name)}_range", outside))
-        scale = DECIMALS[name]
-        checks.append((f"{_code(name)}_scale", value[name] != F.round(value[name], scale)))
-    battery = value["battery_level"]
-    whole = raw["battery_level"].rlike(_NUMBER) & F.coalesce(
-        battery == F.round(battery, 0), F.lit(True)
-    )
-    inside = F.coalesce(battery.between(*BATTERY_RANGE), F.lit(False))
-    checks.append(("battery_type", ~whole))
-    checks.append(("battery_range", whole & ~inside))
-    checks.append(
-        ("zero_position", (value["latitude"] == 0) & (value["longitude"] == 0))
-    )
-    zoned = F.trim(raw["recorded_at"]).rlike(_ZONE)
-    naive = F.trim(raw["recorded_at"]).try_cast("timestamp").isNotNull() & ~zoned
-    checks.append(("time_naive", naive))
-    checks.append(
-        ("time_type", raw["recorded_at"].isNotNull() & value["recorded_at"].isNull() & ~naive)
-    )
-    limit = as_of + F.expr(f"INTERVAL {FUTURE_SECONDS} SECONDS")
-    checks.append(("time_future", value["recorded_at"] > limit))
-    acceleration = value["acceleration"]
-    checks.append(("acceleration_type", ~raw["acceleration"].rlike(_NUMBER)))
-    fits = acceleration.try_cast(ACCELERATION).isNotNull()
-    checks.append(("acceleration_range", raw["acceleration"].rlike(_NUMBER) & ~fits))
-    checks.append(("weather_length", F.length(raw["weather"]) > WEATHER_LENGTH))
-    checks.append(
-        ("engine_type", raw["engine_on"].isNotNull() & value["engine_on"].isNull())
-    )
-    return F.array_compact(F.array(*[F.when(failed, F.lit(code)) for code, failed in checks]))
+        checks += [("fleet_uuid", unread("fleet_id")), ("vehicle_uuid", unread("vehicle_id"))]
+    for name, bounds in RANGES.items():
+        rounded = F.round(_value(name), DECIMALS[name])
+        checks += [
+            (f"{_code(name)}_type", no_number(name)),
+            (f"{_code(name)}_range", out_of(name, *bounds)),
+            (f"{_code(name)}_scale", _value(name) != rounded),
+        ]
+    battery = _value("battery_level")
+    fraction = battery != F.round(battery, 0)
+    checks += [
+        ("battery_type", no_number("battery_level") | fraction),
+        ("battery_range", out_of("battery_level", *BATTERY_RANGE) & ~F.coalesce(fraction, F.lit(False))),
+        ("zero_position", (_value("latitude") == 0) & (_value("longitude") == 0)),
+    ]
+    naive = F.trim(F.col("recorded_at")).try_cast("timestamp").isNotNull() & ~F.trim(
+        F.col("recorded_at")
+    ).rlike(_ZONE)
+    acceleration = _value("acceleration")
+    too_large = acceleration.isNotNull() & acceleration.try_cast(ACCELERATION).isNull()
+    checks += [
+        ("time_naive", unread("recorded_at") & naive),
+        ("time_type", unread("recorded_at") & ~naive),
+        ("time_future", _value("recorded_at") > as_of + F.expr(f"INTERVAL {FUTURE_SECONDS} SECONDS")),
+        ("acceleration_type", no_number("acceleration")),
+        ("acceleration_range", too_large | (unread("acceleration") & ~no_number("acceleration"))),
+        ("weather_length", F.length("weather") > WEATHER_LENGTH),
+        ("engine_type", unread("engine_on")),
+    ]
+    return _codes(checks)
+
+
+def _codes(checks: list[tuple[str, Column]]) -> Column:
+    marks = [F.when(failed, F.lit(code)).otherwise(F.lit("")) for code, failed in checks]
+    return F.array_remove(F.array(*marks), "")
 
 
 def check(
@@ -143,7 +152,7 @@ def check(
     uuid_keys: bool = True,
     corrupt_column: str = "_corrupt_record",
 ) -> DataFrame:
-    """Raw rows plus ``_typed`` and ``reasons``; an empty reason list means accepted.
+    """Raw rows plus typed columns and ``reasons``; an empty reason list means accepted.
 
     ``as_of`` is the clock of the future check: an instant or a column such as the arrival time.
     An unreadable JSON line gets the single reason ``malformed_json``.
@@ -153,7 +162,8 @@ def check(
     if corrupt_column in raw.columns:
         broken = F.col(corrupt_column).isNotNull()
         found = F.when(broken, F.array(F.lit("malformed_json"))).otherwise(found)
-    return typed(raw, uuid_keys).withColumn("reasons", found)
+    # Pinned likewise, so that the reasons are worked out once per row.
+    return typed(raw, uuid_keys).select("*", F.explode(F.array(found)).alias("reasons"))
 
 
 def accepted(checked: DataFrame, keep: tuple[str, ...] = (), rules=RULES) -> DataFrame:
@@ -161,7 +171,8 @@ def accepted(checked: DataFrame, keep: tuple[str, ...] = (), rules=RULES) -> Dat
 
     Labels come from the values as received; only then are they rounded to their stored scale.
     """
-    rows = checked.filter(F.size("reasons") == 0).select(*keep, "_typed.*")
+    values = [_value(name).alias(name) for name in REQUIRED_FIELDS + OPTIONAL_FIELDS]
+    rows = checked.filter(F.size("reasons") == 0).select(*keep, *values)
     return rows.withColumn("scenarios", detect(rules)).withColumns(
         {
             "speed": F.col("speed").cast(SPEED),
@@ -175,7 +186,8 @@ def accepted(checked: DataFrame, keep: tuple[str, ...] = (), rules=RULES) -> Dat
 
 def quarantined(checked: DataFrame) -> DataFrame:
     """Rows with defects as received, with their reasons."""
-    return checked.filter(F.size("reasons") > 0).drop("_typed")
+    typed_columns = [name for name in checked.columns if name.startswith("typed_")]
+    return checked.filter(F.size("reasons") > 0).drop(*typed_columns)
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,4 +214,4 @@ def stored_range_reasons(events: DataFrame, as_of: datetime | None = None) -> Co
     checks.append(("zero_position", (F.col("latitude") == 0) & (F.col("longitude") == 0)))
     checks.append(("time_future", F.col("recorded_at") > limit))
     checks.append(("weather_length", F.length("weather") > WEATHER_LENGTH))
-    return F.array_compact(F.array(*[F.when(failed, F.lit(code)) for code, failed in checks]))
+    return _codes(checks)

@@ -45,9 +45,19 @@ def raw_table(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFra
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def untagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as a stream of files."""
+    schema = raw_table(spark, sf_dir).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+
+
+def as_events(raw: DataFrame) -> DataFrame:
     """Vehicle events without labels or partition columns."""
-    return raw_table(spark, sf_dir).selectExpr(*EVENT_COLUMNS)
+    return raw.selectExpr(*EVENT_COLUMNS)
+
+
+def untagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_events(raw_table(spark, sf_dir))
 
 
 def vehicle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +152,9 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def landing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def landing_rows(events: DataFrame) -> DataFrame:
     """The events as raw text rows in which fixed shares carry one defect or two."""
-    events = untagged_events(spark, sf_dir)
-    text = events.select(
+    return events.select(
         "id",
         F.col("fleet_id").cast("string"),
         F.col("vehicle_id").cast("string"),
@@ -177,5 +186,5 @@ def landing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("acceleration").cast("string"),
         F.expr("CASE WHEN id % 61 = 1 THEN repeat('x', 65) ELSE weather END").alias("weather"),
         F.col("engine_on").cast("string"),
+        F.col("ingested_at").alias("arrived_at"),
     )
-    return text

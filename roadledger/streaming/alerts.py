@@ -5,13 +5,15 @@ from __future__ import annotations
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadledger import schemas
+from roadledger.functions.arguments import utc
 from roadledger.operators.alerts import new_overspeed_alerts
 from roadledger.sources.events import read_dimension, read_events
-from roadledger.functions.arguments import utc
+from roadledger.sources.tables import append_rows
 
 
 def scan_for_alerts(
@@ -25,13 +27,12 @@ def scan_for_alerts(
 ) -> int:
     """Append new overspeed alerts to the log and return how many there were.
 
-    Running it again for the same time adds nothing: the first run's alerts are open. The new
-    rows are written in a folder named after the scan time, which a repeated scan replaces.
+    A scan that is run again for the same time adds nothing: the alerts of the first run are open.
     """
     clock = utc(as_of)
-    scan = f"{alerts_path}/scan={clock:%Y%m%dT%H%M%S%f}"
     events = read_events(spark, events_path)
     known = read_dimension(spark, alerts_path, schemas.alerts(key))
     found = new_overspeed_alerts(events, known, fleet_id, lookback_minutes, clock)
-    found.write.mode("append").parquet(scan)
-    return spark.read.schema(schemas.alerts(key)).parquet(scan).count()
+    written = Observation("alerts")
+    append_rows(found.observe(written, F.count(F.lit(1)).alias("created")), alerts_path)
+    return written.get["created"]

@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from roadledger.operators.admission import TokenBucket, admit, carried_over, grants
+from roadledger.operators.admission import TokenBucket, admit, carried_over, grants, outcomes
+from roadledger.operators.reports import invalid_counts, outcome_counts
 from roadledger.operators.validate import accepted, check, quarantined
 from roadledger.session import is_complete, use_utc
 from roadledger.sources.events import append_events
@@ -88,32 +88,17 @@ def ingest_batch(
     admitted = admit(events, granted, bucket)
     append_events(admitted.filter("admitted").drop("admitted"), paths.events, str(batch_id))
 
-    limited = granted.groupBy("fleet_id").agg(
-        F.sum("granted").alias("success"),
-        F.sum(F.col("requested") - F.col("granted")).alias("rate_limited"),
+    key = events.schema["fleet_id"].dataType
+    invalid = invalid_counts(refused.withColumn("fleet_id", F.col("fleet_id").cast(key)))
+    outcomes(granted).unionByName(invalid).write.mode("overwrite").parquet(
+        paths.batch("outcomes", batch_id)
     )
-    invalid = refused.groupBy("fleet_id").agg(F.count("*").alias("invalid"))
-    _status_rows(limited, "success", "rate_limited").unionByName(
-        _status_rows(invalid.withColumn("fleet_id", F.col("fleet_id").cast(_key(events))), "invalid")
-    ).write.mode("overwrite").parquet(paths.batch("outcomes", batch_id))
 
     left = carried_over(granted, carried)
-    newest = left.agg(F.max("second").alias("newest"))
-    left.join(newest, F.col("second") >= F.col("newest") - bucket.idle_seconds).drop(
-        "newest"
-    ).write.mode("overwrite").parquet(paths.batch("buckets", batch_id))
-
-
-def _key(events: DataFrame) -> T.DataType:
-    return events.schema["fleet_id"].dataType
-
-
-def _status_rows(counts: DataFrame, *statuses: str) -> DataFrame:
-    pairs = [
-        F.struct(F.lit(name).alias("status"), F.col(name).alias("event_count"))
-        for name in statuses
-    ]
-    return counts.select("fleet_id", F.inline(F.array(*pairs))).filter("event_count > 0")
+    newest = left.agg(F.max("second")).first()[0]
+    if newest is not None:
+        left = left.filter(F.col("second") >= newest - bucket.idle_seconds)
+    left.write.mode("overwrite").parquet(paths.batch("buckets", batch_id))
 
 
 def start_ingest(
@@ -138,5 +123,4 @@ def start_ingest(
 
 def read_outcomes(spark: SparkSession, paths: IngestPaths) -> DataFrame:
     """Events per fleet and status over all batches."""
-    counts = spark.read.parquet(paths.outcomes)
-    return counts.groupBy("fleet_id", "status").agg(F.sum("event_count").alias("event_count"))
+    return outcome_counts(spark.read.parquet(paths.outcomes))
