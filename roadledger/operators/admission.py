@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 
 # Above this many bucket levels step 1 gets slow; choose a rate with a smaller denominator.
 MAX_LEVELS = 1 << 20
+# The most crowded seconds that are broadcast: two keys and a number each, a few megabytes.
+MAX_CROWDED = 100_000
 
 
 @dataclass(frozen=True)
@@ -134,52 +136,56 @@ def admit(
 ) -> DataFrame:
     """The events with a boolean ``admitted``: in each second the earliest, up to the grant.
 
-    Equal arrival times are settled by ``id``, which must be unique. Seconds granted in full
-    need no look at single events. For a second granted in part, the last admitted event is
-    found by ranking; a second so crowded that one task should not rank it is dealt out over
-    several, each of which keeps no more than ``capacity`` candidates.
+    Equal arrival times are settled by ``id``, which must be unique. ``granted`` is read several
+    times and should be a written table; it has one row per fleet and active second.
+
+    Seconds granted in full need no look at single events. For a second granted in part, the
+    last admitted event is found by ranking. A second so crowded that one task should not handle
+    it is dealt out over several by salt, each keeping at most ``capacity`` candidates.
     """
     second = F.unix_seconds(arrival)
-    short = granted.filter(F.col("granted") < F.col("requested"))
-    partial = short.filter(F.col("granted") > 0)
-
-    # A crowded second stands for at least rows_per_salt events, so this list is short by nature.
-    crowded = partial.filter(F.col("requested") > rows_per_salt).select(
-        "fleet_id", "second", F.ceil(F.col("requested") / rows_per_salt).alias("salts")
+    total = granted.agg(F.sum("requested")).first()[0] or 0
+    # A crowded second has more than per_salt events, so there are fewer than MAX_CROWDED of them.
+    per_salt = max(rows_per_salt, total // MAX_CROWDED)
+    short = granted.filter(F.col("granted") < F.col("requested")).select(
+        "fleet_id", "second", "granted", F.ceil(F.col("requested") / per_salt).alias("salts")
     )
+    crowded = short.filter("salts > 1").select("fleet_id", "second", "salts")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        salt = F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))
+        joined = rows.join(F.broadcast(crowded), ["fleet_id", "second"], "left")
+        return joined.withColumn("salt", salt).drop("salts")
+
+    def for_every_salt(seconds: DataFrame) -> DataFrame:
+        salts = F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)
+        return seconds.withColumn("salt", F.explode(salts)).drop("salts")
+
     slim = events.select("fleet_id", second.alias("second"), F.col(arrival).alias("arrival"), "id")
-    salted = slim.join(crowded, ["fleet_id", "second"], "left").withColumn(
-        "salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))
-    )
-    slots = partial.join(crowded, ["fleet_id", "second"], "left").select(
-        "fleet_id",
-        "second",
-        "granted",
-        F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"),
-    )
     arrived = [F.asc("arrival"), F.asc("id")]
-    per_salt = Window.partitionBy("fleet_id", "second", "salt").orderBy(*arrived)
-    per_second = Window.partitionBy("fleet_id", "second").orderBy(*arrived)
+    per_salt_rank = Window.partitionBy("fleet_id", "second", "salt").orderBy(*arrived)
+    per_second_rank = Window.partitionBy("fleet_id", "second").orderBy(*arrived)
     cutoffs = (
-        salted.drop("salts")
-        .join(slots, ["fleet_id", "second", "salt"])
-        .withColumn("rank", F.row_number().over(per_salt))
+        dealt(slim)
+        .join(for_every_salt(short.filter("granted > 0")), ["fleet_id", "second", "salt"])
+        .withColumn("rank", F.row_number().over(per_salt_rank))
         .filter(F.col("rank") <= bucket.capacity)
-        .withColumn("rank", F.row_number().over(per_second))
+        .withColumn("rank", F.row_number().over(per_second_rank))
         .filter(F.col("rank") == F.col("granted"))
         .select("fleet_id", "second", F.struct("arrival", "id").alias("cutoff"))
     )
 
-    limits = short.select("fleet_id", "second", "granted").join(
-        cutoffs, ["fleet_id", "second"], "left"
+    limits = for_every_salt(
+        short.join(cutoffs, ["fleet_id", "second"], "left").select(
+            "fleet_id", "second", "salts", F.lit(True).alias("short"), "cutoff"
+        )
     )
     arrived_as = F.struct(F.col(arrival).alias("arrival"), F.col("id").alias("id"))
-    admitted = F.col("granted").isNull() | F.coalesce(arrived_as <= F.col("cutoff"), F.lit(False))
+    within = F.coalesce(arrived_as <= F.col("cutoff"), F.lit(False))
     return (
-        events.withColumn("second", second)
-        .join(limits, ["fleet_id", "second"], "left")
-        .withColumn("admitted", admitted)
-        .select(*events.columns, "admitted")
+        dealt(events.withColumn("second", second))
+        .join(limits, ["fleet_id", "second", "salt"], "left")
+        .select(*events.columns, (F.col("short").isNull() | within).alias("admitted"))
     )
 
 

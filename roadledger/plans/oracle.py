@@ -312,7 +312,7 @@ WHERE {overspeed} AND NOT ({open_vehicle('OVERSPEED')})""")
         at_once,
     )
     sql["quarantined_rows"] = over_events(
-        "SELECT id, reasons FROM reasoned WHERE reasons <> ''", LANDING
+        "SELECT id, reasons FROM reasoned WHERE reasons <> ''", at_once
     )
     sql["stored_range_violations"] = over_events("""
 SELECT * FROM (SELECT id, concat_ws(',',

@@ -28,7 +28,7 @@ from roadledger.operators import (
     reports,
     validate,
 )
-from roadledger.session import shared_dir, use_utc
+from roadledger.session import shared_dir, use_utc, written
 from roadledger.sources import events as event_source
 from roadledger.sources import fixtures as fx
 from roadledger.sources import tables, upgrade
@@ -385,7 +385,7 @@ def api_key_verification(spark, sf_dir):
 @query
 def rate_limited(spark, sf_dir):
     events = fx.untagged_events(spark, sf_dir)
-    granted = admission.grants(events, BUCKET)
+    granted = written(admission.grants(events, BUCKET), shared_dir(spark, "grants"))
     return admission.admit(events, granted, BUCKET).select("id", "fleet_id", "admitted")
 
 

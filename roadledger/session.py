@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on; everything else is left to the cluster.
 SESSION_CONF = {
@@ -67,6 +67,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def written(df: DataFrame, path: str, reuse: bool = False) -> DataFrame:
+    """Write a table to shared storage and read it back.
+
+    Later steps start from its files: nothing upstream is computed twice and a lost executor
+    costs no more than a read. With ``reuse`` a table a former run finished is kept.
+    """
+    if not (reuse and is_complete(df.sparkSession, path)):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())

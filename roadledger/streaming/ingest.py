@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from roadledger.operators.admission import TokenBucket, admit, carried_over, grants, outcomes
 from roadledger.operators.reports import invalid_counts, outcome_counts
 from roadledger.operators.validate import accepted, check, quarantined
-from roadledger.session import is_complete, use_utc
+from roadledger.session import is_complete, use_utc, written
 from roadledger.sources.events import append_events
 
 
@@ -46,14 +46,6 @@ class IngestPaths:
         return f"{self.root}/{name}/ingest_batch={batch_id}"
 
 
-def _written(df: DataFrame, path: str, reuse: bool = False) -> DataFrame:
-    """Write and read back, so that later steps start from files and not from the source."""
-    spark = df.sparkSession
-    if not (reuse and is_complete(spark, path)):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ingest_batch(
     raw: DataFrame,
     batch_id: int,
@@ -69,7 +61,7 @@ def ingest_batch(
     """
     spark = use_utc(raw.sparkSession)
     identified = raw if "id" in raw.columns else raw.withColumn("id", F.uuid())
-    checked = _written(
+    checked = written(
         check(identified, F.col("arrived_at"), uuid_keys),
         paths.batch("staged", batch_id),
         reuse=True,
@@ -84,7 +76,7 @@ def ingest_batch(
     previous = paths.batch("buckets", batch_id - 1)
     if is_complete(spark, previous):
         carried = spark.read.parquet(previous)
-    granted = _written(grants(events, bucket, carried), paths.batch("grants", batch_id))
+    granted = written(grants(events, bucket, carried), paths.batch("grants", batch_id))
     admitted = admit(events, granted, bucket)
     append_events(admitted.filter("admitted").drop("admitted"), paths.events, str(batch_id))
 
