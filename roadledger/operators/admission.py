@@ -218,19 +218,24 @@ def _block_function(bucket: TokenBucket):
 
         rows = rows.sort_values("second")
         seconds, requested = rows["second"].tolist(), rows["requested"].tolist()
+        gaps = [0] + [after - before for before, after in zip(seconds, seconds[1:])]
         level = np.arange(full + 1)  # one trajectory per possible start
         lane = np.arange(full + 1)  # which trajectory each start follows by now
-        previous = seconds[0]
-        for step, (second, wanted) in enumerate(zip(seconds, requested)):
-            gap, previous = second - previous, second
-            if gap > idle:
-                level = np.full_like(level, full)
-            else:
-                level = np.minimum(full, level + gap * gain)
-            level = level - parts * np.minimum(wanted, level // parts)
-            if len(level) > 1 and step % 16 == 0:
+        step = 0
+        while step < len(seconds) and len(level) > 1:
+            refilled = full if gaps[step] > idle else np.minimum(full, level + gaps[step] * gain)
+            level = np.broadcast_to(refilled, level.shape)
+            level = level - parts * np.minimum(requested[step], level // parts)
+            if step % 16 == 0 or gaps[step] * gain >= full:
                 level, merged = np.unique(level, return_inverse=True)
                 lane = merged.reshape(-1)[lane]
+            step += 1
+        if len(level) == 1:  # from here on the start no longer matters
+            one = int(level[0])
+            for gap, wanted in zip(gaps[step:], requested[step:]):
+                one = full if gap > idle else min(full, one + gap * gain)
+                one -= parts * min(wanted, one // parts)
+            level = np.array([one])
         end = level[lane]
         rise = np.diff(end)
         bends = np.flatnonzero(np.diff(rise)) + 1

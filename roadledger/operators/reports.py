@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadledger.session import shared_dir, written
+
 # Histogram bounds in seconds.
 INGEST_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
 TASK_BOUNDS = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0)
 PERCENTILES = (0.5, 0.95, 0.99)
+# Tables of a few numbers per row are broadcast up to this many rows, some ten megabytes.
+BROADCAST_ROWS = 100_000
+SALTS = 64
 
 
 def invalid_counts(refused: DataFrame) -> DataFrame:
@@ -70,11 +76,13 @@ def exact_percentiles(
     """Exact interpolated percentiles by the rule ``p * (n - 1)``: a row per group and fraction.
 
     ``percentile`` keeps every distinct value of a group in one task. Here a quantile sketch
-    brackets each wanted rank between two values, equal values are counted map-side, the totals
-    of the ranges between brackets say which range a rank falls in, and only those narrow ranges
-    are sorted, each as its own window group. The sketch steers the work; whatever its error, the
-    totals are exact and so is the result.
+    brackets each wanted rank between two values; the rows between brackets are counted, which
+    says in which range a rank falls; and only the values of those narrow ranges are counted
+    singly and sorted, each range as its own window group. The sketch steers the work; whatever
+    its error, the counts are exact and so is the result. The first two steps run at once, their
+    results being a few numbers per group.
     """
+    spark = rows.sparkSession
     group = list(by) or ["_all"]
     present = rows.filter(F.col(value).isNotNull()).select(
         *(by or [F.lit(0).alias("_all")]), F.col(value).alias("value")
@@ -82,12 +90,10 @@ def exact_percentiles(
     margin = 2 / accuracy
     cuts = sorted({min(max(p + side, 0.0), 1.0) for p in fractions for side in (-margin, margin)})
     edges = present.groupBy(*group).agg(F.percentile_approx("value", cuts, accuracy).alias("edges"))
-    below = F.filter("edges", lambda edge: edge <= F.col("value"))
-    counted = (
-        present.groupBy(*group, "value")
-        .agg(F.count("*").alias("n"))
-        .join(edges, group)
-        .select(*group, "value", "n", F.size(below).alias("range"))
+    edges = written(edges, shared_dir(spark, "percentile-edges"))
+    passed = [(F.col("edges")[i] <= F.col("value")).cast("int") for i in range(len(cuts))]
+    ranged = _attach(present, edges, group).select(
+        *group, "value", reduce(Column.__add__, passed).alias("range")
     )
 
     # At most two ranges per fraction and group, and one more.
@@ -95,8 +101,8 @@ def exact_percentiles(
         Window.unboundedPreceding, Window.currentRow
     )
     totals = (
-        counted.groupBy(*group, "range")
-        .agg(F.sum("n").alias("n"))
+        ranged.groupBy(*group, "range")
+        .agg(F.count("*").alias("n"))
         .select(
             *group,
             "range",
@@ -114,19 +120,23 @@ def exact_percentiles(
         .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("through")))
         .select(*group, "range", "before", "fraction", "position", "rank")
     )
+    targets = written(targets, shared_dir(spark, "percentile-targets"))
 
     by_value = Window.partitionBy(*group, "range").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     through = F.col("before") + F.sum("n").over(by_value)
-    sorted_ranges = (
-        counted.join(targets.select(*group, "range", "before").distinct(), [*group, "range"])
+    ranges = targets.select(*group, "range", "before").distinct()
+    in_ranges = (
+        _attach(ranged, ranges, [*group, "range"])
+        .groupBy(*group, "range", "before", "value")
+        .agg(F.count("*").alias("n"))
         .select(*group, "range", "value", "n", through.alias("through"))
     )
     holds = (F.col("rank") < F.col("through")) & (F.col("rank") >= F.col("through") - F.col("n"))
     share = F.col("position") - F.floor("position")
     result = (
-        sorted_ranges.join(targets.drop("before"), [*group, "range"])
+        in_ranges.join(targets.drop("before"), [*group, "range"])
         .filter(holds)
         .groupBy(*group, "fraction", "position")
         .agg(F.min_by("value", "rank").alias("low"), F.max_by("value", "rank").alias("high"))
@@ -136,6 +146,19 @@ def exact_percentiles(
     )
 
 
+def _attach(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """Join a written table with one row per key to the rows.
+
+    It is broadcast when its counted size allows. Otherwise every key is dealt out over salts, so
+    that a key holding much of the rows does not end in one task.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key)
+    salts = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    return dealt.join(salts, [*key, "salt"]).drop("salt")
+
+
 def latency_report(
     log: DataFrame,
     by: Sequence[str] = (),

@@ -362,7 +362,7 @@ UNION ALL
 SELECT fleet_id, id, TIMESTAMP '2023-12-31 05:00:00', 50.0, 60.0, 40, 1,
   TIMESTAMP '2024-01-15 00:00:00' FROM vehicles""")
     sql["schema_upgrade"] = over_events("""
-SELECT 1 AS version, id, CAST(NULL AS DOUBLE) AS acceleration, CAST(NULL AS VARCHAR) AS weather,
+SELECT CAST(1 AS BIGINT) AS version, id, CAST(NULL AS DOUBLE) AS acceleration, CAST(NULL AS VARCHAR) AS weather,
   CAST(NULL AS BOOLEAN) AS engine_on, '' AS scenarios FROM ev
 UNION ALL
 SELECT 2, id, CAST(acceleration AS DOUBLE), weather, engine_on,

@@ -491,12 +491,17 @@ def stream_latest(spark, sf_dir):
 @query
 def stream_rate_limit(spark, sf_dir):
     """Buckets kept in the state store of the stream."""
-    for key, value in stream_admission.STATE_STORE_CONF.items():
-        spark.conf.set(key, value)
+    before = {name: spark.conf.get(name) for name in stream_admission.STATE_STORE_CONF}
     root = shared_dir(spark, "stream-limit")
     events = fx.as_events(fx.raw_stream(spark, sf_dir))
-    granted = stream_admission.stream_grants(events, EXPIRING)
-    return _collected(granted, root).select("fleet_id", "second", "requested", "granted")
+    try:
+        for name, value in stream_admission.STATE_STORE_CONF.items():
+            spark.conf.set(name, value)
+        granted = _collected(stream_admission.stream_grants(events, EXPIRING), root)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    return granted.select("fleet_id", "second", "requested", "granted")
 
 
 def _collected(stream: DataFrame, root: str) -> DataFrame:

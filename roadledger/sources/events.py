@@ -105,7 +105,7 @@ def append_events(
     (
         ready.select(*columns)
         .hint("rebalance", F.col("event_date"))
-        .sortWithinPartitions("event_date", "fleet_id", "recorded_at")
+        .sortWithinPartitions(*EVENT_PARTITIONS, "fleet_id", "recorded_at")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", rows_per_file)

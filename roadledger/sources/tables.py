@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadledger.operators.hourly import BUCKET
-from roadledger.session import is_complete, path_exists
+from roadledger.session import is_complete, path_exists, written
 
 
 def only_new(
@@ -62,6 +62,8 @@ def upsert_rollup(fresh: DataFrame, path: str, stage: str) -> None:
     if not is_complete(spark, stage):
         merged = fresh
         if path_exists(spark, path):
+            # Read several times below, so the aggregation behind it should run only once.
+            fresh = written(fresh, f"{stage}-fresh", reuse=True)
             # One value per calendar day; a literal list lets Spark skip the other directories.
             dates = [row[0] for row in fresh.select("bucket_date").distinct().collect()]
             stored = spark.read.schema(fresh.schema).parquet(path)

@@ -26,9 +26,9 @@ def stream_grants(
 ) -> DataFrame:
     """A stream of ``(fleet_id, second, requested, granted)``, buckets living in stream state.
 
-    For continuous decisions with little delay. Only fleet and second reach Python, where a batch
-    is reduced to a count per second. The ingest job uses the block form of
-    ``operators.admission`` instead, which also splits a busy fleet.
+    For continuous decisions with little delay. Events are counted per fleet and second before
+    they are shuffled, so a busy fleet sends a few numbers per task. The ingest job uses the block
+    form of ``operators.admission`` instead, which also splits a busy fleet's timeline.
     """
     key = events.schema["fleet_id"].dataType
     output = T.StructType(
@@ -40,7 +40,9 @@ def stream_grants(
         ]
     )
     arrivals = events.select("fleet_id", F.unix_seconds(arrival).alias("second"))
-    return arrivals.groupBy("fleet_id").transformWithStateInPandas(
+    counted = T.StructType([*output.fields[:2], T.StructField("requested", T.LongType())])
+    counts = arrivals.mapInPandas(_count_by_second(), counted)
+    return counts.groupBy("fleet_id").transformWithStateInPandas(
         statefulProcessor=_processor(bucket),
         outputStructType=output,
         outputMode="Update",
@@ -48,8 +50,28 @@ def stream_grants(
     )
 
 
+# Both functions below are closures so that workers need not have this package installed.
+
+
+def _count_by_second():
+    """Map-side counts, which a stream cannot get from an aggregation in front of its state."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            batch = batch.assign(requested=1)
+            held = batch if held is None else pd.concat([held, batch])
+            held = held.groupby(["fleet_id", "second"], as_index=False).sum()
+            if len(held) > 100_000:
+                yield held
+                held = None
+        if held is not None:
+            yield held
+
+    return count
+
+
 def _processor(bucket: TokenBucket) -> StatefulProcessor:
-    """Built as a closure so that workers need not have this package installed."""
     full, parts, gain, idle = bucket.full, bucket.parts, bucket.gain, bucket.idle_seconds
 
     class BucketProcessor(StatefulProcessor):
@@ -59,7 +81,7 @@ def _processor(bucket: TokenBucket) -> StatefulProcessor:
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
             requested: Counter = Counter()
             for chunk in rows:
-                requested.update(chunk["second"].value_counts().to_dict())
+                requested.update(chunk.groupby("second")["requested"].sum().to_dict())
             level, last = full, None
             if self.bucket.exists():
                 level, last = self.bucket.get()

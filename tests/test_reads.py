@@ -153,8 +153,10 @@ def test_containment(events):
     assert filters.tagged(events).filter(F.size("scenarios") == 0).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
 @pytest.mark.parametrize("shape", ["spread", "equal", "few", "single"])
-def test_percentiles_are_exact(spark, shape):
+def test_percentiles_are_exact(spark, shape, broadcast_rows, monkeypatch):
+    monkeypatch.setattr(reports, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(1)
     values = {
         "spread": [rng.lognormvariate(0, 3) for _ in range(5000)],
