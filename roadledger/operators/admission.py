@@ -19,11 +19,12 @@ overflows or runs dry, else with slope one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import gcd
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 MAX_LEVELS = 1 << 20
 # The most crowded seconds that are broadcast: two keys and a number each, a few megabytes.
 MAX_CROWDED = 100_000
+MISSING = -(2**62)
 
 
 @dataclass(frozen=True)
@@ -67,12 +69,15 @@ class TokenBucket:
         return self.capacity * self.parts
 
 
-def requests_per_second(events: DataFrame, block_seconds: int, arrival: str) -> DataFrame:
+def _none() -> Column:
+    """Stands for a missing number; sorts first, and keeps columns whole numbers in Python."""
+    return F.lit(MISSING).cast("bigint")
+
+
+def requests_per_second(events: DataFrame, arrival: str = "ingested_at") -> DataFrame:
     second = F.unix_seconds(arrival)
-    return (
-        events.groupBy("fleet_id", second.alias("second"))
-        .agg(F.count("*").alias("requested"))
-        .withColumn("block", F.floor(F.col("second") / block_seconds))
+    return events.groupBy("fleet_id", second.alias("second")).agg(
+        F.count("*").alias("requested")
     )
 
 
@@ -83,38 +88,61 @@ def grants(
     block_seconds: int = 86_400,
     arrival: str = "ingested_at",
 ) -> DataFrame:
-    """Per fleet and second: events requested and granted, and the bucket afterwards.
+    """Per fleet and second: events requested and granted, and the bucket level afterwards.
 
     ``initial`` holds ``(fleet_id, level, second)`` of buckets carried over from earlier events.
-    A group handed to Python has one row per active second of a block, or one per block.
+    The time span of the events is looked up first: within one block, as in a stream's batch, the
+    starts are known and the first two steps fall away.
     """
-    counts = requests_per_second(events, block_seconds, arrival)
-    key = counts.schema["fleet_id"].dataType
-    blocks = counts.groupBy("fleet_id", "block").applyInPandas(
-        _block_function(bucket),
+    seconds = F.unix_seconds(arrival)
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    first, last = first or 0, last or 0
+    block = F.floor((F.col("second") - first) / block_seconds)
+    counts = requests_per_second(events, arrival).withColumn("block", block)
+    if initial is not None:
+        initial = initial.select("fleet_id", "level", F.col("second").alias("since"))
+    if last - first < block_seconds:
+        starts = None if initial is None else initial.withColumn("block", F.lit(0).cast("bigint"))
+    else:
+        starts = _block_starts(counts, bucket, initial)
+    rows = counts.withColumns({"level": _none(), "since": _none()})
+    if starts is not None:
+        rows = rows.unionByName(starts.withColumns({"second": _none(), "requested": _none()}))
+    result = _keyed(counts, "second bigint, requested bigint, granted bigint, level bigint")
+    return _ordered(rows, ["fleet_id", "block"], "second").mapInPandas(_replay(bucket), result)
+
+
+def _block_starts(
+    counts: DataFrame, bucket: TokenBucket, initial: DataFrame | None
+) -> DataFrame:
+    """The bucket level of each fleet at the first second of each of its blocks."""
+    solved = _ordered(counts, ["fleet_id", "block"], "second").mapInPandas(
+        _solve_blocks(bucket),
         _keyed(
-            key,
+            counts,
             "block bigint, first bigint, last bigint, "
             "starts array<int>, ends array<int>, slopes array<int>",
         ),
     )
-    if initial is None:
-        initial = counts.sparkSession.createDataFrame(
-            [], _keyed(key, "level bigint, second bigint")
-        )
-    block_starts = (
-        blocks.groupBy("fleet_id")
-        .cogroup(initial.select("fleet_id", "level", "second").groupBy("fleet_id"))
-        .applyInPandas(_chain(bucket), _keyed(key, "block bigint, level bigint"))
-    )
-    return (
-        counts.groupBy("fleet_id", "block")
-        .cogroup(block_starts.groupBy("fleet_id", "block"))
-        .applyInPandas(
-            _replay(bucket),
-            _keyed(key, "second bigint, requested bigint, granted bigint, level bigint"),
-        )
-    )
+    rows = solved.withColumns({"level": _none(), "since": _none()})
+    if initial is not None:
+        carried = initial.withColumn("block", _none())
+        rows = rows.unionByName(carried, allowMissingColumns=True)
+    chained = _keyed(counts, "block bigint, level bigint, since bigint")
+    return _ordered(rows, ["fleet_id"], "block").mapInPandas(_chain_blocks(bucket), chained)
+
+
+def _ordered(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Rows of one key together and in order.
+
+    Python then walks over a partition with a few numbers in hand, whatever the number of keys.
+    """
+    return rows.repartition(*key).sortWithinPartitions(*key, order)
+
+
+def _keyed(counts: DataFrame, columns: str) -> T.StructType:
+    key = T.StructField("fleet_id", counts.schema["fleet_id"].dataType)
+    return T.StructType([key, *T.StructType.fromDDL(columns).fields])
 
 
 def carried_over(granted: DataFrame, initial: DataFrame | None = None) -> DataFrame:
@@ -202,22 +230,19 @@ def outcomes(granted: DataFrame) -> DataFrame:
     return counts.select("fleet_id", F.inline(F.array(*statuses))).filter("event_count > 0")
 
 
-def _keyed(key: T.DataType, columns: str) -> T.StructType:
-    return T.StructType([T.StructField("fleet_id", key), *T.StructType.fromDDL(columns).fields])
+# The functions below run in Python workers, over rows sorted by key. They are built as closures
+# over plain numbers so that they travel by value and workers need not have this package.
 
 
-# The functions below run in Python workers. They are built as closures over plain numbers so
-# that they travel by value and workers need not have this package installed.
-
-
-def _block_function(bucket: TokenBucket):
+def _solve_blocks(bucket: TokenBucket):
     full, parts, gain, idle = bucket.full, bucket.parts, bucket.gain, bucket.idle_seconds
 
-    def block_function(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    names = ["fleet_id", "block", "first", "last", "starts", "ends", "slopes"]
+
+    def solve(seconds: list, requested: list) -> tuple:
+        """End level of a block as straight pieces over the level at its first second."""
         import numpy as np
 
-        rows = rows.sort_values("second")
-        seconds, requested = rows["second"].tolist(), rows["requested"].tolist()
         gaps = [0] + [after - before for before, after in zip(seconds, seconds[1:])]
         level = np.arange(full + 1)  # one trajectory per possible start
         lane = np.arange(full + 1)  # which trajectory each start follows by now
@@ -240,64 +265,96 @@ def _block_function(bucket: TokenBucket):
         rise = np.diff(end)
         bends = np.flatnonzero(np.diff(rise)) + 1
         starts = np.unique(np.concatenate(([0], bends, bends + 1, [full])))
-        starts = starts[starts <= full]
         slopes = np.append(rise, 0)[starts]
-        return pd.DataFrame(
-            {
-                "fleet_id": [key[0]],
-                "block": [key[1]],
-                "first": [seconds[0]],
-                "last": [seconds[-1]],
-                "starts": [starts.astype("int32")],
-                "ends": [end[starts].astype("int32")],
-                "slopes": [slopes.astype("int32")],
-            }
-        )
-
-    return block_function
+        pieces = (starts.astype("int32"), end[starts].astype("int32"), slopes.astype("int32"))
+        return seconds[0], seconds[-1], *pieces
 
+    def solve_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
 
-def _chain(bucket: TokenBucket):
+        key, seconds, requested = None, [], []
+        for batch in batches:
+            fleets, blocks = batch["fleet_id"].to_numpy(), batch["block"].to_numpy()
+            second, wanted = batch["second"].tolist(), batch["requested"].tolist()
+            change = (fleets[1:] != fleets[:-1]) | (blocks[1:] != blocks[:-1])
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
+            solved = []
+            for begin, end in zip(edges, edges[1:]):
+                if begin == end:
+                    continue
+                if key != (fleets[begin], blocks[begin]):
+                    if key is not None:
+                        solved.append((*key, *solve(seconds, requested)))
+                    key, seconds, requested = (fleets[begin], blocks[begin]), [], []
+                seconds += second[begin:end]
+                requested += wanted[begin:end]
+            yield pd.DataFrame(solved, columns=names)
+        if key is not None:
+            yield pd.DataFrame([(*key, *solve(seconds, requested))], columns=names)
+
+    return solve_blocks
+
+
+def _chain_blocks(bucket: TokenBucket):
     full, gain, idle = bucket.full, bucket.gain, bucket.idle_seconds
+    missing = MISSING
 
-    def chain(key: tuple, blocks: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+    def chain_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        level, last = full, None
-        for row in carried.itertuples(index=False):
-            level, last = int(row.level), int(row.second)
-        known = []
-        for row in blocks.sort_values("block").itertuples(index=False):
-            gap = 0 if last is None else max(0, row.first - last)
-            level = full if gap > idle else min(full, level + gap * gain)
-            known.append((key[0], row.block, level))
-            at = int(np.searchsorted(row.starts, level, side="right")) - 1
-            level = int(row.ends[at] + row.slopes[at] * (level - row.starts[at]))
-            last = row.last if last is None else max(last, row.last)
-        return pd.DataFrame(known, columns=["fleet_id", "block", "level"])
-
-    return chain
+        fleet, level, last = None, full, None
+        for batch in batches:
+            known = []
+            for row in batch.itertuples(index=False):
+                if row.fleet_id != fleet:
+                    fleet, level, last = row.fleet_id, full, None
+                if row.block == missing:  # the bucket carried over from earlier events
+                    level, last = int(row.level), int(row.since)
+                    continue
+                gap = 0 if last is None else max(0, int(row.first) - last)
+                level = full if gap > idle else min(full, level + gap * gain)
+                known.append((fleet, row.block, level, missing))
+                at = int(np.searchsorted(row.starts, level, side="right")) - 1
+                level = int(row.ends[at] + row.slopes[at] * (level - row.starts[at]))
+                last = int(row.last) if last is None else max(last, int(row.last))
+            yield pd.DataFrame(known, columns=["fleet_id", "block", "level", "since"])
+
+    return chain_blocks
 
 
 def _replay(bucket: TokenBucket):
     full, parts, gain, idle = bucket.full, bucket.parts, bucket.gain, bucket.idle_seconds
+    missing = MISSING
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
 
-    def replay(key: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("second")
-        level = int(start["level"].iloc[0])
-        granted, levels = [], []
-        previous = None
-        for second, wanted in zip(rows["second"].tolist(), rows["requested"].tolist()):
-            gap = 0 if previous is None else second - previous
-            previous = second
-            level = full if gap > idle else min(full, level + gap * gain)
-            grant = min(wanted, level // parts)
-            level -= grant * parts
-            granted.append(grant)
-            levels.append(level)
-        out = rows[["fleet_id", "second", "requested"]].copy()
-        out["granted"] = granted
-        out["level"] = levels
-        return out
+        key, level, last = None, full, missing
+        for batch in batches:
+            fleets, blocks = batch["fleet_id"].to_numpy(), batch["block"].to_numpy()
+            seconds, requested = batch["second"].tolist(), batch["requested"].tolist()
+            change = (fleets[1:] != fleets[:-1]) | (blocks[1:] != blocks[:-1])
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
+            granted, levels = [], []
+            for begin, end in zip(edges, edges[1:]):
+                if begin == end:
+                    continue
+                if key != (fleets[begin], blocks[begin]):
+                    key, level, last = (fleets[begin], blocks[begin]), full, missing
+                if seconds[begin] == missing:  # where this block starts
+                    level, last = int(batch["level"].iloc[begin]), int(batch["since"].iloc[begin])
+                    granted.append(0)
+                    levels.append(level)
+                    begin += 1
+                for second, wanted in zip(seconds[begin:end], requested[begin:end]):
+                    gap = 0 if last == missing else max(0, second - last)
+                    last = max(last, second)
+                    level = full if gap > idle else min(full, level + gap * gain)
+                    grant = min(wanted, level // parts)
+                    level -= grant * parts
+                    granted.append(grant)
+                    levels.append(level)
+            decided = batch[["fleet_id", "second", "requested"]].assign(granted=granted, level=levels)
+            yield decided[decided["second"] != missing]
 
     return replay

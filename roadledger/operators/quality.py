@@ -66,9 +66,7 @@ def month_coverage(
         F.date_format("month_start", "yyyy-MM").alias("event_month"),
         "month_start",
         F.add_months("month_start", 1).alias("month_end"),
-        F.concat(
-            F.lit("telemetry_events_"), F.date_format("month_start", "yyyy_MM")
-        ).alias("partition_name"),
+        F.date_format("month_start", "yyyy_MM").alias("month_label"),
     )
     present = events.groupBy("event_month").agg(F.lit(True).alias("present"))
     return window.join(present, "event_month", "left").select(

@@ -326,7 +326,7 @@ FROM ev GROUP BY 1, 2""")
     sql["month_coverage"] = over_events("""
 SELECT strftime(m, '%Y-%m') AS event_month, strftime(m, '%Y-%m-%d') AS month_start,
   strftime(m + INTERVAL '1' MONTH, '%Y-%m-%d') AS month_end,
-  concat('telemetry_events_', strftime(m, '%Y_%m')) AS partition_name,
+  strftime(m, '%Y_%m') AS month_label,
   EXISTS (SELECT 1 FROM ev WHERE ev.event_month = strftime(m, '%Y-%m')) AS has_events
 FROM (SELECT DATE '2024-01-01' + INTERVAL '1' MONTH * k AS m
       FROM (VALUES (-1), (0), (1), (2), (3)) AS k(k)) AS t""")

@@ -6,7 +6,6 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from roadledger.operators import admission
 from roadledger.operators.admission import TokenBucket, admit, carried_over, grants
 from roadledger.session import shared_dir, written
 from roadledger.streaming.admission import STATE_STORE_CONF, stream_grants
@@ -48,9 +47,10 @@ def frame(spark, events):
     return spark.createDataFrame(events, "fleet_id long, ingested_at timestamp, id long")
 
 
-def admitted_ids(spark, events, bucket, initial=None, **options):
+def admitted_ids(spark, events, bucket, initial=None, block_seconds=50, **options):
     rows = frame(spark, events)
-    table = written(grants(rows, bucket, initial, block_seconds=50), shared_dir(spark, "grants"))
+    granted = grants(rows, bucket, initial, block_seconds=block_seconds)
+    table = written(granted, shared_dir(spark, "grants"))
     flagged = admit(rows, table, bucket, **options)
     assert flagged.count() == len(events)
     return {r.id for r in flagged.filter("admitted").collect()}, table
@@ -91,7 +91,8 @@ def test_exact_thirds_do_not_drift(spark):
     assert [r.granted for r in table] == [100] * 19 + [50] * 21
 
 
-def test_carry_over_between_batches(spark):
+@pytest.mark.parametrize("block_seconds", [50, 1000])
+def test_carry_over_between_batches(spark, block_seconds):
     bucket = TokenBucket(10, 1, 4, idle_seconds=200)
     state, initial = {}, None
     for batch in range(3):
@@ -99,17 +100,33 @@ def test_carry_over_between_batches(spark):
             (f, m + timedelta(seconds=100 * batch), i)
             for f, m, i in random_events(batch, 200, 90, first=1000 * batch)
         ]
-        found, table = admitted_ids(spark, events, bucket, initial)
+        found, table = admitted_ids(spark, events, bucket, initial, block_seconds)
         assert found == sequential(events, bucket, state)
         initial = written(carried_over(table, initial), shared_dir(spark, "levels"))
 
 
 def test_hot_fleet_is_split_over_blocks(spark):
-    """One fleet's timeline reaches Python as many groups, none longer than a block."""
+    """One fleet's timeline is walked by several tasks, not by one."""
     events = [(0, EPOCH + timedelta(seconds=s), s) for s in range(0, 2000)]
-    counts = admission.requests_per_second(frame(spark, events), 100, "ingested_at")
-    sizes = counts.groupBy("fleet_id", "block").count().collect()
-    assert len(sizes) >= 20 and max(r["count"] for r in sizes) <= 100
+    table = grants(frame(spark, events), TokenBucket(3, 1, 64), block_seconds=100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = table.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(tasks) > 3 and sum(r["count"] for r in tasks) == 2000
+
+
+def test_text_keys_and_no_events(spark):
+    events = [(f"fleet-{f}", m, i) for f, m, i in random_events(3, 200, 300)]
+    rows = spark.createDataFrame(events, "fleet_id string, ingested_at timestamp, id long")
+    bucket = TokenBucket(3, 1, 16)
+    for block_seconds in (50, 1000):
+        table = grants(rows, bucket, block_seconds=block_seconds)
+        total = table.agg(F.sum("granted")).first()[0]
+        assert total == len(sequential(events, bucket))
+    none = rows.limit(0)
+    assert admit(none, grants(none, bucket), bucket).count() == 0
 
 
 def test_bad_buckets_are_refused():
