@@ -47,6 +47,17 @@ def key_digest(column: str) -> Column:
     return F.sha2(F.col(column), 256)
 
 
+def row_id(*scope: str) -> Column:
+    """An id in UUID form, from the scope (a job, a batch) and the row's place in the table.
+
+    ``uuid()`` carries a fresh seed into the generated code, so every batch of a stream would be
+    compiled anew; text literals do not change the code.
+    """
+    place = F.monotonically_increasing_id().cast("string")
+    digest = F.md5(F.concat_ws("/", *[F.lit(part) for part in scope], place))
+    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 def iso_time(column: str) -> Column:
     """ISO-8601 text in UTC; the fraction is written only when there is one."""
     instant = F.col(column)

@@ -5,13 +5,14 @@ All checks are column expressions over one pass; a row keeps all its reasons.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadledger.functions.arguments import utc
-from roadledger.functions.rules import RULES, detect
+from roadledger.functions.rules import RULES, Rule, detect
 from roadledger.schemas import (
     ACCELERATION,
     DEGREES,
@@ -32,7 +33,9 @@ FUTURE_SECONDS = 300
 CODES = {"latitude": "lat", "longitude": "lon", "battery_level": "battery", "engine_on": "engine"}
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_ZONE = r"\d{2}:\d{2}.*([zZ]|[+-]\d{2}:?\d{2})$"
+_ZONED = (
+    r"^\d{4}-\d{2}-\d{2}[tT _]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?([zZ]|[+-]\d{2}:?\d{2})$"
+)
 _UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 _LOOSE_UUID = (
     r"^(?:urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})\}?$"
@@ -54,8 +57,11 @@ def _instant(field: str) -> Column:
     """A zone-aware instant; null for text without an offset or without a readable time."""
     text = F.trim(F.col(field))
     usual = text.try_cast("timestamp")
-    colon = F.regexp_replace(F.upper(text), r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
-    return F.when(text.rlike(_ZONE), F.coalesce(usual, colon))
+    # Spellings the cast does not read: separators, lower-case letters, offsets without colon.
+    plain = F.concat(F.substring(text, 1, 10), F.lit("T"), F.upper(F.substring(text, 12, 40)))
+    plain = F.regexp_replace(plain, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2")
+    spelled = F.regexp_replace(plain, r"^(.{13}:\d{2})(Z|[+-]\d{2}:\d{2})$", "$1:00$2")
+    return F.when(text.rlike(_ZONED), F.coalesce(usual, spelled.try_cast("timestamp")))
 
 
 def _uuid(field: str) -> Column:
@@ -124,9 +130,8 @@ def _reasons(as_of: Column, uuid_keys: bool) -> Column:
         ("battery_range", out_of("battery_level", *BATTERY_RANGE) & ~F.coalesce(fraction, F.lit(False))),
         ("zero_position", (_value("latitude") == 0) & (_value("longitude") == 0)),
     ]
-    naive = F.trim(F.col("recorded_at")).try_cast("timestamp").isNotNull() & ~F.trim(
-        F.col("recorded_at")
-    ).rlike(_ZONE)
+    sent = F.trim(F.col("recorded_at"))
+    naive = sent.try_cast("timestamp").isNotNull() & ~sent.rlike(_ZONED)
     acceleration = _value("acceleration")
     too_large = acceleration.isNotNull() & acceleration.try_cast(ACCELERATION).isNull()
     checks += [
@@ -166,22 +171,55 @@ def check(
     return typed(raw, uuid_keys).select("*", F.explode(F.array(found)).alias("reasons"))
 
 
-def accepted(checked: DataFrame, keep: tuple[str, ...] = (), rules=RULES) -> DataFrame:
-    """Rows without defects as typed, tagged events; ``keep`` names columns to carry along.
+def _stored_columns(rules: Sequence[Rule]) -> list[Column]:
+    """Typed fields as they are stored, and the labels.
 
-    Labels come from the values as received; only then are they rounded to their stored scale.
+    Labels come from the values as received; only then are those rounded to their stored scale.
     """
+    return [
+        F.col("fleet_id"),
+        F.col("vehicle_id"),
+        F.col("speed").try_cast(SPEED).alias("speed"),
+        F.col("latitude").try_cast(DEGREES).alias("latitude"),
+        F.col("longitude").try_cast(DEGREES).alias("longitude"),
+        F.col("battery_level").try_cast("smallint").alias("battery_level"),
+        F.round("acceleration", ACCELERATION.scale).try_cast(ACCELERATION).alias("acceleration"),
+        F.col("recorded_at"),
+        F.col("weather"),
+        F.col("engine_on"),
+        detect(rules).alias("scenarios"),
+    ]
+
+
+def accepted(
+    checked: DataFrame, keep: tuple[str, ...] = (), rules: Sequence[Rule] = RULES
+) -> DataFrame:
+    """Rows without defects as typed, tagged events; ``keep`` names columns to carry along."""
     values = [_value(name).alias(name) for name in REQUIRED_FIELDS + OPTIONAL_FIELDS]
     rows = checked.filter(F.size("reasons") == 0).select(*keep, *values)
-    return rows.withColumn("scenarios", detect(rules)).withColumns(
-        {
-            "speed": F.col("speed").cast(SPEED),
-            "latitude": F.col("latitude").cast(DEGREES),
-            "longitude": F.col("longitude").cast(DEGREES),
-            "battery_level": F.col("battery_level").cast("smallint"),
-            "acceleration": F.round("acceleration", ACCELERATION.scale).cast(ACCELERATION),
-        }
+    return rows.select(*keep, *_stored_columns(rules))
+
+
+def settled(checked: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Checked rows in the form to store: ``event`` of accepted rows, ``raw`` text of the others.
+
+    Half the size of text and values side by side, and both parts can be read on their own.
+    """
+    fields = REQUIRED_FIELDS + OPTIONAL_FIELDS
+    others = [
+        name
+        for name in checked.columns
+        if name not in (*fields, "reasons") and not name.startswith("typed_")
+    ]
+    fine = F.size("reasons") == 0
+    named = checked.select(
+        *others,
+        "reasons",
+        F.when(~fine, F.struct(*fields)).alias("raw"),
+        *[_value(name).alias(name) for name in fields],
     )
+    event = F.when(fine, F.struct(*_stored_columns(rules)))
+    return named.select(*others, "reasons", "raw", event.alias("event"))
 
 
 def quarantined(checked: DataFrame) -> DataFrame:

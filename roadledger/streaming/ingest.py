@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from roadledger.functions.expressions import row_id
 from roadledger.operators.admission import TokenBucket, admit, carried_over, grants, outcomes
 from roadledger.operators.reports import invalid_counts, outcome_counts
-from roadledger.operators.validate import accepted, check, quarantined
+from roadledger.operators.validate import check, settled
 from roadledger.session import is_complete, use_utc, written
 from roadledger.sources.events import append_events
 
@@ -60,17 +61,19 @@ def ingest_batch(
     long enough to be full again are left out of it.
     """
     spark = use_utc(raw.sparkSession)
-    identified = raw if "id" in raw.columns else raw.withColumn("id", F.uuid())
-    checked = written(
-        check(identified, F.col("arrived_at"), uuid_keys),
+    identified = raw
+    if "id" not in raw.columns:
+        identified = raw.withColumn("id", row_id(paths.root, str(batch_id)))
+    staged = written(
+        settled(check(identified, F.col("arrived_at"), uuid_keys)),
         paths.batch("staged", batch_id),
         reuse=True,
     )
-    refused = quarantined(checked)
+    refused = staged.filter(F.size("reasons") > 0).drop("event").select("*", "raw.*").drop("raw")
     refused.write.mode("overwrite").parquet(paths.batch("quarantine", batch_id))
 
-    events = accepted(checked, keep=("id", "arrived_at")).withColumnRenamed(
-        "arrived_at", "ingested_at"
+    events = staged.filter(F.size("reasons") == 0).select(
+        "id", F.col("arrived_at").alias("ingested_at"), "event.*"
     )
     carried = None
     previous = paths.batch("buckets", batch_id - 1)

@@ -44,6 +44,9 @@ DEFECTS = [
     ({"recorded_at": "2025-03-15T10:00:00"}, ["time_naive"]),
     ({"recorded_at": "2025-03-15"}, ["time_naive"]),
     ({"recorded_at": "yesterday"}, ["time_type"]),
+    ({"recorded_at": "2025-02-30T10:00:00Z"}, ["time_type"]),
+    ({"recorded_at": "2025-03-15T10:00:00 Europe/London"}, ["time_naive"]),
+    ({"recorded_at": "2025-03-15T25:00:00Z"}, ["time_type"]),
     ({"recorded_at": "2025-03-15T12:05:01Z"}, ["time_future"]),
     ({"fleet_id": "fleet-1"}, ["fleet_uuid"]),
     ({"vehicle_id": "1234"}, ["vehicle_uuid"]),
@@ -64,6 +67,11 @@ VALID = [
     {"recorded_at": "2025-03-15T12:05:00Z"},
     {"recorded_at": "2025-03-15 10:00:00+0900"},
     {"recorded_at": "2025-03-15T04:00:00.123456-05:30"},
+    {"recorded_at": "2025-03-15t10:00:00z"},
+    {"recorded_at": "2025-03-15 10:00Z"},
+    {"recorded_at": "2025-03-15T10:00+00:00"},
+    {"recorded_at": "2025-03-15_10:00:00 -0100"},
+    {"recorded_at": "2025-03-15T10:00:00.5+00:00"},
     {"fleet_id": FLEET.upper()},
     {"fleet_id": FLEET.replace("-", "")},
     {"fleet_id": "{" + FLEET + "}"},
@@ -92,10 +100,12 @@ def test_valid_rows(spark):
     assert len(rows) == len(VALID)
     assert rows[0].speed == Decimal("87.50") and rows[0].scenarios == []
     assert rows[4].speed == Decimal("100.00") and rows[4].scenarios == []
-    assert rows[8].fleet_id == rows[9].fleet_id == rows[10].fleet_id == FLEET
+    assert rows[13].fleet_id == rows[14].fleet_id == rows[15].fleet_id == FLEET
     # Tagged on the value received, stored with three decimals.
-    assert rows[11].scenarios == ["hard_brake"]
-    assert rows[11].acceleration == Decimal("-7.000") and rows[11].engine_on is True
+    assert rows[16].scenarios == ["hard_brake"]
+    assert rows[16].acceleration == Decimal("-7.000") and rows[16].engine_on is True
+    utc_hours = {8: 10, 9: 10, 10: 10, 11: 11, 12: 10}
+    assert {i: rows[i].recorded_at.hour for i in utc_hours} == utc_hours
 
 
 def test_offsets_land_in_the_utc_hour(spark):
