@@ -136,8 +136,11 @@ def _ordered(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """Rows of one key together and in order.
 
     Python then walks over a partition with a few numbers in hand, whatever the number of keys.
+    The partition count is given, as adaptive execution would judge by size and leave all the
+    steps of small rows to one task.
     """
-    return rows.repartition(*key).sortWithinPartitions(*key, order)
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, *key).sortWithinPartitions(*key, order)
 
 
 def _keyed(counts: DataFrame, columns: str) -> T.StructType:
@@ -249,8 +252,11 @@ def _solve_blocks(bucket: TokenBucket):
         step = 0
         while step < len(seconds) and len(level) > 1:
             refilled = full if gaps[step] > idle else np.minimum(full, level + gaps[step] * gain)
-            level = np.broadcast_to(refilled, level.shape)
-            level = level - parts * np.minimum(requested[step], level // parts)
+            cost = parts * requested[step]
+            level = np.broadcast_to(refilled, level.shape) - cost
+            short = level < 0
+            if short.any():  # these pay what whole tokens they have
+                level[short] = (level[short] + cost) % parts
             if step % 16 == 0 or gaps[step] * gain >= full:
                 level, merged = np.unique(level, return_inverse=True)
                 lane = merged.reshape(-1)[lane]

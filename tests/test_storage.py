@@ -173,6 +173,18 @@ def test_hour_ranges_join_and_fall_back():
     assert rollup.hour_ranges([]) == []
 
 
+def test_recompute_reads_only_the_touched_dates(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = full(spark, [event(day, at(day, 5)) for day in range(1, 20)])
+    source.append_events(rows, path, "a")
+    touched = rollup.affected_buckets(rows.filter("id IN (3, 4, 17)"))
+    fresh = rollup.recompute(source.read_events(spark, path), touched)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    pruned = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    assert pruned.count("event_date") >= 3
+    assert sorted(r.bucket_date.day for r in fresh.collect()) == [3, 4, 17]
+
+
 def test_rollup_of_one_hour_and_no_data(spark):
     rows = full(spark, [event(1, at(1, 5)), event(2, at(1, 6))])
     assert hourly.rollup_for_hour(rows, at(1, 5)).count() == 1
