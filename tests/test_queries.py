@@ -5,9 +5,10 @@ from compare import connect, differences
 from pyspark.sql import types as T
 
 import __spark_entry__ as entry
+from roadledger.plans import oracle
+from roadledger.plans.queries import QUERIES
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+ORACLE = oracle.statements()
 DUCK_TYPES = {
     T.LongType: "BIGINT",
     T.DoubleType: "DOUBLE",
@@ -24,6 +25,8 @@ def duck(data_dir):
 
 def test_every_query_has_checking_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
