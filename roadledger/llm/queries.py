@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadledger.llm import quality_classifier
+from roadledger.llm import quality_classifier, secret_scan
 from roadledger.llm.text import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,19 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts of the base kinds, their digest, and all spans."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    named = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    kinds = [rule.kind for rule in secret_scan.BASE_RULES]
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in kinds]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(F.array_join(F.transform(base, named), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", named), ",").alias("spans"),
+    )
