@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadledger.llm import quality_classifier, secret_scan
+from roadledger.llm import minhash, quality_classifier, secret_scan
 from roadledger.llm.text import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(base, named), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", named), ",").alias("spans"),
     )
+
+
+@query
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, on 2-word shingles."""
+    return minhash.components(table(spark, sf_dir, "documents"), minhash.Settings(shingle=2))

@@ -27,8 +27,10 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def words_of(text: str | bytes | None) -> list[bytes]:
+    if not text:
+        return []
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).split()
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
