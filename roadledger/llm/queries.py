@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadledger.llm import minhash, quality_classifier, secret_scan
+from roadledger.llm import minhash, quality_classifier, secret_scan, substring
 from roadledger.llm.text import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +44,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     named = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     kinds = [rule.kind for rule in secret_scan.BASE_RULES]
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in kinds]
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
     return found.select(
         "doc_id",
-        *counts,
+        *(of(kind).alias(f"n_{kind}") for kind in kinds),
         F.sha2(F.array_join(F.transform(base, named), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", named), ",").alias("spans"),
     )
@@ -58,3 +58,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document, on 2-word shingles."""
     return minhash.components(table(spark, sf_dir, "documents"), minhash.Settings(shingle=2))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left when repeated passages are removed."""
+    return substring.kept_texts(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    )

@@ -56,9 +56,13 @@ def test_automaton_is_small_and_lines_are_independent():
     assert scanner.reset[ord("\n")] and not scanner.reset[ord(" ")]
 
 
-def test_query_against_brute_force(spark, data_dir):
-    rows = {r.doc_id: r for r in QUERIES["op2_secret_scan"](spark, data_dir).collect()}
-    docs = spark.read.parquet(f"{data_dir}/documents.parquet").collect()
+def test_query_against_brute_force(spark, data_dir, tmp_path):
+    own = [(i, f"é{i} Token: {'k' * (i % 12)}{i} AKIA{'Q7' * (i % 9)} {'0f' * (i % 20)}\n{'ab' * 16}") for i in range(10**6, 10**6 + 60)]
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text")
+    docs.union(spark.createDataFrame(own, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES["op2_secret_scan"](spark, str(tmp_path)).collect()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    assert sum(r.n_assign for r in rows.values()) and sum(r.n_access for r in rows.values())
     assert len(rows) == len(docs)
     for doc in docs:
         spans = brute(doc.text)
