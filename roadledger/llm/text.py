@@ -129,14 +129,23 @@ def pair64(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` word hashes; of the whole sequence if it is shorter."""
+    """Hashes of all runs of ``size`` word hashes; of the whole sequence if it is shorter.
+
+    Runs of doubled lengths are put together, so the work grows with the logarithm of the size.
+    """
     if len(words) == 0:
         return words
     size = min(size, len(words))
-    out = mix64(words[: len(words) - size + 1])
-    for offset in range(1, size):
-        out = pair64(out, words[offset : len(words) - size + 1 + offset])
-    return out
+    out, covered, power, length = None, 0, mix64(words), 1
+    while True:
+        if size & length:
+            count = len(words) - covered - length + 1
+            out = power[:count] if out is None else pair64(out[:count], power[covered : covered + count])
+            covered += length
+        length *= 2
+        if length > size:
+            return out
+        power = pair64(power[: -length // 2 or None], power[length // 2 :])
 
 
 def lower_ascii(text: str | None) -> bytes:
