@@ -54,6 +54,7 @@ class Model:
     bias: float
     prior: float
     settings: Settings
+    trained: bool = True
 
     @property
     def repeat(self) -> int:
@@ -87,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Se
     total = sum(shares.values())
     if len(shares) < 2:
         prior = shares.get(1, 0) / total if total else 0.5
-        return Model(np.zeros(settings.buckets + 1, np.float32), 0.0, prior, settings)
+        return Model(np.zeros(settings.buckets + 1, np.float32), 0.0, prior, settings, trained=False)
     chosen = F.broadcast(sample(labels, label, settings))  # two classes of bounded size
     rows = words.texts_of(docs).join(chosen, "doc_id").select("label", "text")
     features = rows.mapInArrow(_feature_rows(settings), "label int, buckets array<int>, counts array<float>").toArrow()
@@ -194,7 +195,7 @@ class Scorer:
         sums = words.sums_by_text(values, counts)
         logit = sums[:, 0] / np.maximum(sums[:, 1], 1) + self.model.bias
         score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        return np.where(counts > 0, score, self.model.prior)
+        return np.where((counts > 0) & self.model.trained, score, self.model.prior)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

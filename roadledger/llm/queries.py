@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadledger.llm import minhash, quality_classifier, secret_scan, substring
+from roadledger.llm import language, minhash, quality_classifier, secret_scan, substring
 from roadledger.llm.text import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_texts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")
     )
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language.predictions(docs, language.fit(docs)).select(
+        "doc_id",
+        (remainder("doc_id", language.HELD_OUT_MODULUS) == language.HELD_OUT).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
