@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadledger.llm import language, minhash, quality_classifier, secret_scan, substring
+from roadledger.llm import language, minhash, packing, quality_classifier, secret_scan, substring
 from roadledger.llm.text import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 QUALITY_THRESHOLD = 0.3
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(function: Query) -> Query:
@@ -78,3 +80,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang_pred",
         "score",
     )
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), packing.Settings(TOKENIZER))
