@@ -9,9 +9,11 @@ a bucket; with 40 bands of 6 rows two sets of similarity 0.8 share no bucket in
 
 In every bucket one member is the centre and is paired with the others, so a bucket of n gives
 n - 1 pairs. Pairs are confirmed on the full sets. A centre is then done in its bucket. Buckets
-whose members are not yet all connected go on with new centres, twice as many in each round, chosen
-by hash; once at most ``SMALL`` members are left, all are centres. So no link is lost to the star
-shape, and every bucket ends after a logarithmic number of rounds.
+whose members are not yet all connected go on with new centres, ``SPREAD`` times as many in each
+round, chosen by hash; once at most ``SMALL`` members are left, all are centres. So no link is lost
+to the star shape, and every bucket ends after a logarithmic number of rounds. What is left after
+the first round are mostly copies changed a little too much. Their private shingles, which none of
+the others has, bound how alike two of them can be, so most are settled without being compared.
 
 Defined results: null and empty texts have no shingles and are linked with nothing, like rows
 without an id. Rows that share an id are one document. Repeated rows and ties need no care: the
@@ -34,8 +36,10 @@ from roadledger.llm import text as words
 from roadledger.llm.components import roots
 from roadledger.session import shared_dir, written
 
-# Buckets of so few members compare all of them in one round.
-SMALL = 16
+# Buckets of so few members compare all of them in one round; the others have so many times more
+# centres in each round.
+SMALL = 32
+SPREAD = 8
 
 
 @dataclass(frozen=True)
@@ -123,19 +127,25 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
     return words.texts_of(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b, linked) of each pair of ids, compared on the full sets of their texts."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(docs: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
+    """(node, shingles): the full sets of all members, hashes as bytes."""
+    nodes = members.select(F.col("node").alias("doc_id")).distinct()
     needed = words.texts_of(docs).join(nodes, "doc_id", "left_semi")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = SetMaker(settings.shingle)
         for batch in batches:
             for part in words.slices(batch, "text"):
                 sets = [s.tobytes() for s in maker(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return needed.mapInArrow(run, "node bigint, shingles binary")
+
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(sets: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b, linked) of each pair of nodes, compared on their full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
@@ -144,41 +154,59 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFra
                 linked.append(100 * both >= settings.percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    spark = docs.sparkSession
-    sets = written(needed.mapInArrow(make, "doc_id bigint, shingles binary"), shared_dir(spark, "minhash-sets"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(compare, "a bigint, b bigint, linked boolean")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
-def _stars(members: DataFrame, round_number: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Centres of every bucket, and the pairs of centres with other members not yet connected.
+def _private(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, private): the number of a node's shingles that no other of the nodes has."""
 
-    ``members``: bucket, node, size (of its set), root (of its component so far).
-    """
-    open_buckets = (
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                flat = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
+                owner = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(owner)), pa.array(np.concatenate(flat))], names=["node", "shingle"])
+
+    rows = sets.join(nodes, "node", "left_semi").mapInArrow(run, "node bigint, shingle bigint")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter(F.col("n") == 1)
+    return single.groupBy("node").agg(F.count("*").alias("private"))
+
+
+def _open_members(members: DataFrame) -> DataFrame:
+    """Members of the buckets whose members are not all connected yet, with their number."""
+    buckets = (
         members.groupBy("bucket")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"))
         .filter(F.col("low") != F.col("high"))
         .select("bucket", "held")
     )
-    rest = members.join(open_buckets, "bucket")
-    seat = F.when(F.col("held") <= SMALL, F.col("node")).otherwise(
-        F.pmod(F.xxhash64("node", F.lit(round_number)), F.lit(1 << (round_number - 1)))
-    )
+    return members.join(buckets, "bucket")
+
+
+def _stars(members: DataFrame, seats: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Centres of every bucket, and the pairs of centres with other members not yet connected.
+
+    ``members``: bucket, held, node, size (of its set), private, root (of its component so far).
+    Two sets share at most what neither keeps private, which bounds how alike they can be.
+    """
+    seat = F.when(F.col("held") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(seats)), F.lit(seats)))
     centres = (
-        rest.groupBy("bucket", seat.alias("seat"))
-        .agg(F.min(F.struct("node", "size", "root")).alias("c"))
-        .select("bucket", F.col("c.node").alias("centre"), F.col("c.size").alias("c_size"), F.col("c.root").alias("c_root"))
+        members.groupBy("bucket", seat.alias("seat"))
+        .agg(F.min(F.struct("node", "size", "private", "root")).alias("c"))
+        .select("bucket", *(F.col(f"c.{name}").alias(f"c_{name}") for name in ("node", "size", "private", "root")))
     )
-    alike = F.least("size", "c_size") * 100 >= F.greatest("size", "c_size") * percent
+    common = F.least(F.col("size") - F.col("private"), F.col("c_size") - F.col("c_private"))
+    alike = common * 100 >= (F.col("size") + F.col("c_size") - common) * percent
     pairs = (
-        rest.join(centres, "bucket")
-        .filter((F.col("node") != F.col("centre")) & (F.col("root") != F.col("c_root")) & alike)
-        .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        members.join(centres, "bucket")
+        .filter((F.col("node") != F.col("c_node")) & (F.col("root") != F.col("c_root")) & alike)
+        .select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b"))
         .distinct()
     )
-    return centres.select("bucket", F.col("centre").alias("node")), pairs
+    return centres.select("bucket", F.col("c_node").alias("node")), pairs
 
 
 def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -192,26 +220,34 @@ def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     )
     seats = classes.select(F.explode(F.array_distinct("bands")).alias("bucket"), "node", "size")
-    shared = seats.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("bucket")
-    members = written(seats.join(shared, "bucket").withColumn("root", F.col("node")), f"{folder}/members-1")
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    checked, root, round_number = links, None, 1
-    while True:
-        centres, pairs = _stars(members, round_number, settings.percent)
+    shared = seats.groupBy("bucket").agg(F.count("*").alias("held")).filter(F.col("held") > 1)
+    members = seats.join(shared, "bucket").withColumn("private", F.lit(0).cast("bigint")).withColumn("root", F.col("node"))
+    members = written(members, f"{folder}/members-1")
+    sets = written(_sets(docs, members, settings), f"{folder}/sets")
+    links = checked = spark.createDataFrame([], "a bigint, b bigint")
+    root, round_number = None, 1
+    while not members.isEmpty():
+        centres, pairs = _stars(members, SPREAD ** (round_number - 1), settings.percent)
         centres = written(centres, f"{folder}/centres-{round_number}")
         pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), f"{folder}/pairs-{round_number}")
-        if centres.isEmpty():
-            break
         checked = checked.unionByName(pairs)
         if not pairs.isEmpty():
-            result = written(_confirmed(docs, pairs, settings), f"{folder}/confirmed-{round_number}")
+            result = written(_confirmed(sets, pairs, settings), f"{folder}/confirmed-{round_number}")
             links = links.unionByName(result.filter("linked").select("a", "b"))
             root = roots(links)
-        members = members.join(centres, ["bucket", "node"], "left_anti")
+        members = members.join(centres, ["bucket", "node"], "left_anti").drop("held")
         if root is not None:
             members = members.drop("root").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = _open_members(members.select("bucket", "node", "size", "private", "root"))
+        if round_number == 1:
+            members = written(members, f"{folder}/open")
+            private = _private(sets, members.select("node").distinct())
+            members = members.drop("private", "held").join(private, "node", "left").fillna(0, ["private"])
+            # Nothing can be alike enough to a set that keeps too much to itself.
+            members = members.filter((F.col("size") - F.col("private")) * 100 >= F.col("size") * settings.percent)
+            members = _open_members(members.select("bucket", "node", "size", "private", "root"))
         round_number += 1
-        members = written(members.select("bucket", "node", "size", "root"), f"{folder}/members-{round_number}")
+        members = written(members, f"{folder}/members-{round_number}")
     first = classes.select("digest", "node")
     out = sketch.select("doc_id", "n_shingles", "digest").join(first, "digest", "left")
     if root is not None:
