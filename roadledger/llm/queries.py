@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadledger.llm import language, minhash, packing, quality_classifier, secret_scan, substring
+from roadledger.llm import language, minhash, packing, quality_classifier, secret_scan, substring, toxicity
 from roadledger.llm.text import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 QUALITY_THRESHOLD = 0.3
+TOXIC_THRESHOLD = 0.5
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -86,3 +87,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), packing.Settings(TOKENIZER))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic")
+    return toxicity.scores(docs, model).select(
+        "doc_id",
+        (remainder("doc_id", toxicity.HELD_OUT_MODULUS) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"),
+    )
