@@ -4,6 +4,36 @@ from __future__ import annotations
 
 STATEMENTS: dict[str, str] = {}
 
+STATEMENTS["op10_line_dedup"] = r"""
+WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
+lines AS (
+  SELECT DISTINCT source, text, trim(line, concat(' ', chr(9), chr(13))) AS line
+  FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM pages)
+),
+bad AS (
+  SELECT source, list(line) AS known
+  FROM (SELECT source, line, count(*) AS n FROM lines WHERE line <> '' GROUP BY source, line) JOIN totals USING (source)
+  WHERE n >= 5 AND n > total * CAST(0.1 AS DOUBLE)
+  GROUP BY source
+),
+judged AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS all_lines,
+         list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(known, []), trim(x, concat(' ', chr(9), chr(13))))) AS kept
+  FROM documents LEFT JOIN bad USING (source)
+),
+settled AS (
+  SELECT doc_id, text, all_lines,
+         CASE WHEN len(list_filter(kept, lambda x: trim(x, concat(' ', chr(9), chr(13))) <> '')) > 0 THEN kept ELSE all_lines END AS kept
+  FROM judged
+)
+SELECT doc_id,
+       CAST(CASE WHEN text IS NULL THEN 0 ELSE len(all_lines) END AS BIGINT) AS n_lines,
+       CAST(CASE WHEN text IS NULL THEN 0 ELSE len(all_lines) - len(kept) END AS BIGINT) AS n_dropped,
+       CASE WHEN text IS NULL THEN NULL ELSE sha256(array_to_string(kept, chr(10))) END AS kept_sha256
+FROM settled
+"""
+
 
 def statements() -> dict[str, str]:
     return dict(STATEMENTS)

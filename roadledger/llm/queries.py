@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadledger.llm import language, minhash, packing, quality_classifier, secret_scan, substring, toxicity
+from roadledger.llm import (
+    language,
+    line_dedup,
+    minhash,
+    packing,
+    quality_classifier,
+    secret_scan,
+    substring,
+    toxicity,
+)
 from roadledger.llm.text import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +109,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those that are boilerplate of its source, and what stays."""
+    return line_dedup.marked(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.col("line_dedup_lines").alias("n_lines"),
+        F.col("line_dedup_dropped").alias("n_dropped"),
+        F.sha2("line_dedup_text", 256).alias("kept_sha256"),
+    )
