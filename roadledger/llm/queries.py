@@ -14,6 +14,7 @@ from roadledger.llm import (
     minhash,
     packing,
     quality_classifier,
+    quality_rules,
     secret_scan,
     substring,
     toxicity,
@@ -120,3 +121,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("line_dedup_dropped").alias("n_dropped"),
         F.sha2("line_dedup_text", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, fixed rules and the robust outlier verdict."""
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))

@@ -1,0 +1,115 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from roadledger.llm import quality_rules as Q
+from roadledger.llm.queries import QUERIES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base(text):
+    text = text or ""
+    w = WORD.findall(text)
+    counts = Counter(zip(w, w[1:], w[2:]))
+    covered = {i + k for i, t in enumerate(zip(w, w[1:], w[2:])) if counts[t] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    chars, symbols = sum(map(len, w)), sum(c in "#*$%&|<>" for c in text)
+    return (len(w), chars, symbols, len(lines) - len(set(lines)), len(covered)), len(lines)
+
+
+def brute(rows, s):
+    """Concentration steps in numpy, on the same whole-number vectors and bins."""
+    out, vectors, groups = {}, {}, defaultdict(list)
+    for key, (_, text, lang, source) in enumerate(rows):
+        (n, chars, symbols, dup, rep), lines = base(text)
+        out[key] = [n, chars, symbols, dup, rep, n < 50 or 100 * rep > 50 * n, None]
+        if n:
+            v = (math.log1p(n), min(chars / n, 100), math.sqrt(symbols / chars), math.sqrt(rep / n), math.sqrt(dup / max(lines, 1)))
+            vectors[key] = [math.floor(x * Q.UNIT + 0.5) for x in v]
+            groups[lang or "", source or ""].append(key)
+    final = defaultdict(list)
+    for (lang, source), keys in groups.items():
+        final[lang, source if len(keys) >= s.least_rows else None] += keys
+    for (_, source), keys in final.items():
+        if len(keys) < s.least_rows:
+            continue
+        x = np.array([vectors[k] for k in keys], float)
+        floors = np.array(s.floors) * Q.UNIT
+        quantile = lambda v, q: np.sort(v)[math.ceil(len(v) * q - 1e-9) - 1]
+        bins = np.floor(x / Q.START_BIN)
+        mean = np.array([(quantile(c, 0.5) + 0.5) * Q.START_BIN for c in bins.T])
+        factor = np.diag(np.maximum([(quantile(c, 0.75) - quantile(c, 0.25)) * Q.START_BIN / 1.349 for c in bins.T], floors))
+        for _ in range(s.steps):
+            d = (np.linalg.solve(factor, (x - mean).T) ** 2).sum(0)
+            b = np.floor(np.log(d + 1e-6) * 50)
+            core = x[b <= quantile(b, s.core)]
+            mean = core.mean(0)
+            factor = np.linalg.cholesky(np.cov(core.T, bias=True) + np.diag(floors**2))
+        d = (np.linalg.solve(factor, (x - mean).T) ** 2).sum(0)
+        b = np.floor(np.log(d + 1e-6) * 50)
+        d *= Q.CHI_SQUARE_MEDIAN / math.exp((quantile(b, 0.5) + 0.5) / 50)
+        for k, v in zip(keys, d):
+            out[k][6] = v
+    return out
+
+
+def compare(found, rows, settings):
+    wanted = defaultdict(list)
+    for key, row in brute(rows, settings).items():
+        wanted[rows[key][0]].append(row)
+    assert len(found) == len(rows)
+    for r in found:
+        got = [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed]
+        row = next(w for w in wanted[r.doc_id] if w[:6] == got)
+        wanted[r.doc_id].remove(row)
+        assert (r.distance is None) == (row[6] is None)
+        assert r.distance is None or math.isclose(r.distance, row[6], rel_tol=1e-6, abs_tol=1e-6)
+        assert r.kept == (not row[5] and (row[6] is None or row[6] <= settings.cutoff))
+
+
+def test_operator_against_brute_force(spark, data_dir):
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    settings = Q.Settings(least_rows=20)
+    found = Q.verdicts(docs, settings).collect()
+    assert sum(r.distance is not None for r in found) > 100
+    compare(found, rows, settings)
+
+
+def test_query_base_columns_and_verdict(spark, sf_dir="/root/testdata/sf0.01"):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op7_quality_rules"](spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        wanted, _ = base(docs[r.doc_id].text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == wanted
+        assert r.base_failed == (wanted[0] < 50 or 100 * wanted[4] > 50 * wanted[0]) and not (r.kept and r.base_failed)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    good = [r.kept for r in rows if labels.get(r.doc_id) == 1 and not r.base_failed]
+    assert np.mean(good) > 0.99
+
+
+def test_mixed_texts_and_edges(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        words = [rng.choice("abcdefgh") * rng.randrange(1, 4) + rng.choice(["", "", "é", "#", "x<y"]) for _ in range(rng.randrange(0, 260))]
+        text = "".join(w + rng.choice([" ", " ", " ", "\n", "\t ", "\x0b"]) for w in words)
+        rows.append((i, text, rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", None])))
+    rows += [(500, None, "en", "a"), (501, "", "en", "a"), (502, "a b c a b c", None, None), (503, "x y z " * 60_000, "en", "a"), (503, "x y z", "en", "a")]
+    rows += [(None, "same line\nsame line\n \n \n", "en", "a")] * 2
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_words int")
+    settings = Q.Settings(least_rows=30)
+    compare(Q.verdicts(docs, settings).collect(), rows, settings)
+    assert Q.verdicts(docs.limit(0)).count() == 0
+
+
+def test_no_python_in_the_plan(spark, data_dir):
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    assert "Python" not in Q.statistics(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in Q.verdicts(docs)._jdf.queryExecution().executedPlan().toString()
