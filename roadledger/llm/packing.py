@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from roadledger.llm import text as words
 from roadledger.session import shared_dir, written
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadledger.llm import (
+    decontaminate,
     language,
     line_dedup,
     minhash,
@@ -127,3 +128,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, fixed rules and the robust outlier verdict."""
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that every document holds."""
+    docs = table(spark, sf_dir, "documents")
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return (
+        docs.select("doc_id")
+        .join(found, "doc_id", "left")
+        .select(
+            "doc_id",
+            F.col("items").isNotNull().alias("contaminated"),
+            F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
+            F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("item_ids"),
+            F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
+        )
+    )
