@@ -12,8 +12,9 @@ symbols only; so all that lies inside a window, apart from what touches its ends
 wherever the window stands. Of those symbols the one that covers most words (then the largest hash)
 is the window's mark. Equal windows have equal marks, and neighbouring windows mostly share one,
 so Spark counts marks instead of windows: about one row for eight words. Only windows whose mark
-occurs again are compared themselves, by a 96-bit digest, and the smallest id per digest is
-where the sequence starts first.
+occurs again are compared themselves, by an 80-bit digest, and the smallest id per digest is
+where the sequence starts first. Texts equal to one with a smaller id are found beforehand by a
+128-bit digest; all their windows start earlier, so they need no marks.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose none; rows
 without an id are neither compared nor changed. Rows that share an id are one document, so what
@@ -125,10 +126,10 @@ def window_marks(
 
 
 def _digests(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits for every window of one text, in two parts that depend on the words differently."""
+    """80 bits for every window of one text, in two parts that depend on the words differently."""
     sums = np.concatenate([[np.uint64(0)], np.cumsum(words.mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)])
     first = words.shingle_hashes(hashes, window).view(np.int64)
-    return first, ((sums[window:] - sums[:-window]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return first, ((sums[window:] - sums[:-window]) >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
 def _mark_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -189,18 +190,31 @@ def _candidates(texts: list, stretches: list, window: int, table: words.WordTabl
 _STRETCHES = "array<struct<first:int,windows:int>>"
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """(doc_id) of the documents whose text a smaller id has too."""
+    known = texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    digests = known.select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two"))
+    shared = digests.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    found = digests.join(shared.drop("n"), ["one", "two"], "left").groupBy("doc_id")
+    # An id with several texts is a copy only if all of them are.
+    return found.agg(F.max(F.coalesce("first", "doc_id")).alias("first")).filter(F.col("first") < F.col("doc_id")).select("doc_id")
+
+
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text, removed) of every row: ``removed`` are half-open ranges of word numbers."""
     spark = docs.sparkSession
     texts = words.texts_of(docs)
-    rows = _mark_rows(texts.filter(F.col("doc_id").isNotNull()), window)
+    copies = written(_copies(texts), shared_dir(spark, "substring-copies"))
+    rows = _mark_rows(texts.filter(F.col("doc_id").isNotNull()).join(copies, "doc_id", "left_anti"), window)
     again = rows.groupBy("mark").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("mark")
     stretches = (
         rows.join(again, "mark")
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("first", "windows")).alias("stretches"))
+        .withColumn("copy", F.lit(False))
     )
-    stretches = written(stretches, shared_dir(spark, "substring-stretches"))
+    whole = copies.select("doc_id", F.lit(None).cast(_STRETCHES).alias("stretches"), F.lit(True).alias("copy"))
+    stretches = written(stretches.unionByName(whole), shared_dir(spark, "substring-stretches"))
     marked = texts.join(stretches, "doc_id", "left")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +237,7 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     firsts = (
         marked.filter(F.col("stretches").isNotNull())
-        .mapInArrow(digests, "one bigint, two int, doc_id bigint")
+        .mapInArrow(digests, "one bigint, two smallint, doc_id bigint")
         .groupBy("one", "two")
         .agg(F.min("doc_id").alias("doc_id"))
         .groupBy("doc_id")
@@ -234,11 +248,14 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         table = words.WordTable(words.hash64)
         for batch in batches:
             for part in words.slices(batch, "text"):
-                own = part.column("firsts")
+                own, copy = part.column("firsts"), part.column("copy").to_pylist()
                 out = []
                 found = _candidates(part.column("text").to_pylist(), part.column("stretches").to_pylist(), window, table)
                 for number, count, at, first, _ in found:
-                    out.append(_removed(at, first, own[number], count, window))
+                    if copy[number]:
+                        out.append([{"start": 0, "end": count}] if count >= window else [])
+                    else:
+                        out.append(_removed(at, first, own[number], count, window))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text"), pa.array(out, _RANGE_TYPE)], names=["doc_id", "text", "removed"]
                 )
