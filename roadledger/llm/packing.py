@@ -32,7 +32,24 @@ from tokenizers import Tokenizer
 from roadledger.llm import text as words
 from roadledger.session import shared_dir, written
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
+
+
+# A control character: neither white space nor letter, so a token by itself between spaces.
+MARK, TOGETHER = "\x1f", 256
+ENDS = b".,;:!?"
+
+
+def stem_and_end(word: bytes) -> tuple[bytes, bytes]:
+    """The word with A-Z lower-cased, and the punctuation that ends it.
+
+    The tokenizer lower-cases too, and it cuts between a letter or digit and punctuation, so the
+    ids of the two parts are the ids of the word.
+    """
+    stem = word.rstrip(ENDS)
+    if len(stem) == len(word) or not stem or not stem[-1:].isalnum() or b"<|" in word:
+        return word if b"<|" in word else word.lower(), b""
+    return stem.lower(), word[len(stem) :]
 
 
 @dataclass(frozen=True)
@@ -49,7 +66,9 @@ class Settings:
 class Encoder:
     """Token ids and projected vectors of texts, put together from those of their words.
 
-    The tokenizer drops white space before anything else, so a text's ids are its words' ids.
+    The tokenizer drops white space before anything else, so a text's ids are its words' ids. This
+    and :func:`stem_and_end` hold for lower-casing tokenizers that cut between white space, letters
+    and punctuation.
     """
 
     def __init__(self, tokenizer: str, settings: Settings):
@@ -60,18 +79,45 @@ class Encoder:
         rng = np.random.default_rng(settings.seed)
         self.matrix = rng.standard_normal((settings.buckets, settings.dimensions)).astype(np.float32)
         self.coded: list[bytes] = []
+        self.stems: dict[bytes, bytes] = {}
         self.table = words.WordTable(self._features, CACHE_WORDS)
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def _features(self, new: list[bytes]) -> np.ndarray:
         if not self.table.filled:
             self.coded.clear()
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.coded.extend(np.array(x.ids, self.kind).tobytes() for x in found)
+            self.stems.clear()
+        parts = [stem_and_end(word) for word in new]
+        self._encode([x for x in dict.fromkeys(x for part in parts for x in part if x) if x not in self.stems])
+        self.coded.extend(self.stems[stem] + self.stems[end] if end else self.stems[stem] for stem, end in parts)
         # Long words say more about a text than short ones.
         weight = np.minimum([len(w) for w in new], 12).astype(np.float32)
         bucket = words.hash64(w.lower() for w in new) % np.uint64(self.settings.buckets)
         return np.column_stack([self.matrix[bucket.astype(np.int64)] * weight[:, None], weight])
 
+    def _encode(self, new: list[bytes]) -> None:
+        """Ids of words without white space. Many are handed over as one text, with a mark that is a
+        token of its own after each; words that hold the mark themselves go alone."""
+        texts = [word.decode("utf-8", "replace") for word in new]
+        one_id = len(self.mark) == 1
+        plain = [k for k, text in enumerate(texts) if one_id and MARK not in text]
+        chosen = set(plain)
+        for begin in range(0, len(plain), TOGETHER):
+            some = plain[begin : begin + TOGETHER]
+            joined = "".join(f"{texts[k]} {MARK} " for k in some)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(ids == self.mark[0]).tolist()
+            raw, size, start = ids.astype(self.kind).tobytes(), self.kind.itemsize, 0
+            if len(ends) != len(some):  # some other text makes the mark's token: one by one
+                chosen.difference_update(some)
+                continue
+            for k, end in zip(some, ends):
+                self.stems[new[k]] = raw[start * size : end * size]
+                start = end + 1
+        for k, text in enumerate(texts):
+            if k not in chosen:
+                self.stems[new[k]] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
     def __call__(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
         """Ids (little-endian, end id included) and Hilbert key of each text."""
         flat, counts = self.table.lookup(texts)
