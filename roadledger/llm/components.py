@@ -2,7 +2,7 @@
 
 Links stay in tables throughout: each half step is a minimum per node (combined before the
 shuffle) and a join, which adaptive execution splits where a node has very many links. Every round
-is written to shared storage, so a lost executor costs one half step.
+is written to shared storage, so a lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -27,23 +27,23 @@ def _small_star(links: DataFrame) -> DataFrame:
     return handed.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _settled(links: DataFrame) -> bool:
+    """Does every linked node hang on one root, and no root on another node?"""
+    ends = links.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
+
+
 def roots(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node that is not its component's smallest.
 
     ``links`` has columns a and b (numbers, a != b); repeated links and both directions are fine.
     """
-    spark = links.sparkSession
-    folder = shared_dir(spark, "components")
-    now = written(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/0"
-    )
-    before, step = None, 0
-    while True:
-        state = now.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if state == before or not state["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before, step = state, step + 1
-        large = written(_large_star(now).distinct(), f"{folder}/{step}-large")
-        now = written(_small_star(large).distinct(), f"{folder}/{step}-small")
+    folder, step = shared_dir(links.sparkSession, "components"), 0
+    now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/0")
+    while not _settled(now):
+        step += 1
+        now = written(_small_star(_large_star(now)).distinct(), f"{folder}/{step}")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -11,9 +11,14 @@ In every bucket one member is the centre and is paired with the others, so a buc
 n - 1 pairs. Pairs are confirmed on the full sets. A centre is then done in its bucket. Buckets
 whose members are not yet all connected go on with new centres, ``SPREAD`` times as many in each
 round, chosen by hash; once at most ``SMALL`` members are left, all are centres. So no link is lost
-to the star shape, and every bucket ends after a logarithmic number of rounds. What is left after
-the first round are mostly copies changed a little too much. Their private shingles, which none of
-the others has, bound how alike two of them can be, so most are settled without being compared.
+to the star shape, and every bucket ends after a logarithmic number of rounds.
+
+What is left after the first round are mostly copies changed a little too much, and comparing all of
+them would take the square of their number. Their rare shingles (in at most ``RARE`` of these sets)
+settle most without comparing: two sets that share no rare shingle have at most their other ones in
+common, which bounds how alike they can be, so stars leave out pairs below the bound; pairs that do
+share rare shingles are found by a join on these, whose rows grow with ``RARE`` and not with the group,
+and are bounded by the number of rare shingles they share. Every pair is of one kind or the other.
 
 Defined results: null and empty texts have no shingles and are linked with nothing, like rows
 without an id. Rows that share an id are one document. Repeated rows and ties need no care: the
@@ -39,7 +44,8 @@ from roadledger.session import shared_dir, written
 # Buckets of so few members compare all of them in one round; the others have so many times more
 # centres in each round.
 SMALL = 32
-SPREAD = 8
+SPREAD = 16
+RARE = 50
 
 
 @dataclass(frozen=True)
@@ -159,8 +165,8 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, settings: Settings) -> DataFra
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
-def _private(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, private): the number of a node's shingles that no other of the nodes has."""
+def _shingle_rows(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingle) of the nodes' sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,9 +176,30 @@ def _private(sets: DataFrame, nodes: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(owner)), pa.array(np.concatenate(flat))], names=["node", "shingle"])
 
-    rows = sets.join(nodes, "node", "left_semi").mapInArrow(run, "node bigint, shingle bigint")
-    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter(F.col("n") == 1)
-    return single.groupBy("node").agg(F.count("*").alias("private"))
+    return sets.join(nodes, "node", "left_semi").mapInArrow(run, "node bigint, shingle bigint")
+
+
+def _rare_rows(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingle, held): the shingles that at most ``RARE`` of the nodes have, and how many do."""
+    rows = _shingle_rows(sets, nodes)
+    held = rows.groupBy("shingle").agg(F.count("*").alias("held")).filter(F.col("held") <= RARE)
+    return rows.join(held, "shingle")
+
+
+def _sharing_pairs(rare: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes not yet connected that share rare shingles, and enough to be alike.
+
+    ``nodes``: node, size, rare (how many of its shingles are), root.
+    """
+    rows = rare.filter(F.col("held") > 1).join(nodes, "node").select("shingle", "node", "size", "rare", "root")
+    left = rows.select("shingle", *(F.col(name).alias(f"a_{name}") for name in ("node", "size", "rare", "root")))
+    right = rows.select("shingle", *(F.col(name).alias(f"b_{name}") for name in ("node", "size", "rare", "root")))
+    both = left.join(right, "shingle").filter((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")))
+    keys = [f"{side}_{name}" for side in "ab" for name in ("node", "size", "rare")]
+    pairs = both.groupBy(*keys).agg(F.count("*").alias("shared"))
+    common = F.least(F.col("a_size") - F.col("a_rare"), F.col("b_size") - F.col("b_rare")) + F.col("shared")
+    alike = common * 100 >= (F.col("a_size") + F.col("b_size") - common) * percent
+    return pairs.filter(alike).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def _open_members(members: DataFrame) -> DataFrame:
@@ -189,16 +216,17 @@ def _open_members(members: DataFrame) -> DataFrame:
 def _stars(members: DataFrame, seats: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Centres of every bucket, and the pairs of centres with other members not yet connected.
 
-    ``members``: bucket, held, node, size (of its set), private, root (of its component so far).
-    Two sets share at most what neither keeps private, which bounds how alike they can be.
+    ``members``: bucket, held, node, size (of its set), rare, root (of its component so far).
+    Pairs that share rare shingles are left to :func:`_sharing_pairs`; the others have at most their
+    other shingles in common.
     """
     seat = F.when(F.col("held") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(seats)), F.lit(seats)))
     centres = (
         members.groupBy("bucket", seat.alias("seat"))
-        .agg(F.min(F.struct("node", "size", "private", "root")).alias("c"))
-        .select("bucket", *(F.col(f"c.{name}").alias(f"c_{name}") for name in ("node", "size", "private", "root")))
+        .agg(F.min(F.struct("node", "size", "rare", "root")).alias("c"))
+        .select("bucket", *(F.col(f"c.{name}").alias(f"c_{name}") for name in ("node", "size", "rare", "root")))
     )
-    common = F.least(F.col("size") - F.col("private"), F.col("c_size") - F.col("c_private"))
+    common = F.least(F.col("size") - F.col("rare"), F.col("c_size") - F.col("c_rare"))
     alike = common * 100 >= (F.col("size") + F.col("c_size") - common) * percent
     pairs = (
         members.join(centres, "bucket")
@@ -221,33 +249,49 @@ def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     seats = classes.select(F.explode(F.array_distinct("bands")).alias("bucket"), "node", "size")
     shared = seats.groupBy("bucket").agg(F.count("*").alias("held")).filter(F.col("held") > 1)
-    members = seats.join(shared, "bucket").withColumn("private", F.lit(0).cast("bigint")).withColumn("root", F.col("node"))
+    members = seats.join(shared, "bucket").withColumn("rare", F.lit(0).cast("bigint")).withColumn("root", F.col("node"))
     members = written(members, f"{folder}/members-1")
     sets = written(_sets(docs, members, settings), f"{folder}/sets")
-    links = checked = spark.createDataFrame([], "a bigint, b bigint")
-    root, round_number = None, 1
+    nothing = spark.createDataFrame([], "a bigint, b bigint")
+    checked, root, rare, round_number = nothing, None, None, 1
+
+    def connect(pairs: DataFrame) -> None:
+        """Confirm pairs and take the links into ``root``."""
+        nonlocal checked, root
+        pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), f"{folder}/pairs-{round_number}")
+        if pairs.isEmpty():
+            return
+        checked = checked.unionByName(pairs)
+        found = written(_confirmed(sets, pairs, settings), f"{folder}/confirmed-{round_number}").filter("linked").select("a", "b")
+        if not found.isEmpty():
+            known = root.select(F.col("node").alias("a"), F.col("root").alias("b")) if root is not None else nothing
+            root = roots(known.unionByName(found))
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        """``rows`` (with node) and the node's root so far."""
+        if root is None:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
     while not members.isEmpty():
         centres, pairs = _stars(members, SPREAD ** (round_number - 1), settings.percent)
         centres = written(centres, f"{folder}/centres-{round_number}")
-        pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), f"{folder}/pairs-{round_number}")
-        checked = checked.unionByName(pairs)
-        if not pairs.isEmpty():
-            result = written(_confirmed(sets, pairs, settings), f"{folder}/confirmed-{round_number}")
-            links = links.unionByName(result.filter("linked").select("a", "b"))
-            root = roots(links)
-        members = members.join(centres, ["bucket", "node"], "left_anti").drop("held")
-        if root is not None:
-            members = members.drop("root").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        members = _open_members(members.select("bucket", "node", "size", "private", "root"))
+        connect(pairs)
+        members = members.join(centres, ["bucket", "node"], "left_anti").select("bucket", "node", "size", "rare")
+        members = _open_members(rooted(members).select("bucket", "node", "size", "rare", "root"))
         if round_number == 1:
             members = written(members, f"{folder}/open")
-            private = _private(sets, members.select("node").distinct())
-            members = members.drop("private", "held").join(private, "node", "left").fillna(0, ["private"])
-            # Nothing can be alike enough to a set that keeps too much to itself.
-            members = members.filter((F.col("size") - F.col("private")) * 100 >= F.col("size") * settings.percent)
-            members = _open_members(members.select("bucket", "node", "size", "private", "root"))
+            left = members.select("node", "size").distinct()
+            rare = written(_rare_rows(sets, left), f"{folder}/rare")
+            counts = rare.groupBy("node").agg(F.count("*").alias("rare"))
+            left = written(left.join(counts, "node", "left").fillna(0, ["rare"]), f"{folder}/left")
+            # What nobody can be alike to without sharing rare shingles needs no star.
+            enough = left.filter((F.col("size") - F.col("rare")) * 100 >= F.col("size") * settings.percent).select("node", "rare")
+            members = _open_members(members.drop("rare", "held").join(enough, "node").select("bucket", "node", "size", "rare", "root"))
         round_number += 1
         members = written(members, f"{folder}/members-{round_number}")
+    if rare is not None:
+        connect(_sharing_pairs(rare, rooted(left), settings.percent))
     first = classes.select("digest", "node")
     out = sketch.select("doc_id", "n_shingles", "digest").join(first, "digest", "left")
     if root is not None:
