@@ -306,7 +306,15 @@ def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One document of each component, with all its columns; rows without an id stay."""
-    kept = components(docs, settings).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each component, with all its columns; rows without an id stay.
+
+    Rows that repeat an id are reduced to one.
+    """
+    gone = components(docs, settings).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = written(gone, shared_dir(docs.sparkSession, "minhash-gone"))
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    if repeated.isEmpty():
+        return left
+    one = left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    return one.unionByName(left.filter(F.col("doc_id").isNull()))
