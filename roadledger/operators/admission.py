@@ -28,7 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Above this many bucket levels step 1 gets slow; choose a rate with a smaller denominator.
+from roadledger.session import shared_dir, written
+
+# Above this many bucket levels step 1 would cost more than it spreads: a fleet is then one block,
+# walked in order by one task that holds a few numbers. Grants are the same either way.
 MAX_LEVELS = 1 << 20
 # The most crowded seconds that are broadcast: two keys and a number each, a few megabytes.
 MAX_CROWDED = 100_000
@@ -50,8 +53,6 @@ class TokenBucket:
     def __post_init__(self) -> None:
         if min(self.capacity, self.refill_tokens, self.refill_seconds, self.idle_seconds) < 1:
             raise ValueError("capacity, refill and idle time must be at least 1")
-        if self.full >= MAX_LEVELS:
-            raise ValueError(f"{self.full} bucket levels exceed {MAX_LEVELS}")
 
     @property
     def parts(self) -> int:
@@ -91,24 +92,33 @@ def grants(
     """Per fleet and second: events requested and granted, and the bucket level afterwards.
 
     ``initial`` holds ``(fleet_id, level, second)`` of buckets carried over from earlier events.
-    The time span of the events is looked up first: within one block, as in a stream's batch, the
-    starts are known and the first two steps fall away.
+    A bucket's clock never runs back: events that arrive late, with a second before that of the
+    carried bucket, meet the bucket as it is (``clock`` is the second at which they are judged).
+
+    The counts are written first, so events are read once. Their time span decides the steps:
+    within one block, as in a stream's batch, the starts are known and the first two fall away.
     """
-    seconds = F.unix_seconds(arrival)
-    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    spark = events.sparkSession
+    counts = written(requests_per_second(events, arrival), shared_dir(spark, "admission-counts"))
+    first, last = counts.agg(F.min("second"), F.max("second")).first()
     first, last = first or 0, last or 0
-    block = F.floor((F.col("second") - first) / block_seconds)
-    counts = requests_per_second(events, arrival).withColumn("block", block)
+    if bucket.full >= MAX_LEVELS:
+        block_seconds = last - first + 1
+    counts = counts.withColumn("block", F.floor((F.col("second") - first) / block_seconds))
+    clock = F.col("second")
     if initial is not None:
         initial = initial.select("fleet_id", "level", F.col("second").alias("since"))
+        counts = counts.join(initial.select("fleet_id", F.col("since").alias("carried")), "fleet_id", "left")
+        clock = F.greatest("second", "carried")
+    counts = counts.withColumn("clock", clock).select("fleet_id", "second", "requested", "block", "clock")
     if last - first < block_seconds:
         starts = None if initial is None else initial.withColumn("block", F.lit(0).cast("bigint"))
     else:
         starts = _block_starts(counts, bucket, initial)
     rows = counts.withColumns({"level": _none(), "since": _none()})
     if starts is not None:
-        rows = rows.unionByName(starts.withColumns({"second": _none(), "requested": _none()}))
-    result = _keyed(counts, "second bigint, requested bigint, granted bigint, level bigint")
+        rows = rows.unionByName(starts.withColumns({"second": _none(), "requested": _none(), "clock": _none()}))
+    result = _keyed(counts, "second bigint, requested bigint, clock bigint, granted bigint, level bigint")
     return _ordered(rows, ["fleet_id", "block"], "second").mapInPandas(_replay(bucket), result)
 
 
@@ -150,11 +160,13 @@ def _keyed(counts: DataFrame, columns: str) -> T.StructType:
 
 def carried_over(granted: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """The buckets after these grants, to pass on as ``initial``: one row per fleet."""
-    last = granted.select("fleet_id", "level", "second")
+    last = granted.select("fleet_id", "level", "clock", "second")
     if initial is not None:
-        last = last.unionByName(initial.select("fleet_id", "level", "second"))
+        before = initial.select("fleet_id", "level", F.col("second").alias("clock"), _none().alias("second"))
+        last = last.unionByName(before)
+    # Late events share the clock of the carried bucket; of these the last second counts.
     return last.groupBy("fleet_id").agg(
-        F.max_by("level", "second").alias("level"), F.max("second").alias("second")
+        F.max_by("level", F.struct("clock", "second")).alias("level"), F.max("clock").alias("second")
     )
 
 
@@ -281,7 +293,7 @@ def _solve_blocks(bucket: TokenBucket):
         key, seconds, requested = None, [], []
         for batch in batches:
             fleets, blocks = batch["fleet_id"].to_numpy(), batch["block"].to_numpy()
-            second, wanted = batch["second"].tolist(), batch["requested"].tolist()
+            second, wanted = batch["clock"].tolist(), batch["requested"].tolist()
             change = (fleets[1:] != fleets[:-1]) | (blocks[1:] != blocks[:-1])
             edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
             solved = []
@@ -338,7 +350,7 @@ def _replay(bucket: TokenBucket):
         key, level, last = None, full, missing
         for batch in batches:
             fleets, blocks = batch["fleet_id"].to_numpy(), batch["block"].to_numpy()
-            seconds, requested = batch["second"].tolist(), batch["requested"].tolist()
+            seconds, requested = batch["clock"].tolist(), batch["requested"].tolist()
             change = (fleets[1:] != fleets[:-1]) | (blocks[1:] != blocks[:-1])
             edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
             granted, levels = [], []
@@ -360,7 +372,7 @@ def _replay(bucket: TokenBucket):
                     level -= grant * parts
                     granted.append(grant)
                     levels.append(level)
-            decided = batch[["fleet_id", "second", "requested"]].assign(granted=granted, level=levels)
+            decided = batch[["fleet_id", "second", "requested", "clock"]].assign(granted=granted, level=levels)
             yield decided[decided["second"] != missing]
 
     return replay

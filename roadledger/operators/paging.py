@@ -12,7 +12,9 @@ from roadledger.functions.arguments import utc, within
 from roadledger.operators.filters import labelled
 from roadledger.schemas import LABELS
 
-MAX_PAGE = 500
+# Deepest page for which Spark itself limits groups before the shuffle, by its default setting.
+GROUP_LIMIT = 1000
+DEEP_PARTS = 64
 NEWEST_FIRST = ("recorded_at", "event_id")
 
 
@@ -53,12 +55,13 @@ def label_page(
 ) -> DataFrame:
     """One page of labelled events, newest first; equal times are settled by the larger id.
 
-    A limit above 500 is cut to 500. For one fleet this is a top-k sort. With ``fleet_id=None`` every fleet gets its own page:
-    the rank filter is a group limit below the shuffle, so a task sends at most
-    ``offset + limit`` rows per fleet. Deep pages should pass the last row's
-    ``(recorded_at, event_id)`` as ``before`` in place of an offset, which reads no skipped rows.
+    For one fleet this is a top-k sort. With ``fleet_id=None`` every fleet gets its own page: each
+    partition first keeps its newest ``offset + limit`` rows per fleet, so the ranking that follows
+    sees at most that many rows per partition and fleet however deep the page is. Deep pages should
+    pass the last row's ``(recorded_at, event_id)`` as ``before`` in place of an offset, which reads
+    no skipped rows.
     """
-    limit = min(within("limit", limit, 1), MAX_PAGE)
+    within("limit", limit, 1)
     within("offset", offset, 0)
     found = as_results(labelled(events, label, fleet_id, start, end))
     if before is not None:
@@ -71,6 +74,12 @@ def label_page(
     if fleet_id is not None:
         return found.orderBy(*order).offset(offset).limit(limit)
     rank = F.row_number().over(Window.partitionBy("fleet_id").orderBy(*order))
+    if offset + limit > GROUP_LIMIT:
+        # Beyond this depth Spark ranks without a limit below the shuffle, so rows are dealt out
+        # and ranked per part first; what is outside a part's page cannot be on the fleet's.
+        part = F.pmod(F.xxhash64("event_id"), F.lit(DEEP_PARTS))
+        in_part = F.row_number().over(Window.partitionBy("fleet_id", part).orderBy(*order))
+        found = found.withColumn("_in_part", in_part).filter(F.col("_in_part") <= offset + limit).drop("_in_part")
     return (
         found.withColumn("_rank", rank)
         .filter(F.col("_rank") <= offset + limit)
@@ -83,7 +92,7 @@ def page_envelope(
     events: DataFrame, label: str, fleet_id: Any = None, limit: int = 100, offset: int = 0, **bounds
 ) -> DataFrame:
     """One row per fleet: label, total, paging arguments and the page as an array of rows."""
-    within("limit", limit, 1, MAX_PAGE)
+    within("limit", limit, 1)
     shown = label_page(events, label, fleet_id, limit=limit, offset=offset, **bounds)
     newest_first = F.reverse(F.array_sort(F.collect_list(F.struct(
         *NEWEST_FIRST,

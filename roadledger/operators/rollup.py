@@ -11,36 +11,25 @@ from pyspark.sql import functions as F
 from roadledger.functions.expressions import hour_of
 from roadledger.operators.hourly import BUCKET, rollup_rows
 
-MAX_RANGES = 64
-
 
 def affected_buckets(new_events: DataFrame) -> DataFrame:
     """The vehicle hours that new events fall into, each once."""
     return new_events.select("fleet_id", "vehicle_id", hour_of().alias("hour_bucket")).distinct()
 
 
-def hour_ranges(hours: Iterable[datetime]) -> list[tuple[datetime, datetime]]:
-    """Adjacent hours joined into half-open ranges; one spanning range when there are many."""
-    ranges: list[tuple[datetime, datetime]] = []
-    for hour in sorted(hours):
-        if ranges and ranges[-1][1] == hour:
-            ranges[-1] = (ranges[-1][0], hour + timedelta(hours=1))
-        else:
-            ranges.append((hour, hour + timedelta(hours=1)))
-    if len(ranges) > MAX_RANGES:
-        return [(ranges[0][0], ranges[-1][1])]
-    return ranges
-
-
-def in_ranges(ranges: list[tuple[datetime, datetime]], dated: bool) -> Column:
-    """Times inside any range, with the matching partition dates so directories are skipped."""
-    wanted = F.lit(False)
-    for start, end in ranges:
-        inside = (F.col("recorded_at") >= F.lit(start)) & (F.col("recorded_at") < F.lit(end))
-        if dated:
-            last = (end - timedelta(microseconds=1)).date()
-            inside &= F.col("event_date").between(F.lit(start.date()), F.lit(last))
-        wanted = wanted | inside
+def in_hours(hours: Iterable[datetime], dated: bool) -> Column:
+    """Times inside any of the hours, with the partition dates so that other folders are skipped.
+
+    Both are sets looked up by hash, whatever their number; the outer bounds reach the file scan.
+    """
+    hours = sorted(hours)
+    if not hours:
+        return F.lit(False)
+    moment = F.col("recorded_at")
+    wanted = (moment >= F.lit(hours[0])) & (moment < F.lit(hours[-1] + timedelta(hours=1)))
+    wanted &= F.floor(F.unix_seconds(moment) / 3600).isin([int(hour.timestamp()) // 3600 for hour in hours])
+    if dated:
+        wanted &= F.col("event_date").isin(sorted({hour.date() for hour in hours}))
     return wanted
 
 
@@ -55,5 +44,5 @@ def recompute(
     """
     rows = affected.select(F.unix_seconds("hour_bucket")).distinct().collect()
     hours = [datetime.fromtimestamp(row[0], timezone.utc) for row in rows]
-    touched = events.filter(in_ranges(hour_ranges(hours), "event_date" in events.columns))
+    touched = events.filter(in_hours(hours, "event_date" in events.columns))
     return rollup_rows(touched, computed_at).join(affected, list(BUCKET), "left_semi")

@@ -132,8 +132,51 @@ def test_text_keys_and_no_events(spark):
 def test_bad_buckets_are_refused():
     with pytest.raises(ValueError):
         TokenBucket(capacity=0)
-    with pytest.raises(ValueError):
-        TokenBucket(capacity=10**6, refill_tokens=1, refill_seconds=7)
+
+
+@pytest.mark.parametrize("bucket", [TokenBucket(1000, 7, 3600), TokenBucket(10**6, 10**5, 3600)])
+def test_fine_buckets_are_solved_too(spark, bucket):
+    events = [(0, EPOCH + timedelta(seconds=s // 40), s) for s in range(1200)]
+    table = grants(frame(spark, events), bucket, block_seconds=5)
+    level, granted = bucket.full, 0
+    for s in range(30):
+        level = min(bucket.full, level + (bucket.gain if s else 0))
+        take = min(40, level // bucket.parts)
+        level, granted = level - take * bucket.parts, granted + take
+    assert table.agg(F.sum("granted")).first()[0] == granted
+
+
+@pytest.mark.parametrize("block_seconds", [50, 100, 10**6])
+def test_late_events_meet_the_carried_bucket_as_it_is(spark, block_seconds):
+    initial = spark.createDataFrame([(0, 0, 1000)], "fleet_id long, level long, second long")
+    start = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    events = [(0, start + timedelta(seconds=s), s) for s in (0, 40, 45, 90, 130, 170, 300)]
+    table = written(grants(frame(spark, events), TokenBucket(3, 1, 10), initial, block_seconds), shared_dir(spark, "late"))
+    assert table.agg(F.sum("granted")).first()[0] == 0
+    left = carried_over(table, initial).first()
+    assert (left.level, left.second) == (0, 1000)
+
+
+@pytest.mark.parametrize("block_seconds", [30, 10**6])
+def test_overlapping_batches_equal_a_clock_that_never_runs_back(spark, block_seconds):
+    bucket, state, initial = TokenBucket(5, 1, 4, idle_seconds=500), {}, None
+    for batch in range(3):
+        events = random_events(batch, 150, 120, first=1000 * batch)
+        table = written(grants(frame(spark, events), bucket, initial, block_seconds), shared_dir(spark, "overlap"))
+        counts, wanted = {}, {}
+        for fleet, moment, _ in events:
+            key = (fleet, int(moment.timestamp()))
+            counts[key] = counts.get(key, 0) + 1
+        for fleet, second in sorted(counts):
+            level, last = state.get(fleet, (bucket.full, second))
+            gap = max(0, second - last)
+            level = bucket.full if gap > bucket.idle_seconds else min(bucket.full, level + gap * bucket.gain)
+            take = min(counts[fleet, second], level // bucket.parts)
+            state[fleet] = (level - take * bucket.parts, max(last, second))
+            wanted[fleet, second] = take
+        assert {(r.fleet_id, r.second): r.granted for r in table.collect()} == wanted
+        initial = written(carried_over(table, initial), shared_dir(spark, "levels"))
+        assert {r.fleet_id: (r.level, r.second) for r in initial.collect()} == state
 
 
 def test_state_store_form(spark, tmp_path):

@@ -83,7 +83,7 @@ def test_arguments_are_checked(events):
         lambda: latest.low_battery_vehicles(events, threshold=200),
         lambda: latest.low_battery_vehicles(events, threshold=0),
         lambda: hourly.hourly_stats(events, hours=169),
-        lambda: paging.page_envelope(events, "hard_brake", limit=9999),
+        lambda: paging.page_envelope(events, "hard_brake", limit=0),
         lambda: paging.label_page(events, "hard_brake", limit=0),
         lambda: paging.label_page(events, "hard_brake", offset=-1),
         lambda: paging.label_page(events, "no_such_label"),
@@ -92,9 +92,16 @@ def test_arguments_are_checked(events):
             call()
 
 
-def test_page_limit_is_cut_to_500(events):
-    page = paging.label_page(events, "low_battery", limit=9999)
-    assert "<= 500" in page._jdf.queryExecution().optimizedPlan().toString()
+def test_page_limit_is_the_callers(events):
+    whole = paging.label_page(events, "low_battery", limit=10**6).collect()
+    assert len(whole) == labels.label_counts(events).filter("scenario_label = 'low_battery'").agg({"event_count": "sum"}).first()[0]
+    for limit, offset in ((2000, 0), (3, 998), (700, 600)):
+        page = paging.label_page(events, "low_battery", limit=limit, offset=offset).collect()
+        wanted = []
+        for fleet in {r.fleet_id for r in whole}:
+            rows = sorted((r for r in whole if r.fleet_id == fleet), key=lambda r: (r.recorded_at, r.event_id), reverse=True)
+            wanted += rows[offset : offset + limit]
+        assert sorted(page) == sorted(wanted)
 
 
 def test_one_vehicle_is_sorted(events):

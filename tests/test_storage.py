@@ -165,12 +165,18 @@ def test_upsert_keeps_other_dates(spark, tmp_path):
     assert found[date(2024, 1, 1)] > found[date(2024, 1, 2)]
 
 
-def test_hour_ranges_join_and_fall_back():
-    hours = [at(1, 3), at(1, 4), at(1, 7)]
-    assert rollup.hour_ranges(hours) == [(at(1, 3), at(1, 5)), (at(1, 7), at(1, 8))]
-    many = [at(1, 0) + timedelta(hours=2 * k) for k in range(200)]
-    assert rollup.hour_ranges(many) == [(many[0], many[-1] + timedelta(hours=1))]
-    assert rollup.hour_ranges([]) == []
+def test_scattered_hours_still_skip_other_dates(spark, tmp_path):
+    path = str(tmp_path / "events")
+    days = [datetime(2024, 1, 1, 5, tzinfo=timezone.utc) + timedelta(days=k) for k in range(150)]
+    source.append_events(full(spark, [event(k, day) for k, day in enumerate(days)]), path, "a")
+    stored = source.read_events(spark, path)
+    touched = stored.filter(rollup.in_hours(days[::2], dated=True))
+    assert sorted(r.id for r in touched.collect()) == list(range(0, 150, 2))
+    plan = touched._jdf.queryExecution().executedPlan()
+    plan.execute()
+    files = touched.select(F.input_file_name()).distinct().count()
+    assert files == 75 and "event_date" in plan.toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert stored.filter(rollup.in_hours([], dated=True)).count() == 0
 
 
 def test_recompute_reads_only_the_touched_dates(spark, tmp_path):
