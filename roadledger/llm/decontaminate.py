@@ -5,11 +5,11 @@ a shingle is five consecutive words. A document is contaminated by an item if so
 shingles as the item has is at least ``percent`` alike: shared shingles over all shingles, each
 weighted by how often it occurs on either side. A shorter document is one stretch.
 
-1. An alike stretch misses at most a fifth of an item's shingles, so it holds one of the item's
-   anchors: its rarest shingles (among all items) that together make up more than that fifth.
-   Documents without any anchor are done.
-2. Stretches around anchors get a 63-bit SimHash, each occurrence of a shingle voting on every bit.
-   Votes are added in packed counters, seven to a number.
+1. The places of a document that hold a shingle of some item are its anchors. An alike stretch needs
+   8 anchors in 9 places at least (of items of its size), so documents without any are done, and
+   in the others few stretches are left: about seven around each passage.
+2. These stretches get a 63-bit SimHash, each occurrence of a shingle voting on every bit. Votes are
+   added in packed counters, seven to a number.
 3. The fingerprint is cut into ``radius + 1`` blocks; two fingerprints that differ in at most
    ``radius`` bits agree in some block, so an equi-join on (stretch size, block, bits) with the
    items finds all of them. At 0.8 alike about nine bits differ; 20 are allowed.
@@ -117,23 +117,9 @@ def benchmark_items(benchmark: DataFrame, settings: Settings) -> DataFrame:
     return rows.filter((F.col("n") > 0) & F.col("item_id").isNotNull())
 
 
-def anchors(items: DataFrame, settings: Settings) -> DataFrame:
-    """(shingle, n): an alike stretch of n shingles holds at least one of them for its item."""
-    each = items.select("item_id", "n", F.explode("shingles").alias("shingle")).groupBy("item_id", "n", "shingle").agg(F.count("*").alias("times"))
-    spread = each.groupBy("shingle").agg(F.count("*").alias("held"))
-    # An item's shingles are one row's array, so sorting them stays within a row.
-    ranked = (
-        each.join(spread, "shingle")
-        .groupBy("item_id", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("held", "shingle", "times"))).alias("ranked"))
-    )
-    missing = F.col("n") * (100 - settings.percent)
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("chosen"))
-    more = lambda state, x: F.when(
-        state["sum"] * 100 <= missing,
-        F.struct((state["sum"] + x["times"]).alias("sum"), F.array_append(state["chosen"], x["shingle"]).alias("chosen")),
-    ).otherwise(state)
-    return ranked.select("n", F.explode(F.aggregate("ranked", start, more, lambda state: state["chosen"])).alias("shingle")).distinct()
+def anchors(items: DataFrame) -> DataFrame:
+    """(shingle, n): the shingles of all items of n shingles."""
+    return items.select("n", F.explode("shingles").alias("shingle")).distinct()
 
 
 def _alike(left: Column, right: Column) -> tuple[Column, Column]:
@@ -151,7 +137,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     spark = docs.sparkSession
     folder = shared_dir(spark, "decontaminate")
     items = written(with_fingerprint(benchmark_items(benchmark, settings), "shingles", "fingerprint"), f"{folder}/items")
-    anchor = written(anchors(items, settings), f"{folder}/anchors")
+    anchor = written(anchors(items), f"{folder}/anchors")
     if anchor.count() <= BROADCAST_ANCHORS:
         anchor = F.broadcast(anchor)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("dc_text")).filter(F.col("doc_id").isNotNull())
@@ -163,6 +149,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     last = F.greatest(F.size("shingles") - F.col("n"), F.lit(0))
     around = F.transform("places", lambda p: F.sequence(F.least(F.greatest(p - F.col("n") + 1, F.lit(0)), last), F.least(p, last)))
     near = near.withColumn("start", F.explode_outer(F.array_distinct(F.flatten(around))))
+    inside = F.size(F.filter("places", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n"))))
+    length = F.least(F.col("n"), F.size("shingles"))
+    # Shared shingles are anchors: with fewer of them no stretch is alike enough.
+    near = near.filter(inside * (100 + settings.percent) >= (F.col("n") + length) * settings.percent)
     near = near.select("doc_id", "n", "start", F.slice("shingles", F.col("start") + 1, F.col("n")).alias("stretch"))
     near = written(with_fingerprint(near, "stretch", "fingerprint"), f"{folder}/stretches")
     block = lambda rows, *kept: rows.select("*", F.explode(_blocks("fingerprint", settings.radius)).alias("b")).select(*kept, "b.block", "b.bits")
