@@ -232,6 +232,32 @@ FROM (SELECT *, row_number() OVER (
     PARTITION BY fleet_id ORDER BY recorded_at DESC, id DESC) AS n
   FROM ev WHERE acceleration < -7) AS t
 WHERE n > 5 AND n <= 25""")
+    def low_batteries(keep: str, condition: str) -> str:
+        return over_events(f"""
+SELECT fleet_id, id AS event_id, vehicle_id, recorded_at, CAST(speed AS DOUBLE) AS speed,
+  battery_level, CAST(acceleration AS DOUBLE) AS acceleration, weather, scenarios
+FROM (SELECT *, row_number() OVER (
+    PARTITION BY fleet_id ORDER BY recorded_at DESC, id DESC) AS n
+  FROM ev WHERE battery_level < 15 AND {condition}) AS t
+WHERE {keep}""")
+
+    sql["scenario_page_deep"] = low_batteries("n > 600 AND n <= 1200", "TRUE")
+    sql["one_fleet_page"] = low_batteries("n > 10 AND n <= 1010", "fleet_id = 2")
+    sql["scenario_page_envelope"] = over_events("""
+SELECT fleet_id, 'hard_brake' AS scenario, max(total) AS total, CAST(30 AS BIGINT) AS "limit", CAST(4 AS BIGINT) AS "offset",
+  coalesce(string_agg(CASE WHEN n > 4 AND n <= 34 THEN CAST(id AS VARCHAR) END, ',' ORDER BY n), '') AS results
+FROM (SELECT fleet_id, id, row_number() OVER (PARTITION BY fleet_id ORDER BY recorded_at DESC, id DESC) AS n,
+    count(*) OVER (PARTITION BY fleet_id) AS total
+  FROM ev WHERE acceleration < -7) AS t
+GROUP BY fleet_id""")
+    sql["tagged_events"] = over_events("SELECT id, fleet_id, scenarios FROM ev WHERE scenarios <> ''")
+    sql["one_hour"] = over_events("""
+SELECT id, fleet_id, vehicle_id, recorded_at FROM ev
+WHERE recorded_at >= TIMESTAMP '2024-01-15 07:00:00' AND recorded_at < TIMESTAMP '2024-01-15 08:00:00'""")
+    sql["one_vehicle_hours"] = over_events(
+        f"SELECT fleet_id, vehicle_id, hour_bucket, avg_speed, max_speed, event_count FROM ({HOURLY}) AS h "
+        "WHERE fleet_id = 2 AND vehicle_id = 7"
+    )
     sql["scenario_events_total"] = over_events(
         "SELECT fleet_id, count(*) AS total FROM ev WHERE acceleration < -7 GROUP BY fleet_id"
     )
@@ -439,6 +465,13 @@ FROM ranked WHERE arrival <= granted""",
         on_arrival,
         bucket("valid", 10**9),
     )
+    sql["stream_refused"] = recursive(
+        """
+SELECT id, fleet_id, vehicle_id, recorded_at, CAST(speed AS DOUBLE) AS speed, ingested_at
+FROM ranked WHERE arrival > granted""",
+        on_arrival,
+        bucket("valid", 10**9),
+    )
     sql["stream_outcomes"] = recursive(outcome_rows, on_arrival, bucket("valid", 10**9))
     sql["stream_rollup"] = hourly
     sql["stream_windowed_rollup"] = hourly

@@ -114,6 +114,46 @@ def scenario_events_page(spark, sf_dir):
     return paging.label_page(fx.vehicle_events(spark, sf_dir), "hard_brake", limit=20, offset=5)
 
 
+@query
+def scenario_page_deep(spark, sf_dir):
+    """Rows 601 to 1200 of every fleet's low batteries."""
+    return paging.label_page(fx.vehicle_events(spark, sf_dir), "low_battery", limit=600, offset=600)
+
+
+@query
+def one_fleet_page(spark, sf_dir):
+    """Rows 11 to 1010 of one fleet's low batteries."""
+    return paging.label_page(fx.vehicle_events(spark, sf_dir), "low_battery", 2, limit=1000, offset=10)
+
+
+@query
+def scenario_page_envelope(spark, sf_dir):
+    """Label, total, paging arguments and the page of every fleet."""
+    pages = paging.page_envelope(fx.vehicle_events(spark, sf_dir), "hard_brake", limit=30, offset=4)
+    ids = F.col("results.event_id").cast("array<string>")
+    return pages.withColumn("results", F.array_join(ids, ","))
+
+
+@query
+def tagged_events(spark, sf_dir):
+    """Events with at least one label."""
+    return filters.tagged(fx.vehicle_events(spark, sf_dir)).select("id", "fleet_id", "scenarios")
+
+
+@query
+def one_hour(spark, sf_dir):
+    """Events of one UTC hour."""
+    hour = datetime(2024, 1, 15, 7, 30, tzinfo=timezone.utc)
+    events = filters.hour_slice(fx.partitioned_events(spark, sf_dir), hour)
+    return events.select("id", "fleet_id", "vehicle_id", "recorded_at")
+
+
+@query
+def one_vehicle_hours(spark, sf_dir):
+    """Hourly statistics of one vehicle of one fleet."""
+    return hourly.hourly_stats(fx.vehicle_events(spark, sf_dir), 2, 7, hours=None)
+
+
 @query
 def scenario_events_total(spark, sf_dir):
     return paging.label_total(fx.vehicle_events(spark, sf_dir), "hard_brake")
@@ -449,6 +489,18 @@ def stream_ingest(spark, sf_dir):
     )
 
 
+@query
+def stream_refused(spark, sf_dir):
+    """Valid landing rows that the ingest stream's limiter refused."""
+    paths = stream_ingest_job.IngestPaths(shared_dir(spark, "ingest"))
+    landing = fx.landing_rows(fx.as_events(fx.raw_stream(spark, sf_dir)))
+    stream_ingest_job.start_ingest(landing, paths, BUCKET, uuid_keys=False).awaitTermination()
+    refused = stream_ingest_job.read_refused(spark, paths)
+    return refused.select(
+        "id", F.col("fleet_id").cast(KEY), F.col("vehicle_id").cast(KEY), "recorded_at", "speed", "ingested_at"
+    )
+
+
 @query
 def stream_outcomes(spark, sf_dir):
     paths = stream_ingest_job.IngestPaths(shared_dir(spark, "outcomes"))

@@ -19,6 +19,8 @@ CORRUPT = "_corrupt_record"
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The stored event table with its partition columns."""
     events = use_utc(spark).read.parquet(path)
+    if "ingest_batch" in events.columns:  # folder names that are all numbers read as numbers
+        events = events.withColumn("ingest_batch", F.col("ingest_batch").cast("string"))
     return require_columns(events, schemas.core_events().names)
 
 

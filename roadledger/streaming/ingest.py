@@ -17,8 +17,8 @@ from roadledger.functions.expressions import row_id
 from roadledger.operators.admission import TokenBucket, admit, carried_over, grants, outcomes
 from roadledger.operators.reports import invalid_counts, outcome_counts
 from roadledger.operators.validate import check, settled
-from roadledger.session import is_complete, use_utc, written
-from roadledger.sources.events import append_events
+from roadledger.session import is_complete, path_exists, use_utc, written
+from roadledger.sources.events import append_events, read_events
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,10 @@ class IngestPaths:
     def quarantine(self) -> str:
         return f"{self.root}/quarantine"
 
+    @property
+    def refused(self) -> str:
+        return f"{self.root}/rate_limited"
+
     @property
     def outcomes(self) -> str:
         return f"{self.root}/outcomes"
@@ -80,8 +84,12 @@ def ingest_batch(
     if is_complete(spark, previous):
         carried = spark.read.parquet(previous)
     granted = written(grants(events, bucket, carried), paths.batch("grants", batch_id))
-    admitted = admit(events, granted, bucket)
-    append_events(admitted.filter("admitted").drop("admitted"), paths.events, str(batch_id))
+    judged = admit(events, granted, bucket)
+    append_events(judged.filter("admitted").drop("admitted"), paths.events, str(batch_id))
+    if not granted.filter(F.col("granted") < F.col("requested")).isEmpty():
+        # Kept, so that a sender or an operator can send them again.
+        late = judged.filter(~F.col("admitted")).drop("admitted")
+        late.write.mode("overwrite").parquet(paths.batch("rate_limited", batch_id))
 
     key = events.schema["fleet_id"].dataType
     invalid = invalid_counts(refused.withColumn("fleet_id", F.col("fleet_id").cast(key)))
@@ -116,6 +124,13 @@ def start_ingest(
     )
 
 
+def read_refused(spark: SparkSession, paths: IngestPaths) -> DataFrame:
+    """Valid events the limiter refused, over all batches, in the columns of the stored ones."""
+    if path_exists(spark, paths.refused):
+        return use_utc(spark).read.parquet(paths.refused)
+    return read_events(spark, paths.events).limit(0)  # it never refused one
+
+
 def read_outcomes(spark: SparkSession, paths: IngestPaths) -> DataFrame:
     """Events per fleet and status over all batches."""
     return outcome_counts(spark.read.parquet(paths.outcomes))
