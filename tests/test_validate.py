@@ -16,10 +16,10 @@ FLEET = "3f2b8c1e-0a4d-4e6f-9b7a-1c2d3e4f5a6b"
 GOOD = {
     "fleet_id": FLEET,
     "vehicle_id": FLEET.replace("3f2b", "aaaa"),
-    "speed": "87.50",
-    "latitude": "35.676200",
-    "longitude": "139.650300",
-    "battery_level": "65",
+    "speed": "63.25",
+    "latitude": "48.137250",
+    "longitude": "11.575500",
+    "battery_level": "41",
     "recorded_at": "2025-03-15T10:00:00Z",
     "acceleration": None,
     "weather": None,
@@ -98,7 +98,7 @@ def test_valid_rows(spark):
     assert [r.asDict() for r in validate.quarantined(checked).collect()] == []
     rows = {int(r.i): r for r in validate.accepted(checked, keep=("i",)).collect()}
     assert len(rows) == len(VALID)
-    assert rows[0].speed == Decimal("87.50") and rows[0].scenarios == []
+    assert rows[0].speed == Decimal("63.25") and rows[0].scenarios == []
     assert rows[4].speed == Decimal("100.00") and rows[4].scenarios == []
     assert rows[13].fleet_id == rows[14].fleet_id == rows[15].fleet_id == FLEET
     # Tagged on the value received, stored with three decimals.
@@ -123,14 +123,14 @@ def test_accepted_matches_the_stored_types(spark):
 
 
 def test_json_landing_with_strings_numbers_and_broken_lines(spark, tmp_path):
-    numbers = dict(GOOD, speed=87.5, latitude=35.6762, battery_level=65, engine_on=True)
+    numbers = dict(GOOD, speed=63.25, latitude=48.13725, battery_level=41, engine_on=True)
     lines = [json.dumps(GOOD), json.dumps(numbers), '{"fleet_id": "x", ', json.dumps({})]
     (tmp_path / "a.json").write_text("\n".join(lines))
     checked = validate.check(
         source.read_landing(spark, str(tmp_path)), datetime.now(timezone.utc) + timedelta(days=1)
     )
     valid, refused = validate.split(checked)
-    assert [r.speed for r in valid.collect()] == [Decimal("87.50")] * 2
+    assert [r.speed for r in valid.collect()] == [Decimal("63.25")] * 2
     reasons = sorted(r.reasons for r in refused.collect())
     assert reasons == [["malformed_json"], [f"missing_{n}" for n in schemas.REQUIRED_FIELDS]]
 
