@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -87,3 +88,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def is_complete(spark: SparkSession, path: str) -> bool:
     """True when a job finished writing ``path``."""
     return path_exists(spark, f"{path}/_SUCCESS")
+
+
+def query_label(spark: SparkSession, checkpoint: str) -> str:
+    """Names a streaming query by the id Spark keeps in its checkpoint.
+
+    A restart from the same checkpoint has the same name; a fresh checkpoint has another one, so
+    what was staged under an old one's batch numbers is not taken for its own.
+    """
+    kept = spark.read.text(f"{checkpoint}/metadata").first()[0]
+    return json.loads(kept)["id"].split("-")[0]

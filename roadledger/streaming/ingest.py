@@ -17,7 +17,7 @@ from roadledger.functions.expressions import row_id
 from roadledger.operators.admission import TokenBucket, admit, carried_over, grants, outcomes
 from roadledger.operators.reports import invalid_counts, outcome_counts
 from roadledger.operators.validate import check, settled
-from roadledger.session import is_complete, path_exists, use_utc, written
+from roadledger.session import is_complete, path_exists, query_label, use_utc, written
 from roadledger.sources.events import append_events, read_events
 
 
@@ -47,8 +47,8 @@ class IngestPaths:
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
 
-    def batch(self, name: str, batch_id: int) -> str:
-        return f"{self.root}/{name}/ingest_batch={batch_id}"
+    def batch(self, name: str, label: str) -> str:
+        return f"{self.root}/{name}/ingest_batch={label}"
 
 
 def ingest_batch(
@@ -57,51 +57,56 @@ def ingest_batch(
     paths: IngestPaths,
     bucket: TokenBucket = TokenBucket(),
     uuid_keys: bool = True,
+    run: str = "",
 ) -> None:
-    """One batch of landing rows (text fields and ``arrived_at``).
+    """One batch of landing rows (text fields and ``arrived_at``); ``run`` tells jobs on one folder apart.
 
     Rows with defects are set aside and cost no token. Ids are drawn once, when the checked rows
     are staged. The bucket of each fleet goes from batch to batch as a small table; fleets idle
-    long enough to be full again are left out of it.
+    long enough to be full again are left out of it. The first batch of a run starts with full
+    buckets; a later one needs the table of the batch before it.
     """
     spark = use_utc(raw.sparkSession)
+    label, before = (f"{run}-{n}" if run else str(n) for n in (batch_id, batch_id - 1))
     identified = raw
     if "id" not in raw.columns:
-        identified = raw.withColumn("id", row_id(paths.root, str(batch_id)))
+        identified = raw.withColumn("id", row_id(paths.root, label))
     staged = written(
         settled(check(identified, F.col("arrived_at"), uuid_keys)),
-        paths.batch("staged", batch_id),
+        paths.batch("staged", label),
         reuse=True,
     )
     refused = staged.filter(F.size("reasons") > 0).drop("event").select("*", "raw.*").drop("raw")
-    refused.write.mode("overwrite").parquet(paths.batch("quarantine", batch_id))
+    refused.write.mode("overwrite").parquet(paths.batch("quarantine", label))
 
     events = staged.filter(F.size("reasons") == 0).select(
         "id", F.col("arrived_at").alias("ingested_at"), "event.*"
     )
     carried = None
-    previous = paths.batch("buckets", batch_id - 1)
-    if is_complete(spark, previous):
+    previous = paths.batch("buckets", before)
+    if batch_id > 0:
+        if not is_complete(spark, previous):
+            raise FileNotFoundError(f"no buckets of the batch before: {previous}")
         carried = spark.read.parquet(previous)
-    granted = written(grants(events, bucket, carried), paths.batch("grants", batch_id))
+    granted = written(grants(events, bucket, carried), paths.batch("grants", label))
     judged = admit(events, granted, bucket)
-    append_events(judged.filter("admitted").drop("admitted"), paths.events, str(batch_id))
+    append_events(judged.filter("admitted").drop("admitted"), paths.events, label)
     if not granted.filter(F.col("granted") < F.col("requested")).isEmpty():
         # Kept, so that a sender or an operator can send them again.
         late = judged.filter(~F.col("admitted")).drop("admitted")
-        late.write.mode("overwrite").parquet(paths.batch("rate_limited", batch_id))
+        late.write.mode("overwrite").parquet(paths.batch("rate_limited", label))
 
     key = events.schema["fleet_id"].dataType
     invalid = invalid_counts(refused.withColumn("fleet_id", F.col("fleet_id").cast(key)))
     outcomes(granted).unionByName(invalid).write.mode("overwrite").parquet(
-        paths.batch("outcomes", batch_id)
+        paths.batch("outcomes", label)
     )
 
     left = carried_over(granted, carried)
     newest = left.agg(F.max("second")).first()[0]
     if newest is not None:
         left = left.filter(F.col("second") >= newest - bucket.idle_seconds)
-    left.write.mode("overwrite").parquet(paths.batch("buckets", batch_id))
+    left.write.mode("overwrite").parquet(paths.batch("buckets", label))
 
 
 def start_ingest(
@@ -113,11 +118,12 @@ def start_ingest(
 ) -> StreamingQuery:
     """Run the ingest over a landing stream; by default until the present files are done."""
 
-    def run(raw: DataFrame, batch_id: int) -> None:
-        ingest_batch(raw, batch_id, paths, bucket, uuid_keys)
+    def one(raw: DataFrame, batch_id: int) -> None:
+        run = query_label(raw.sparkSession, paths.checkpoint)
+        ingest_batch(raw, batch_id, paths, bucket, uuid_keys, run)
 
     return (
-        landing.writeStream.foreachBatch(run)
+        landing.writeStream.foreachBatch(one)
         .option("checkpointLocation", paths.checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

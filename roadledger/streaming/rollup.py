@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roadledger.functions.expressions import mean_of
 from roadledger.operators.rollup import affected_buckets, recompute
+from roadledger.session import query_label
 from roadledger.sources.events import read_events
 from roadledger.sources.tables import upsert_rollup
 
@@ -31,12 +32,13 @@ def start_rollup(
     """Follow the event table and refresh the rollup, however late the events are.
 
     A query of its own: ingest goes on when this one fails, and this one catches up when it is
-    started again. The staging folder is named after the batch, so a repeated batch finishes
-    what it began.
+    started again. The staging folder is named after the query and the batch, so a repeated
+    batch finishes what it began.
     """
 
     def run(new_events: DataFrame, batch_id: int) -> None:
-        stage = f"{checkpoint}-stage/batch={batch_id}"
+        label = query_label(new_events.sparkSession, checkpoint)
+        stage = f"{checkpoint}-stage/{label}/batch={batch_id}"
         refresh_rollup(new_events, events_path, rollup_path, stage)
 
     return (

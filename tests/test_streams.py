@@ -4,6 +4,7 @@ import json
 import os
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadledger import schemas
@@ -163,3 +164,39 @@ def test_windowed_rollup_drops_only_what_is_too_late(spark, tmp_path):
     newest = spark.read.parquet(out).groupBy("hour_bucket").agg(F.max("event_count").alias("n"))
     counts = sorted((r.hour_bucket.hour, r.n) for r in newest.collect())
     assert counts == [(10, 2), (14, 1), (15, 1)]
+
+
+def test_a_fresh_checkpoint_takes_nothing_from_old_stages(spark, tmp_path):
+    class Fresh(ingest.IngestPaths):
+        @property
+        def checkpoint(self):
+            return f"{self.root}/second-checkpoint"
+
+    root = str(tmp_path / "job")
+    for number, paths in enumerate((ingest.IngestPaths(root), Fresh(root))):
+        landing = str(tmp_path / f"landing-{number}")
+        landing_file(landing, "a.json", minutes(3, first=10 * number))
+        for _ in range(2):  # the second start finds nothing new
+            ingest.start_ingest(source.stream_landing(spark, landing), paths).awaitTermination()
+    stored = source.read_events(spark, ingest.IngestPaths(root).events)
+    assert stored.count() == 6 and stored.select("id").distinct().count() == 6
+
+
+def test_a_later_batch_needs_the_buckets_before_it(spark, tmp_path):
+    landing_file(str(tmp_path / "landing"), "a.json", minutes(2))
+    raw = source.read_landing(spark, str(tmp_path / "landing")).withColumn("arrived_at", F.current_timestamp())
+    with pytest.raises(FileNotFoundError):
+        ingest.ingest_batch(raw, 3, ingest.IngestPaths(str(tmp_path / "job")))
+
+
+def test_refused_events_are_kept(spark, tmp_path):
+    paths = run_all(spark, str(_landing(tmp_path)), str(tmp_path / "job"), TokenBucket(2, 1, 3600))
+    stored = source.read_events(spark, paths.events).count()
+    refused = ingest.read_refused(spark, paths)
+    assert stored + refused.count() == 6 and refused.count() > 0
+    assert set(refused.columns) >= {"id", "fleet_id", "speed", "recorded_at", "ingested_at"}
+
+
+def _landing(tmp_path):
+    landing_file(str(tmp_path / "landing"), "a.json", minutes(6))
+    return tmp_path / "landing"
