@@ -8,10 +8,10 @@ are rare in it. Continuation counts do not grow with copies of a text or repeats
 neither class has seen says nothing: both back off to the same value.
 
 The counts cover all training rows but those of one remainder (``CALIBRATION``); they are taken by
-Spark, whole texts, and grow with the corpus. A word keeps its own log ratio if it makes up a share
-of ``Settings.least_share`` or more of a class's counts (so at most 2 / least_share words can) and
-if that ratio is at least ``least_ratio``; all others back off to the shared counts, ratio 0.
-That bounded table is what is sent to the executors.
+Spark, whole texts, and grow with the corpus. No word is left out of them, however rare, and no ratio
+is rounded to nothing. The table stays in Spark: texts are cut into slices, the distinct words of a
+slice are joined with the table, and what is found goes back to the slice, whose words are kept as
+places in that list. So a common word is looked up once per slice, and only scalars go to executors.
 
 A document's evidence are log-likelihood ratios, normalised by length: per word over the text, per
 word of its most toxic stretch of ``window`` words, of its most toxic expression, and the excess
@@ -27,10 +27,11 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ from roadledger.session import shared_dir, written
 
 HELD_OUT_MODULUS = 5
 CALIBRATION = 4
+CLASSES = ("toxic", "ordinary")
 # Label tables of so many rows are sent to all executors; larger ones are joined by shuffle.
 BROADCAST_LABELS = 2_000_000
 EDGES = b".,;:!?\"'`()[]{}<>|*#$%&+-_/\\=~^@"
@@ -46,8 +48,9 @@ EDGES = b".,;:!?\"'`()[]{}<>|*#$%&+-_/\\=~^@"
 
 @dataclass(frozen=True)
 class Settings:
-    least_share: float = 1e-6
-    least_ratio: float = 0.7
+    # Floors of ``log_ratios``, a view of the table; scores use all words.
+    least_share: float = 0.0
+    least_ratio: float = 0.0
     strong: float = 2.5
     window: int = 8
     calibration_rows: int = 2000
@@ -55,10 +58,9 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """``keys``: sorted hashes of words, ``ratios``: their log-likelihood ratios toxic to ordinary."""
+    """``table``: (word, toxic, ordinary), all words' probabilities in the classes (None: nothing learned)."""
 
-    keys: np.ndarray
-    ratios: np.ndarray
+    table: DataFrame | None
     prior: float
     settings: Settings
     weights: np.ndarray | None = None
@@ -125,12 +127,12 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def log_ratios(counts: DataFrame, settings: Settings) -> DataFrame:
-    """(word, ratio) of the words that keep their own ratio."""
+def probabilities(counts: DataFrame) -> DataFrame:
+    """``counts`` with toxic_p and ordinary_p, the probabilities of each word in the classes."""
     sums = counts.agg(
-        *(F.sum(name).alias(f"{name}_sum") for name in ("toxic", "ordinary")),
-        *(F.count_if(F.col(name) > 0).alias(f"{name}_types") for name in ("toxic", "ordinary")),
-        *(F.count_if(F.col(name) == n).alias(f"{name}_{n}") for name in ("toxic", "ordinary") for n in (1, 2)),
+        *(F.sum(name).alias(f"{name}_sum") for name in CLASSES),
+        *(F.count_if(F.col(name) > 0).alias(f"{name}_types") for name in CLASSES),
+        *(F.count_if(F.col(name) == n).alias(f"{name}_{n}") for name in CLASSES for n in (1, 2)),
     ).first()
     types = sums["toxic_types"] + sums["ordinary_types"]
     shared = ((F.col("toxic") > 0).cast("int") + (F.col("ordinary") > 0).cast("int")) / F.lit(float(types))
@@ -140,9 +142,15 @@ def log_ratios(counts: DataFrame, settings: Settings) -> DataFrame:
         freed = discount * sums[f"{name}_types"] / total
         return F.greatest(F.col(name) - F.lit(discount), F.lit(0.0)) / F.lit(total) + F.lit(freed) * shared
 
-    ratio = F.log(probability("toxic") / probability("ordinary"))
-    share = F.greatest(F.col("toxic") / F.lit(float(sums["toxic_sum"])), F.col("ordinary") / F.lit(float(sums["ordinary_sum"])))
-    return counts.withColumn("ratio", ratio).filter((share >= settings.least_share) & (F.abs("ratio") >= settings.least_ratio)).select("word", "ratio")
+    found = counts.withColumns({f"{name}_p": probability(name) for name in CLASSES})
+    return found.withColumns({f"{name}_share": F.col(name) / F.lit(float(sums[f"{name}_sum"])) for name in CLASSES})
+
+
+def log_ratios(counts: DataFrame, settings: Settings) -> DataFrame:
+    """(word, ratio) of the words, those below the floors left out."""
+    found = probabilities(counts).withColumn("ratio", F.log(F.col("toxic_p") / F.col("ordinary_p")))
+    share = F.greatest("toxic_share", "ordinary_share")
+    return found.filter((share >= settings.least_share) & (F.abs("ratio") >= settings.least_ratio)).select("word", "ratio")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings()) -> Model:
@@ -151,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     shares = known.agg(F.count("*").alias("total"), F.count_if(F.col("label") == 1).alias("toxic")).first()
     total, toxic = shares["total"], shares["toxic"]
     prior = toxic / total if total else 0.5
-    nothing = Model(np.empty(0, np.uint64), np.empty(0), prior, settings)
+    nothing = Model(None, prior, settings)
     if not 0 < toxic < total:
         return nothing
     learned = known.filter(F.col("part") != CALIBRATION).select("doc_id", "label")
@@ -161,10 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     counts = written(continuation_counts(texts.join(learned, "doc_id").select("label", "text")), shared_dir(spark, "toxicity-counts"))
     if counts.filter("toxic > 0").isEmpty() or counts.filter("ordinary > 0").isEmpty():
         return nothing
-    kept = log_ratios(counts, settings).toArrow()  # at most 2 / least_share rows
-    keys = np.asarray(kept.column("word"), np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    model = Model(keys[order], np.asarray(kept.column("ratio"))[order].astype(np.float32), prior, settings)
+    table = probabilities(counts).select("word", *(F.col(f"{name}_p").alias(name) for name in CLASSES))
+    model = Model(written(table, shared_dir(spark, "toxicity-words")), prior, settings)
     chosen = [
         known.filter((F.col("part") == CALIBRATION) & (F.col("label") == value))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -172,50 +178,64 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
         for value in (0, 1)
     ]
     aside = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "label"))  # bounded
-    rows = evidence(texts.join(aside, "doc_id"), model, "label int").select("label", *EVIDENCE).toArrow()
-    return Model(model.keys, model.ratios, prior, settings, calibrated(rows, prior))
+    rows = evidence(texts.join(aside, "doc_id"), model).select("label", *EVIDENCE).toArrow()
+    return replace(model, weights=calibrated(rows, prior))
 
 
 EVIDENCE = ("mean", "stretch", "expression", "excess")
+# Words of so many bytes of text are looked up at once; less text, more lookups of the same word.
+LOOKUP_CHARS = 4 * words.SLICE_CHARS
+# Place of a slice itself, after those of the answers to it.
+SLICE = 2**31 - 1
+SLICES = "slice bigint, docs array<bigint>, labels array<int>, lengths array<int>, tokens array<int>, words array<bigint>"
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of texts: their documents, distinct words, and each token's place among these."""
+    table, number = words.WordTable(word_keys), TaskContext.get().partitionId() << 32
+    single = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+    for batch in batches:
+        for part in words.slices(batch, "text", LOOKUP_CHARS):
+            flat, counts = table.lookup(part.column("text").to_pylist())
+            word = table.rows[flat] if len(flat) else np.empty(0, np.uint64)
+            keys, tokens = np.unique(word, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number], pa.int64()),
+                    single(part.column("doc_id"), pa.int64()),
+                    single(part.column("label"), pa.int32()),
+                    single(counts, pa.int32()),
+                    single(tokens, pa.int32()),
+                    single(keys.view(np.int64), pa.int64()),
+                ],
+                names=["slice", "docs", "labels", "lengths", "tokens", "words"],
+            )
+            number += 1
 
 
-class Scorer:
-    """Length-normalised evidence of texts, and scores where the model is calibrated."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.table = words.WordTable(self._ratios)
-
-    def _ratios(self, new: list[bytes]) -> np.ndarray:
-        keys, model = word_keys(new), self.model
-        if not len(model.keys):
-            return np.zeros(len(new), np.float32)
-        at = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-        return np.where(model.keys[at] == keys, model.ratios[at], np.float32(0))
-
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
-        flat, counts = self.table.lookup(texts)
-        out = np.zeros((len(counts), len(EVIDENCE)))
-        full = np.flatnonzero(counts)
-        if not len(full):
-            return out
-        ratio = self.table.rows[flat].astype(np.float64)
-        starts = (np.cumsum(counts) - counts)[full]
-        count = counts[full]
-        out[full, 0] = np.add.reduceat(ratio, starts) / count
-        window = self.model.settings.window
-        position = np.arange(len(ratio)) - np.repeat(starts, count)
-        cuts = np.flatnonzero(position % window == 0)
-        stretch = np.add.reduceat(ratio, cuts) / np.diff(cuts, append=len(ratio))
-        out[full, 1] = np.maximum.reduceat(stretch, np.searchsorted(cuts, starts))
-        out[full, 2] = np.maximum.reduceat(ratio, starts)
-        out[full, 3] = np.log1p(np.add.reduceat(np.maximum(ratio - self.model.settings.strong, 0), starts))
+def measures(ratio: np.ndarray, counts: np.ndarray, settings: Settings) -> np.ndarray:
+    """Length-normalised evidence of texts from the ratios of all their words, one text after the other."""
+    out = np.zeros((len(counts), len(EVIDENCE)))
+    full = np.flatnonzero(counts)
+    if not len(full):
         return out
+    starts = (np.cumsum(counts) - counts)[full]
+    count = counts[full]
+    out[full, 0] = np.add.reduceat(ratio, starts) / count
+    window = settings.window
+    position = np.arange(len(ratio)) - np.repeat(starts, count)
+    cuts = np.flatnonzero(position % window == 0)
+    stretch = np.add.reduceat(ratio, cuts) / np.diff(cuts, append=len(ratio))
+    out[full, 1] = np.maximum.reduceat(stretch, np.searchsorted(cuts, starts))
+    out[full, 2] = np.maximum.reduceat(ratio, starts)
+    out[full, 3] = np.log1p(np.add.reduceat(np.maximum(ratio - settings.strong, 0), starts))
+    return out
 
-    def scores(self, found: np.ndarray) -> np.ndarray:
-        if self.model.weights is None:
-            return np.full(len(found), self.model.prior)
-        return 1 / (1 + np.exp(-np.clip(found @ self.model.weights[:-1] + self.model.weights[-1], -30, 30)))
+
+def logistic(found: np.ndarray, weights: np.ndarray | None, prior: float) -> np.ndarray:
+    if weights is None:
+        return np.full(len(found), prior)
+    return 1 / (1 + np.exp(-np.clip(found @ weights[:-1] + weights[-1], -30, 30)))
 
 
 def calibrated(rows: pa.Table, prior: float) -> np.ndarray | None:
@@ -241,25 +261,49 @@ def calibrated(rows: pa.Table, prior: float) -> np.ndarray | None:
     return beta
 
 
-def evidence(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
-    """(doc_id, carried columns, evidence, score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [item.split()[0] for item in carried]
+def _answered(weights: np.ndarray | None, prior: float, settings: Settings):
+    def judge(row: pa.RecordBatch, answers: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        docs, labels, lengths, tokens, keys = (row.column(name).flatten() for name in ("docs", "labels", "lengths", "tokens", "words"))
+        # A word of neither class says nothing.
+        toxic, ordinary = np.ones((2, len(keys)))
+        for at, *values in answers:
+            toxic[at], ordinary[at] = values
+        found = measures(np.log(toxic / ordinary)[np.asarray(tokens)], np.asarray(lengths, np.int64), settings)
+        score = logistic(found, weights, prior)
+        return pa.RecordBatch.from_arrays([docs, labels, *(pa.array(c) for c in found.T), pa.array(score)], names=["doc_id", "label", *EVIDENCE, "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        answers: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for part in words.slices(batch, "text"):
-                found = scorer.evidence(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(part.column(n) for n in names), *(pa.array(c) for c in found.T), pa.array(scorer.scores(found))],
-                    names=["doc_id", *names, *EVIDENCE, "score"],
-                )
+            at, begin = np.asarray(batch.column("at")), 0
+            for end in [*np.flatnonzero(at == SLICE).tolist(), len(at)]:
+                if end > begin:
+                    part = batch.slice(begin, end - begin)
+                    answers.append((at[begin:end], *(np.asarray(part.column(name)) for name in CLASSES)))
+                if end < len(at):
+                    yield judge(batch.slice(end, 1), answers)
+                    answers.clear()
+                begin = end + 1
+
+    return run
 
-    schema = ", ".join(["doc_id bigint", *carried, *(f"{name} double" for name in EVIDENCE), "score double"])
-    return docs.mapInArrow(run, schema)
+
+def evidence(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, label, evidence, score) of every row of (doc_id, text, label)."""
+    spark = docs.sparkSession
+    schema = "doc_id bigint, label int, " + ", ".join(f"{name} double" for name in (*EVIDENCE, "score"))
+    if model.table is None:
+        return docs.select("doc_id", "label", *(F.lit(0.0).alias(name) for name in EVIDENCE), F.lit(float(model.prior)).alias("score"))
+    sliced = docs.select("doc_id", "text", "label").mapInArrow(_sliced, SLICES)
+    sliced = written(sliced, shared_dir(spark, "toxicity-slices"))
+    asked = sliced.select("slice", F.posexplode("words").alias("at", "word"))
+    answers = asked.join(model.table, "word").select("slice", "at", *CLASSES)
+    rows = answers.unionByName(sliced.withColumn("at", F.lit(SLICE)), allowMissingColumns=True)
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(count, "slice").sortWithinPartitions("slice", "at")
+    return rows.mapInArrow(_answered(model.weights, model.prior, model.settings), schema)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, evidence columns, score) of every row."""
-    return evidence(words.texts_of(docs), model)
+    return evidence(words.texts_of(docs).withColumn("label", F.lit(None).cast("int")), model).drop("label")

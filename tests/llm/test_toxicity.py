@@ -68,3 +68,17 @@ def test_edges(spark, labelled):
         assert set(got.values()) == {0.5 if labelled == "none" else 0.0}
     assert X.scores(docs.limit(0), model).count() == 0
     assert X.fit(docs.limit(0), labels).weights is None
+
+
+def test_rare_and_weak_words_keep_their_ratios(spark):
+    """No share of the counts and no size of the ratio decides whether a word is scored."""
+    counts = [(1, 3, 3), (2, 1, 0), (3, 0, 2), (4, 3_000_000, 3_000_000), (5, 5, 4)]
+    table = X.probabilities(spark.createDataFrame(counts, "word bigint, toxic bigint, ordinary bigint"))
+    wanted = {r.word: math.log(r.toxic_p / r.ordinary_p) for r in table.collect()}
+    assert {r.word for r in X.log_ratios(table.select("word", *X.CLASSES), X.Settings()).collect()} == set(wanted)
+    rare, weak = X.word_keys([b"rare", b"weak"]).view("int64").tolist()
+    table = spark.createDataFrame([(rare, 3e-8, 1e-8), (weak, 0.2, 0.15)], "word bigint, toxic double, ordinary double")
+    docs = spark.createDataFrame([(1, "rare weak unknown", None), (2, "", None), (3, None, None)], "doc_id bigint, text string, label int")
+    got = {r.doc_id: r for r in X.evidence(docs, X.Model(table, 0.5, X.Settings())).collect()}
+    assert math.isclose(got[1].mean, (math.log(3) + math.log(4 / 3)) / 3) and math.isclose(got[1].expression, math.log(3))
+    assert got[2].mean == got[3].mean == got[2].expression == 0
