@@ -1,21 +1,27 @@
-"""Toxicity: class-conditional Kneser-Ney models of words.
-
-For each class (toxic, ordinary) a word's probability is its continuation count, the number of
-different words it follows in that class, less an absolute discount estimated from the counts of
-counts. What the discount frees goes to a distribution both classes share, again by continuation:
-there a word counts once for every class it occurs in, so expressions one class alone is fond of
-are rare in it. Continuation counts do not grow with copies of a text or repeats in it. A word that
-neither class has seen says nothing: both back off to the same value.
+"""Toxicity: class-conditional Kneser-Ney models of word pairs.
+
+For each class (toxic, ordinary) a word's probability after the word before it (or the start of the
+text) is the count of that pair less an absolute discount, divided by the count of the word before;
+what the discount frees goes to the word's continuation probability, so an expression backs off to its
+words: p(w | v) = max(n(v, w) - d, 0) / n(v) + d * kinds(v) / n(v) * p(w), with p(w) alone where the
+class has not seen v. The continuation probability is the number of different words the word follows
+in that class, less a discount; what that frees goes to a distribution both classes share, again by
+continuation: there a word counts once for every class it occurs in, so expressions one class alone is
+fond of are rare in it. Discounts are estimated from the counts of counts of their level. Pairs are
+counted as often as they occur, continuations do not grow with copies of a text or repeats in it. A
+word that neither class has seen says nothing: both back off to the same value.
 
 The counts cover all training rows but those of one remainder (``CALIBRATION``); they are taken by
-Spark, whole texts, and grow with the corpus. No word is left out of them, however rare, and no ratio
-is rounded to nothing. The table stays in Spark: texts are cut into slices, the distinct words of a
-slice are joined with the table, and what is found goes back to the slice, whose words are kept as
-places in that list. So a common word is looked up once per slice, and only scalars go to executors.
+Spark, whole texts, and grow with the corpus. No word or pair is left out of them, however rare, and no
+ratio is rounded to nothing. The tables stay in Spark: texts are cut into slices, the distinct words and
+pairs of a slice are joined with the tables, and what is found goes back to the slice, whose tokens are
+kept as places in the list of pairs. So a common word or pair is looked up once per slice, and only
+scalars go to executors.
 
 A document's evidence are log-likelihood ratios, normalised by length: per word over the text, per
 word of its most toxic stretch of ``window`` words, of its most toxic expression, and the excess
-over ``strong`` per document. A logistic curve over these, fitted on a bounded sample of the rows set
+over ``strong`` per document, each of the pairs and again (``word_``) of the level they back off to.
+A logistic curve over these, which weighs the levels against each other, fitted on a bounded sample of the rows set
 aside (``calibration_rows`` of each class, those with the smallest hashes), gives the score.
 
 Defined results: null and empty texts score as if no word said anything; without rows of both classes
@@ -58,9 +64,12 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """``table``: (word, toxic, ordinary), all words' probabilities in the classes (None: nothing learned)."""
+    """``table``: a row of ``WORDS`` for every word, ``pairs``: (before, word, toxic, ordinary), how often each
+    pair occurs (None: nothing learned), ``discounts`` of pairs, toxic and ordinary."""
 
     table: DataFrame | None
+    pairs: DataFrame | None
+    discounts: tuple[float, float]
     prior: float
     settings: Settings
     weights: np.ndarray | None = None
@@ -83,45 +92,119 @@ def training_labels(labels: DataFrame, label: str) -> DataFrame:
     )
 
 
+def _neighbours(table: words.WordTable, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of the texts, of the words before them (0 at the start), and words per text."""
+    flat, counts = table.lookup(texts)
+    word = table.rows[flat] if len(flat) else np.empty(0, np.uint64)
+    before = np.concatenate([np.zeros(1, np.uint64), word])[:-1]
+    before[(np.cumsum(counts) - counts)[counts > 0]] = 0
+    return word, before, counts
+
+
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _hash_long(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        h = (seed + _P5 + np.uint64(8)) ^ (turned(values * _P2, 31) * _P1)
+        h = turned(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        return h ^ (h >> np.uint64(32))
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """What ``F.xxhash64("before", "word")`` gives in Spark, so that counts need not carry it."""
+    return _hash_long(word, _hash_long(before, np.full(1, 42, np.uint64)))
+
+
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (pair of neighbouring words, second word) with the classes they occur in."""
+    """Distinct pairs of neighbouring words with the number of times they occur in each class."""
     table = words.WordTable(word_keys)
     for batch in batches:
         for part in words.slices(batch, "text", 8 * words.SLICE_CHARS):
-            flat, counts = table.lookup(part.column("text").to_pylist())
-            if not len(flat):
+            word, before, counts = _neighbours(table, part.column("text").to_pylist())
+            if not len(word):
                 continue
-            word = table.rows[flat]
-            before = np.concatenate([[np.uint64(0)], word[:-1]])
-            before[(np.cumsum(counts) - counts)[counts > 0]] = 0
-            label = np.repeat(np.asarray(part.column("label"), np.int64), counts).astype(bool)
-            pair = words.pair64(before, word)
-            _, first, number = np.unique(pair, return_index=True, return_inverse=True)
-            toxic, ordinary = np.zeros((2, len(first)), bool)
-            toxic[number[label]] = True
-            ordinary[number[~label]] = True
+            label = np.repeat(np.asarray(part.column("label"), np.int64), counts)
+            _, first, number = np.unique(words.pair64(before, word), return_index=True, return_inverse=True)
+            toxic = np.bincount(number[label == 1], minlength=len(first))
+            ordinary = np.bincount(number[label != 1], minlength=len(first))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(pair[first].view(np.int64)),
-                    pa.array(word[first].view(np.int64)),
-                    pa.array(toxic.astype(np.int8)),
-                    pa.array(ordinary.astype(np.int8)),
+                    *(pa.array(keys[first].view(np.int64)) for keys in (before, word)),
+                    *(pa.array(n.astype(np.int64)) for n in (toxic, ordinary)),
                 ],
-                names=["pair", "word", "toxic", "ordinary"],
+                names=["before", "word", *CLASSES],
             )
 
 
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(before, word, toxic, ordinary): how often each word follows each other one in each class."""
+    return (
+        rows.mapInArrow(_pair_rows, "before bigint, word bigint, toxic bigint, ordinary bigint")
+        .groupBy("before", "word")
+        .agg(*(F.sum(name).alias(name) for name in CLASSES))
+    )
+
+
+def _kinds(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, toxic, ordinary): in how many different pairs of each class the key occurs."""
+    return pairs.groupBy(key).agg(*(F.count_if(F.col(name) > 0).alias(name) for name in CLASSES))
+
+
 def continuation_counts(rows: DataFrame) -> DataFrame:
     """(word, toxic, ordinary): how many different words each word follows in each class."""
-    return (
-        rows.mapInArrow(_pair_rows, "pair bigint, word bigint, toxic tinyint, ordinary tinyint")
-        .groupBy("pair", "word")
-        .agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
-        .groupBy("word")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return _kinds(pair_counts(rows), "word")
+
+
+def histories(pairs: DataFrame) -> DataFrame:
+    """(before, toxic_all, ordinary_all, toxic_kinds, ordinary_kinds): pairs a word begins, all and different ones."""
+    return pairs.groupBy("before").agg(
+        *(F.sum(name).alias(f"{name}_all") for name in CLASSES),
+        *(F.count_if(F.col(name) > 0).alias(f"{name}_kinds") for name in CLASSES),
     )
 
 
+def pair_discounts(pairs: DataFrame) -> tuple[float, float]:
+    found = pairs.agg(*(F.count_if(F.col(name) == n).alias(f"{name}_{n}") for name in CLASSES for n in (1, 2))).first()
+    return tuple(_discount(found[f"{name}_1"], found[f"{name}_2"]) for name in CLASSES)
+
+
+# Of a word: its continuation probabilities, and the pairs it begins.
+HISTORY = ("toxic_all", "ordinary_all", "toxic_kinds", "ordinary_kinds")
+WORDS = (*CLASSES, *HISTORY)
+
+
+def word_table(pairs: DataFrame) -> DataFrame:
+    """(word, WORDS): probability 0 for what is never a second word (the start), no history for a last word."""
+    path = shared_dir(pairs.sparkSession, "toxicity-words")
+    counts = written(_kinds(pairs, "word"), f"{path}/counts")
+    single = probabilities(counts).select("word", *(F.col(f"{name}_p").alias(name) for name in CLASSES))
+    joined = single.join(histories(pairs).withColumnRenamed("before", "word"), "word", "full")
+    return written(joined.select("word", *(F.coalesce(F.col(name).cast("double"), F.lit(0.0)).alias(name) for name in WORDS)), f"{path}/table")
+
+
+def log_ratio(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """Log ratio of probabilities; 0 for words of neither class, where both are 0."""
+    known = (toxic > 0) & (ordinary > 0)
+    return np.where(known, np.log(np.where(known, toxic, 1) / np.where(known, ordinary, 1)), 0.0)
+
+
+def pair_ratios(counts: np.ndarray, second: np.ndarray, first: np.ndarray, discounts: tuple[float, float]) -> np.ndarray:
+    """Log ratios p(w | v) toxic to ordinary: counts of the pairs, rows of WORDS of their second and first words."""
+    chance = []
+    for i, discount in enumerate(discounts):
+        everything, kinds = first[:, 2 + i], first[:, 4 + i]
+        whole = np.maximum(everything, 1)
+        freed = np.where(everything > 0, discount * kinds / whole, 1.0)
+        chance.append(np.maximum(counts[:, i] - discount, 0) / whole + freed * second[:, i])
+    return log_ratio(*chance)
+
+
 def _discount(ones: int, twos: int) -> float:
     """The usual estimate, kept away from 0 and 1 for tiny tables."""
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
@@ -159,18 +242,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     shares = known.agg(F.count("*").alias("total"), F.count_if(F.col("label") == 1).alias("toxic")).first()
     total, toxic = shares["total"], shares["toxic"]
     prior = toxic / total if total else 0.5
-    nothing = Model(None, prior, settings)
+    nothing = Model(None, None, (0.5, 0.5), prior, settings)
     if not 0 < toxic < total:
         return nothing
     learned = known.filter(F.col("part") != CALIBRATION).select("doc_id", "label")
     if total <= BROADCAST_LABELS:
         learned = F.broadcast(learned)
     texts = words.texts_of(docs)
-    counts = written(continuation_counts(texts.join(learned, "doc_id").select("label", "text")), shared_dir(spark, "toxicity-counts"))
-    if counts.filter("toxic > 0").isEmpty() or counts.filter("ordinary > 0").isEmpty():
+    pairs = written(pair_counts(texts.join(learned, "doc_id").select("label", "text")), shared_dir(spark, "toxicity-pairs"))
+    if any(pairs.filter(F.col(name) > 0).isEmpty() for name in CLASSES):
         return nothing
-    table = probabilities(counts).select("word", *(F.col(f"{name}_p").alias(name) for name in CLASSES))
-    model = Model(written(table, shared_dir(spark, "toxicity-words")), prior, settings)
+    model = Model(word_table(pairs), pairs, pair_discounts(pairs), prior, settings)
     chosen = [
         known.filter((F.col("part") == CALIBRATION) & (F.col("label") == value))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -182,40 +264,51 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     return replace(model, weights=calibrated(rows, prior))
 
 
-EVIDENCE = ("mean", "stretch", "expression", "excess")
+MEASURES = ("mean", "stretch", "expression", "excess")
+EVIDENCE = (*MEASURES, *(f"word_{name}" for name in MEASURES))
 # Words of so many bytes of text are looked up at once; less text, more lookups of the same word.
 LOOKUP_CHARS = 4 * words.SLICE_CHARS
+# What a slice keeps for itself, packed: rows that are sent to Python with the answers have no lists.
+BODY = ("docs", "labels", "lengths", "tokens", "seconds", "firsts")
 # Place of a slice itself, after those of the answers to it.
 SLICE = 2**31 - 1
-SLICES = "slice bigint, docs array<bigint>, labels array<int>, lengths array<int>, tokens array<int>, words array<bigint>"
+SLICES = "slice bigint, n_words int, words array<bigint>, pairs array<bigint>, body binary"
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of texts: their documents, distinct words, and each token's place among these."""
+    """Slices of texts: their documents, distinct words and pairs, and each token's place among the pairs."""
     table, number = words.WordTable(word_keys), TaskContext.get().partitionId() << 32
     single = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+    packing = pa.ipc.IpcWriteOptions(compression="zstd")
     for batch in batches:
         for part in words.slices(batch, "text", LOOKUP_CHARS):
-            flat, counts = table.lookup(part.column("text").to_pylist())
-            word = table.rows[flat] if len(flat) else np.empty(0, np.uint64)
-            keys, tokens = np.unique(word, return_inverse=True)
+            word, before, counts = _neighbours(table, part.column("text").to_pylist())
+            pairs, place, tokens = np.unique(pair_keys(before, word), return_index=True, return_inverse=True)
+            second, first = word[place], before[place]
+            keys = np.unique(np.concatenate([second, first]))
+            lists = [
+                single(part.column("doc_id"), pa.int64()),
+                single(part.column("label"), pa.int32()),
+                *(single(v, pa.int32()) for v in (counts, tokens, np.searchsorted(keys, second), np.searchsorted(keys, first))),
+            ]
+            body, sink = pa.RecordBatch.from_arrays(lists, names=list(BODY)), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, body.schema, options=packing) as stream:
+                stream.write_batch(body)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
-                    single(part.column("doc_id"), pa.int64()),
-                    single(part.column("label"), pa.int32()),
-                    single(counts, pa.int32()),
-                    single(tokens, pa.int32()),
-                    single(keys.view(np.int64), pa.int64()),
+                    pa.array([len(keys)], pa.int32()),
+                    *(single(v.view(np.int64), pa.int64()) for v in (keys, pairs)),
+                    pa.array([sink.getvalue().to_pybytes()], pa.binary()),
                 ],
-                names=["slice", "docs", "labels", "lengths", "tokens", "words"],
+                names=["slice", "n_words", "words", "pairs", "body"],
             )
             number += 1
 
 
 def measures(ratio: np.ndarray, counts: np.ndarray, settings: Settings) -> np.ndarray:
     """Length-normalised evidence of texts from the ratios of all their words, one text after the other."""
-    out = np.zeros((len(counts), len(EVIDENCE)))
+    out = np.zeros((len(counts), len(MEASURES)))
     full = np.flatnonzero(counts)
     if not len(full):
         return out
@@ -244,7 +337,7 @@ def calibrated(rows: pa.Table, prior: float) -> np.ndarray | None:
     x = np.column_stack([*(np.asarray(rows.column(name), np.float64) for name in EVIDENCE), np.ones(len(label))])
     if not 0 < label.sum() < len(label):
         # Nothing was set aside of one class: the expression's ratio against the classes' odds.
-        return np.array([0.0, 0.0, 1.0, 0.0, np.log(prior / (1 - prior))])
+        return np.array([*(float(name == "expression") for name in EVIDENCE), np.log(prior / (1 - prior))])
     order = np.lexsort((*x.T, label))
     x, label = x[order], label[order]
     share = label.mean()
@@ -261,27 +354,32 @@ def calibrated(rows: pa.Table, prior: float) -> np.ndarray | None:
     return beta
 
 
-def _answered(weights: np.ndarray | None, prior: float, settings: Settings):
-    def judge(row: pa.RecordBatch, answers: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        docs, labels, lengths, tokens, keys = (row.column(name).flatten() for name in ("docs", "labels", "lengths", "tokens", "words"))
-        # A word of neither class says nothing.
-        toxic, ordinary = np.ones((2, len(keys)))
-        for at, *values in answers:
-            toxic[at], ordinary[at] = values
-        found = measures(np.log(toxic / ordinary)[np.asarray(tokens)], np.asarray(lengths, np.int64), settings)
+def _answered(weights: np.ndarray | None, prior: float, discounts: tuple[float, float], settings: Settings):
+    def judge(n_words: int, body: pa.Buffer, answers: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        row = pa.ipc.open_stream(body).read_next_batch()
+        docs, labels, *places = (row.column(name).flatten() for name in BODY)
+        lengths, tokens, second, first = (np.asarray(p, np.int64) for p in places)
+        # Words come first, pairs after them; what no answer fills was never seen.
+        known = np.zeros((n_words + len(second), 2))
+        history = np.zeros((n_words, len(HISTORY)))
+        for at, values in answers:
+            known[at] = values[:, :2]
+            history[at[at < n_words]] = values[at < n_words, 2:]
+        single, counts = np.hstack([known[:n_words], history]), known[n_words:]
+        levels = pair_ratios(counts, single[second], single[first], discounts), log_ratio(*single[second, :2].T)
+        found = np.hstack([measures(ratio[tokens], lengths, settings) for ratio in levels])
         score = logistic(found, weights, prior)
         return pa.RecordBatch.from_arrays([docs, labels, *(pa.array(c) for c in found.T), pa.array(score)], names=["doc_id", "label", *EVIDENCE, "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers: list[tuple[np.ndarray, ...]] = []
+        answers: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             at, begin = np.asarray(batch.column("at")), 0
+            values = np.column_stack([np.asarray(batch.column(name).fill_null(0.0)) for name in WORDS])
             for end in [*np.flatnonzero(at == SLICE).tolist(), len(at)]:
-                if end > begin:
-                    part = batch.slice(begin, end - begin)
-                    answers.append((at[begin:end], *(np.asarray(part.column(name)) for name in CLASSES)))
+                answers.append((at[begin:end], values[begin:end]))
                 if end < len(at):
-                    yield judge(batch.slice(end, 1), answers)
+                    yield judge(batch.column("n_words")[end].as_py(), batch.column("body")[end].as_buffer(), answers)
                     answers.clear()
                 begin = end + 1
 
@@ -297,11 +395,16 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
     sliced = docs.select("doc_id", "text", "label").mapInArrow(_sliced, SLICES)
     sliced = written(sliced, shared_dir(spark, "toxicity-slices"))
     asked = sliced.select("slice", F.posexplode("words").alias("at", "word"))
-    answers = asked.join(model.table, "word").select("slice", "at", *CLASSES)
-    rows = answers.unionByName(sliced.withColumn("at", F.lit(SLICE)), allowMissingColumns=True)
+    answers = asked.join(model.table, "word").select("slice", "at", *WORDS)
+    # Places of pairs come after those of words; ``n_words`` is a column, as an array would be carried along by every pair.
+    asked = sliced.select("slice", "n_words", F.posexplode("pairs").alias("place", "pair"))
+    counts = model.pairs.select(F.xxhash64("before", "word").alias("pair"), *(F.col(name).cast("double").alias(name) for name in CLASSES))
+    seen = asked.join(counts, "pair").select("slice", (F.col("n_words") + F.col("place")).alias("at"), *CLASSES)
+    itself = sliced.select("slice", F.lit(SLICE).alias("at"), "n_words", "body")
+    rows = answers.unionByName(seen, allowMissingColumns=True).unionByName(itself, allowMissingColumns=True)
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(count, "slice").sortWithinPartitions("slice", "at")
-    return rows.mapInArrow(_answered(model.weights, model.prior, model.settings), schema)
+    return rows.mapInArrow(_answered(model.weights, model.prior, model.discounts, model.settings), schema)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from roadledger.llm import text as W
@@ -77,8 +78,59 @@ def test_rare_and_weak_words_keep_their_ratios(spark):
     wanted = {r.word: math.log(r.toxic_p / r.ordinary_p) for r in table.collect()}
     assert {r.word for r in X.log_ratios(table.select("word", *X.CLASSES), X.Settings()).collect()} == set(wanted)
     rare, weak = X.word_keys([b"rare", b"weak"]).view("int64").tolist()
-    table = spark.createDataFrame([(rare, 3e-8, 1e-8), (weak, 0.2, 0.15)], "word bigint, toxic double, ordinary double")
+    table = spark.createDataFrame(
+        [(rare, 3e-8, 1e-8, *[0.0] * 4), (weak, 0.2, 0.15, *[0.0] * 4)], "word bigint, " + ", ".join(f"{name} double" for name in X.WORDS)
+    )
+    pairs = spark.createDataFrame([], "before bigint, word bigint, toxic bigint, ordinary bigint")
     docs = spark.createDataFrame([(1, "rare weak unknown", None), (2, "", None), (3, None, None)], "doc_id bigint, text string, label int")
-    got = {r.doc_id: r for r in X.evidence(docs, X.Model(table, 0.5, X.Settings())).collect()}
+    got = {r.doc_id: r for r in X.evidence(docs, X.Model(table, pairs, (0.5, 0.5), 0.5, X.Settings())).collect()}
     assert math.isclose(got[1].mean, (math.log(3) + math.log(4 / 3)) / 3) and math.isclose(got[1].expression, math.log(3))
     assert got[2].mean == got[3].mean == got[2].expression == 0
+
+
+def test_pair_probabilities_against_brute_force(spark):
+    rows = [(1, "take the tram out back"), (1, "take the tram out back and the bus"), (0, "out of the tram"), (0, "take back the bus"), (0, "the bus is out")]
+    rows += [(0, "the bus is out"), (1, None), (0, "")]
+    pairs = X.pair_counts(spark.createDataFrame(rows, "label int, text string"))
+    seen = {c: Counter((a, b) for label, t in rows if label == c for a, b in zip([None, *tokens(t)], tokens(t))) for c in (1, 0)}
+    kinds = {c: Counter(b for _, b in seen[c]) for c in (1, 0)}
+
+    def discount(numbers):
+        n = Counter(numbers)
+        return min(0.95, max(0.05, n[1] / (n[1] + 2 * n[2])))
+
+    def probability(c, v, w):
+        d, total, types = discount(kinds[c].values()), sum(kinds[c].values()), len(kinds[c])
+        shared = ((kinds[0][w] > 0) + (kinds[1][w] > 0)) / (len(kinds[0]) + len(kinds[1]))
+        low = max(kinds[c][w] - d, 0) / total + d * types / total * shared
+        after = [n for (a, _), n in seen[c].items() if a == v]
+        d = discount(seen[c].values())
+        return max(seen[c][v, w] - d, 0) / sum(after) + d * len(after) / sum(after) * low if after else low
+
+    vocabulary = set(kinds[0]) | set(kinds[1])
+    for c in (0, 1):  # probabilities add up after every word, seen there or not
+        assert all(math.isclose(sum(probability(c, v, w) for w in vocabulary), 1) for v in [None, *vocabulary, "new"])
+    model = X.Model(X.word_table(pairs), pairs, X.pair_discounts(pairs), 0.5, X.Settings())
+    texts = [t for _, t in rows] + ["new words take out the bus back is and new", "tram"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").selectExpr("doc_id", "text", "cast(null as int) label")
+    got = {r.doc_id: r for r in X.evidence(docs, model).collect()}
+    for i, t in enumerate(texts):
+        found = [math.log(probability(1, v, w) / probability(0, v, w)) if w in vocabulary else 0 for v, w in zip([None, *tokens(t)], tokens(t))]
+        assert math.isclose(got[i].mean, sum(found) / max(len(found), 1), abs_tol=1e-9)
+        assert math.isclose(got[i].expression, max(found, default=0), abs_tol=1e-9)
+
+
+def test_an_expression_of_ordinary_words_is_toxic(spark):
+    """Both classes have the same words equally often; only their order tells the classes apart."""
+    rows = [(i, f"p{i % 7} green tree red car q{i % 5}" if i % 2 else f"p{i % 7} red tree green car q{i % 5}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    held = [r for r in X.scores(docs, X.fit(docs, labels)).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 60 and all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in held)
+
+
+def test_pair_keys_are_those_of_spark(spark):
+    numbers = [(0, 1), (-1, 2**63 - 1), (-(2**63), 5), (1234567890123, -987654321)]
+    wanted = spark.createDataFrame(numbers, "before bigint, word bigint").selectExpr("xxhash64(before, word) k").collect()
+    before, word = (np.array(n, np.int64).view(np.uint64) for n in zip(*numbers))
+    assert X.pair_keys(before, word).view(np.int64).tolist() == [r.k for r in wanted]
