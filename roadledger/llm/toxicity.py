@@ -11,7 +11,7 @@ fond of are rare in it. Discounts are estimated from the counts of counts of the
 counted as often as they occur, continuations do not grow with copies of a text or repeats in it. A
 word that neither class has seen says nothing: both back off to the same value.
 
-The counts cover all training rows but those of one remainder (``CALIBRATION``); they are taken by
+The counts cover all training rows but the bounded sample set aside for calibration; they are taken by
 Spark, whole texts, and grow with the corpus. No word or pair is left out of them, however rare, and no
 ratio is rounded to nothing. The tables stay in Spark: texts are cut into slices, the distinct words and
 pairs of a slice are joined with the tables, and what is found goes back to the slice, whose tokens are
@@ -21,8 +21,9 @@ scalars go to executors.
 A document's evidence are log-likelihood ratios, normalised by length: per word over the text, per
 word of its most toxic stretch of ``window`` words, of its most toxic expression, and the excess
 over ``strong`` per document, each of the pairs and again (``word_``) of the level they back off to.
-A logistic curve over these, which weighs the levels against each other, fitted on a bounded sample of the rows set
-aside (``calibration_rows`` of each class, those with the smallest hashes), gives the score.
+A logistic curve over these, which weighs the levels against each other, fitted on the rows set aside (of
+each class those with the smallest hashes of one remainder, ``calibration_rows`` at most, so that small
+tables keep most rows to learn from), gives the score.
 
 Defined results: null and empty texts score as if no word said anything; without rows of both classes
 every score is the toxic share (0.5 without labels). Null labels and ids are left out; a document
@@ -245,7 +246,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     nothing = Model(None, None, (0.5, 0.5), prior, settings)
     if not 0 < toxic < total:
         return nothing
-    learned = known.filter(F.col("part") != CALIBRATION).select("doc_id", "label")
+    chosen = [
+        known.filter((F.col("part") == CALIBRATION) & (F.col("label") == value))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(settings.calibration_rows)
+        for value in (0, 1)
+    ]
+    aside = written(chosen[0].unionByName(chosen[1]).select("doc_id", "label"), shared_dir(spark, "toxicity-aside"))
+    aside = F.broadcast(aside)  # bounded
+    learned = known.join(aside, "doc_id", "left_anti").select("doc_id", "label")
     if total <= BROADCAST_LABELS:
         learned = F.broadcast(learned)
     texts = words.texts_of(docs)
@@ -253,13 +262,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     if any(pairs.filter(F.col(name) > 0).isEmpty() for name in CLASSES):
         return nothing
     model = Model(word_table(pairs), pairs, pair_discounts(pairs), prior, settings)
-    chosen = [
-        known.filter((F.col("part") == CALIBRATION) & (F.col("label") == value))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(settings.calibration_rows)
-        for value in (0, 1)
-    ]
-    aside = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "label"))  # bounded
     rows = evidence(texts.join(aside, "doc_id"), model).select("label", *EVIDENCE).toArrow()
     return replace(model, weights=calibrated(rows, prior))
 

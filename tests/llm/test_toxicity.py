@@ -134,3 +134,15 @@ def test_pair_keys_are_those_of_spark(spark):
     wanted = spark.createDataFrame(numbers, "before bigint, word bigint").selectExpr("xxhash64(before, word) k").collect()
     before, word = (np.array(n, np.int64).view(np.uint64) for n in zip(*numbers))
     assert X.pair_keys(before, word).view(np.int64).tolist() == [r.k for r in wanted]
+
+
+def test_all_training_rows_but_the_calibration_sample_are_counted(spark):
+    rows = [(i, f"some words of text {'slur' if zlib.crc32(str(i).encode()) % 5 == 4 else 'oaf'}" if i % 2 else "some other words") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    model = X.fit(docs, labels, settings=X.Settings(calibration_rows=3))
+    counted = model.pairs.groupBy().sum("toxic", "ordinary").first()
+    trained = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    assert tuple(counted) == (5 * (sum(i % 2 for i in trained) - 3), 3 * (sum(1 - i % 2 for i in trained) - 3))
+    slur = X.word_keys([b"slur"]).view("int64").tolist()[0]
+    assert model.table.filter(f"word = {slur}").first().toxic > 0
