@@ -317,11 +317,13 @@ def measures(ratio: np.ndarray, counts: np.ndarray, settings: Settings) -> np.nd
     starts = (np.cumsum(counts) - counts)[full]
     count = counts[full]
     out[full, 0] = np.add.reduceat(ratio, starts) / count
-    window = settings.window
-    position = np.arange(len(ratio)) - np.repeat(starts, count)
-    cuts = np.flatnonzero(position % window == 0)
-    stretch = np.add.reduceat(ratio, cuts) / np.diff(cuts, append=len(ratio))
-    out[full, 1] = np.maximum.reduceat(stretch, np.searchsorted(cuts, starts))
+    # Stretches from every word on that has enough words after it; a shorter text is one stretch.
+    span = np.repeat(np.minimum(settings.window, count), count)
+    place = np.arange(len(ratio))
+    fits = place - np.repeat(starts, count) + span <= np.repeat(count, count)
+    sums = np.concatenate([[0.0], np.cumsum(ratio)])
+    stretch = (sums[np.minimum(place + span, len(ratio))] - sums[:-1]) / span
+    out[full, 1] = np.maximum.reduceat(np.where(fits, stretch, -np.inf), starts)
     out[full, 2] = np.maximum.reduceat(ratio, starts)
     out[full, 3] = np.log1p(np.add.reduceat(np.maximum(ratio - settings.strong, 0), starts))
     return out

@@ -146,3 +146,17 @@ def test_all_training_rows_but_the_calibration_sample_are_counted(spark):
     assert tuple(counted) == (5 * (sum(i % 2 for i in trained) - 3), 3 * (sum(1 - i % 2 for i in trained) - 3))
     slur = X.word_keys([b"slur"]).view("int64").tolist()[0]
     assert model.table.filter(f"word = {slur}").first().toxic > 0
+
+
+def test_stretches_start_at_every_word():
+    rng = np.random.default_rng(5)
+    counts = np.array([0, 1, 7, 8, 9, 40, 0, 23, 0])
+    ratio = rng.normal(size=counts.sum())
+    got = X.measures(ratio, counts, X.Settings(window=8))[:, X.MEASURES.index("stretch")]
+    for value, text in zip(got, np.split(ratio, np.cumsum(counts)[:-1])):
+        n = min(8, len(text))
+        wanted = max((text[i : i + n].mean() for i in range(len(text) - n + 1)), default=0) if n else 0
+        assert math.isclose(value, wanted, abs_tol=1e-9)
+    run = np.array([5.0] * 8 + [0.0] * 8)  # the same passage, wherever it stands
+    moved = [X.measures(np.concatenate([np.zeros(k), run]), np.array([k + 16]), X.Settings())[0, 1] for k in range(9)]
+    assert np.allclose(moved, 5)
