@@ -160,3 +160,12 @@ def test_stretches_start_at_every_word():
     run = np.array([5.0] * 8 + [0.0] * 8)  # the same passage, wherever it stands
     moved = [X.measures(np.concatenate([np.zeros(k), run]), np.array([k + 16]), X.Settings())[0, 1] for k in range(9)]
     assert np.allclose(moved, 5)
+
+
+def test_slices_without_any_word(spark):
+    pairs = X.pair_counts(spark.createDataFrame([(1, "an idiot"), (0, "a friend")], "label int, text string"))
+    model = X.Model(X.word_table(pairs), pairs, X.pair_discounts(pairs), 0.25, X.Settings())
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, " \n")], "doc_id bigint, text string").coalesce(1)
+    got = X.scores(docs, model).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "2", "None"]
+    assert all(r.score == 0.25 and all(r[name] == 0 for name in X.EVIDENCE) for r in got)
