@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadledger.llm import (
+    chat,
     decontaminate,
+    fill_in_middle,
     language,
+    lexical,
     line_dedup,
     minhash,
     packing,
@@ -146,3 +149,52 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
         )
     )
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its fill-in-the-middle form, and the text read back from it."""
+    cut = fill_in_middle.transformed(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+# A conversation whose texts hold the template's own control strings.
+CONTROL_CONVERSATION = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+@query
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and read back from its formatted text and loss mask."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id bigint, turn bigint, role string, text string")
+    done = chat.formatted(chat.linear(said.unionByName(own)))
+    spoken = F.transform(chat.turns_of(F.col("text")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = done.select(
+        F.col("tree").alias("conv_id"),
+        spoken.alias("spoken"),
+        F.array_join(chat.trained_texts(F.col("text"), F.col("loss")), "").alias("learnt"),
+        F.char_length("text").cast("bigint").alias("formatted_chars"),
+    )
+    return read.select(
+        "conv_id",
+        F.size("spoken").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join("spoken", ""), 256).alias("turns_sha256"),
+        F.char_length("learnt").cast("bigint").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
