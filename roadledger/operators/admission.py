@@ -5,16 +5,21 @@ token per event; an event that finds less than one token is refused. The clock c
 seconds of arrival time, so all events of a second see the same refill and only their number
 matters: events are first counted per fleet and second.
 
-The bucket is a sequential recurrence, which would tie a busy fleet to one task. Here a timeline
-is cut into blocks (a day by default) and solved like a prefix sum:
-
-1. each block alone: the bucket left at its end, as a function of the bucket at its start;
-2. each fleet: chain these functions, a few numbers per block, to get every block's start;
-3. each block again, now from its known start: the events granted in each second.
-
-Tokens are counted in exact integer parts of a token, so the function has finitely many inputs.
-It is computed for all of them at once and kept as straight pieces: constant where the bucket
-overflows or runs dry, else with slope one.
+The bucket is a sequential recurrence, which would tie a busy fleet to one task. As long as nothing
+is refused, though, a second with refill g and cost c turns a level x into min(x + g, full) - c, and
+such steps compose: any stretch of them is min(x + moved, most), and nothing in it is refused if
+x >= need and floor >= 0. These numbers are running sums, minima and maxima, so they are window
+functions, first over the seconds of a block (a day by default), then over the blocks of a fleet.
+Fleets that are never refused anything are settled by this alone.
+
+A block that does run short is walked in Python from its start level. For the blocks behind it, a
+block that could run short is solved for all start levels at once: its end level is one number for
+starts that reach the full bucket first, start + moved for those that meet neither bound, and for
+those refused first it depends on nothing but the fraction of a token they start with (a refusal
+leaves just the fraction). An aggregate over the blocks of a fleet chains these functions. Each
+step holds the blocks or the seconds of one block, whatever the size of the bucket.
+
+Tokens are counted in exact integer parts of a token, so results do not depend on the cuts.
 """
 
 from __future__ import annotations
@@ -30,12 +35,9 @@ from pyspark.sql import types as T
 
 from roadledger.session import shared_dir, written
 
-# Above this many bucket levels step 1 would cost more than it spreads: a fleet is then one block,
-# walked in order by one task that holds a few numbers. Grants are the same either way.
-MAX_LEVELS = 1 << 20
 # The most crowded seconds that are broadcast: two keys and a number each, a few megabytes.
 MAX_CROWDED = 100_000
-MISSING = -(2**62)
+EARLIEST = -(2**62)
 
 
 @dataclass(frozen=True)
@@ -70,11 +72,6 @@ class TokenBucket:
         return self.capacity * self.parts
 
 
-def _none() -> Column:
-    """Stands for a missing number; sorts first, and keeps columns whole numbers in Python."""
-    return F.lit(MISSING).cast("bigint")
-
-
 def requests_per_second(events: DataFrame, arrival: str = "ingested_at") -> DataFrame:
     second = F.unix_seconds(arrival)
     return events.groupBy("fleet_id", second.alias("second")).agg(
@@ -95,51 +92,150 @@ def grants(
     A bucket's clock never runs back: events that arrive late, with a second before that of the
     carried bucket, meet the bucket as it is (``clock`` is the second at which they are judged).
 
-    The counts are written first, so events are read once. Their time span decides the steps:
-    within one block, as in a stream's batch, the starts are known and the first two fall away.
+    The counts and the blocks are written, so events are read once.
     """
     spark = events.sparkSession
-    counts = written(requests_per_second(events, arrival), shared_dir(spark, "admission-counts"))
-    first, last = counts.agg(F.min("second"), F.max("second")).first()
-    first, last = first or 0, last or 0
-    if bucket.full >= MAX_LEVELS:
-        block_seconds = last - first + 1
-    counts = counts.withColumn("block", F.floor((F.col("second") - first) / block_seconds))
-    clock = F.col("second")
-    if initial is not None:
-        initial = initial.select("fleet_id", "level", F.col("second").alias("since"))
-        counts = counts.join(initial.select("fleet_id", F.col("since").alias("carried")), "fleet_id", "left")
-        clock = F.greatest("second", "carried")
-    counts = counts.withColumn("clock", clock).select("fleet_id", "second", "requested", "block", "clock")
-    if last - first < block_seconds:
-        starts = None if initial is None else initial.withColumn("block", F.lit(0).cast("bigint"))
+    folder = shared_dir(spark, "admission")
+    counts = written(requests_per_second(events, arrival), f"{folder}/counts")
+    counts = counts.withColumn("block", F.floor(F.col("second") / block_seconds).cast("bigint"))
+    if initial is None:
+        counts = counts.withColumn("clock", F.col("second"))
     else:
-        starts = _block_starts(counts, bucket, initial)
-    rows = counts.withColumns({"level": _none(), "since": _none()})
-    if starts is not None:
-        rows = rows.unionByName(starts.withColumns({"second": _none(), "requested": _none(), "clock": _none()}))
+        carried = initial.select("fleet_id", F.col("second").alias("carried"))
+        counts = counts.join(carried, "fleet_id", "left").withColumn("clock", F.greatest("second", "carried")).drop("carried")
+    seconds = _steps(counts, bucket)
+    blocks = written(_planned(_blocks(seconds), bucket, initial), f"{folder}/blocks")
+    n_short, n_unsolved = blocks.agg(F.count_if("short"), F.count_if(_to_solve())).first()
+    if n_unsolved:
+        solved = _functions(seconds.join(blocks.filter(_to_solve()).select("fleet_id", "block"), ["fleet_id", "block"]), bucket)
+        blocks = written(_chained(blocks, solved, bucket), f"{folder}/starts")
+    started = seconds.join(blocks.select("fleet_id", "block", "start", "short"), ["fleet_id", "block"])
+    level = F.least(F.col("start") + F.col("moved"), F.col("moved") + F.col("room"))
+    columns = ("fleet_id", "second", "requested", "clock", "granted", "level")
+    easy = started.withColumns({"granted": F.col("requested"), "level": level})
+    if not n_short:
+        return easy.select(*columns)
     result = _keyed(counts, "second bigint, requested bigint, clock bigint, granted bigint, level bigint")
-    return _ordered(rows, ["fleet_id", "block"], "second").mapInPandas(_replay(bucket), result)
+    hard = started.filter("short").select("fleet_id", "block", "second", "requested", "clock", "gain", "start")
+    walked = _ordered(hard, ["fleet_id", "block"], "second").mapInPandas(_walk(bucket), result)
+    return easy.filter("NOT short").select(*columns).unionByName(walked)
 
 
-def _block_starts(
-    counts: DataFrame, bucket: TokenBucket, initial: DataFrame | None
-) -> DataFrame:
-    """The bucket level of each fleet at the first second of each of its blocks."""
-    solved = _ordered(counts, ["fleet_id", "block"], "second").mapInPandas(
-        _solve_blocks(bucket),
-        _keyed(
-            counts,
-            "block bigint, first bigint, last bigint, "
-            "starts array<int>, ends array<int>, slopes array<int>",
-        ),
+def _refill(gap: Column, bucket: TokenBucket) -> Column:
+    """Parts gained in a gap, the whole bucket at most; null for no gap known."""
+    enough = (gap > bucket.idle_seconds) | (gap > bucket.full // bucket.gain)
+    return F.when(enough, F.lit(bucket.full)).otherwise(gap * bucket.gain).cast("bigint")
+
+
+def _steps(counts: DataFrame, bucket: TokenBucket) -> DataFrame:
+    """Seconds with what a bucket that refuses nothing has moved by since its block began.
+
+    ``gain`` is the refill before a second (0 for the first of a block: its start level counts from
+    there). After it the level is the smaller of start + moved and moved + room.
+    """
+    so_far = Window.partitionBy("fleet_id", "block").orderBy("second")
+    gap = F.col("clock") - F.lag("clock").over(so_far)
+    # More than the bucket holds is refused whatever its number.
+    cost = F.least(F.col("requested"), F.lit(bucket.capacity + 1)) * bucket.parts
+    return (
+        counts.withColumn("gain", F.coalesce(_refill(gap, bucket), F.lit(0)).cast("bigint"))
+        .withColumn("cost", cost)
+        .withColumn("moved", F.sum(F.col("gain") - F.col("cost")).over(so_far))
+        .withColumn("room", F.min(F.lit(bucket.full) - F.col("cost") - F.col("moved")).over(so_far))
     )
-    rows = solved.withColumns({"level": _none(), "since": _none()})
-    if initial is not None:
-        carried = initial.withColumn("block", _none())
-        rows = rows.unionByName(carried, allowMissingColumns=True)
-    chained = _keyed(counts, "block bigint, level bigint, since bigint")
-    return _ordered(rows, ["fleet_id"], "block").mapInPandas(_chain_blocks(bucket), chained)
+
+
+def _blocks(seconds: DataFrame) -> DataFrame:
+    """Each block as one step: min(start + moved, most), if start >= need and floor >= 0."""
+    level = F.col("moved") + F.col("room")
+    return seconds.groupBy("fleet_id", "block").agg(
+        F.min("clock").alias("first"),
+        F.max("clock").alias("last"),
+        F.max_by("moved", "second").alias("moved"),
+        F.max_by(level, "second").alias("most"),
+        F.max(-F.col("moved")).alias("need"),
+        F.min(level).alias("floor"),
+    )
+
+
+def _planned(blocks: DataFrame, bucket: TokenBucket, initial: DataFrame | None) -> DataFrame:
+    """Blocks with their start level, right up to the first one of the fleet that runs short.
+
+    ``gain`` is the refill since the block before, ``begun`` the level of the fleet's bucket before
+    its first block.
+    """
+    in_order = Window.partitionBy("fleet_id").orderBy("block")
+    fleet = Window.partitionBy("fleet_id")
+    if initial is None:
+        blocks = blocks.withColumns({"begun": F.lit(bucket.full).cast("bigint"), "since": F.lit(None).cast("bigint")})
+    else:
+        carried = initial.select("fleet_id", F.col("level").alias("begun"), F.col("second").alias("since"))
+        blocks = blocks.join(carried, "fleet_id", "left").withColumn("begun", F.coalesce("begun", F.lit(bucket.full)).cast("bigint"))
+    gap = F.col("first") - F.coalesce(F.lag("last").over(in_order), "since")
+    return (
+        blocks.withColumn("gain", F.coalesce(_refill(gap, bucket), F.lit(bucket.full)).cast("bigint"))
+        .withColumn("sum", F.sum(F.col("gain") + F.col("moved")).over(in_order))
+        .withColumn("cap", F.min(F.col("most") - F.col("sum")).over(in_order))
+        .withColumn("after", F.least(F.col("begun") + F.col("sum"), F.col("sum") + F.col("cap")))
+        .withColumn("start", F.least(F.lit(bucket.full).cast("bigint"), F.coalesce(F.lag("after").over(in_order), "begun") + F.col("gain")))
+        .withColumn("short", _runs_short())
+        .withColumn("first_short", F.min(F.when(F.col("short"), F.col("block"))).over(fleet))
+        .withColumn("last_block", F.max("block").over(fleet))
+        .drop("sum", "cap", "after", "since")
+    )
+
+
+def _runs_short() -> Column:
+    return (F.col("start") < F.col("need")) | (F.col("floor") < 0)
+
+
+def _to_solve() -> Column:
+    """Blocks whose end must be known for other starts than the planned one."""
+    at_risk = (F.col("need") > 0) | (F.col("floor") < 0)
+    return at_risk & (F.col("block") >= F.col("first_short")) & (F.col("block") < F.col("last_block"))
+
+
+FUNCTION = "low bigint, top bigint, shift bigint, capped bigint, starts array<bigint>, ends array<bigint>, slopes array<bigint>"
+
+
+def _functions(seconds: DataFrame, bucket: TokenBucket) -> DataFrame:
+    """Blocks with their end level as a function of the start level (see :func:`_solve`)."""
+    rows = seconds.select("fleet_id", "block", "second", "gain", "cost")
+    return _ordered(rows, ["fleet_id", "block"], "second").mapInPandas(_solve(bucket), _keyed(seconds, f"block bigint, {FUNCTION}"))
+
+
+def _chained(blocks: DataFrame, solved: DataFrame, bucket: TokenBucket) -> DataFrame:
+    """Blocks with their true start levels, from one block to the next of a fleet."""
+
+    def end(block: Column, start: Column) -> Column:
+        fraction = start % bucket.parts
+        piece = F.size(F.filter(block["starts"], lambda s: s <= fraction)) - 1
+        refused = F.get(block["ends"], piece) + F.get(block["slopes"], piece) * (fraction - F.get(block["starts"], piece))
+        solved_end = F.when(start < block["low"], refused).when(start <= block["top"], start + block["shift"]).otherwise(block["capped"])
+        fits = (start >= block["need"]) & (block["floor"] >= 0)
+        return F.when(fits, F.least(start + block["moved"], block["most"])).otherwise(solved_end)
+
+    def step(state: Column, block: Column) -> Column:
+        start = F.least(F.lit(bucket.full).cast("bigint"), state["level"] + block["gain"])
+        return F.struct(end(block, start).alias("level"), F.array_append(state["starts"], start).alias("starts"))
+
+    own = ("block", "gain", "moved", "most", "need", "floor")
+    short = blocks.filter(F.col("first_short").isNotNull()).join(solved, ["fleet_id", "block"], "left")
+    one = F.struct(*own, "low", "top", "shift", "capped", "starts", "ends", "slopes")
+    chained = (
+        short.groupBy("fleet_id", "begun")
+        .agg(F.sort_array(F.collect_list(one)).alias("blocks"))
+        .select(
+            "fleet_id",
+            "blocks",
+            F.aggregate("blocks", F.struct(F.col("begun").alias("level"), F.array().cast("array<bigint>").alias("starts")), step)["starts"].alias("known"),
+        )
+        .select("fleet_id", F.inline(F.arrays_zip("blocks", "known")))
+        .select("fleet_id", "blocks.block", F.col("known").alias("start"), "blocks.need", "blocks.floor")
+        .withColumn("short", _runs_short())
+    )
+    columns = ("fleet_id", "block", "start", "short")
+    return blocks.filter(F.col("first_short").isNull()).select(*columns).unionByName(chained.select(*columns))
 
 
 def _ordered(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -162,7 +258,7 @@ def carried_over(granted: DataFrame, initial: DataFrame | None = None) -> DataFr
     """The buckets after these grants, to pass on as ``initial``: one row per fleet."""
     last = granted.select("fleet_id", "level", "clock", "second")
     if initial is not None:
-        before = initial.select("fleet_id", "level", F.col("second").alias("clock"), _none().alias("second"))
+        before = initial.select("fleet_id", "level", F.col("second").alias("clock"), F.lit(EARLIEST).alias("second"))
         last = last.unionByName(before)
     # Late events share the clock of the carried bucket; of these the last second counts.
     return last.groupBy("fleet_id").agg(
@@ -249,130 +345,101 @@ def outcomes(granted: DataFrame) -> DataFrame:
 # over plain numbers so that they travel by value and workers need not have this package.
 
 
-def _solve_blocks(bucket: TokenBucket):
-    full, parts, gain, idle = bucket.full, bucket.parts, bucket.gain, bucket.idle_seconds
+def _solve(bucket: TokenBucket):
+    full, parts = bucket.full, bucket.parts
+    names = ["fleet_id", "block", "low", "top", "shift", "capped", "starts", "ends", "slopes"]
 
-    names = ["fleet_id", "block", "first", "last", "starts", "ends", "slopes"]
+    def solve(gains: list, costs: list) -> tuple:
+        """End level of a block as a function of its start level.
 
-    def solve(seconds: list, requested: list) -> tuple:
-        """End level of a block as straight pieces over the level at its first second."""
+        Starts below ``low`` are refused something before they meet the full bucket, those above
+        ``top`` reach it first, the others meet neither and move by ``shift``. All that reach it are
+        one from then on. All of one fraction that are refused are one, too: the fraction is what
+        a refusal leaves. So there are no more than parts + 1 levels to follow; the last is the
+        capped one. The ends of the refused are kept as straight pieces over the fraction.
+        """
         import numpy as np
 
-        gaps = [0] + [after - before for before, after in zip(seconds, seconds[1:])]
-        level = np.arange(full + 1)  # one trajectory per possible start
-        lane = np.arange(full + 1)  # which trajectory each start follows by now
-        step = 0
-        while step < len(seconds) and len(level) > 1:
-            refilled = full if gaps[step] > idle else np.minimum(full, level + gaps[step] * gain)
-            cost = parts * requested[step]
-            level = np.broadcast_to(refilled, level.shape) - cost
+        low, top, shift, gained = 0, full, 0, 0
+        level = np.zeros(parts + 1, np.int64)
+        lane = np.arange(parts + 1)
+        for step, (gain, cost) in enumerate(zip(gains, costs)):
+            gained = (gained + gain) % parts
+            level = np.minimum(level + gain, full) - cost
             short = level < 0
-            if short.any():  # these pay what whole tokens they have
+            if short.any():
                 level[short] = (level[short] + cost) % parts
-            if step % 16 == 0 or gaps[step] * gain >= full:
+            if low <= top:
+                bound = full - shift - gain
+                if bound < top:
+                    after = full - cost
+                    level[parts] = after if after >= 0 else full % parts
+                    top = max(bound, low - 1)
+                shift += gain - cost
+                if -shift > low and low <= top:
+                    refused = min(-shift, top + 1)
+                    some = np.arange(low, min(refused, low + parts)) % parts
+                    level[some] = (some + gained) % parts
+                    low = refused
+            elif len(level) > 1 and step % 16 == 0:
                 level, merged = np.unique(level, return_inverse=True)
                 lane = merged.reshape(-1)[lane]
-            step += 1
-        if len(level) == 1:  # from here on the start no longer matters
-            one = int(level[0])
-            for gap, wanted in zip(gaps[step:], requested[step:]):
-                one = full if gap > idle else min(full, one + gap * gain)
-                one -= parts * min(wanted, one // parts)
-            level = np.array([one])
-        end = level[lane]
-        rise = np.diff(end)
+        ends = level[lane]
+        capped, ends = int(ends[parts]), ends[:parts]
+        rise = np.diff(ends)
         bends = np.flatnonzero(np.diff(rise)) + 1
-        starts = np.unique(np.concatenate(([0], bends, bends + 1, [full])))
-        slopes = np.append(rise, 0)[starts]
-        pieces = (starts.astype("int32"), end[starts].astype("int32"), slopes.astype("int32"))
-        return seconds[0], seconds[-1], *pieces
+        starts = np.unique(np.concatenate(([0], bends, bends + 1, [parts - 1])))
+        return low, top, shift, capped, starts, ends[starts], np.append(rise, 0)[starts]
 
-    def solve_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        key, seconds, requested = None, [], []
+        key, gains, costs = None, [], []
         for batch in batches:
             fleets, blocks = batch["fleet_id"].to_numpy(), batch["block"].to_numpy()
-            second, wanted = batch["clock"].tolist(), batch["requested"].tolist()
+            gain, cost = batch["gain"].tolist(), batch["cost"].tolist()
             change = (fleets[1:] != fleets[:-1]) | (blocks[1:] != blocks[:-1])
             edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
-            solved = []
+            done = []
             for begin, end in zip(edges, edges[1:]):
                 if begin == end:
                     continue
                 if key != (fleets[begin], blocks[begin]):
                     if key is not None:
-                        solved.append((*key, *solve(seconds, requested)))
-                    key, seconds, requested = (fleets[begin], blocks[begin]), [], []
-                seconds += second[begin:end]
-                requested += wanted[begin:end]
-            yield pd.DataFrame(solved, columns=names)
+                        done.append((*key, *solve(gains, costs)))
+                    key, gains, costs = (fleets[begin], blocks[begin]), [], []
+                gains += gain[begin:end]
+                costs += cost[begin:end]
+            yield pd.DataFrame(done, columns=names)
         if key is not None:
-            yield pd.DataFrame([(*key, *solve(seconds, requested))], columns=names)
+            yield pd.DataFrame([(*key, *solve(gains, costs))], columns=names)
 
-    return solve_blocks
+    return run
 
 
-def _chain_blocks(bucket: TokenBucket):
-    full, gain, idle = bucket.full, bucket.gain, bucket.idle_seconds
-    missing = MISSING
+def _walk(bucket: TokenBucket):
+    full, parts = bucket.full, bucket.parts
 
-    def chain_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        fleet, level, last = None, full, None
-        for batch in batches:
-            known = []
-            for row in batch.itertuples(index=False):
-                if row.fleet_id != fleet:
-                    fleet, level, last = row.fleet_id, full, None
-                if row.block == missing:  # the bucket carried over from earlier events
-                    level, last = int(row.level), int(row.since)
-                    continue
-                gap = 0 if last is None else max(0, int(row.first) - last)
-                level = full if gap > idle else min(full, level + gap * gain)
-                known.append((fleet, row.block, level, missing))
-                at = int(np.searchsorted(row.starts, level, side="right")) - 1
-                level = int(row.ends[at] + row.slopes[at] * (level - row.starts[at]))
-                last = int(row.last) if last is None else max(last, int(row.last))
-            yield pd.DataFrame(known, columns=["fleet_id", "block", "level", "since"])
-
-    return chain_blocks
-
-
-def _replay(bucket: TokenBucket):
-    full, parts, gain, idle = bucket.full, bucket.parts, bucket.gain, bucket.idle_seconds
-    missing = MISSING
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        key, level, last = None, full, missing
+        key, level = None, full
         for batch in batches:
             fleets, blocks = batch["fleet_id"].to_numpy(), batch["block"].to_numpy()
-            seconds, requested = batch["clock"].tolist(), batch["requested"].tolist()
+            gains, requested = batch["gain"].tolist(), batch["requested"].tolist()
             change = (fleets[1:] != fleets[:-1]) | (blocks[1:] != blocks[:-1])
             edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
             granted, levels = [], []
             for begin, end in zip(edges, edges[1:]):
-                if begin == end:
-                    continue
-                if key != (fleets[begin], blocks[begin]):
-                    key, level, last = (fleets[begin], blocks[begin]), full, missing
-                if seconds[begin] == missing:  # where this block starts
-                    level, last = int(batch["level"].iloc[begin]), int(batch["since"].iloc[begin])
-                    granted.append(0)
-                    levels.append(level)
-                    begin += 1
-                for second, wanted in zip(seconds[begin:end], requested[begin:end]):
-                    gap = 0 if last == missing else max(0, second - last)
-                    last = max(last, second)
-                    level = full if gap > idle else min(full, level + gap * gain)
+                if begin < end and key != (fleets[begin], blocks[begin]):
+                    key, level = (fleets[begin], blocks[begin]), int(batch["start"].iloc[begin])
+                for gain, wanted in zip(gains[begin:end], requested[begin:end]):
+                    level = min(full, level + gain)
                     grant = min(wanted, level // parts)
                     level -= grant * parts
                     granted.append(grant)
                     levels.append(level)
-            decided = batch[["fleet_id", "second", "requested", "clock"]].assign(granted=granted, level=levels)
-            yield decided[decided["second"] != missing]
+            decided = batch[["fleet_id", "second", "requested", "clock"]]
+            yield decided.assign(granted=granted, level=levels)
 
-    return replay
+    return run

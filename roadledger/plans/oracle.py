@@ -156,6 +156,36 @@ ranked AS (
 )"""
 
 
+def carried_bucket(idle: int) -> str:
+    """The same bucket over two batches that overlap in time; its clock never runs back."""
+    refill = (
+        f"CASE WHEN s.clock - b.clock > {idle} THEN 6144 "
+        "ELSE least(6144, b.level + s.clock - b.clock) END"
+    )
+    return f"""
+batched AS (
+  SELECT fleet_id, epoch_us(ingested_at) // 1000000 AS second,
+    CASE WHEN ingested_at < TIMESTAMP '2024-01-15 00:00:00'
+      OR (ingested_at < TIMESTAMP '2024-01-20 00:00:00' AND id % 2 = 1) THEN 1 ELSE 2 END AS batch
+  FROM ev
+),
+seconds AS (
+  SELECT *, row_number() OVER (PARTITION BY fleet_id ORDER BY batch, second) AS n,
+    max(second) OVER (PARTITION BY fleet_id ORDER BY batch, second ROWS UNBOUNDED PRECEDING) AS clock
+  FROM (SELECT fleet_id, batch, second, count(*) AS requested FROM batched GROUP BY 1, 2, 3) AS c
+),
+buckets AS (
+  SELECT fleet_id, batch, n, second, clock, requested, least(requested, 3) AS granted,
+    6144 - 2048 * least(requested, 3) AS level
+  FROM seconds WHERE n = 1
+  UNION ALL
+  SELECT s.fleet_id, s.batch, s.n, s.second, s.clock, s.requested,
+    least(s.requested, ({refill}) // 2048),
+    ({refill}) - 2048 * least(s.requested, ({refill}) // 2048)
+  FROM buckets AS b JOIN seconds AS s ON s.fleet_id = b.fleet_id AND s.n = b.n + 1
+)"""
+
+
 def over_events(select: str, *ctes: str) -> str:
     return "WITH " + ",".join([EVENTS, *ctes]) + "\n" + select
 
@@ -413,9 +443,15 @@ FROM vehicles WHERE fleet_id < 4""")
     )
     grant_columns = (
         "SELECT fleet_id, CAST(second AS BIGINT) AS second, "
-        "CAST(requested AS BIGINT) AS requested, CAST(granted AS BIGINT) AS granted FROM buckets"
+        "CAST(requested AS BIGINT) AS requested, CAST(granted AS BIGINT) AS granted"
+    )
+    level = "CAST(level AS BIGINT) AS level"
+    sql["rate_limited_with_expiry"] = recursive(f"{grant_columns}, {level} FROM buckets", bucket("ev", 3600))
+    sql["rate_limited_carried"] = recursive(
+        f"{grant_columns}, {level}, CAST(batch AS BIGINT) AS batch, CAST(clock AS BIGINT) AS clock, "
+        "CAST(block_seconds AS BIGINT) AS block_seconds FROM buckets, (VALUES (3600), (86400), (2592000)) AS lengths(block_seconds)",
+        carried_bucket(3600),
     )
-    sql["rate_limited_with_expiry"] = recursive(grant_columns, bucket("ev", 3600))
     outcome_rows = """
 SELECT fleet_id, status, count(*) AS event_count FROM (
   SELECT fleet_id, CASE WHEN arrival <= granted THEN 'success' ELSE 'rate_limited' END AS status
@@ -476,5 +512,5 @@ FROM ranked WHERE arrival > granted""",
     sql["stream_rollup"] = hourly
     sql["stream_windowed_rollup"] = hourly
     sql["stream_latest"] = latest
-    sql["stream_rate_limit"] = sql["rate_limited_with_expiry"]
+    sql["stream_rate_limit"] = recursive(f"{grant_columns} FROM buckets", bucket("ev", 3600))
     return sql

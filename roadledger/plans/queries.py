@@ -434,10 +434,31 @@ def rate_limited_with_expiry(spark, sf_dir):
     """A bucket idle for more than an hour is full again."""
     events = fx.untagged_events(spark, sf_dir)
     return admission.grants(events, EXPIRING).select(
-        "fleet_id", "second", "requested", "granted"
+        "fleet_id", "second", "requested", "granted", "level"
     )
 
 
+@query
+def rate_limited_carried(spark, sf_dir):
+    """Two batches that overlap in time, buckets carried over, with blocks of three lengths."""
+    events = fx.untagged_events(spark, sf_dir)
+    first, second = (F.lit(datetime(2024, 1, day, tzinfo=timezone.utc)) for day in (15, 20))
+    early = (F.col("ingested_at") < first) | ((F.col("ingested_at") < second) & (F.col("id") % 2 == 1))
+    done = None
+    for length in (3600, 86_400, 30 * 86_400):
+        carried = None
+        for batch, rows in enumerate((events.filter(early), events.filter(~early)), 1):
+            granted = admission.grants(rows, EXPIRING, carried, block_seconds=length)
+            granted = written(granted, shared_dir(spark, "grants"))
+            carried = written(admission.carried_over(granted, carried), shared_dir(spark, "levels"))
+            part = granted.select(
+                F.lit(length).alias("block_seconds"), F.lit(batch).alias("batch"),
+                "fleet_id", "second", "clock", "requested", "granted", "level",
+            )
+            done = part if done is None else done.unionByName(part)
+    return done
+
+
 @query
 def ingest_outcomes(spark, sf_dir):
     """Landing rows per fleet and status: checked first, then admitted."""

@@ -3,10 +3,11 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from roadledger.operators.admission import TokenBucket, admit, carried_over, grants
+from roadledger.operators.admission import TokenBucket, _solve, admit, carried_over, grants
 from roadledger.session import shared_dir, written
 from roadledger.streaming.admission import STATE_STORE_CONF, stream_grants
 
@@ -146,6 +147,55 @@ def test_fine_buckets_are_solved_too(spark, bucket):
     assert table.agg(F.sum("granted")).first()[0] == granted
 
 
+def test_a_block_is_solved_for_every_start():
+    """The solved function against the bucket itself, from each possible level."""
+    rng = random.Random(9)
+    for _ in range(400):
+        bucket = TokenBucket(rng.randrange(1, 9), rng.randrange(1, 5), rng.randrange(1, 8))
+        gains = [0] + [min(bucket.full, rng.choice([0, 1, 2, 5, 50]) * bucket.gain) for _ in range(rng.randrange(0, 40))]
+        costs = [bucket.parts * min(bucket.capacity + 1, rng.choice([1, 1, 1, 2, 3, 99])) for _ in gains]
+        rows = pd.DataFrame({"fleet_id": 1, "block": 0, "gain": gains, "cost": costs})
+        (solved,) = [r for part in _solve(bucket)(iter([rows])) for r in part.itertuples()]
+        for start in range(bucket.full + 1):
+            level = start
+            for gain, cost in zip(gains, costs):
+                level = min(bucket.full, level + gain)
+                level -= bucket.parts * min(cost // bucket.parts, level // bucket.parts)
+            if start < solved.low:
+                at = sum(s <= start % bucket.parts for s in solved.starts) - 1
+                found = solved.ends[at] + solved.slopes[at] * (start % bucket.parts - solved.starts[at])
+            else:
+                found = start + solved.shift if start <= solved.top else solved.capped
+            assert found == level
+
+
+def test_fleets_never_refused_run_no_python(spark):
+    events = [(f, EPOCH + timedelta(seconds=40 * s), 1000 * f + s) for f in range(3) for s in range(100)]
+    table = grants(frame(spark, events), TokenBucket(2, 1, 30), block_seconds=300)
+    assert "MapIn" not in table._jdf.queryExecution().executedPlan().toString()
+    assert table.filter("granted < requested").isEmpty() and table.count() == 300
+    table = grants(frame(spark, events + events[:99]), TokenBucket(2, 1, 60), block_seconds=300)
+    assert "MapInPandas" in table._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block_seconds", [20, 10**6])
+def test_a_bucket_of_many_levels_is_split_like_any_other(spark, block_seconds):
+    bucket = TokenBucket(5_000_000, 100_000, 7)
+    assert bucket.full > 1 << 24
+    rows = spark.range(60).selectExpr("1L AS fleet_id", "explode(sequence(0L, 1999L + id * 37L)) AS k", "id AS second")
+    events = rows.selectExpr("fleet_id", "timestamp_seconds(second * 2) AS ingested_at", "k AS id")
+    small = TokenBucket(20_000, 900, 7)
+    found = {(r.second, r.granted, r.level) for r in grants(events, small, block_seconds=block_seconds).collect()}
+    level, wanted = small.full, set()
+    for second in range(60):
+        level = min(small.full, level + (2 * small.gain if second else 0))
+        take = min(2000 + 37 * second, level // small.parts)
+        level -= take * small.parts
+        wanted.add((2 * second, take, level))
+    assert found == wanted and any(take < 2000 + 37 * s // 2 for s, take, _ in found)
+    assert grants(events, bucket, block_seconds=block_seconds).filter("granted < requested").isEmpty()
+
+
 @pytest.mark.parametrize("block_seconds", [50, 100, 10**6])
 def test_late_events_meet_the_carried_bucket_as_it_is(spark, block_seconds):
     initial = spark.createDataFrame([(0, 0, 1000)], "fleet_id long, level long, second long")
