@@ -56,20 +56,19 @@ def chart_series(stats: DataFrame) -> DataFrame:
 
 def rollup_rows(events: DataFrame, computed_at: datetime | None = None) -> DataFrame:
     """Rows of the hourly table for every bucket that has events."""
-    return (
-        _by_hour(events)
-        .agg(
-            mean_of("speed").alias("avg_speed"),
-            F.max("speed").alias("max_speed"),
-            F.min("battery_level").cast("smallint").alias("min_battery"),
-            F.count("*").cast("int").alias("event_count"),
-        )
-        .withColumns(
-            {
-                "computed_at": F.lit(utc(computed_at)),
-                "bucket_date": F.to_date("hour_bucket"),
-            }
-        )
+    measured = _by_hour(events).agg(
+        mean_of("speed").alias("avg_speed"),
+        F.max("speed").alias("max_speed"),
+        F.min("battery_level").cast("smallint").alias("min_battery"),
+        F.count("*").cast("int").alias("event_count"),
+    )
+    return as_rollup(measured, computed_at)
+
+
+def as_rollup(measured: DataFrame, computed_at: datetime | None = None) -> DataFrame:
+    """Measured buckets with the columns that the hourly table adds."""
+    return measured.withColumns(
+        {"computed_at": F.lit(utc(computed_at)), "bucket_date": F.to_date("hour_bucket")}
     )
 
 

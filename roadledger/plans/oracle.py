@@ -417,6 +417,7 @@ SELECT *, {as_of} AS computed_at FROM ({HOURLY}) AS h
 UNION ALL
 SELECT fleet_id, id, TIMESTAMP '2023-12-31 05:00:00', 50.0, 60.0, 40, 1,
   TIMESTAMP '2024-01-15 00:00:00' FROM vehicles""")
+    sql["rollup_compacted"] = sql["rollup_upsert"]
     sql["schema_upgrade"] = over_events("""
 SELECT CAST(1 AS BIGINT) AS version, id, CAST(NULL AS DOUBLE) AS acceleration, CAST(NULL AS VARCHAR) AS weather,
   CAST(NULL AS BOOLEAN) AS engine_on, '' AS scenarios FROM ev
@@ -511,6 +512,15 @@ FROM ranked WHERE arrival > granted""",
     sql["stream_outcomes"] = recursive(outcome_rows, on_arrival, bucket("valid", 10**9))
     sql["stream_rollup"] = hourly
     sql["stream_windowed_rollup"] = hourly
+    # A bucket of the first half is late in the last append once its hour ended an hour before the newest event.
+    sql["stream_rollup_late"] = over_events(f"""
+SELECT h.*, coalesce(l.corrected, FALSE) AS corrected FROM ({HOURLY}) AS h
+LEFT JOIN (
+  SELECT DISTINCT fleet_id, vehicle_id, hour_bucket, TRUE AS corrected FROM ev
+  WHERE id % 5 = 0 AND recorded_at < TIMESTAMP '2024-01-16 00:00:00'
+    AND hour_bucket + INTERVAL '2' HOUR <= (SELECT max(recorded_at) FROM ev)
+) AS l USING (fleet_id, vehicle_id, hour_bucket)""")
     sql["stream_latest"] = latest
+    sql["stream_latest_batches"] = latest
     sql["stream_rate_limit"] = recursive(f"{grant_columns} FROM buckets", bucket("ev", 3600))
     return sql

@@ -375,14 +375,27 @@ def insert_if_absent(spark, sf_dir):
 def rollup_upsert(spark, sf_dir):
     """A stale rollup brought up to date, the upsert run twice."""
     root = shared_dir(spark, "rollup-upsert")
-    tables.upsert_rollup(fx.old_rollup(spark, sf_dir), f"{root}/hourly", f"{root}/stage-0")
+    tables.upsert_rollup(fx.old_rollup(spark, sf_dir), f"{root}/hourly", "load")
     fresh = hourly.rollup_rows(fx.untagged_events(spark, sf_dir), AS_OF)
     for run in (1, 2):
-        tables.upsert_rollup(fresh, f"{root}/hourly", f"{root}/stage-{run}")
-    stored = event_source.read_dimension(spark, f"{root}/hourly", schemas.hourly(KEY))
+        tables.upsert_rollup(fresh, f"{root}/hourly", "job", run)
+    stored = tables.read_rollup_table(spark, f"{root}/hourly", KEY)
     return stored.select(*ROLLUP_COLUMNS, "computed_at")
 
 
+@query
+def rollup_compacted(spark, sf_dir):
+    """The same with upserts of single weeks in between, folded into the base twice."""
+    path = f"{shared_dir(spark, 'rollup-compacted')}/hourly"
+    tables.upsert_rollup(fx.old_rollup(spark, sf_dir), path, "load")
+    fresh = written(hourly.rollup_rows(fx.untagged_events(spark, sf_dir), AS_OF), f"{path}-fresh")
+    for number in range(6):
+        part = fresh.filter(F.floor(F.dayofyear("bucket_date") / 7) == number)
+        tables.upsert_rollup(part, path, "job", number, compact_after=3)
+    tables.rollup_table(path).clean(spark)
+    return tables.read_rollup_table(spark, path, KEY).select(*ROLLUP_COLUMNS, "computed_at")
+
+
 @query
 def schema_upgrade(spark, sf_dir):
     """Events of versions 1 and 2 under the current columns."""
@@ -540,8 +553,25 @@ def stream_rollup(spark, sf_dir):
     stream_rollup_job.start_rollup(
         appended, f"{root}/events", f"{root}/hourly", f"{root}/checkpoint"
     ).awaitTermination()
-    stored = event_source.read_dimension(spark, f"{root}/hourly", schemas.hourly(KEY))
-    return stored.select(*ROLLUP_COLUMNS)
+    return tables.read_rollup_table(spark, f"{root}/hourly", KEY).select(*ROLLUP_COLUMNS)
+
+
+@query
+def stream_rollup_late(spark, sf_dir):
+    """Windowed sums over three appends, every fifth event of the first half arriving last."""
+    root = shared_dir(spark, "rollup-late")
+    events, half = fx.vehicle_events(spark, sf_dir), F.lit(datetime(2024, 1, 16, tzinfo=timezone.utc))
+    early, held = F.col("recorded_at") < half, F.col("id") % 5 == 0
+    for batch, rows in enumerate((events.filter(early & ~held), events.filter(~early), events.filter(early & held))):
+        event_source.append_events(rows, f"{root}/events", str(batch))
+        appended = event_source.stream_events(spark, f"{root}/events", KEY)
+        stream_rollup_job.start_windowed_rollup(
+            appended, f"{root}/events", f"{root}/hourly", f"{root}/checkpoint"
+        ).awaitTermination()
+    late = stream_rollup_job.read_late(spark, f"{root}/checkpoint", KEY).select(*hourly.BUCKET).distinct()
+    stored = tables.read_rollup_table(spark, f"{root}/hourly", KEY).select(*ROLLUP_COLUMNS)
+    late = late.withColumn("corrected", F.lit(True))
+    return stored.join(late, list(hourly.BUCKET), "left").withColumn("corrected", F.coalesce("corrected", F.lit(False)))
 
 
 @query
@@ -558,7 +588,19 @@ def stream_latest(spark, sf_dir):
     stream_latest_job.start_latest(
         events, f"{root}/latest", f"{root}/checkpoint"
     ).awaitTermination()
-    return stream_latest_job.read_latest(spark, f"{root}/latest")
+    return stream_latest_job.read_latest(spark, f"{root}/latest", KEY)
+
+
+@query
+def stream_latest_batches(spark, sf_dir):
+    """The same over five appends that are not in order of time, folded after every second one."""
+    root = shared_dir(spark, "latest-batches")
+    events = fx.vehicle_events(spark, sf_dir)
+    for batch in range(5):
+        event_source.append_events(events.filter(F.col("id") % 5 == (3 * batch + 1) % 5), f"{root}/events", str(batch))
+        appended = event_source.stream_events(spark, f"{root}/events", KEY)
+        stream_latest_job.start_latest(appended, f"{root}/latest", f"{root}/checkpoint", compact_after=2).awaitTermination()
+    return stream_latest_job.read_latest(spark, f"{root}/latest", KEY)
 
 
 @query

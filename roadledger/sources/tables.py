@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from roadledger import schemas
 from roadledger.operators.hourly import BUCKET
-from roadledger.session import is_complete, path_exists, written
+from roadledger.session import path_exists
+from roadledger.sources.layers import Layered
 
 
 def only_new(
@@ -50,34 +53,25 @@ def replace_buckets(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
-def upsert_rollup(fresh: DataFrame, path: str, stage: str) -> None:
+def rollup_table(path: str) -> Layered:
+    return Layered(path, BUCKET, "bucket_date", ("fleet_id", "hour_bucket"))
+
+
+def upsert_rollup(fresh: DataFrame, path: str, writer: str, number: int = 0, compact_after: int = 32) -> bool:
     """Insert fresh buckets or overwrite the stored ones with the same key.
 
-    Only dates present in ``fresh`` are read and rewritten. The merged dates are first written to
-    ``stage``, a folder of this run in shared storage; the table is then overwritten from it. A
-    run that died in between is finished by calling it again with the same ``stage``: a complete
-    stage is published as it is, so the rows it carried over cannot be lost.
+    Only the fresh rows are written, as one change of ``writer``; readers see them in place of the
+    stored ones. A number that is in already changes nothing, so a job that is run again, or died
+    before its change was committed, is simply called again. Every ``compact_after`` changes the
+    touched dates are folded into the base.
     """
-    spark = fresh.sparkSession
-    if not is_complete(spark, stage):
-        merged = fresh
-        if path_exists(spark, path):
-            # Read several times below, so the aggregation behind it should run only once.
-            fresh = written(fresh, f"{stage}-fresh", reuse=True)
-            # One value per calendar day; a literal list lets Spark skip the other directories.
-            dates = [row[0] for row in fresh.select("bucket_date").distinct().collect()]
-            stored = spark.read.schema(fresh.schema).parquet(path)
-            merged = replace_buckets(stored.filter(F.col("bucket_date").isin(dates)), fresh)
-        _write_by_date(merged, stage, "static")
-    _write_by_date(spark.read.schema(fresh.schema).parquet(stage), path, "dynamic")
-
-
-def _write_by_date(rollup: DataFrame, path: str, overwrite: str) -> None:
-    (
-        rollup.hint("rebalance", F.col("bucket_date"))
-        .sortWithinPartitions("bucket_date", "fleet_id", "hour_bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", overwrite)
-        .partitionBy("bucket_date")
-        .parquet(path)
-    )
+    table = rollup_table(path)
+    done = table.append(fresh, writer, number)
+    if done:
+        table.compact(fresh.sparkSession, fresh.schema, compact_after)
+    return done
+
+
+def read_rollup_table(spark: SparkSession, path: str, key: T.DataType = T.StringType()) -> DataFrame:
+    """The stored rollup, each bucket once; empty if nobody has written it."""
+    return rollup_table(path).read(spark, schemas.hourly(key))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from roadledger.operators.latest import VEHICLE, newest_per_vehicle
+from roadledger import schemas
+from roadledger.operators.latest import VEHICLE
+from roadledger.session import query_label
+from roadledger.sources.layers import Layered
 
 STATE_COLUMNS = ("id", "recorded_at", "speed", "latitude", "longitude", "battery_level")
 
@@ -17,17 +21,28 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy(*VEHICLE).agg(newest.alias("newest")).select(*VEHICLE, "newest.*")
 
 
+def state_table(path: str) -> Layered:
+    return Layered(path, VEHICLE, newest_by=("recorded_at", "id"))
+
+
 def start_latest(
-    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, compact_after: int = 16
 ) -> StreamingQuery:
-    """Write the changed vehicles of each batch under the batch's own folder."""
+    """Put the changed vehicles of each batch on top of the state; fold them in every few batches.
+
+    A repeated batch is not put in twice. After a fresh start the newest event of a vehicle still
+    counts, whichever query brought it.
+    """
+    state = latest_state(events)
+    table, schema = state_table(path), state.schema
 
     def run(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = changed.sparkSession
+        table.append(changed, query_label(spark, checkpoint), batch_id)
+        table.compact(spark, schema, compact_after)
 
     return (
-        latest_state(events)
-        .writeStream.outputMode("update")
+        state.writeStream.outputMode("update")
         .foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
@@ -35,7 +50,7 @@ def start_latest(
     )
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The current state: the newest of all written changes per vehicle."""
-    changes = newest_per_vehicle(spark.read.parquet(path).drop("batch"))
-    return changes.select(*VEHICLE, *STATE_COLUMNS[2:], "recorded_at")
+def read_latest(spark: SparkSession, path: str, key: T.DataType = T.StringType()) -> DataFrame:
+    """The current state: one snapshot and the batches after it."""
+    columns = T.StructType([schemas.core_events(key)[name] for name in (*VEHICLE, *STATE_COLUMNS)])
+    return state_table(path).read(spark, columns).select(*VEHICLE, *STATE_COLUMNS[2:], "recorded_at")

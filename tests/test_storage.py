@@ -6,15 +6,15 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadledger import schemas
 from roadledger.functions import expressions as X
 from roadledger.operators import hourly, quality, rollup
 from roadledger.operators.filters import between, hour_slice
-from roadledger.session import is_complete
 from roadledger.sources import events as source
 from roadledger.sources import fixtures as fx
-from roadledger.sources import tables, upgrade
+from roadledger.sources import layers, tables, upgrade
 from roadledger.streaming import rollup as stream_rollup
 
 UTC = timezone.utc
@@ -111,16 +111,16 @@ def test_upsert_twice_is_once_and_late_events_change_only_their_bucket(spark, tm
         event(3, at(1, 6), "30"), event(4, at(2, 7), "40"),
     ])
     source.append_events(first, events, "first")
-    for run in ("1", "1", "2"):
-        stream_rollup.refresh_rollup(first, events, table, str(tmp_path / "stage" / run))
-    key = schemas.hourly(first.schema["fleet_id"].dataType)
-    before = {r.hour_bucket: r for r in source.read_dimension(spark, table, key).collect()}
+    for number in (1, 1, 2):
+        stream_rollup.refresh_rollup(first, events, table, "job", number)
+    key = first.schema["fleet_id"].dataType
+    before = {r.hour_bucket: r for r in tables.read_rollup_table(spark, table, key).collect()}
     assert len(before) == 3
 
     late = full(spark, [event(5, at(1, 5, 59), "61", battery=5)])
     source.append_events(late, events, "late")
-    stream_rollup.refresh_rollup(late, events, table, str(tmp_path / "stage" / "3"))
-    after = {r.hour_bucket: r for r in source.read_dimension(spark, table, key).collect()}
+    stream_rollup.refresh_rollup(late, events, table, "job", 3)
+    after = {r.hour_bucket: r for r in tables.read_rollup_table(spark, table, key).collect()}
     changed = {hour for hour in after if after[hour] != before[hour]}
     assert len(after) == 3 and len(changed) == 1
     row = after[changed.pop()]
@@ -129,37 +129,114 @@ def test_upsert_twice_is_once_and_late_events_change_only_their_bucket(spark, tm
     )
 
 
-def test_upsert_is_finished_from_its_stage(spark, tmp_path, monkeypatch):
-    """A run that dies while it replaces the table loses no carried-over row."""
-    table, stage = str(tmp_path / "hourly"), str(tmp_path / "stage")
+def test_an_upsert_writes_only_its_own_rows(spark, tmp_path):
+    table = str(tmp_path / "hourly")
+    rows = full(spark, [event(k, at(1 + k % 20, k % 24), vehicle=k) for k in range(500)])
+    tables.upsert_rollup(hourly.rollup_rows(rows), table, "load")
+    fresh = hourly.rollup_rows(rows.filter("id = 7").withColumn("speed", F.lit(99).cast("decimal(6,2)")))
+    assert tables.upsert_rollup(fresh, table, "job") and not tables.upsert_rollup(fresh, table, "job")
+    assert spark.read.parquet(f"{table}/changes/change=job-0").count() == 1
+    stored = tables.read_rollup_table(spark, table, T.LongType())
+    assert stored.count() == 500 and stored.filter("max_speed = 99").count() == 1
+    one_day = stored.filter(F.col("bucket_date") == F.lit(date(2024, 1, 3)))._jdf.queryExecution().executedPlan().toString()
+    assert one_day.count("bucket_date") > 2 and "PartitionFilters: []" not in one_day
+
+
+def test_an_upsert_that_died_halfway_is_put_in_when_run_again(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "hourly")
     rows = full(spark, [event(1, at(1, 5)), event(2, at(1, 9), vehicle=2)])
-    tables.upsert_rollup(hourly.rollup_rows(rows), table, stage + "0")
+    tables.upsert_rollup(hourly.rollup_rows(rows), table, "load")
     fresh = hourly.rollup_rows(rows.filter("id = 1").withColumn("speed", F.lit(99).cast("decimal(6,2)")))
-    publish = tables._write_by_date
+    key = T.LongType()
 
-    def dies(rollup_df, path, overwrite):
-        if overwrite == "dynamic":
-            raise RuntimeError("lost")
-        publish(rollup_df, path, overwrite)
+    def dies(*_):
+        raise RuntimeError("lost")
 
-    monkeypatch.setattr(tables, "_write_by_date", dies)
+    monkeypatch.setattr(layers.Layered, "_commit", dies)
+    with pytest.raises(RuntimeError):
+        tables.upsert_rollup(fresh, table, "job")
     with pytest.raises(RuntimeError):
-        tables.upsert_rollup(fresh, table, stage + "1")
+        tables.rollup_table(table).compact(spark, fresh.schema)
     monkeypatch.undo()
-    assert is_complete(spark, stage + "1")
-    spark.createDataFrame([], fresh.schema).write.mode("overwrite").parquet(table)
-    tables.upsert_rollup(fresh, table, stage + "1")
-    stored = spark.read.schema(fresh.schema).parquet(table)
+    # What was written is not named by any version.
+    assert sorted(r.max_speed for r in tables.read_rollup_table(spark, table, key).collect()) == [50, 50]
+    assert tables.upsert_rollup(fresh, table, "job")
+    assert tables.rollup_table(table).compact(spark, fresh.schema)
+    stored = tables.read_rollup_table(spark, table, key)
     assert sorted(r.max_speed for r in stored.collect()) == [50, 99]
+    tables.rollup_table(table).clean(spark, keep=1)
+    assert len(list((tmp_path / "hourly" / "base" / "bucket_date=2024-01-01").glob("generation=*"))) == 1
+    assert not list((tmp_path / "hourly" / "changes").glob("change=*"))
+    assert sorted(r.max_speed for r in tables.read_rollup_table(spark, table, key).collect()) == [50, 99]
+
+
+def test_compaction_and_writers_keep_each_others_rows(spark, tmp_path, monkeypatch):
+    table, key = str(tmp_path / "hourly"), T.LongType()
+    rows = full(spark, [event(k, at(k, 5)) for k in range(1, 6)])
+    for k in range(1, 4):
+        tables.upsert_rollup(hourly.rollup_rows(rows.filter(f"id = {k}")), table, "a", k)
+    layered, schema = tables.rollup_table(table), schemas.hourly(key)
+    commit = layers.Layered._commit
+
+    def meanwhile(self, session, change):
+        """Another writer commits between this compaction's read and its own commit."""
+        monkeypatch.setattr(layers.Layered, "_commit", commit)
+        late = rows.filter("id IN (2, 4)").withColumn("speed", F.lit(77).cast("decimal(6,2)"))
+        tables.upsert_rollup(hourly.rollup_rows(late), table, "b")
+        return commit(self, session, change)
+
+    monkeypatch.setattr(layers.Layered, "_commit", meanwhile)
+    assert layered.compact(spark, schema)
+    version = layered.version(spark)
+    assert version.changes == ["b-0"] and version.writers == {"a": 3, "b": 0}
+    found = {r.bucket_date.day: int(r.max_speed) for r in tables.read_rollup_table(spark, table, key).collect()}
+    assert found == {1: 50, 2: 77, 3: 50, 4: 77}
+
+    def twice(self, session, change):
+        monkeypatch.setattr(layers.Layered, "_commit", commit)
+        layered.compact(spark, schema)
+        return commit(self, session, change)
+
+    monkeypatch.setattr(layers.Layered, "_commit", twice)
+    with pytest.raises(layers.Conflict):
+        layered.compact(spark, schema)
+    found = {r.bucket_date.day: int(r.max_speed) for r in tables.read_rollup_table(spark, table, key).collect()}
+    assert found == {1: 50, 2: 77, 3: 50, 4: 77}
+
+
+def test_two_writers_cannot_commit_the_same_version(spark, tmp_path, monkeypatch):
+    layered = layers.Layered(str(tmp_path / "t"), ("k",))
+    rows = spark.createDataFrame([(1, "x")], "k int, v string")
+    seen = layers.Layered.version
+    old = [seen(layered, spark)]
+    layered.append(rows, "a")
+    # A writer that has read the version before the other's commit tries again on the newer one.
+    monkeypatch.setattr(layers.Layered, "version", lambda self, session: old.pop() if old else seen(self, session))
+    layered._commit(spark, lambda now: layers.replace(now, writers={**now.writers, "b": 5}))
+    monkeypatch.undo()
+    version = layered.version(spark)
+    assert version.number == 2 and version.writers == {"a": 0, "b": 5} and version.changes == ["a-0"]
+
+
+def test_changes_without_a_key_are_all_kept_and_a_table_without_changes_is_empty(spark, tmp_path):
+    layered = layers.Layered(str(tmp_path / "t"))
+    rows = spark.createDataFrame([(1, "x"), (1, "x")], "k int, v string")
+    assert layered.read(spark, rows.schema).count() == 0 and not layered.compact(spark, rows.schema)
+    for number in range(3):
+        layered.append(rows, "writer with / odd name", number)
+    assert layered.read(spark, rows.schema).count() == 6
+    layered.compact(spark, rows.schema)
+    layered.append(rows, "other")
+    assert layered.read(spark, rows.schema).count() == 8
 
 
 def test_upsert_keeps_other_dates(spark, tmp_path):
     table = str(tmp_path / "hourly")
     rows = full(spark, [event(1, at(1, 5)), event(2, at(2, 5))])
-    tables.upsert_rollup(hourly.rollup_rows(rows), table, str(tmp_path / "s0"))
+    tables.upsert_rollup(hourly.rollup_rows(rows), table, "load")
     fresh = hourly.rollup_rows(rows.filter("id = 2"), at(9, 9))
-    tables.upsert_rollup(fresh, table, str(tmp_path / "s1"))
-    stamps = spark.read.parquet(table).groupBy("bucket_date").agg(F.max("computed_at").alias("c"))
+    tables.upsert_rollup(fresh, table, "job", compact_after=1)
+    stamps = tables.read_rollup_table(spark, table, T.LongType()).groupBy("bucket_date").agg(F.max("computed_at").alias("c"))
     found = {r.bucket_date: r.c for r in stamps.collect()}
     assert set(found) == {date(2024, 1, 1), date(2024, 1, 2)}
     assert found[date(2024, 1, 1)] > found[date(2024, 1, 2)]

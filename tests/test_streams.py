@@ -11,6 +11,7 @@ from roadledger import schemas
 from roadledger.operators import hourly, latest
 from roadledger.operators.admission import TokenBucket
 from roadledger.sources import events as source
+from roadledger.sources import tables
 from roadledger.streaming import alerts, ingest, rollup
 from roadledger.streaming import latest as stream_latest
 
@@ -49,7 +50,7 @@ def run_all(spark, landing, root, bucket=TokenBucket()):
 
 
 def stored_rollup(spark, root):
-    rows = source.read_dimension(spark, f"{root}/hourly", schemas.hourly())
+    rows = tables.read_rollup_table(spark, f"{root}/hourly")
     return sorted(tuple(r) for r in rows.select(*hourly.BUCKET, *hourly.MEASURES).collect())
 
 
@@ -166,6 +167,40 @@ def test_windowed_rollup_drops_only_what_is_too_late(spark, tmp_path):
     assert counts == [(10, 2), (14, 1), (15, 1)]
 
 
+def test_what_the_watermark_drops_is_recomputed(spark, tmp_path):
+    """Late rows, a repeated batch and a batch of nothing but late rows; every bucket stays right."""
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "job")
+    paths, lates = ingest.IngestPaths(root), []
+    for step, moments in enumerate((minutes(6), minutes(4, first=30), minutes(3, first=1), minutes(2, first=2) + minutes(2, first=34))):
+        landing_file(landing, f"{step}.json", moments)
+        ingest.start_ingest(source.stream_landing(spark, landing, maxFilesPerTrigger=1), paths).awaitTermination()
+        for _ in range(2):
+            rollup.start_windowed_rollup(
+                source.stream_events(spark, paths.events), paths.events, f"{root}/hourly", f"{root}/windows"
+            ).awaitTermination()
+        late = rollup.read_late(spark, f"{root}/windows")
+        lates.append(late.count())
+        assert stored_rollup(spark, root) == batch_rollup(spark, paths)
+    # Vehicles 0 to 2 at 10:20, 10:40 and 11:00, later 0 and 1 at 10:40 and 11:00.
+    assert lates == [0, 0, 3, 5]
+
+
+def test_latest_state_is_folded_and_never_goes_back(spark, tmp_path):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "job")
+    for step in range(5):
+        landing_file(landing, f"{step}.json", minutes(3, first=(4 * step) % 5))
+        paths = run_all(spark, landing, root)
+        for checkpoint in ("one", f"fresh-{step}"):  # a query that starts over reads all events again
+            stream_latest.start_latest(
+                source.stream_events(spark, paths.events), f"{root}/latest", f"{root}/{checkpoint}", compact_after=2
+            ).awaitTermination()
+        wanted = latest.latest_events(source.read_events(spark, paths.events))
+        found = stream_latest.read_latest(spark, f"{root}/latest").select(*wanted.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    version = stream_latest.state_table(f"{root}/latest").version(spark)
+    assert len(version.base) == 1 and len(version.changes) < 2
+
+
 def test_a_fresh_checkpoint_takes_nothing_from_old_stages(spark, tmp_path):
     class Fresh(ingest.IngestPaths):
         @property
