@@ -378,6 +378,12 @@ SELECT * FROM (SELECT id, concat_ws(',',
   FROM ev) AS t WHERE reasons <> ''""")
     sql["event_store"] = over_events("""
 SELECT event_month, strftime(recorded_at, '%Y-%m-%d') AS event_date, 2 * count(*) AS event_count
+FROM ev GROUP BY 1, 2""")
+    sql["event_store_compacted"] = over_events("""
+SELECT event_month, strftime(recorded_at, '%Y-%m-%d') AS event_date, count(*) AS event_count,
+  CAST(sum(id) AS BIGINT) AS ids, CAST(1 AS BIGINT) AS parts,
+  CAST(sum(CASE WHEN scenarios = '' THEN 0 ELSE len(string_split(scenarios, ',')) END) AS BIGINT) AS labels,
+  CAST(sum(epoch_us(recorded_at) % 1000003) AS BIGINT) AS times
 FROM ev GROUP BY 1, 2""")
     sql["month_coverage"] = over_events("""
 SELECT strftime(m, '%Y-%m') AS event_month, strftime(m, '%Y-%m-%d') AS month_start,

@@ -306,6 +306,24 @@ def event_store(spark, sf_dir):
     return stored.groupBy("event_month", "event_date").agg(F.count("*").alias("event_count"))
 
 
+@query
+def event_store_compacted(spark, sf_dir):
+    """Events in twelve batches, folded twice and cleaned, a folded batch written again."""
+    path = shared_dir(spark, "event-store")
+    events = fx.vehicle_events(spark, sf_dir)
+    for batch in range(12):
+        event_source.append_events(events.filter(F.col("id") % 12 == batch), path, f"load-{batch}")
+        if batch % 6 == 5:
+            event_source.compact_events(spark, path, parts_per_date=1)
+    event_source.append_events(events.filter("id % 12 = 2"), path, "load-2")
+    event_source.clean_events(spark, path)
+    stored = event_source.read_events(spark, path)
+    return stored.groupBy("event_month", "event_date").agg(
+        F.count("*").alias("event_count"), F.sum("id").alias("ids"), F.count_distinct("ingest_batch").alias("parts"),
+        F.sum(F.size("scenarios")).alias("labels"), F.sum(F.unix_micros("recorded_at") % 1_000_003).alias("times"),
+    )
+
+
 @query
 def month_coverage(spark, sf_dir):
     return quality.month_coverage(fx.partitioned_events(spark, sf_dir), AS_OF)

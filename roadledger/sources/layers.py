@@ -32,12 +32,14 @@ ATTEMPTS = 20
 
 @dataclass(frozen=True)
 class Version:
-    """``base`` names parts as generation or partition/generation; ``writers`` the newest number of each."""
+    """``base`` names parts as generation or partition/generation; ``writers`` the newest number of
+    each; ``folded`` the names (see :class:`Names`) that have gone into the base for good."""
 
     number: int = 0
     base: list[str] = field(default_factory=list)
     changes: list[str] = field(default_factory=list)
     writers: dict[str, int] = field(default_factory=dict)
+    folded: dict[str, list[list[int]]] = field(default_factory=dict)
 
 
 class Conflict(RuntimeError):
@@ -50,46 +52,74 @@ def _folder(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def names_in(spark: SparkSession, path: str) -> list[str]:
     where, fs = _folder(spark, path)
     return sorted(status.getPath().getName() for status in fs.listStatus(where)) if fs.exists(where) else []
 
 
-@dataclass(frozen=True)
-class Layered:
-    """A table at ``path``. Of rows with one ``key`` the newest change counts; without a key all do.
+def delete(spark: SparkSession, path: str) -> None:
+    where, fs = _folder(spark, path)
+    fs.delete(where, True)
 
-    With ``newest_by`` the greatest of these columns counts instead, whichever change it came with.
-    ``partition`` is a column to partition by; base files are sorted by ``sort``.
-    """
 
-    path: str
-    key: tuple[str, ...] = ()
-    partition: str | None = None
-    sort: tuple[str, ...] = ()
-    newest_by: tuple[str, ...] = ()
+class Names:
+    """A set of names; those that end in a number are kept as ranges, so running numbers stay short."""
+
+    def __init__(self, ranges: dict[str, list[list[int]]] | None = None):
+        self.ranges = {prefix: [list(r) for r in known] for prefix, known in (ranges or {}).items()}
+
+    @staticmethod
+    def _split(name: str) -> tuple[str, int]:
+        prefix, number = re.fullmatch(r"(.*?)(0|[1-9]\d{0,15})?", name, re.DOTALL).groups()
+        return (prefix, int(number)) if number else (f"{name}\0", 0)
+
+    def __contains__(self, name: str) -> bool:
+        prefix, number = self._split(name)
+        return any(low <= number <= high for low, high in self.ranges.get(prefix, ()))
+
+    def add(self, name: str) -> None:
+        if name not in self:
+            prefix, number = self._split(name)
+            joined: list[list[int]] = []
+            for low, high in sorted([*self.ranges.get(prefix, []), [number, number]]):
+                if joined and low == joined[-1][1] + 1:
+                    joined[-1][1] = high
+                else:
+                    joined.append([low, high])
+            self.ranges[prefix] = joined
+
+
+class VersionLog:
+    """The numbered versions of the table at ``path``."""
+
+    def __init__(self, path: str):
+        self.path = f"{path}/_versions"
 
-    def version(self, spark: SparkSession) -> Version:
-        found = [name for name in _names(spark, f"{self.path}/_versions") if re.fullmatch(r"\d+\.json", name)]
-        if not found:
-            return Version()
-        where, fs = _folder(spark, f"{self.path}/_versions/{found[-1]}")
+    def names(self, spark: SparkSession) -> list[str]:
+        return [name for name in names_in(spark, self.path) if re.fullmatch(r"\d+\.json", name)]
+
+    def load(self, spark: SparkSession, name: str) -> Version:
+        where, fs = _folder(spark, f"{self.path}/{name}")
         stream = fs.open(where)
         try:
             return Version(**json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
         finally:
             stream.close()
 
-    def _commit(self, spark: SparkSession, change: Callable[[Version], Version]) -> Version:
+    def newest(self, spark: SparkSession) -> Version:
+        found = self.names(spark)
+        return self.load(spark, found[-1]) if found else Version()
+
+    def commit(self, spark: SparkSession, change: Callable[[Version], Version]) -> Version:
         """Apply ``change`` to the newest version and make the result the next one."""
         for _ in range(ATTEMPTS):
-            before = self.version(spark)
+            before = self.newest(spark)
             after = replace(change(before), number=before.number + 1)
-            draft, fs = _folder(spark, f"{self.path}/_versions/_{uuid.uuid4().hex}")
+            draft, fs = _folder(spark, f"{self.path}/_{uuid.uuid4().hex}")
             stream = fs.create(draft)
             stream.write(bytearray(json.dumps(asdict(after)).encode()))
             stream.close()
-            final, _ = _folder(spark, f"{self.path}/_versions/{after.number:020}.json")
+            final, _ = _folder(spark, f"{self.path}/{after.number:020}.json")
             context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration())
             none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
             try:
@@ -98,9 +128,28 @@ class Layered:
             except Exception as error:
                 fs.delete(draft, False)
                 if not fs.exists(final):
-                    raise RuntimeError(f"version {after.number} of {self.path} could not be committed") from error
+                    raise RuntimeError(f"version {after.number} in {self.path} could not be committed") from error
         raise RuntimeError(f"{self.path}: other writers were faster {ATTEMPTS} times")
 
+
+@dataclass(frozen=True)
+class Layered:
+    """A table at ``path``. Of rows with one ``key`` the newest change counts; without a key all do.
+
+    With ``newest_by`` the greatest of these columns counts instead, whichever change it came with.
+    ``partition`` is a column to partition by; base files are sorted by ``sort``.
+    """
+
+    path: str
+    key: tuple[str, ...] = ()
+    partition: str | None = None
+    sort: tuple[str, ...] = ()
+    newest_by: tuple[str, ...] = ()
+
+    @property
+    def log(self) -> VersionLog:
+        return VersionLog(self.path)
+
     def append(self, rows: DataFrame, writer: str, number: int = 0) -> bool:
         """Put rows on top as the ``number``-th change of a writer; False if it (or a later one) is in.
 
@@ -108,13 +157,13 @@ class Layered:
         before its writer died is committed as it is.
         """
         spark = rows.sparkSession
-        if self.version(spark).writers.get(writer, -1) >= number:
+        if self.log.newest(spark).writers.get(writer, -1) >= number:
             return False
         name = f"{re.sub(r'[^A-Za-z0-9_.-]', '_', writer)}-{number}"
         folder = f"{self.path}/changes/change={name}"
         if not is_complete(spark, folder):
             self._laid_out(rows).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder, partitionBy=self.partition)
-        self._commit(
+        self.log.commit(
             spark,
             lambda now: replace(now, changes=[*(c for c in now.changes if c != name), name], writers={**now.writers, writer: number}),
         )
@@ -144,7 +193,7 @@ class Layered:
         Only live folders are listed in the plan. The base is not shuffled for a few changes: it
         loses the keys of the changes by an anti join.
         """
-        version = version or self.version(spark)
+        version = version or self.log.newest(spark)
         base = changes = None
         if version.base:
             base = self._stored(spark, schema, "base", "generation").filter(self._part("generation").isin(version.base)).select(*schema.names)
@@ -167,7 +216,7 @@ class Layered:
 
     def compact(self, spark: SparkSession, schema: T.StructType, at_least: int = 1) -> bool:
         """Fold the changes into the base if there are so many; only partitions they touch are written."""
-        start = self.version(spark)
+        start = self.log.newest(spark)
         if len(start.changes) < at_least:
             return False
         generation = f"{start.number}-{uuid.uuid4().hex[:8]}"
@@ -191,7 +240,7 @@ class Layered:
             kept = [part for part in now.base if part not in set(replaced(start))]
             return replace(now, base=kept + fresh, changes=[c for c in now.changes if c not in set(start.changes)])
 
-        self._commit(spark, folded)
+        self.log.commit(spark, folded)
         return True
 
     def clean(self, spark: SparkSession, keep: int = 3) -> None:
@@ -199,26 +248,21 @@ class Layered:
 
         Not while a writer is at work whose change is not committed yet.
         """
-        names = [name for name in _names(spark, f"{self.path}/_versions") if name.endswith(".json")]
+        names = self.log.names(spark)
         live: set[str] = set()
-        for name in names[-keep:]:
-            where, fs = _folder(spark, f"{self.path}/_versions/{name}")
-            stream = fs.open(where)
-            version = Version(**json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-            stream.close()
+        for version in (self.log.load(spark, name) for name in names[-keep:]):
             live |= {f"changes/change={c}" for c in version.changes}
             for part in version.base:
                 value, _, generation = part.rpartition("/")
                 live.add(f"base/{self.partition}={value}/generation={generation}" if value else f"base/generation={generation}")
-        stored = [f"changes/{name}" for name in _names(spark, f"{self.path}/changes")]
-        for name in _names(spark, f"{self.path}/base"):
-            inner = _names(spark, f"{self.path}/base/{name}") if self.partition and "=" in name else []
+        stored = [f"changes/{name}" for name in names_in(spark, f"{self.path}/changes")]
+        for name in names_in(spark, f"{self.path}/base"):
+            inner = names_in(spark, f"{self.path}/base/{name}") if self.partition and "=" in name else []
             stored += [f"base/{name}/{part}" for part in inner] or [f"base/{name}"]
         dead = [name for name in stored if "=" in name and name not in live]
         dead += [f"_versions/{name}" for name in names[:-keep]]
         for name in dead:
-            where, fs = _folder(spark, f"{self.path}/{name}")
-            fs.delete(where, True)
+            delete(spark, f"{self.path}/{name}")
 
 
 def _first(rows: DataFrame, key: tuple[str, ...], order: list[Column]) -> DataFrame:

@@ -49,6 +49,62 @@ def test_same_batch_twice_is_one_append(spark, tmp_path):
     assert stored.filter("ingested_at IS NULL OR scenarios IS NULL").count() == 0
 
 
+def test_compaction_leaves_few_files_and_counts_a_rewritten_batch_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "events")
+
+    def files():
+        return len([f for f in (tmp_path / "events").rglob("*.parquet") if "_versions" not in str(f)])
+
+    def ids():
+        return sorted(r.id for r in source.read_events(spark, path).collect())
+
+    for k in range(24):
+        source.append_events(full(spark, [event(k, at(1 + k % 2, 5))]), path, f"{k:03}")
+    assert files() == 24 and source.compact_events(spark, path) and ids() == list(range(24))
+    # A retry of a folded batch, before and after its folder is gone; a batch that comes later.
+    source.append_events(full(spark, [event(3, at(2, 5))]), path, "003")
+    source.clean_events(spark, path)
+    source.append_events(full(spark, [event(3, at(2, 5))]), path, "003")
+    assert files() == 2 and ids() == list(range(24))
+    source.append_events(full(spark, [event(24, at(1, 5)), event(25, at(9, 5))]), path, "3")
+    assert ids() == list(range(26)) and not source.compact_events(spark, path)
+
+    commit = layers.VersionLog.commit
+
+    def meanwhile(self, session, change):
+        monkeypatch.setattr(layers.VersionLog, "commit", commit)
+        source.append_events(full(spark, [event(26, at(9, 6))]), path, "late/one")
+        return commit(self, session, change)
+
+    monkeypatch.setattr(layers.VersionLog, "commit", meanwhile)
+    assert source.compact_events(spark, path, at_least=1, parts_per_date=1) and ids() == list(range(27))
+    assert source.compact_events(spark, path, at_least=1) and ids() == list(range(27))
+    source.clean_events(spark, path)
+    assert ids() == list(range(27)) and files() == 4
+    assert layers.VersionLog(path).newest(spark).changes == []
+
+    def twice(self, session, change):
+        monkeypatch.setattr(layers.VersionLog, "commit", commit)
+        source.compact_events(spark, path, at_least=1)
+        return commit(self, session, change)
+
+    source.append_events(full(spark, [event(27, at(9, 6))]), path, "more")
+    monkeypatch.setattr(layers.VersionLog, "commit", twice)
+    with pytest.raises(layers.Conflict):
+        source.compact_events(spark, path, at_least=1)
+    assert ids() == list(range(28))
+
+
+def test_names_keep_running_numbers_as_ranges():
+    names = layers.Names()
+    for name in ("a-3", "a-1", "a-2", "b", "a-2", "2024-01-31", "a-007", "9", "x\n1"):
+        names.add(name)
+    assert names.ranges["a-"] == [[1, 3]]
+    kept = layers.Names(json.loads(json.dumps(names.ranges)))
+    assert all(name in kept for name in ("a-1", "a-2", "a-3", "b", "2024-01-31", "a-007", "9", "x\n1"))
+    assert not any(name in kept for name in ("a-0", "a-4", "a-7", "a-07", "b0", "", "2024-01-30", "09", "x"))
+
+
 def test_time_bounds_skip_directories(spark, tmp_path):
     path = str(tmp_path / "events")
     rows = [event(i, datetime(2024, m, 10, tzinfo=UTC)) for i, m in enumerate(range(1, 7))]
@@ -152,7 +208,7 @@ def test_an_upsert_that_died_halfway_is_put_in_when_run_again(spark, tmp_path, m
     def dies(*_):
         raise RuntimeError("lost")
 
-    monkeypatch.setattr(layers.Layered, "_commit", dies)
+    monkeypatch.setattr(layers.VersionLog, "commit", dies)
     with pytest.raises(RuntimeError):
         tables.upsert_rollup(fresh, table, "job")
     with pytest.raises(RuntimeError):
@@ -176,28 +232,28 @@ def test_compaction_and_writers_keep_each_others_rows(spark, tmp_path, monkeypat
     for k in range(1, 4):
         tables.upsert_rollup(hourly.rollup_rows(rows.filter(f"id = {k}")), table, "a", k)
     layered, schema = tables.rollup_table(table), schemas.hourly(key)
-    commit = layers.Layered._commit
+    commit = layers.VersionLog.commit
 
     def meanwhile(self, session, change):
         """Another writer commits between this compaction's read and its own commit."""
-        monkeypatch.setattr(layers.Layered, "_commit", commit)
+        monkeypatch.setattr(layers.VersionLog, "commit", commit)
         late = rows.filter("id IN (2, 4)").withColumn("speed", F.lit(77).cast("decimal(6,2)"))
         tables.upsert_rollup(hourly.rollup_rows(late), table, "b")
         return commit(self, session, change)
 
-    monkeypatch.setattr(layers.Layered, "_commit", meanwhile)
+    monkeypatch.setattr(layers.VersionLog, "commit", meanwhile)
     assert layered.compact(spark, schema)
-    version = layered.version(spark)
+    version = layered.log.newest(spark)
     assert version.changes == ["b-0"] and version.writers == {"a": 3, "b": 0}
     found = {r.bucket_date.day: int(r.max_speed) for r in tables.read_rollup_table(spark, table, key).collect()}
     assert found == {1: 50, 2: 77, 3: 50, 4: 77}
 
     def twice(self, session, change):
-        monkeypatch.setattr(layers.Layered, "_commit", commit)
+        monkeypatch.setattr(layers.VersionLog, "commit", commit)
         layered.compact(spark, schema)
         return commit(self, session, change)
 
-    monkeypatch.setattr(layers.Layered, "_commit", twice)
+    monkeypatch.setattr(layers.VersionLog, "commit", twice)
     with pytest.raises(layers.Conflict):
         layered.compact(spark, schema)
     found = {r.bucket_date.day: int(r.max_speed) for r in tables.read_rollup_table(spark, table, key).collect()}
@@ -207,14 +263,14 @@ def test_compaction_and_writers_keep_each_others_rows(spark, tmp_path, monkeypat
 def test_two_writers_cannot_commit_the_same_version(spark, tmp_path, monkeypatch):
     layered = layers.Layered(str(tmp_path / "t"), ("k",))
     rows = spark.createDataFrame([(1, "x")], "k int, v string")
-    seen = layers.Layered.version
-    old = [seen(layered, spark)]
+    seen = layers.VersionLog.newest
+    old = [seen(layered.log, spark)]
     layered.append(rows, "a")
     # A writer that has read the version before the other's commit tries again on the newer one.
-    monkeypatch.setattr(layers.Layered, "version", lambda self, session: old.pop() if old else seen(self, session))
-    layered._commit(spark, lambda now: layers.replace(now, writers={**now.writers, "b": 5}))
+    monkeypatch.setattr(layers.VersionLog, "newest", lambda self, session: old.pop() if old else seen(self, session))
+    layered.log.commit(spark, lambda now: layers.replace(now, writers={**now.writers, "b": 5}))
     monkeypatch.undo()
-    version = layered.version(spark)
+    version = layered.log.newest(spark)
     assert version.number == 2 and version.writers == {"a": 0, "b": 5} and version.changes == ["a-0"]
 
 

@@ -185,6 +185,17 @@ def test_what_the_watermark_drops_is_recomputed(spark, tmp_path):
     assert lates == [0, 0, 3, 5]
 
 
+def test_streams_follow_the_events_through_compaction(spark, tmp_path):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "job")
+    for step in range(4):
+        landing_file(landing, f"{step}.json", minutes(3, first=step))
+        paths = run_all(spark, landing, root)
+        assert source.compact_events(spark, paths.events, at_least=1)
+        source.clean_events(spark, paths.events)
+        assert source.read_events(spark, paths.events).count() == 3 * (step + 1)
+        assert stored_rollup(spark, root) == batch_rollup(spark, paths)
+
+
 def test_latest_state_is_folded_and_never_goes_back(spark, tmp_path):
     landing, root = str(tmp_path / "landing"), str(tmp_path / "job")
     for step in range(5):
@@ -197,7 +208,7 @@ def test_latest_state_is_folded_and_never_goes_back(spark, tmp_path):
         wanted = latest.latest_events(source.read_events(spark, paths.events))
         found = stream_latest.read_latest(spark, f"{root}/latest").select(*wanted.columns)
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
-    version = stream_latest.state_table(f"{root}/latest").version(spark)
+    version = stream_latest.state_table(f"{root}/latest").log.newest(spark)
     assert len(version.base) == 1 and len(version.changes) < 2
 
 
