@@ -38,6 +38,8 @@ from roadledger.session import shared_dir, written
 # The most crowded seconds that are broadcast: two keys and a number each, a few megabytes.
 MAX_CROWDED = 100_000
 EARLIEST = -(2**62)
+# Seconds granted in part that are sent to all tasks: four numbers and an id each, tens of megabytes.
+BROADCAST_SECONDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -92,18 +94,18 @@ def grants(
     A bucket's clock never runs back: events that arrive late, with a second before that of the
     carried bucket, meet the bucket as it is (``clock`` is the second at which they are judged).
 
-    The counts and the blocks are written, so events are read once.
+    Seconds and blocks are written, so events are read once.
     """
     spark = events.sparkSession
     folder = shared_dir(spark, "admission")
-    counts = written(requests_per_second(events, arrival), f"{folder}/counts")
+    counts = requests_per_second(events, arrival)
     counts = counts.withColumn("block", F.floor(F.col("second") / block_seconds).cast("bigint"))
     if initial is None:
         counts = counts.withColumn("clock", F.col("second"))
     else:
         carried = initial.select("fleet_id", F.col("second").alias("carried"))
         counts = counts.join(carried, "fleet_id", "left").withColumn("clock", F.greatest("second", "carried")).drop("carried")
-    seconds = _steps(counts, bucket)
+    seconds = written(_steps(counts, bucket), f"{folder}/seconds")
     blocks = written(_planned(_blocks(seconds), bucket, initial), f"{folder}/blocks")
     n_short, n_unsolved = blocks.agg(F.count_if("short"), F.count_if(_to_solve())).first()
     if n_unsolved:
@@ -279,11 +281,18 @@ def admit(
     times and should be a written table; it has one row per fleet and active second.
 
     Seconds granted in full need no look at single events. For a second granted in part, the
-    last admitted event is found by ranking. A second so crowded that one task should not handle
-    it is dealt out over several by salt, each keeping at most ``capacity`` candidates.
+    last admitted event is found by ranking, and written with the second. A second so crowded that
+    one task should not handle it is dealt out over several by salt, each keeping at most
+    ``capacity`` candidates. Up to ``BROADCAST_SECONDS`` such seconds are sent to the events, which
+    then are not shuffled at all; beyond, both are shuffled.
     """
+    spark = events.sparkSession
+    partly = F.col("granted") < F.col("requested")
+    total, n_short, most = granted.agg(F.sum("requested"), F.count_if(partly), F.max(F.when(partly, F.col("requested")))).first()
+    if not n_short:
+        return events.withColumn("admitted", F.lit(True))
+    sent = F.broadcast if n_short <= BROADCAST_SECONDS else lambda rows: rows
     second = F.unix_seconds(arrival)
-    total = granted.agg(F.sum("requested")).first()[0] or 0
     # A crowded second has more than per_salt events, so there are fewer than MAX_CROWDED of them.
     per_salt = max(rows_per_salt, total // MAX_CROWDED)
     short = granted.filter(F.col("granted") < F.col("requested")).select(
@@ -302,30 +311,34 @@ def admit(
 
     slim = events.select("fleet_id", second.alias("second"), F.col(arrival).alias("arrival"), "id")
     arrived = [F.asc("arrival"), F.asc("id")]
-    per_salt_rank = Window.partitionBy("fleet_id", "second", "salt").orderBy(*arrived)
-    per_second_rank = Window.partitionBy("fleet_id", "second").orderBy(*arrived)
+    if most > per_salt:
+        per_salt_rank = Window.partitionBy("fleet_id", "second", "salt").orderBy(*arrived)
+        candidates = (
+            dealt(slim)
+            .join(sent(for_every_salt(short.filter("granted > 0"))), ["fleet_id", "second", "salt"])
+            .withColumn("rank", F.row_number().over(per_salt_rank))
+            .filter(F.col("rank") <= bucket.capacity)
+        )
+    else:
+        candidates = slim.join(sent(short.filter("granted > 0")), ["fleet_id", "second"])
     cutoffs = (
-        dealt(slim)
-        .join(for_every_salt(short.filter("granted > 0")), ["fleet_id", "second", "salt"])
-        .withColumn("rank", F.row_number().over(per_salt_rank))
-        .filter(F.col("rank") <= bucket.capacity)
-        .withColumn("rank", F.row_number().over(per_second_rank))
+        candidates.withColumn("rank", F.row_number().over(Window.partitionBy("fleet_id", "second").orderBy(*arrived)))
         .filter(F.col("rank") == F.col("granted"))
         .select("fleet_id", "second", F.struct("arrival", "id").alias("cutoff"))
     )
-
-    limits = for_every_salt(
-        short.join(cutoffs, ["fleet_id", "second"], "left").select(
-            "fleet_id", "second", "salts", F.lit(True).alias("short"), "cutoff"
-        )
+    limits = short.join(cutoffs, ["fleet_id", "second"], "left").select(
+        "fleet_id", "second", "salts", F.lit(True).alias("short"), "cutoff"
     )
+    limits = written(limits, shared_dir(spark, "admission-limits"))
     arrived_as = F.struct(F.col(arrival).alias("arrival"), F.col("id").alias("id"))
     within = F.coalesce(arrived_as <= F.col("cutoff"), F.lit(False))
-    return (
-        dealt(events.withColumn("second", second))
-        .join(limits, ["fleet_id", "second", "salt"], "left")
-        .select(*events.columns, (F.col("short").isNull() | within).alias("admitted"))
-    )
+    admitted = (F.col("short").isNull() | within).alias("admitted")
+    if n_short <= BROADCAST_SECONDS or most <= per_salt:
+        limits = sent(limits)
+        found = events.withColumn("second", second).join(limits, ["fleet_id", "second"], "left")
+    else:
+        found = dealt(events.withColumn("second", second)).join(for_every_salt(limits), ["fleet_id", "second", "salt"], "left")
+    return found.select(*events.columns, admitted)
 
 
 def outcomes(granted: DataFrame) -> DataFrame:
@@ -349,47 +362,78 @@ def _solve(bucket: TokenBucket):
     full, parts = bucket.full, bucket.parts
     names = ["fleet_id", "block", "low", "top", "shift", "capped", "starts", "ends", "slopes"]
 
+    def after(level: int, cost: int) -> int:
+        return level - cost if level >= cost else level % parts
+
+    def joined(pieces: list) -> list:
+        """Neighbouring pieces that are one straight line put together."""
+        out = pieces[:1]
+        for piece in pieces[1:]:
+            start, level, slope, end = out[-1]
+            if slope == piece[2] and piece[1] == level + slope * (end - start):
+                out[-1] = (start, level, slope, piece[3])
+            else:
+                out.append(piece)
+        return out
+
+    def stepped(pieces: list, gain: int, cost: int) -> list:
+        """Each piece after one second: cut where the bucket is full and between whole tokens."""
+        out = []
+        for start, level, slope, end in pieces:
+            level += gain
+            if slope:
+                under = min(end, start + max(0, full - level + 1))
+                while start < under:
+                    stop = min(under, start + parts - level % parts)
+                    out.append((start, after(level, cost), 1, stop))
+                    level += stop - start
+                    start = stop
+            if start < end:
+                out.append((start, after(min(level, full), cost), 0, end))
+        return joined(out)
+
+    def refused_now(pieces: list, first: int, last: int, gained: int) -> list:
+        """Fractions first to last - 1 are left with what they have gained, beyond whole tokens."""
+        out = [(start, level, slope, min(end, first)) for start, level, slope, end in pieces if start < first]
+        turn = max(first, min(last, parts - gained))  # from here on the fraction has wrapped
+        if first < turn:
+            out.append((first, first + gained, 1, turn))
+        if turn < last:
+            out.append((turn, turn + gained - parts, 1, last))
+        for start, level, slope, end in pieces:
+            if end > last:
+                out.append((max(start, last), level + slope * (max(start, last) - start), slope, end))
+        return joined(out)
+
     def solve(gains: list, costs: list) -> tuple:
         """End level of a block as a function of its start level.
 
         Starts below ``low`` are refused something before they meet the full bucket, those above
         ``top`` reach it first, the others meet neither and move by ``shift``. All that reach it are
         one from then on. All of one fraction that are refused are one, too: the fraction is what
-        a refusal leaves. So there are no more than parts + 1 levels to follow; the last is the
-        capped one. The ends of the refused are kept as straight pieces over the fraction.
+        a refusal leaves. Their levels are kept as straight pieces (start, level, slope, end) over
+        the fraction, level or rising by one; there are a few of them, whatever the bucket.
         """
-        import numpy as np
-
         low, top, shift, gained = 0, full, 0, 0
-        level = np.zeros(parts + 1, np.int64)
-        lane = np.arange(parts + 1)
-        for step, (gain, cost) in enumerate(zip(gains, costs)):
+        pieces, capped = [(0, 0, 0, parts)], 0
+        for gain, cost in zip(gains, costs):
             gained = (gained + gain) % parts
-            level = np.minimum(level + gain, full) - cost
-            short = level < 0
-            if short.any():
-                level[short] = (level[short] + cost) % parts
+            pieces = stepped(pieces, gain, cost)
+            capped = after(min(capped + gain, full), cost)
             if low <= top:
                 bound = full - shift - gain
                 if bound < top:
-                    after = full - cost
-                    level[parts] = after if after >= 0 else full % parts
-                    top = max(bound, low - 1)
+                    capped, top = after(full, cost), max(bound, low - 1)
                 shift += gain - cost
                 if -shift > low and low <= top:
                     refused = min(-shift, top + 1)
-                    some = np.arange(low, min(refused, low + parts)) % parts
-                    level[some] = (some + gained) % parts
+                    first, count = low % parts, min(refused - low, parts)
+                    pieces = refused_now(pieces, first, min(first + count, parts), gained)
+                    if first + count > parts:
+                        pieces = refused_now(pieces, 0, first + count - parts, gained)
                     low = refused
-            elif len(level) > 1 and step % 16 == 0:
-                level, merged = np.unique(level, return_inverse=True)
-                lane = merged.reshape(-1)[lane]
-        ends = level[lane]
-        capped, ends = int(ends[parts]), ends[:parts]
-        rise = np.diff(ends)
-        bends = np.flatnonzero(np.diff(rise)) + 1
-        starts = np.unique(np.concatenate(([0], bends, bends + 1, [parts - 1])))
-        return low, top, shift, capped, starts, ends[starts], np.append(rise, 0)[starts]
+        starts, ends, slopes, _ = (list(column) for column in zip(*pieces))
+        return low, top, shift, capped, starts, ends, slopes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np

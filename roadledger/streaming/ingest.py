@@ -89,7 +89,7 @@ def ingest_batch(
             raise FileNotFoundError(f"no buckets of the batch before: {previous}")
         carried = spark.read.parquet(previous)
     granted = written(grants(events, bucket, carried), paths.batch("grants", label))
-    judged = admit(events, granted, bucket)
+    judged = admit(events, granted, bucket)  # a join with the few seconds granted in part, cheap to plan twice
     append_events(judged.filter("admitted").drop("admitted"), paths.events, label)
     if not granted.filter(F.col("granted") < F.col("requested")).isEmpty():
         # Kept, so that a sender or an operator can send them again.

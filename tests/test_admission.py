@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from roadledger.operators import admission
 from roadledger.operators.admission import TokenBucket, _solve, admit, carried_over, grants
 from roadledger.session import shared_dir, written
 from roadledger.streaming.admission import STATE_STORE_CONF, stream_grants
@@ -82,6 +83,19 @@ def test_crowded_seconds_are_dealt_out(spark):
     assert found == sequential(events, bucket)
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+@pytest.mark.parametrize("rows_per_salt", [25, 10**6])
+def test_short_seconds_are_sent_to_the_events_or_shuffled(spark, monkeypatch, most, rows_per_salt):
+    monkeypatch.setattr(admission, "BROADCAST_SECONDS", most)
+    events = random_events(8, 500, 60)
+    bucket = TokenBucket(20, 1, 4)
+    found, table = admitted_ids(spark, events, bucket, rows_per_salt=rows_per_salt)
+    assert found == sequential(events, bucket)
+    free = written(grants(frame(spark, events), TokenBucket(10_000, 1, 4)), shared_dir(spark, "grants"))
+    plan = admit(frame(spark, events), free, bucket)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_exact_thirds_do_not_drift(spark):
     """50/3 tokens per second: three seconds give exactly fifty tokens, whatever came before."""
     bucket = TokenBucket(1000, 1000, 60)
