@@ -17,6 +17,8 @@ PERCENTILES = (0.5, 0.95, 0.99)
 # Tables of a few numbers per row are broadcast up to this many rows, some ten megabytes.
 BROADCAST_ROWS = 100_000
 SALTS = 64
+# Pieces that a bracket is cut into per round.
+GRID = 64
 
 
 def invalid_counts(refused: DataFrame) -> DataFrame:
@@ -72,72 +74,38 @@ def exact_percentiles(
     by: Sequence[str] = (),
     fractions: Sequence[float] = PERCENTILES,
     accuracy: int = 20_000,
+    bound: int = 1_000_000,
 ) -> DataFrame:
     """Exact interpolated percentiles by the rule ``p * (n - 1)``: a row per group and fraction.
 
-    ``percentile`` keeps every distinct value of a group in one task. Here a quantile sketch
-    brackets each wanted rank between two values; the rows between brackets are counted, which
-    says in which range a rank falls; and only the values of those narrow ranges are counted
-    singly and sorted, each range as its own window group. The sketch steers the work; whatever
-    its error, the counts are exact and so is the result. The first two steps run at once, their
-    results being a few numbers per group.
+    ``percentile`` keeps every distinct value of a group in one task. Here brackets around the wanted
+    ranks are narrowed in rounds until none holds more than ``bound`` rows of different values, and
+    only those are counted singly and sorted, each bracket as its own window group. A quantile
+    sketch of a bracket proposes where to cut it; the rows of every piece are counted, so the result
+    is exact whatever the sketch's error. Rows outside the brackets are left behind after each
+    round, which runs at once; a group of 10**12 rows takes about three.
     """
-    spark = rows.sparkSession
     group = list(by) or ["_all"]
     present = rows.filter(F.col(value).isNotNull()).select(
         *(by or [F.lit(0).alias("_all")]), F.col(value).alias("value")
     )
-    margin = 2 / accuracy
-    cuts = sorted({min(max(p + side, 0.0), 1.0) for p in fractions for side in (-margin, margin)})
-    edges = present.groupBy(*group).agg(F.percentile_approx("value", cuts, accuracy).alias("edges"))
-    edges = written(edges, shared_dir(spark, "percentile-edges"))
-    passed = [(F.col("edges")[i] <= F.col("value")).cast("int") for i in range(len(cuts))]
-    ranged = _attach(present, edges, group).select(
-        *group, "value", reduce(Column.__add__, passed).alias("range")
-    )
-
-    # At most two ranges per fraction and group, and one more.
-    in_order = Window.partitionBy(*group).orderBy("range").rowsBetween(
+    targets, inside = narrowed(present, group, fractions, accuracy, bound)
+    by_value = Window.partitionBy(*group, "start").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    totals = (
-        ranged.groupBy(*group, "range")
+    through = F.col("start") + F.sum("n").over(by_value)
+    counted = (
+        inside.groupBy(*group, "start", "value")
         .agg(F.count("*").alias("n"))
-        .select(
-            *group,
-            "range",
-            (F.sum("n").over(in_order) - F.col("n")).alias("before"),
-            F.sum("n").over(in_order).alias("through"),
-            F.sum("n").over(Window.partitionBy(*group)).alias("total"),
-        )
-    )
-    position = F.col("fraction") * (F.col("total") - 1)
-    ranks = F.array_distinct(F.array(F.floor("position"), F.ceil("position")))
-    targets = (
-        totals.select("*", F.explode(F.lit(list(map(float, fractions)))).alias("fraction"))
-        .withColumn("position", position)
-        .withColumn("rank", F.explode(ranks))
-        .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("through")))
-        .select(*group, "range", "before", "fraction", "position", "rank")
-    )
-    targets = written(targets, shared_dir(spark, "percentile-targets"))
-
-    by_value = Window.partitionBy(*group, "range").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    through = F.col("before") + F.sum("n").over(by_value)
-    ranges = targets.select(*group, "range", "before").distinct()
-    in_ranges = (
-        _attach(ranged, ranges, [*group, "range"])
-        .groupBy(*group, "range", "before", "value")
-        .agg(F.count("*").alias("n"))
-        .select(*group, "range", "value", "n", through.alias("through"))
+        .select(*group, "start", "value", "n", through.alias("through"))
     )
     holds = (F.col("rank") < F.col("through")) & (F.col("rank") >= F.col("through") - F.col("n"))
+    columns = (*group, "fraction", "position", "rank", "value")
+    looked_up = counted.join(targets.filter("lo < hi").drop("n"), [*group, "start"]).filter(holds)
+    alone = targets.filter("lo = hi").withColumn("value", F.col("lo"))
     share = F.col("position") - F.floor("position")
     result = (
-        in_ranges.join(targets.drop("before"), [*group, "range"])
-        .filter(holds)
+        looked_up.select(*columns).unionByName(alone.select(*columns))
         .groupBy(*group, "fraction", "position")
         .agg(F.min_by("value", "rank").alias("low"), F.max_by("value", "rank").alias("high"))
     )
@@ -146,6 +114,81 @@ def exact_percentiles(
     )
 
 
+def narrowed(
+    present: DataFrame, group: list[str], fractions: Sequence[float], accuracy: int, bound: int
+) -> tuple[DataFrame, DataFrame]:
+    """The wanted ranks with their brackets, and the rows of those brackets.
+
+    A bracket is named by its ``start``, the number of rows of the group before it; it has ``n``
+    rows from ``lo`` to ``hi``. Brackets with one value only have no rows here.
+    """
+    spark = present.sparkSession
+    folder = shared_dir(spark, "percentiles")
+    margin = 2 / accuracy
+    cuts = sorted({min(max(p + side, 0.0), 1.0) for p in fractions for side in (-margin, margin)})
+    inside = present.withColumn("start", F.lit(0).cast("bigint"))
+    targets, step = None, 0
+    while True:
+        ranged, pieces = _pieces(inside, group, cuts, accuracy, f"{folder}/edges-{step}")
+        pieces = written(pieces, f"{folder}/pieces-{step}")
+        if targets is None:
+            targets = _ranks(pieces, group, fractions)
+        found = (
+            targets.select(*group, "start", "fraction", "position", "rank")
+            .join(pieces.drop("total"), [*group, "start"])
+            .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+        )
+        found = written(found, f"{folder}/ranks-{step}")
+        kept = found.filter("lo < hi").select(*group, "start", "range", "before").distinct()
+        inside = _attach(ranged, written(kept, f"{folder}/kept-{step}"), [*group, "start", "range"])
+        inside = written(inside.select(*group, "value", F.col("before").alias("start")), f"{folder}/inside-{step}")
+        done = targets.filter("lo = hi") if "lo" in targets.columns else None
+        targets = found.select(*group, "fraction", "position", "rank", F.col("before").alias("start"), "n", "lo", "hi")
+        if done is not None:
+            targets = targets.unionByName(done.select(*targets.columns))
+        if targets.filter((F.col("n") > bound) & (F.col("lo") < F.col("hi"))).isEmpty():
+            return targets, inside
+        cuts, step = [k / GRID for k in range(GRID + 1)], step + 1
+
+
+def _pieces(
+    inside: DataFrame, group: list[str], cuts: Sequence[float], accuracy: int, path: str
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with their piece of the bracket, and the pieces with their exact counts.
+
+    A cut's own value is a piece by itself, so every round leaves some values behind.
+    """
+    key = [*group, "start"]
+    edges = inside.groupBy(*key).agg(F.percentile_approx("value", list(cuts), accuracy).alias("edges"))
+    edges = written(edges, path)
+    passed = [
+        (F.col("edges")[i] < F.col("value")).cast("int") + (F.col("edges")[i] <= F.col("value")).cast("int")
+        for i in range(len(cuts))
+    ]
+    ranged = _attach(inside, edges, key).select(*key, "value", reduce(Column.__add__, passed).alias("range"))
+    in_order = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = ranged.groupBy(*key, "range").agg(
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    return ranged, pieces.select(
+        *key, "range", "n", "lo", "hi",
+        (F.col("start") + F.sum("n").over(in_order) - F.col("n")).alias("before"),
+        F.sum("n").over(Window.partitionBy(*key)).alias("total"),
+    )
+
+
+def _ranks(pieces: DataFrame, group: list[str], fractions: Sequence[float]) -> DataFrame:
+    """The one or two ranks that each percentile of a group lies at."""
+    position = F.col("fraction") * (F.col("total") - 1)
+    ranks = F.array_distinct(F.array(F.floor("position"), F.ceil("position")))
+    return (
+        pieces.select(*group, "start", "total").distinct()
+        .select("*", F.explode(F.lit(list(map(float, fractions)))).alias("fraction"))
+        .withColumn("position", position)
+        .withColumn("rank", F.explode(ranks))
+    )
+
+
 def _attach(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     """Join a written table with one row per key to the rows.
 

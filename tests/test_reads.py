@@ -184,6 +184,20 @@ def test_percentiles_are_exact(spark, shape, broadcast_rows, monkeypatch):
     assert overall == pytest.approx(np.percentile(values + [1.0, 3.0], 50))
 
 
+def test_percentiles_sort_no_more_than_the_bound(spark):
+    """Two million different values, a third of all rows equal, and a sketch that is far off."""
+    rows = spark.range(3_000_000, numPartitions=8).selectExpr("1 AS k", "IF(id < 2000000, pow(id, 3), 5000.5D) AS v")
+    values = np.sort(np.concatenate([np.arange(2_000_000, dtype=float) ** 3, np.full(1_000_000, 5000.5)]))
+    fractions = (0.1, 0.5, 0.999)
+    found = reports.exact_percentiles(rows, "v", ["k"], fractions, accuracy=30, bound=2000)
+    for row in found.collect():
+        assert row.percentile == pytest.approx(np.percentile(values, 100 * row.fraction), rel=1e-12)
+    targets, inside = reports.narrowed(rows.selectExpr("k", "v AS value"), ["k"], fractions, 30, 2000)
+    assert targets.filter("fraction = 0.1 AND lo = hi").count() > 0
+    counts = [r["count"] for r in inside.groupBy("k", "start").count().collect()]
+    assert counts and max(counts) <= 2000
+
+
 def test_histogram_and_latency(spark):
     log = spark.createDataFrame(
         [(0.002, 201), (0.2, 500), (2.0, -1), (None, 200)], "duration double, status int"
