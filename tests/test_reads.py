@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
@@ -198,6 +198,30 @@ def test_percentiles_sort_no_more_than_the_bound(spark):
     assert counts and max(counts) <= 2000
 
 
+@pytest.mark.parametrize("rows_per_slice", [10**6, 40, 3])
+def test_deep_pages_sort_only_their_slices(spark, rows_per_slice):
+    """Fleet 0 has 40 rows in one second and 30 at one time; fleet 1 is too short for the page."""
+    rows = [(k, k // 3000, 7 * k) for k in range(3100)]
+    rows += [(9000 + k, 0, 10_000 + k / 50) for k in range(40)] + [(8000 + k, 0, 12_345.5) for k in range(30)]
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    events = spark.createDataFrame(
+        [(k, f, start + timedelta(seconds=s)) for k, f, s in rows], "id long, fleet_id long, recorded_at timestamp"
+    ).withColumn("event_date", F.to_date("recorded_at"))
+    newest = sorted(((s, k) for k, f, s in rows if f == 0), reverse=True)
+    for limit, offset in ((50, 1200), (10, 1560), (400, 1300), (5, 3065), (10, 5000)):
+        page = paging.deep_page(events, limit, offset, rows_per_slice)
+        assert {r.id for r in page.collect()} == {k for _, k in newest[offset : offset + limit]}
+    page = paging.deep_page(events, 10, 1200, rows_per_slice)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual" in plan or "recorded_at#" in plan and ">=" in plan
+
+
+def test_one_fleets_deep_page_is_in_order(events):
+    deep = paging.label_page(events, "low_battery", 2, limit=8, offset=5, group_limit=6)
+    top = paging.label_page(events, "low_battery", 2, limit=8, offset=5)
+    assert [r.event_id for r in deep.collect()] == [r.event_id for r in top.collect()] and deep.count() == 8
+
+
 def test_histogram_and_latency(spark):
     log = spark.createDataFrame(
         [(0.002, 201), (0.2, 500), (2.0, -1), (None, 200)], "duration double, status int"
