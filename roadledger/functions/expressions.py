@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadledger.schemas import SPEED
+from roadledger.schemas import RAW_DECIMAL, SPEED
+
+ZONED = (
+    r"^\d{4}-\d{2}-\d{2}[tT _]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?([zZ]|[+-]\d{2}:?\d{2})$"
+)
+EPOCH_NUMBER = r"^[+-]?\d{1,15}(\.\d+)?$"
+# Numbers beyond this are milliseconds, others seconds; years 1 to 9999 can be stored.
+MOST_SECONDS = 20_000_000_000
+YEARS = (-62_135_596_800_000_000, 253_402_300_799_999_999)
 
 
 def exact_mean(total: Column, n: Column) -> Column:
@@ -28,6 +36,23 @@ def hour_of(column: str = "recorded_at") -> Column:
     return F.date_trunc("hour", F.col(column))
 
 
+def instant_of(value: Column) -> Column:
+    """A zone-aware instant from text; null for text without an offset or without a readable time.
+
+    A plain number counts seconds since 1970, or milliseconds if it is too large for that.
+    """
+    text = F.trim(value)
+    usual = text.try_cast("timestamp")
+    # Spellings the cast does not read: separators, lower-case letters, offsets without colon.
+    plain = F.concat(F.substring(text, 1, 10), F.lit("T"), F.upper(F.substring(text, 12, 40)))
+    plain = F.regexp_replace(plain, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2")
+    spelled = F.regexp_replace(plain, r"^(.{13}:\d{2})(Z|[+-]\d{2}:\d{2})$", "$1:00$2")
+    number = text.try_cast(RAW_DECIMAL)
+    micros = F.round(number * F.when(F.abs(number) > MOST_SECONDS, 1_000).otherwise(1_000_000)).try_cast("bigint")
+    counted = F.when(micros.between(*YEARS), F.timestamp_micros(micros))
+    return F.when(text.rlike(ZONED), F.coalesce(usual, spelled.try_cast("timestamp"))).when(text.rlike(EPOCH_NUMBER), counted)
+
+
 def month_of(column: str = "recorded_at") -> Column:
     return F.date_format(F.col(column), "yyyy-MM")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadledger.functions.arguments import utc
+from roadledger.functions.expressions import ZONED, instant_of
 from roadledger.functions.rules import RULES, Rule, detect
 from roadledger.schemas import (
     ACCELERATION,
@@ -33,9 +34,6 @@ FUTURE_SECONDS = 300
 CODES = {"latitude": "lat", "longitude": "lon", "battery_level": "battery", "engine_on": "engine"}
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_ZONED = (
-    r"^\d{4}-\d{2}-\d{2}[tT _]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?([zZ]|[+-]\d{2}:?\d{2})$"
-)
 _UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 _LOOSE_UUID = (
     r"^(?:urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})\}?$"
@@ -53,17 +51,6 @@ def _value(field: str) -> Column:
     return F.col(f"typed_{field}")
 
 
-def _instant(field: str) -> Column:
-    """A zone-aware instant; null for text without an offset or without a readable time."""
-    text = F.trim(F.col(field))
-    usual = text.try_cast("timestamp")
-    # Spellings the cast does not read: separators, lower-case letters, offsets without colon.
-    plain = F.concat(F.substring(text, 1, 10), F.lit("T"), F.upper(F.substring(text, 12, 40)))
-    plain = F.regexp_replace(plain, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2")
-    spelled = F.regexp_replace(plain, r"^(.{13}:\d{2})(Z|[+-]\d{2}:\d{2})$", "$1:00$2")
-    return F.when(text.rlike(_ZONED), F.coalesce(usual, spelled.try_cast("timestamp")))
-
-
 def _uuid(field: str) -> Column:
     """Lower case with hyphens; other accepted spellings are brought to that form."""
     text = F.lower(F.trim(F.col(field)))
@@ -87,7 +74,7 @@ def typed(raw: DataFrame, uuid_keys: bool = True) -> DataFrame:
     values.update(
         fleet_id=key("fleet_id"),
         vehicle_id=key("vehicle_id"),
-        recorded_at=_instant("recorded_at"),
+        recorded_at=instant_of(F.col("recorded_at")),
         weather=F.col("weather"),
         engine_on=_flag("engine_on"),
     )
@@ -131,7 +118,7 @@ def _reasons(as_of: Column, uuid_keys: bool) -> Column:
         ("zero_position", (_value("latitude") == 0) & (_value("longitude") == 0)),
     ]
     sent = F.trim(F.col("recorded_at"))
-    naive = sent.try_cast("timestamp").isNotNull() & ~sent.rlike(_ZONED)
+    naive = sent.try_cast("timestamp").isNotNull() & ~sent.rlike(ZONED)
     acceleration = _value("acceleration")
     too_large = acceleration.isNotNull() & acceleration.try_cast(ACCELERATION).isNull()
     checks += [

@@ -385,6 +385,23 @@ SELECT event_month, strftime(recorded_at, '%Y-%m-%d') AS event_date, count(*) AS
   CAST(sum(CASE WHEN scenarios = '' THEN 0 ELSE len(string_split(scenarios, ',')) END) AS BIGINT) AS labels,
   CAST(sum(epoch_us(recorded_at) % 1000003) AS BIGINT) AS times
 FROM ev GROUP BY 1, 2""")
+    key = "concat('00000000-0000-4000-8000-', lpad(CAST({0} AS VARCHAR), 12, '0'))"
+    sql["json_landing"] = over_events(f"""
+SELECT {key.format('fleet_id')} AS fleet_id, {key.format('vehicle_id')} AS vehicle_id,
+  CASE WHEN id % 3 = 2 THEN make_timestamp(epoch_us(recorded_at) // 1000 * 1000) ELSE recorded_at END AS recorded_at,
+  CASE WHEN id % 2 = 0 THEN date_trunc('second', ingested_at) END AS arrived_at,
+  CAST(speed AS DOUBLE) AS speed, battery_level,
+  concat_ws(',', CASE WHEN speed > 100 THEN 'over_speeding' END, CASE WHEN battery_level < 15 THEN 'low_battery' END) AS scenarios
+FROM ev WHERE id % 97 <> 1 AND id % 71 <> 1 AND speed BETWEEN 0 AND 500 AND battery_level BETWEEN 0 AND 100
+  AND NOT (latitude = 0 AND longitude = 0)""")
+    sql["json_landing_reasons"] = over_events("""
+SELECT reason, count(*) AS row_count FROM (
+  SELECT 'malformed_json' AS reason FROM ev WHERE id % 97 = 1
+  UNION ALL SELECT 'fleet_uuid' FROM ev WHERE id % 97 <> 1 AND id % 71 = 1
+  UNION ALL SELECT 'speed_range' FROM ev WHERE id % 97 <> 1 AND NOT speed BETWEEN 0 AND 500
+  UNION ALL SELECT 'battery_range' FROM ev WHERE id % 97 <> 1 AND NOT battery_level BETWEEN 0 AND 100
+  UNION ALL SELECT 'zero_position' FROM ev WHERE id % 97 <> 1 AND latitude = 0 AND longitude = 0) AS t
+GROUP BY reason""")
     sql["month_coverage"] = over_events("""
 SELECT strftime(m, '%Y-%m') AS event_month, strftime(m, '%Y-%m-%d') AS month_start,
   strftime(m + INTERVAL '1' MONTH, '%Y-%m-%d') AS month_end,

@@ -289,6 +289,27 @@ def quarantined_rows(spark, sf_dir):
     return validate.quarantined(_checked(spark, sf_dir)).select("id", "reasons")
 
 
+def _landed(spark, sf_dir):
+    path = fx.json_landing(spark, sf_dir, shared_dir(spark, "json-landing"))
+    rows = event_source.read_landing(spark, path)
+    return validate.check(rows, F.col("arrived_at"), uuid_keys=True)
+
+
+@query
+def json_landing(spark, sf_dir):
+    """Accepted rows of JSON files; ``arrived_at`` is null where the file's time stood in for it."""
+    fixed = F.col("arrived_at") < F.lit(datetime(2025, 1, 1, tzinfo=timezone.utc))
+    valid = validate.accepted(_landed(spark, sf_dir), keep=("arrived_at",))
+    return valid.withColumn("arrived_at", F.when(fixed, F.col("arrived_at"))).select(
+        "fleet_id", "vehicle_id", "recorded_at", "arrived_at", "speed", "battery_level", "scenarios"
+    )
+
+
+@query
+def json_landing_reasons(spark, sf_dir):
+    return validate.reason_counts(_landed(spark, sf_dir))
+
+
 @query
 def stored_range_violations(spark, sf_dir):
     events = fx.untagged_events(spark, sf_dir)

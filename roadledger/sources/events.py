@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadledger import schemas
-from roadledger.functions.expressions import json_ready, month_of
+from roadledger.functions.expressions import instant_of, json_ready, month_of
 from roadledger.schemas import EVENT_PARTITIONS, LABELS, require_columns
 from roadledger.session import path_exists, use_utc
 from roadledger.sources.layers import Conflict, Names, Version, VersionLog, delete
 
 CORRUPT = "_corrupt_record"
+RECEIVED = "received_at"
 # Batches of this name are parts that compaction has written.
 PART = "part~"
 
@@ -52,13 +53,14 @@ def stream_events(spark: SparkSession, path: str, key: T.DataType = T.StringType
 
 
 def _landing_schema() -> T.StructType:
-    return schemas.raw_event().add(CORRUPT, T.StringType(), True)
+    return schemas.raw_event().add(RECEIVED, T.StringType(), True).add(CORRUPT, T.StringType(), True)
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines, one event each, every field as text; unreadable lines in ``_corrupt_record``.
 
-    The file position is the arrival order; the file time is the arrival time.
+    The file position is the arrival order. A row arrived when its collector stamped it
+    (``received_at``), or else at the time of its file; a stamp cannot be later than the file.
     """
     reader = use_utc(spark).read.schema(_landing_schema())
     return _with_arrival(reader.option("columnNameOfCorruptRecord", CORRUPT).json(path))
@@ -71,7 +73,8 @@ def stream_landing(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def _with_arrival(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("arrived_at", F.col("_metadata.file_modification_time"))
+    stored = F.col("_metadata.file_modification_time")
+    return raw.withColumn("arrived_at", F.least(instant_of(F.col(RECEIVED)), stored)).drop(RECEIVED)
 
 
 def parse_messages(messages: DataFrame, value: str = "value", arrived: str = "timestamp"):
@@ -79,9 +82,9 @@ def parse_messages(messages: DataFrame, value: str = "value", arrived: str = "ti
     text = F.col(value).cast("string")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_json(text, _landing_schema(), options)
-    return messages.select(parsed.alias("_row"), F.col(arrived).alias("arrived_at")).select(
-        "_row.*", "arrived_at"
-    )
+    stamped = F.least(instant_of(F.col(f"_row.{RECEIVED}")), F.col(arrived)).alias("arrived_at")
+    rows = messages.select(parsed.alias("_row"), F.col(arrived)).select("_row.*", stamped)
+    return rows.drop(RECEIVED)
 
 
 def with_defaults(events: DataFrame, ingested_at: datetime | None = None) -> DataFrame:

@@ -188,3 +188,28 @@ def landing_rows(events: DataFrame) -> DataFrame:
         F.col("engine_on").cast("string"),
         F.col("ingested_at").alias("arrived_at"),
     )
+
+
+def json_landing(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """The events as JSON lines with UUID keys: times as text, seconds or milliseconds, numbers as
+    numbers or text, half of the rows stamped on receipt, fixed shares broken or with a bad key."""
+    key = "concat('00000000-0000-4000-8000-', lpad(CAST({0} AS STRING), 12, '0'))"
+    events = untagged_events(spark, sf_dir).selectExpr(
+        "id",
+        f"CASE WHEN id % 71 = 1 THEN 'fleet-1' WHEN id % 7 = 1 THEN upper(replace({key.format('fleet_id')}, '-', '')) ELSE {key.format('fleet_id')} END AS fleet_id",
+        f"{key.format('vehicle_id')} AS vehicle_id",
+        "speed", "latitude", "longitude", "battery_level",
+        """CASE id % 3 WHEN 0 THEN concat('"', date_format(recorded_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), 'Z"')
+           WHEN 1 THEN CAST(CAST(CAST(unix_micros(recorded_at) AS DECIMAL(20,0)) / 1000000 AS DECIMAL(20,6)) AS STRING)
+           ELSE CAST(unix_micros(recorded_at) DIV 1000 AS STRING) END AS moment""",
+        "date_format(ingested_at, \"yyyy-MM-dd'T'HH:mm:ss\") AS received",
+    )
+    lines = events.selectExpr(
+        "id",
+        """concat('{"fleet_id": "', fleet_id, '", "vehicle_id": "', vehicle_id, '", "speed": ',
+           IF(id % 2 = 0, CAST(speed AS STRING), concat('"', speed, '"')), ', "latitude": ', latitude,
+           ', "longitude": ', longitude, ', "battery_level": ', battery_level, ', "recorded_at": ', moment,
+           IF(id % 2 = 0, concat(', "received_at": "', received, 'Z"'), ''), '}') AS line""",
+    )
+    lines.selectExpr("IF(id % 97 = 1, left(line, 40), line) AS value").write.text(path)
+    return path

@@ -152,3 +152,36 @@ def test_values_are_parsed_once(spark):
     plan = validate.accepted(_checked(spark, VALID))._jdf.queryExecution().optimizedPlan()
     text = plan.toString()
     assert text.index("Filter") < text.index("Generate")
+
+
+@pytest.mark.parametrize(
+    "sent,micros",
+    [
+        ("1742032800", 1742032800 * 10**6), ("1742032800000", 1742032800 * 10**6), (" 1742032800.25 ", 1742032800250000),
+        ("1742032800123.5", 1742032800123500), ("0", 0), ("-86400", -86400 * 10**6), ("20000000000", None),
+        ("20000000001", 20000000001 * 1000), ("+5", 5 * 10**6), ("1e9", None), ("0x10", None), ("99999999999999999", None),
+    ],
+)
+def test_epoch_times(spark, sent, micros):
+    """Seconds or, beyond 2 * 10**10, milliseconds; what is no time or in the future is set aside."""
+    rows = spark.createDataFrame([{**GOOD, "recorded_at": sent}], schemas.raw_event())
+    row = validate.check(rows, AS_OF).select("reasons", F.unix_micros("typed_recorded_at").alias("t")).first()
+    if sent == "20000000000":
+        assert row.reasons == ["time_future"] and row.t == 2 * 10**16
+    elif micros is None:
+        assert row.reasons in (["time_type"], ["time_naive"]) and row.t is None
+    else:
+        assert row.reasons == [] and row.t == micros
+
+
+def test_arrival_is_the_collectors_stamp_or_the_files_time(spark, tmp_path):
+    stamps = ["2025-03-15T10:00:00Z", "1742032800", None, "soon", "2999-01-01T00:00:00Z"]
+    lines = [json.dumps({**GOOD, "received_at": stamp}) for stamp in stamps] + ['{"fleet_id": "x']
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    rows = source.read_landing(spark, str(tmp_path)).select("*", F.unix_seconds("arrived_at").alias("t")).collect()
+    stored = int((tmp_path / "a.json").stat().st_mtime)
+    assert [r.t for r in rows[:2]] == [1742032800] * 2 and all(abs(r.t - stored) <= 1 for r in rows[2:])
+    assert rows[5]["_corrupt_record"] == lines[5] and "received_at" not in rows[0].asDict()
+    messages = spark.createDataFrame([(lines[0], AS_OF), (lines[2], AS_OF)], "value string, timestamp timestamp")
+    parsed = source.parse_messages(messages).select(F.unix_seconds("arrived_at").alias("t")).collect()
+    assert [r.t for r in parsed] == [1742032800, int(AS_OF.timestamp())]
