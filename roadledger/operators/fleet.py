@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roadledger.functions.arguments import utc
 from roadledger.functions.expressions import battery_band, exact_mean
-from roadledger.operators.filters import for_keys
+from roadledger.operators.filters import between, for_keys
 
 # Fixed value: a vehicle was low on battery once it reported less than this.
 SUMMARY_LOW_BATTERY = 20
@@ -38,6 +38,37 @@ def fleet_summary(
             F.count(F.when(recent, F.col("speed"))).alias("speed_count"),
         )
     )
+    return _summed(per_vehicle, fleet_id, clock)
+
+
+def summary_from_rollup(
+    rollup: DataFrame, events: DataFrame, fleet_id: Any = None, as_of: datetime | None = None
+) -> DataFrame:
+    """The same summary from the stored rollup and the events of the last hour.
+
+    The rollup has a row per vehicle and hour, with the lowest battery level; only what the last hour
+    asks for comes from events, whose time bounds skip all other dates. Vehicles that the rollup
+    does not know yet are counted from those events.
+    """
+    clock = utc(as_of)
+    low = F.col("low") < SUMMARY_LOW_BATTERY
+    stored = (
+        for_keys(rollup, fleet_id).groupBy("fleet_id", "vehicle_id").agg(F.min("min_battery").alias("low"))
+        .select("fleet_id", "vehicle_id", F.lit(False).alias("active"), low.alias("low"), F.lit(None).cast("decimal(16,2)").alias("speed_sum"), F.lit(0).cast("bigint").alias("speed_count"))
+    )
+    recent = (
+        between(for_keys(events, fleet_id), start=clock - timedelta(hours=1)).groupBy("fleet_id", "vehicle_id")
+        .agg(F.min("battery_level").alias("low"), F.sum("speed").alias("speed_sum"), F.count("speed").alias("speed_count"))
+        .select("fleet_id", "vehicle_id", F.lit(True).alias("active"), low.alias("low"), "speed_sum", "speed_count")
+    )
+    per_vehicle = stored.unionByName(recent).groupBy("fleet_id", "vehicle_id").agg(
+        F.max("active").alias("active"), F.max("low").alias("low"),
+        F.sum("speed_sum").alias("speed_sum"), F.sum("speed_count").alias("speed_count"),
+    )
+    return _summed(per_vehicle, fleet_id, clock)
+
+
+def _summed(per_vehicle: DataFrame, fleet_id: Any, clock: datetime) -> DataFrame:
     grouped = per_vehicle.groupBy() if fleet_id is not None else per_vehicle.groupBy("fleet_id")
     summary = grouped.agg(
         F.count("*").alias("total_vehicles"),
@@ -57,6 +88,17 @@ def fleet_summary(
     )
 
 
+def vehicle_sketches(rollup: DataFrame) -> DataFrame:
+    """One mergeable sketch of the vehicles per fleet and date, to store next to the rollup."""
+    return rollup.groupBy("fleet_id", "bucket_date").agg(F.hll_sketch_agg("vehicle_id", 12).alias("vehicles"))
+
+
+def sketched_vehicle_count(sketches: DataFrame) -> DataFrame:
+    """Vehicles per fleet over any dates, from stored sketches (about 2 % standard error)."""
+    merged = sketches.groupBy("fleet_id").agg(F.hll_union_agg("vehicles").alias("vehicles"))
+    return merged.select("fleet_id", F.hll_sketch_estimate("vehicles").alias("vehicle_count"))
+
+
 def vehicle_count(
     events: DataFrame, fleet_id: Any = None, approximate: bool = False
 ) -> DataFrame:

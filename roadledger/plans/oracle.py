@@ -318,6 +318,7 @@ SELECT fleet_id, count(DISTINCT vehicle_id) AS total_vehicles,
 FROM (SELECT *, CASE WHEN recorded_at >= TIMESTAMP '2024-01-30 23:00:00' THEN cents END AS recent
       FROM ev) AS t
 GROUP BY fleet_id""")
+    sql["fleet_summary_from_rollup"] = sql["fleet_summary"]
     sql["vehicle_count"] = over_events(
         "SELECT fleet_id, count(DISTINCT vehicle_id) AS vehicle_count FROM ev GROUP BY fleet_id"
     )

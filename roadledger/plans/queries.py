@@ -205,6 +205,17 @@ def fleet_summary(spark, sf_dir):
     return fleet.fleet_summary(fx.untagged_events(spark, sf_dir), as_of=AS_OF)
 
 
+@query
+def fleet_summary_from_rollup(spark, sf_dir):
+    """The summary from a stored rollup and the last hour of the event table."""
+    root, events = shared_dir(spark, "summary"), fx.vehicle_events(spark, sf_dir)
+    event_source.append_events(events, f"{root}/events", "load")
+    stored = event_source.read_events(spark, f"{root}/events")
+    tables.upsert_rollup(hourly.rollup_rows(stored, AS_OF), f"{root}/hourly", "load")
+    rollup = tables.read_rollup_table(spark, f"{root}/hourly", KEY)
+    return fleet.summary_from_rollup(rollup, stored, as_of=AS_OF)
+
+
 @query
 def vehicle_count(spark, sf_dir):
     return fleet.vehicle_count(fx.untagged_events(spark, sf_dir))

@@ -222,6 +222,25 @@ def test_one_fleets_deep_page_is_in_order(events):
     assert [r.event_id for r in deep.collect()] == [r.event_id for r in top.collect()] and deep.count() == 8
 
 
+def test_summary_from_the_rollup(events):
+    rollup = hourly.rollup_rows(events)
+    for as_of in (fx.AS_OF, fx.AS_OF - timedelta(days=9, minutes=17)):
+        for one in (None, 2, 77):
+            wanted = fleet.fleet_summary(events, one, as_of)
+            assert rows(fleet.summary_from_rollup(rollup, events, one, as_of)) == rows(wanted)
+            # A rollup that lacks the last hours' vehicles.
+            old = rollup.filter(F.col("hour_bucket") < F.lit(as_of - timedelta(hours=2)))
+            seen = events.filter(F.col("recorded_at") < F.lit(as_of))
+            known = seen.filter((F.col("recorded_at") < F.date_trunc("hour", F.lit(as_of - timedelta(hours=2)))) | (F.col("recorded_at") >= F.lit(as_of - timedelta(hours=1))))
+            assert rows(fleet.summary_from_rollup(old, seen, one, as_of)) == rows(fleet.fleet_summary(known, one, as_of))
+
+
+def test_sketches_of_dates_can_be_merged(spark):
+    rollup = spark.range(200_000).selectExpr("id % 2 AS fleet_id", "id % 50000 AS vehicle_id", "date_add(DATE '2024-01-01', CAST(id % 30 AS INT)) AS bucket_date")
+    found = fleet.sketched_vehicle_count(fleet.vehicle_sketches(rollup)).collect()
+    assert len(found) == 2 and all(abs(r.vehicle_count - 25_000) < 1500 for r in found)
+
+
 def test_histogram_and_latency(spark):
     log = spark.createDataFrame(
         [(0.002, 201), (0.2, 500), (2.0, -1), (None, 200)], "duration double, status int"
