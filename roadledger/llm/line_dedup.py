@@ -63,35 +63,45 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, settings: Settings
     )
 
 
-def marked(pages: DataFrame, host: str = "source", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """``pages`` with columns line_dedup_lines, _dropped (counts) and _text (what stays)."""
+OUTPUT = "line_dedup_lines", "line_dedup_dropped", "line_dedup_text"
+
+
+def _judged(pages: DataFrame, host: str, text: str, settings: Settings) -> DataFrame:
+    """(row, lines, dropped, text): each page as one value, so that its names meet no others."""
     spark = pages.sparkSession
     lists = written(boilerplate(pages, F.col(host), F.col(text), settings), shared_dir(spark, "line-boilerplate"))
-    lists = lists.select(F.col("host").alias("line_dedup_host"), F.col("lines").alias("line_dedup_known"))
-    joined = pages.join(lists, F.col(host) == F.col("line_dedup_host"), "left")
-    lines = _lines(F.col(text))
+    rows = pages.select(F.struct("*").alias("row"), F.col(host).alias("of_host"), F.col(text).alias("text"))
+    joined = rows.join(lists.select(F.col("host"), F.col("lines").alias("known")), F.col("of_host") == F.col("host"), "left")
+    lines = _lines(F.col("text"))
     # Only hashes that are on this page and boilerplate here: few, so looking through them is cheap.
-    here = F.when(F.col("line_dedup_known").isNotNull() & F.col(text).isNotNull(), F.array_intersect(F.transform(lines, _key), "line_dedup_known"))
-    found = joined.withColumn("line_dedup_here", here).drop("line_dedup_host", "line_dedup_known")
+    here = F.when(F.col("known").isNotNull() & F.col("text").isNotNull(), F.array_intersect(F.transform(lines, _key), "known"))
+    found = joined.select("row", "text", here.alias("here"))
     filled = lambda line: F.btrim(line, F.lit(BLANK)) != ""
-    stays = lambda line: ~F.array_contains("line_dedup_here", _key(line)) | ~filled(line)
-    kept = F.when(F.size("line_dedup_here") > 0, F.filter(lines, stays))
-    found = found.withColumn("line_dedup_kept", kept)
-    whole = F.col("line_dedup_kept").isNull() | ~F.exists("line_dedup_kept", filled)
-    total = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines))
+    stays = lambda line: ~F.array_contains("here", _key(line)) | ~filled(line)
+    found = found.withColumn("kept", F.when(F.size("here") > 0, F.filter(lines, stays)))
+    whole = F.col("kept").isNull() | ~F.exists("kept", filled)
+    total = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
     return found.select(
-        *(pages[name] for name in pages.columns),
-        total.cast("bigint").alias("line_dedup_lines"),
-        F.when(whole, F.lit(0)).otherwise(total - F.size("line_dedup_kept")).cast("bigint").alias("line_dedup_dropped"),
-        F.when(whole, F.col(text)).otherwise(F.array_join("line_dedup_kept", "\n")).alias("line_dedup_text"),
+        "row",
+        total.cast("bigint").alias("lines"),
+        F.when(whole, F.lit(0)).otherwise(total - F.size("kept")).cast("bigint").alias("dropped"),
+        F.when(whole, F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
     )
 
 
+def marked(pages: DataFrame, host: str = "source", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """``pages`` with columns line_dedup_lines, _dropped (counts) and _text (what stays), which take
+    the place of columns of these names."""
+    found = _judged(pages, host, text, settings)
+    own = (F.col("row")[name].alias(name) for name in pages.columns if name not in OUTPUT)
+    return found.select(*own, *(F.col(name.removeprefix("line_dedup_")).alias(name) for name in OUTPUT))
+
+
 def cleaned(pages: DataFrame, host: str = "source", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """``pages`` without boilerplate lines, in the same columns."""
-    found = marked(pages, host, text, settings)
-    values = {text: F.col("line_dedup_text")}
+    found = _judged(pages, host, text, settings)
+    values = {text: F.col("text")}
     if "n_chars" in pages.columns:
-        counted = F.when(F.col("line_dedup_dropped") > 0, F.char_length("line_dedup_text"))
-        values["n_chars"] = F.coalesce(counted.cast(pages.schema["n_chars"].dataType), F.col("n_chars"))
-    return found.select(*(values.get(name, F.col(name)).alias(name) for name in pages.columns))
+        counted = F.when(F.col("dropped") > 0, F.char_length("text"))
+        values["n_chars"] = F.coalesce(counted.cast(pages.schema["n_chars"].dataType), F.col("row")["n_chars"])
+    return found.select(*(values.get(name, F.col("row")[name]).alias(name) for name in pages.columns))

@@ -56,6 +56,17 @@ def test_cleaned_keeps_columns_and_counts_characters(spark):
     assert L.cleaned(docs.limit(0)).count() == 0
 
 
+def test_clashing_names_are_carried(spark):
+    names = ["line_dedup_host", "line_dedup_known", "line_dedup_here", "line_dedup_kept", "line_dedup_text", "host", "known", "row", "of_host", "kept", "a b"]
+    docs = spark.createDataFrame([(*r, *(f"{n}-{r[0]}" for n in names)) for r in ROWS], "doc_id bigint, source string, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = L.cleaned(docs)
+    assert out.columns == docs.columns
+    assert all(r[n] == f"{n}-{r.doc_id}" for r in out.collect() for n in names)
+    found = [(r.doc_id, r.line_dedup_lines, r.line_dedup_dropped, r.line_dedup_text) for r in L.marked(docs).collect()]
+    assert sorted(found, key=str) == brute(ROWS, 0.1, 5)
+    assert L.marked(docs).columns == [c for c in docs.columns if c != "line_dedup_text"] + list(L.OUTPUT)
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(*r, 7) for r in ROWS], "doc_id bigint, source string, text string, n_chars bigint")
     assert "Python" not in L.cleaned(docs)._jdf.queryExecution().executedPlan().toString()
