@@ -534,6 +534,11 @@ FROM ranked WHERE arrival > granted""",
         bucket("valid", 10**9),
     )
     sql["stream_outcomes"] = recursive(outcome_rows, on_arrival, bucket("valid", 10**9))
+    sql["stream_ingest_repeats"] = recursive(
+        outcome_rows + "\nUNION ALL SELECT fleet_id, 'duplicate', count(*) FROM ev WHERE id % 4 = 0 GROUP BY fleet_id",
+        on_arrival,
+        bucket("valid", 10**9),
+    )
     sql["stream_rollup"] = hourly
     sql["stream_windowed_rollup"] = hourly
     # A bucket of the first half is late in the last append once its hour ended an hour before the newest event.

@@ -595,6 +595,19 @@ def stream_outcomes(spark, sf_dir):
     return counts.withColumn("fleet_id", F.col("fleet_id").cast(KEY))
 
 
+@query
+def stream_ingest_repeats(spark, sf_dir):
+    """Outcomes where every fourth landing row is sent twice."""
+    paths = stream_ingest_job.IngestPaths(shared_dir(spark, "repeats"))
+    landing = fx.landing_rows(fx.as_events(fx.raw_stream(spark, sf_dir)))
+    again = fx.landing_rows(fx.as_events(fx.raw_stream(spark, sf_dir))).filter("id % 4 = 0")
+    stream_ingest_job.start_ingest(
+        landing.unionByName(again), paths, BUCKET, uuid_keys=False, repeats_within="1 hour"
+    ).awaitTermination()
+    counts = stream_ingest_job.read_outcomes(spark, paths)
+    return counts.withColumn("fleet_id", F.col("fleet_id").cast(KEY))
+
+
 @query
 def stream_rollup(spark, sf_dir):
     """The event table followed by the rollup stream."""

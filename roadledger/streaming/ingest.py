@@ -58,9 +58,12 @@ def ingest_batch(
     bucket: TokenBucket = TokenBucket(),
     uuid_keys: bool = True,
     run: str = "",
+    repeats: DataFrame | None = None,
 ) -> None:
     """One batch of landing rows (text fields and ``arrived_at``); ``run`` tells jobs on one folder apart.
 
+    ``repeats`` are counts (fleet_id, event_count) of rows left out as sent before, for the outcomes.
+
     Rows with defects are set aside and cost no token. Ids are drawn once, when the checked rows
     are staged. The bucket of each fleet goes from batch to batch as a small table; fleets idle
     long enough to be full again are left out of it. The first batch of a run starts with full
@@ -98,9 +101,11 @@ def ingest_batch(
 
     key = events.schema["fleet_id"].dataType
     invalid = invalid_counts(refused.withColumn("fleet_id", F.col("fleet_id").cast(key)))
-    outcomes(granted).unionByName(invalid).write.mode("overwrite").parquet(
-        paths.batch("outcomes", label)
-    )
+    counted = outcomes(granted).unionByName(invalid)
+    if repeats is not None:
+        again = repeats.select(F.col("fleet_id").try_cast(key).alias("fleet_id"), F.lit("duplicate").alias("status"), "event_count")
+        counted = counted.unionByName(again)
+    counted.write.mode("overwrite").parquet(paths.batch("outcomes", label))
 
     left = carried_over(granted, carried)
     newest = left.agg(F.max("second")).first()[0]
@@ -109,21 +114,48 @@ def ingest_batch(
     left.write.mode("overwrite").parquet(paths.batch("buckets", label))
 
 
+def marked_repeats(landing: DataFrame, within: str) -> DataFrame:
+    """Every landing row twice: once with ``fresh`` unless it was sent before, once bare for counting.
+
+    Two rows are the same if all their fields are but the arrival. The state keeps a digest per row
+    for as long as ``within``, by the clock of the job, so no row is ever too late for it.
+    """
+    names = [name for name in landing.columns if name != "arrived_at"]
+    digest = F.md5(F.to_json(F.struct(*sorted(names))))
+    seen = landing.withColumns({"_digest": digest, "_seen_at": F.current_timestamp()}).withWatermark("_seen_at", within)
+    fresh = seen.dropDuplicatesWithinWatermark(["_digest"])
+    bare = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "fleet_id" else F.col("fleet_id") for f in landing.schema]
+    return fresh.select(*landing.columns, F.lit(True).alias("fresh")).unionByName(seen.select(*bare, F.lit(False).alias("fresh")))
+
+
 def start_ingest(
     landing: DataFrame,
     paths: IngestPaths,
     bucket: TokenBucket = TokenBucket(),
     uuid_keys: bool = True,
     trigger: dict | None = None,
+    repeats_within: str | None = None,
 ) -> StreamingQuery:
-    """Run the ingest over a landing stream; by default until the present files are done."""
+    """Run the ingest over a landing stream; by default until the present files are done.
+
+    With ``repeats_within`` (such as "1 hour") a row that was already sent in that time is stored
+    once; the others are counted as ``duplicate`` in the outcomes and cost no token.
+    """
 
     def one(raw: DataFrame, batch_id: int) -> None:
         run = query_label(raw.sparkSession, paths.checkpoint)
-        ingest_batch(raw, batch_id, paths, bucket, uuid_keys, run)
-
+        if repeats_within is None:
+            ingest_batch(raw, batch_id, paths, bucket, uuid_keys, run)
+            return
+        # Written first: the counts and the ingest then read one and the same result of the state.
+        both = written(raw, paths.batch("received", f"{run}-{batch_id}"), reuse=True)
+        change = F.when(F.col("fresh"), -1).otherwise(1)
+        repeats = both.groupBy("fleet_id").agg(F.sum(change).alias("event_count")).filter("event_count > 0")
+        ingest_batch(both.filter("fresh").drop("fresh"), batch_id, paths, bucket, uuid_keys, run, repeats)
+
+    rows = landing if repeats_within is None else marked_repeats(landing, repeats_within)
     return (
-        landing.writeStream.foreachBatch(one)
+        rows.writeStream.foreachBatch(one)
         .option("checkpointLocation", paths.checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
