@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
                     names=["doc_id", "n_shingles", "digest", "bands"],
                 )
 
-    return words.texts_of(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
+    return words.texts_of(docs).mapInArrow(words.releasing(run), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:

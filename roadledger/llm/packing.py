@@ -177,7 +177,7 @@ def _tokens(docs: DataFrame, tokenizer: str, settings: Settings) -> DataFrame:
                     [part.column("doc_id"), pa.array(keys), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "key", "n", "ids"]
                 )
 
-    return words.texts_of(docs).mapInArrow(run, "doc_id bigint, key bigint, n bigint, ids binary")
+    return words.texts_of(docs).mapInArrow(words.releasing(run), "doc_id bigint, key bigint, n bigint, ids binary")
 
 
 def _running_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,7 @@ def pack(docs: DataFrame, settings: Settings) -> DataFrame:
         .join(starts, "row")
         .select("doc_id", "n", "ids", "place")
         .mapInArrow(
-            cut,
+            words.releasing(cut),
             "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
         )
     )

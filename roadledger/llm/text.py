@@ -7,6 +7,8 @@ bounded size, so a task holds a few megabytes of words at a time whatever the ta
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -27,6 +29,30 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def release() -> None:
+    """Give memory that is free by now back to the system.
+
+    Spark's Python workers go on to other tasks, of other stages too, and the allocators keep what
+    the largest of them has needed.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task, with memory given back before it and after its caches are gone."""
+
+    def released(batches: Iterator) -> Iterator:
+        release()
+        yield from run(batches)
+        release()
+
+    return released
+
+
 def words_of(text: str | bytes | None) -> list[bytes]:
     if not text:
         return []
