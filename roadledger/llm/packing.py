@@ -18,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ from tokenizers import Tokenizer
 from roadledger.llm import text as words
 from roadledger.session import shared_dir, written
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
 
 
 # A control character: neither white space nor letter, so a token by itself between spaces.
@@ -82,6 +83,17 @@ class Encoder:
         self.stems: dict[bytes, bytes] = {}
         self.table = words.WordTable(self._features, CACHE_WORDS)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.ends_word = self._word_ends(tokenizer)
+
+    def _word_ends(self, tokenizer: str) -> np.ndarray | None:
+        """For each id whether it ends a word, where the vocabulary says so (by a suffix of its own)."""
+        suffix = json.loads(tokenizer)["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            ends[number] = token.endswith(suffix)
+        return ends
 
     def _features(self, new: list[bytes]) -> np.ndarray:
         if not self.table.filled:
@@ -96,27 +108,34 @@ class Encoder:
         return np.column_stack([self.matrix[bucket.astype(np.int64)] * weight[:, None], weight])
 
     def _encode(self, new: list[bytes]) -> None:
-        """Ids of words without white space. Many are handed over as one text, with a mark that is a
-        token of its own after each; words that hold the mark themselves go alone."""
+        """Ids of words without white space. Many are handed over as one text; the others go alone.
+
+        Where ids tell the end of a word, words of letters only need nothing but a space between them:
+        each is cut off as one piece. Others get a mark that is a token of its own behind them, unless
+        they hold it themselves.
+        """
         texts = [word.decode("utf-8", "replace") for word in new]
-        one_id = len(self.mark) == 1
-        plain = [k for k, text in enumerate(texts) if one_id and MARK not in text]
-        chosen = set(plain)
-        for begin in range(0, len(plain), TOGETHER):
-            some = plain[begin : begin + TOGETHER]
-            joined = "".join(f"{texts[k]} {MARK} " for k in some)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.flatnonzero(ids == self.mark[0]).tolist()
-            raw, size, start = ids.astype(self.kind).tobytes(), self.kind.itemsize, 0
-            if len(ends) != len(some):  # some other text makes the mark's token: one by one
-                chosen.difference_update(some)
-                continue
-            for k, end in zip(some, ends):
-                self.stems[new[k]] = raw[start * size : end * size]
-                start = end + 1
-        for k, text in enumerate(texts):
-            if k not in chosen:
-                self.stems[new[k]] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        by_end = [k for k, text in enumerate(texts) if text.isalpha()] if self.ends_word is not None else []
+        known = set(by_end)
+        by_mark = [k for k, text in enumerate(texts) if k not in known and MARK not in text] if len(self.mark) == 1 else []
+        known.update(by_mark)
+        alone = [k for k in range(len(texts)) if k not in known]
+        for places, mark in ((by_end, ""), (by_mark, f" {MARK}")):
+            for begin in range(0, len(places), TOGETHER):
+                some = places[begin : begin + TOGETHER]
+                joined = "".join(f"{texts[k]}{mark} " for k in some)
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+                ends = np.flatnonzero(ids == self.mark[0] if mark else self.ends_word[ids]) + (0 if mark else 1)
+                if len(ends) != len(some):  # not as expected (a word of the mark's token, letters unknown to the tokenizer)
+                    alone.extend(some)
+                    continue
+                raw, size, skip = ids.astype(self.kind).tobytes(), self.kind.itemsize, len(mark) // 2
+                start = 0
+                for k, end in zip(some, ends.tolist()):
+                    self.stems[new[k]] = raw[start * size : end * size]
+                    start = end + skip
+        for k in alone:
+            self.stems[new[k]] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.kind).tobytes()
 
     def __call__(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
         """Ids (little-endian, end id included) and Hilbert key of each text."""
