@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +127,9 @@ def window_marks(
 
 
 def _digests(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """80 bits for every window of one text, in two parts that depend on the words differently."""
+    """80 bits for every window of the words, in two parts that depend on the words differently."""
+    if len(hashes) < window:
+        return np.empty(0, np.int64), np.empty(0, np.int16)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(words.mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)])
     first = words.shingle_hashes(hashes, window).view(np.int64)
     return first, ((sums[window:] - sums[:-window]) >> np.uint64(48)).astype(np.uint16).view(np.int16)
@@ -161,30 +164,31 @@ def _mark_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "mark bigint, doc_id bigint, first int, windows int")
 
 
-def _expanded(ranges: list[dict] | None) -> np.ndarray:
-    """Window numbers of (first, windows) stretches, ascending."""
-    if not ranges:
-        return np.empty(0, np.int64)
-    first = np.array([r["first"] for r in ranges], np.int64)
-    length = np.array([r["windows"] for r in ranges], np.int64)
-    base = np.cumsum(length) - length
-    return np.unique(np.repeat(first - base, length) + np.arange(length.sum()))
-
-
-def _candidates(texts: list, stretches: list, window: int, table: words.WordTable):
-    """Per text: its words' hashes, the candidate windows and their two digests."""
-    flat, counts = table.lookup(texts)
-    ends = np.cumsum(counts)
-    for number, (end, count) in enumerate(zip(ends, counts)):
-        at = _expanded(stretches[number])
-        hashes = table.rows[flat[end - count : end]] if len(at) else None
-        # Rows that share an id also share stretches; another text may be too short for them.
-        at = at[at + window <= count]
-        if len(at):
-            first, second = _digests(hashes, window)
-            yield number, int(count), at, first[at], second[at]
-        else:
-            yield number, int(count), at, None, None
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Elements of all lists, one list after the other, and the number of the list each is from."""
+    length = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
+    return lists.flatten(), np.repeat(np.arange(len(lists)), length)
+
+
+def _candidates(part: pa.RecordBatch, window: int, table: words.WordTable) -> tuple[np.ndarray, ...]:
+    """Words per text; of all candidate windows, by text and place: the text's number, the first word (of the
+    texts laid end to end) and the two digests. Texts without stretches count as having no words."""
+    stretches = part.column("stretches")
+    wanted = stretches.is_valid()
+    counts = np.zeros(len(part), np.int64)
+    flat, counts[np.asarray(wanted)] = table.lookup(part.column("text").filter(wanted).to_pylist())
+    found, owner = _flat(stretches)
+    first, length = (np.asarray(found.field(k), np.int64) for k in range(2))
+    begin = (np.cumsum(counts) - counts)[owner] + first
+    # Rows that share an id also share stretches; another text may be too short for them.
+    length = np.minimum(length, counts[owner] - window + 1 - first)
+    begin, length = begin[length > 0], length[length > 0]
+    chosen = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(chosen, begin, 1)
+    np.add.at(chosen, begin + length, -1)
+    at = np.flatnonzero(np.cumsum(chosen) > 0)
+    one, two = _digests(table.rows[flat], window) if len(at) else _digests(np.empty(0, np.uint64), window)
+    return counts, np.repeat(np.arange(len(counts)), counts)[at], at, one[at], two[at]
 
 
 _STRETCHES = "array<struct<first:int,windows:int>>"
@@ -200,12 +204,14 @@ def _copies(texts: DataFrame) -> DataFrame:
     return found.agg(F.max(F.coalesce("first", "doc_id")).alias("first")).filter(F.col("first") < F.col("doc_id")).select("doc_id")
 
 
-def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text, removed) of every row: ``removed`` are half-open ranges of word numbers."""
+def _judged(docs: DataFrame, window: int) -> DataFrame:
+    """Every row of (doc_id, text, stretches, copy, firsts): the candidate stretches of the text, whether it
+    is a copy, and the digests of the windows that start first in it."""
     spark = docs.sparkSession
     texts = words.texts_of(docs)
     copies = written(_copies(texts), shared_dir(spark, "substring-copies"))
-    rows = _mark_rows(texts.filter(F.col("doc_id").isNotNull()).join(copies, "doc_id", "left_anti"), window)
+    # Counted and joined from the same shuffle, so texts are parsed once.
+    rows = _mark_rows(texts.filter(F.col("doc_id").isNotNull()).join(copies, "doc_id", "left_anti"), window).repartition("mark")
     again = rows.groupBy("mark").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("mark")
     stretches = (
         rows.join(again, "mark")
@@ -215,91 +221,101 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     whole = copies.select("doc_id", F.lit(None).cast(_STRETCHES).alias("stretches"), F.lit(True).alias("copy"))
     stretches = written(stretches.unionByName(whole), shared_dir(spark, "substring-stretches"))
+    # Read twice below, and shuffled once: neither reader filters it or leaves out a column.
     marked = texts.join(stretches, "doc_id", "left")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words.WordTable(words.hash64)
         for batch in batches:
             for part in words.slices(batch, "text"):
-                ids, one, two = [], [], []
-                found = _candidates(part.column("text").to_pylist(), part.column("stretches").to_pylist(), window, table)
-                for number, _, at, first, second in found:
-                    if len(at):
-                        _, keep = np.unique(first, return_index=True)
-                        ids.append(np.full(len(keep), number))
-                        one.append(first[keep])
-                        two.append(second[keep])
-                if ids:
+                _, owner, at, one, two = _candidates(part, window, table)
+                if len(at):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), part.column("doc_id").take(pa.array(np.concatenate(ids)))],
-                        names=["one", "two", "doc_id"],
+                        [pa.array(one), pa.array(two), part.column("doc_id").take(pa.array(owner))], names=["one", "two", "doc_id"]
                     )
 
     firsts = (
-        marked.filter(F.col("stretches").isNotNull())
-        .mapInArrow(digests, "one bigint, two smallint, doc_id bigint")
+        marked.mapInArrow(digests, "one bigint, two smallint, doc_id bigint")
         .groupBy("one", "two")
         .agg(F.min("doc_id").alias("doc_id"))
         .groupBy("doc_id")
         .agg(F.collect_list("one").alias("firsts"))
     )
+    return marked.join(firsts, "doc_id", "left")
+
+
+def _removed(part: pa.RecordBatch, window: int, table: words.WordTable) -> pa.ListArray:
+    """Per text the ranges of words covered by windows that start earlier elsewhere or in the same text."""
+    counts, owner, at, one, _ = _candidates(part, window, table)
+    own, of = _flat(part.column("firsts"))
+    # Equal windows of a text stand together, behind the digest that says they start first in it; places ascend.
+    digest = np.concatenate([np.asarray(own, np.int64), one])
+    number, here = np.concatenate([of, owner]), np.repeat([False, True], [len(of), len(at)])
+    order = np.lexsort((digest, number))
+    digest, number, here = digest[order], number[order], here[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (digest[1:] != digest[:-1]) | (number[1:] != number[:-1])
+    # Of a group, the first window behind one of the text's own digests stays.
+    stays = np.zeros(len(order), bool)
+    stays[1:] = here[1:] & ~here[:-1] & ~fresh[1:]
+    late = at[order[here & ~stays] - len(of)]
+    total = int(counts.sum())
+    cover = np.bincount(late, minlength=total + 1) - np.bincount(late + window, minlength=total + 1)
+    gone = np.cumsum(cover[:total]) > 0
+    begins = np.zeros(total + 1, bool)
+    begins[np.cumsum(counts) - counts] = True  # a range ends with its text
+    before = np.concatenate([[False], gone[:-1]]) if total else gone
+    start = np.flatnonzero(gone & (~before | begins[:total]))
+    end = np.flatnonzero(gone & ~(np.concatenate([gone[1:], [False]]) & ~begins[1:])) + 1 if total else start
+    text = np.repeat(np.arange(len(counts)), counts)[start]
+    base, size = np.cumsum(counts) - counts, np.bincount(text, minlength=len(counts))
+    ranges = [(start - base[text]).astype(np.int32), (end - base[text]).astype(np.int32)]
+    # Of a copy all words go.
+    copy = np.asarray(pa.compute.fill_null(part.column("copy"), False))
+    for k in np.flatnonzero(copy).tolist():
+        n = len(words.words_of(part.column("text")[k].as_py()))
+        if n >= window:
+            place = int(size[:k].sum())
+            ranges = [np.insert(ranges[0], place, 0), np.insert(ranges[1], place, n)]
+            size[k] = 1
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(r) for r in ranges], names=["start", "end"]))
+
+
+def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, text, removed) of every row: ``removed`` are half-open ranges of word numbers."""
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words.WordTable(words.hash64)
         for batch in batches:
             for part in words.slices(batch, "text"):
-                own, copy = part.column("firsts"), part.column("copy").to_pylist()
-                out = []
-                found = _candidates(part.column("text").to_pylist(), part.column("stretches").to_pylist(), window, table)
-                for number, count, at, first, _ in found:
-                    if copy[number]:
-                        out.append([{"start": 0, "end": count}] if count >= window else [])
-                    else:
-                        out.append(_removed(at, first, own[number], count, window))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text"), pa.array(out, _RANGE_TYPE)], names=["doc_id", "text", "removed"]
-                )
-
-    return marked.join(firsts, "doc_id", "left").mapInArrow(
-        ranges, "doc_id bigint, text string, removed array<struct<start:int,end:int>>"
-    )
-
+                columns = [part.column("doc_id"), part.column("text"), _removed(part, window, table)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "removed"])
 
-_RANGE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-
-def _removed(at: np.ndarray, digests: np.ndarray | None, own, count: int, window: int) -> list[dict]:
-    """Ranges of words covered by windows that start earlier elsewhere or in the same text."""
-    if not len(at):
-        return []
-    first_here = np.zeros(len(at), bool)
-    first_here[np.unique(digests, return_index=True)[1]] = True
-    starts_here = np.asarray(own.values, np.int64) if own.is_valid else np.empty(0, np.int64)
-    late = at[~(first_here & np.isin(digests, starts_here))]
-    cover = np.zeros(count + 1, np.int64)
-    np.add.at(cover, late, 1)
-    np.add.at(cover, late + window, -1)
-    edges = np.diff((np.cumsum(cover) > 0).astype(np.int8), prepend=0)
-    return [{"start": a, "end": b} for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist())]
+    return _judged(docs, window).mapInArrow(run, "doc_id bigint, text string, removed array<struct<start:int,end:int>>")
 
 
 def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): ``kept`` are the words that stay, joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = words.WordTable(words.hash64)
         for batch in batches:
             for part in words.slices(batch, "text"):
-                n_words, n_removed, kept = [], [], []
-                for text, removed in zip(part.column("text").to_pylist(), part.column("removed").to_pylist()):
+                ranges, text_of = _flat(_removed(part, window, table))
+                start, end = (np.asarray(ranges.field(k), np.int64) for k in range(2))
+                last = np.searchsorted(text_of, np.arange(len(part) + 1)).tolist()
+                n_words, kept = [], []
+                for number, text in enumerate(part.column("text").to_pylist()):
                     found = words.words_of(text)
                     n_words.append(len(found))
-                    n_removed.append(sum(r["end"] - r["start"] for r in removed))
-                    for r in reversed(removed):
-                        del found[r["start"] : r["end"]]
+                    for k in range(last[number + 1] - 1, last[number] - 1, -1):
+                        del found[start[k] : end[k]]
                     kept.append(b" ".join(found))
+                n_removed = np.bincount(text_of, weights=end - start, minlength=len(part)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                    [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed), pa.array(kept, pa.binary()).cast(pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    return removals(docs, window).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return _judged(docs, window).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
