@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +88,26 @@ def test_long_text(spark):
     text = " ".join(f"v{i}" for i in rng.integers(0, 400, 120_000))
     rows = [(1, text), (2, text), (3, "x " * 50_000)]
     assert found(S.kept_texts(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
+
+
+def test_slices_of_a_batch_give_what_the_batch_gives():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"é{x}" for x in rng.integers(0, 9, rng.integers(0, 90))) if k % 7 else None for k in range(300)]
+    stretches = [[{"first": int(a), "windows": 3} for a in rng.integers(0, 60, 3)] if k % 3 and k % 11 else None for k in range(300)]
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("windows", pa.int32())]))
+    part = pa.RecordBatch.from_arrays(
+        [pa.array(texts), pa.array(stretches, kind), pa.nulls(300, pa.list_(pa.int64())), pa.array([k % 11 == 0 for k in range(300)])],
+        names=["text", "stretches", "firsts", "copy"],
+    )
+    whole = S._removed(part, 5, W.WordTable(W.hash64)).to_pylist()
+    table = W.WordTable(W.hash64)
+    cut = [r for some in W.slices(part, "text", 3_000) for r in S._removed(some, 5, table).to_pylist()]
+    assert whole == cut
+    for k, ranges in enumerate(whole):
+        count, gone = len(split(texts[k])), set()
+        for s in stretches[k] or []:
+            for at in range(s["first"], min(s["first"] + 3, count - 4)):
+                gone.update(range(at, at + 5))
+        if k % 11 == 0 and count >= 5:
+            gone = set(range(count))
+        assert {w for r in ranges for w in range(r["start"], r["end"])} == gone
