@@ -7,12 +7,17 @@ weighted by how often it occurs on either side. A shorter document is one stretc
 
 1. The places of a document that hold a shingle of some item are its anchors. An alike stretch needs
    8 anchors in 9 places at least (of items of its size), so documents without any are done, and
-   in the others few stretches are left: about seven around each passage.
+   in the others few stretches are left: about seven around each passage. Running counts over the
+   anchors give the spans of such starts, so the work grows with the length of a text.
 2. These stretches get a 63-bit SimHash, each occurrence of a shingle voting on every bit. Votes are
    added in packed counters, seven to a number.
 3. The fingerprint is cut into ``radius + 1`` blocks; two fingerprints that differ in at most
-   ``radius`` bits agree in some block, so an equi-join on (stretch size, block, bits) with the
-   items finds all of them. At 0.8 alike about nine bits differ; 20 are allowed.
+   ``radius`` bits agree in some block. At 0.8 alike about nine bits differ; 20 are allowed, and blocks
+   of three bits alone would select next to nothing. So the index is keyed as well: an alike stretch
+   misses at most a fifth of an item's shingles, so it holds one of any larger choice of them, and of
+   each item the rarest (among items) are chosen. An equi-join on (stretch size, chosen shingle,
+   block, bits) finds all fingerprints within the radius that can be alike. It joins distinct bare
+   fingerprints; shingles are fetched for what is left.
 4. Pairs within the radius are verified on the shingles themselves.
 
 Everything is DataFrame functions. The item tables are written first, so Spark plans their joins by
@@ -28,12 +33,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadledger.session import shared_dir, written
 
 BROADCAST_ANCHORS = 1_000_000
+# Starts of a text that are looked at together, at least.
+GRID = 256
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Seven counters of eight bits leave the sign of a number alone.
 LANES, NUMBERS = 7, 9
@@ -69,13 +76,6 @@ def _shifted(value: Column, places: Column | int) -> Column:
     return F.call_function("shiftright", value, places if isinstance(places, Column) else F.lit(places))
 
 
-def _counters(shingles: Column) -> Column:
-    """Per shingle the packed counters of all bits of its hash."""
-    table, mask = _spread(), F.lit((1 << LANES) - 1)
-    numbers = F.array(*(F.lit(LANES * k) for k in range(NUMBERS)))
-    return F.transform(shingles, lambda h: F.transform(numbers, lambda at: F.get(table, _shifted(h, at).bitwiseAND(mask).cast("int"))))
-
-
 def _fingerprint(sums: Column, count: Column) -> Column:
     """The number whose bits are those that more than half of the shingles set."""
 
@@ -89,16 +89,23 @@ def _fingerprint(sums: Column, count: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda total, bit: total + bit)
 
 
-def _sums(counters: Column) -> Column:
-    """Counters of a stretch, added up in parts of 200 shingles so that none overflows."""
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(counters) - 1) / 200).cast("int")), lambda i: F.slice(counters, i * 200 + 1, F.lit(200)))
-    zero = F.array(*[F.lit(0).cast("bigint")] * NUMBERS)
-    return F.transform(parts, lambda part: F.aggregate(part, zero, lambda total, c: F.zip_with(total, c, lambda a, b: a + b)))
+def _sums(shingles: Column) -> Column:
+    """Packed counters of all bits of a stretch's hashes, added up in parts of 200 so that none overflows."""
+    table, mask, zero = _spread(), F.lit((1 << LANES) - 1), F.array(*[F.lit(0).cast("bigint")] * NUMBERS)
+
+    def voted(total: Column, shingle: Column) -> Column:
+        return F.transform(total, lambda c, k: c + F.get(table, _shifted(shingle, k * LANES).bitwiseAND(mask).cast("int")))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(shingles) - 1) / 200).cast("int"))
+    return F.transform(starts, lambda i: F.aggregate(F.slice(shingles, i * 200 + 1, F.lit(200)), zero, voted))
 
 
 def with_fingerprint(rows: DataFrame, shingles: str, name: str) -> DataFrame:
-    """``rows`` with the SimHash of an array of shingle hashes (at least one)."""
-    frame = rows.withColumn("dc_sums", _sums(_counters(F.col(shingles))))
+    """``rows`` with the SimHash of an array of shingle hashes (at least one).
+
+    The counters pass through a generator: as a plain column they would be added up again for every bit.
+    """
+    frame = rows.select("*", F.explode(F.array(_sums(F.col(shingles)))).alias("dc_sums"))
     return frame.withColumn(name, _fingerprint(F.col("dc_sums"), F.size(shingles))).drop("dc_sums")
 
 
@@ -117,9 +124,57 @@ def benchmark_items(benchmark: DataFrame, settings: Settings) -> DataFrame:
     return rows.filter((F.col("n") > 0) & F.col("item_id").isNotNull())
 
 
-def anchors(items: DataFrame) -> DataFrame:
-    """(shingle, n): the shingles of all items of n shingles."""
-    return items.select("n", F.explode("shingles").alias("shingle")).distinct()
+def item_keys(items: DataFrame, settings: Settings) -> DataFrame:
+    """(item_id, n, shingle): of each item its rarest shingles, one more than an alike stretch can miss.
+
+    Shared shingles are at least ``percent`` of the item's, as all shingles are not fewer than these.
+    """
+    rows = items.select("item_id", "n", F.explode(F.array_distinct("shingles")).alias("shingle"))
+    held = rows.groupBy("n", "shingle").agg(F.count("*").alias("held"))
+    chosen = F.floor(F.col("n") * (100 - settings.percent) / 100) + 1
+    sized = items.select("item_id", "n").distinct()
+    rarest = rows.join(held, ["n", "shingle"]).groupBy("item_id", "n").agg(F.array_sort(F.collect_set(F.struct("held", "shingle"))).alias("order"))
+    rarest = rarest.join(sized, ["item_id", "n"]).withColumn("order", F.slice("order", F.lit(1), chosen.cast("int")))
+    return rarest.select("item_id", "n", F.explode("order.shingle").alias("shingle")).distinct()
+
+
+def anchors(items: DataFrame, keys: DataFrame) -> DataFrame:
+    """(shingle, n, key): the shingles of all items of n shingles, and whether one of these chose it."""
+    rows = items.select("n", F.explode("shingles").alias("shingle"), F.lit(False).alias("key"))
+    return rows.unionByName(keys.select("n", "shingle", F.lit(True).alias("key"))).groupBy("shingle", "n").agg(F.max("key").alias("key"))
+
+
+def spans(hits: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, size, n, piece, spans, keys) from anchors (doc_id, size, n, place, key).
+
+    The starts of a text are dealt into pieces of ``_grid`` of them. ``spans`` are the (low, high) of
+    starts, high excluded, with anchors enough after them; ``keys`` the places of chosen shingles that
+    a stretch from this piece can reach.
+    """
+    group, last = ["doc_id", "size", "n"], F.greatest(F.col("size") - F.col("n"), F.lit(0))
+    hits = hits.groupBy(*group, "place").agg(F.max("key").alias("key"))
+    step = lambda at, change: F.struct(at.alias("low"), F.lit(change).alias("change"))
+    steps = F.array(step(F.greatest(F.col("place") - F.col("n") + 1, F.lit(0)), 1), step(F.col("place") + 1, -1))
+    steps = hits.select(*group, F.inline(steps)).groupBy(*group, "low").agg(F.sum("change").alias("change"))
+    ordered = Window.partitionBy(*group).orderBy("low")
+    steps = steps.withColumns({"inside": F.sum("change").over(ordered), "high": F.lead("low").over(ordered)})
+    # Shared shingles are anchors: with fewer of them no stretch is alike enough.
+    enough = F.col("inside") * (100 + settings.percent) >= (F.col("n") + F.least("n", "size")) * settings.percent
+    found = steps.filter(enough & (F.col("low") <= last)).withColumn("high", F.least(F.coalesce("high", last + 1), last + 1))
+    grid = _grid(F.col("n"))
+    piece = lambda at: F.floor(at / grid).cast("int")
+    found = found.withColumn("piece", F.explode(F.sequence(piece(F.col("low")), piece(F.col("high") - 1))))
+    low, high = F.greatest("low", F.col("piece") * grid), F.least("high", (F.col("piece") + 1) * grid)
+    found = found.select(*group, "piece", F.struct(low.alias("low"), high.alias("high")).alias("span"), F.lit(None).cast("int").alias("place"))
+    reached = F.array(piece(F.col("place")), piece(F.col("place")) - 1)
+    reached = hits.filter("key").select(*group, F.explode(reached).alias("piece"), F.lit(None).cast(found.schema["span"].dataType).alias("span"), "place")
+    pieces = found.unionByName(reached).groupBy(*group, "piece").agg(F.collect_list("span").alias("spans"), F.collect_list("place").alias("keys"))
+    return pieces.filter((F.size("spans") > 0) & (F.size("keys") > 0))
+
+
+def _grid(n: Column) -> Column:
+    """Starts in a piece: not fewer than a stretch has shingles, so that a stretch reaches into two pieces at most."""
+    return F.greatest(n, F.lit(GRID))
 
 
 def _alike(left: Column, right: Column) -> tuple[Column, Column]:
@@ -137,31 +192,41 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     spark = docs.sparkSession
     folder = shared_dir(spark, "decontaminate")
     items = written(with_fingerprint(benchmark_items(benchmark, settings), "shingles", "fingerprint"), f"{folder}/items")
-    anchor = written(anchors(items), f"{folder}/anchors")
+    keys = written(item_keys(items, settings), f"{folder}/keys")
+    anchor = written(anchors(items, keys), f"{folder}/anchors")
     if anchor.count() <= BROADCAST_ANCHORS:
         anchor = F.broadcast(anchor)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("dc_text")).filter(F.col("doc_id").isNotNull())
-    placed = with_shingles(rows, "dc_text", "shingles", settings.shingle).select("doc_id", F.posexplode_outer("shingles").alias("place", "shingle"))
-    hits = placed.join(anchor, "shingle").groupBy("doc_id", "n").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    hits = written(hits, f"{folder}/hits")
-    # Only documents with anchors go on, and their shingles are made again.
-    near = with_shingles(rows.join(hits, "doc_id"), "dc_text", "shingles", settings.shingle)
-    last = F.greatest(F.size("shingles") - F.col("n"), F.lit(0))
-    around = F.transform("places", lambda p: F.sequence(F.least(F.greatest(p - F.col("n") + 1, F.lit(0)), last), F.least(p, last)))
-    near = near.withColumn("start", F.explode_outer(F.array_distinct(F.flatten(around))))
-    inside = F.size(F.filter("places", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n"))))
-    length = F.least(F.col("n"), F.size("shingles"))
-    # Shared shingles are anchors: with fewer of them no stretch is alike enough.
-    near = near.filter(inside * (100 + settings.percent) >= (F.col("n") + length) * settings.percent)
-    near = near.select("doc_id", "n", "start", F.slice("shingles", F.col("start") + 1, F.col("n")).alias("stretch"))
-    near = written(with_fingerprint(near, "stretch", "fingerprint"), f"{folder}/stretches")
-    block = lambda rows, *kept: rows.select("*", F.explode(_blocks("fingerprint", settings.radius)).alias("b")).select(*kept, "b.block", "b.bits")
-    theirs = block(items, "item_id", "n", "shingles", F.col("fingerprint").alias("item_fingerprint"))
-    found = (
-        block(near, "doc_id", "n", "start", "stretch", "fingerprint")
-        .join(theirs, ["n", "block", "bits"])
+    placed = with_shingles(rows, "dc_text", "shingles", settings.shingle)
+    placed = placed.select("doc_id", F.size("shingles").alias("size"), F.posexplode_outer("shingles").alias("place", "shingle"))
+    hits = written(placed.join(anchor, "shingle").select("doc_id", "size", "n", "place", "key"), f"{folder}/hits")
+    pieces = spans(hits, settings).groupBy("doc_id", "size", "n").agg(F.collect_list(F.struct("piece", "spans", "keys")).alias("pieces"))
+    pieces = written(pieces.groupBy("doc_id", "size").agg(F.collect_list(F.struct("n", "pieces")).alias("sizes")), f"{folder}/spans")
+    # Only documents with such starts go on, and their shingles are made again; no row but one per
+    # size of items carries all of them.
+    near = with_shingles(rows.join(pieces, "doc_id"), "dc_text", "shingles", settings.shingle).filter(F.size("shingles") == F.col("size"))
+    near = near.select("doc_id", "shingles", F.inline("sizes")).select("doc_id", "shingles", "n", F.inline("pieces"))
+    first = F.col("piece") * _grid(F.col("n"))
+    near = near.select("doc_id", "n", first.alias("first"), "spans", "keys", F.slice("shingles", first + 1, _grid(F.col("n")) + F.col("n") - 1).alias("part"))
+    starts = F.flatten(F.transform("spans", lambda s: F.sequence(s["low"], s["high"] - 1)))
+    near = near.withColumn("start", F.explode(starts))
+    reached = F.filter("keys", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n")))
+    chosen = F.array_distinct(F.transform(reached, lambda p: F.get(F.col("part"), p - F.col("first"))))
+    near = near.select("doc_id", "n", "start", chosen.alias("keys"), F.slice("part", F.col("start") - F.col("first") + 1, F.col("n")).alias("stretch"))
+    near = written(with_fingerprint(near.filter(F.size("keys") > 0), "stretch", "fingerprint"), f"{folder}/stretches")
+    block = lambda rows: rows.select("*", F.explode(_blocks("fingerprint", settings.radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
+    theirs = items.join(keys, ["item_id", "n"]).select("n", "shingle", "fingerprint").distinct()
+    ours = near.select("n", F.explode("keys").alias("shingle"), "fingerprint").distinct()
+    within = (
+        block(ours)
+        .join(block(theirs).withColumnRenamed("fingerprint", "item_fingerprint"), ["n", "shingle", "block", "bits"])
         .filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= settings.radius)
+        .select("n", "fingerprint", "item_fingerprint")
+        .distinct()
     )
+    within = written(within, f"{folder}/within")
+    theirs = items.select("item_id", "n", "shingles", F.col("fingerprint").alias("item_fingerprint"))
+    found = near.join(within, ["n", "fingerprint"]).join(theirs, ["n", "item_fingerprint"])
     both, total = _alike(F.col("stretch"), F.col("shingles"))
     return (
         found.select("doc_id", "item_id", "start", both.alias("shared"), total.alias("total"))

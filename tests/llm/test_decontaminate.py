@@ -99,3 +99,31 @@ def test_nulls_repeats_empty_tables_and_columns(spark):
 def test_no_python_in_the_plan(spark, data_dir):
     docs, bench = (spark.read.parquet(f"{data_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     assert "Python" not in D.contaminated(docs, bench)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_repeats_and_many_items_of_one_size(spark):
+    """Work grows with the text and with the alike pairs, not with items times stretches."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(2_000)]
+    docs = [(k, " ".join([word(), items[k][1], word()])) for k in range(500)] + [(900, " ".join([items[7][1]] * 500))]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: (r.items, r.similarity) for r in D.contaminated(frame, bench).collect()}
+    assert got == {**{k: ([k], 1.0) for k in range(500)}, 900: ([7], 1.0)}
+    keys = D.item_keys(D.benchmark_items(bench, D.Settings()), D.Settings())
+    assert keys.groupBy("item_id").count().agg({"count": "max"}).first()[0] == 36 * 20 // 100 + 1
+
+
+def test_spans_are_the_starts_with_enough_anchors(spark):
+    rng = random.Random(8)
+    hits, wanted = [], set()
+    for doc_id, size, n in [(1, 900, 9), (2, 700, 300), (3, 8, 10), (4, 1, 1), (5, 5, 9), (6, 2_000, 20)]:
+        places = [p for p in range(size) if rng.random() < 0.93]
+        hits += [(doc_id, size, n, p, True) for p in places]
+        for s in range(max(size - n, 0) + 1):
+            if sum(s <= p < s + n for p in places) * 180 >= (n + min(n, size)) * 80:
+                wanted.add((doc_id, s))
+    rows = spark.createDataFrame(hits, "doc_id bigint, size int, n int, place int, key boolean")
+    got = [(r.doc_id, s) for r in D.spans(rows, D.Settings()).collect() for a in r.spans for s in range(a.low, a.high)]
+    assert len(got) == len(set(got)) and set(got) == wanted
