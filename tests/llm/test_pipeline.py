@@ -55,5 +55,5 @@ def test_stages_keep_columns_and_take_empty_tables(spark, sf_dir="/root/testdata
 
 def test_one_query_for_each_operator():
     numbers = [name.split("_")[0] for name in entry.queries() if name.startswith("op")]
-    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
