@@ -271,7 +271,7 @@ FROM (SELECT *, row_number() OVER (
   FROM ev WHERE battery_level < 15 AND {condition}) AS t
 WHERE {keep}""")
 
-    sql["scenario_page_deep"] = low_batteries("n > 12 AND n <= 112", "TRUE")
+    sql["scenario_page_deep"] = low_batteries("n > 12 AND n <= 1200", "TRUE")
     sql["one_fleet_page"] = low_batteries("n > 10 AND n <= 1010", "fleet_id = 2")
     sql["scenario_page_envelope"] = over_events("""
 SELECT fleet_id, 'hard_brake' AS scenario, max(total) AS total, CAST(30 AS BIGINT) AS "limit", CAST(4 AS BIGINT) AS "offset",

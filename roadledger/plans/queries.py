@@ -116,9 +116,9 @@ def scenario_events_page(spark, sf_dir):
 
 @query
 def scenario_page_deep(spark, sf_dir):
-    """Rows 13 to 112 of every fleet's low batteries, by the rank index of deep pages."""
+    """Rows 13 to 1200 of every fleet's low batteries, by the rank index of deep pages."""
     events = fx.partitioned_events(spark, sf_dir)
-    return paging.label_page(events, "low_battery", limit=100, offset=12, group_limit=10, rows_per_slice=2)
+    return paging.label_page(events, "low_battery", limit=1188, offset=12, rows_per_slice=2)
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from roadledger.operators import (
     alerts, filters, fleet, hourly, labels, latest, paging, reports,
 )
+from roadledger.plans.queries import QUERIES
 from roadledger.sources import fixtures as fx
 
 
@@ -258,3 +259,14 @@ def test_plans_have_no_products_and_limit_groups_early(events):
     assert "Expand" not in summary.executedPlan().toString()
     top = paging.label_page(events, "hard_brake", 1, limit=5)._jdf.queryExecution()
     assert "TakeOrderedAndProject" in top.executedPlan().toString()
+
+
+def test_registered_deep_page_reaches_rank_1200(spark, tmp_path):
+    """1300 low batteries in one fleet, 20 in another: rows 13 to 1200 of each, by the rank index."""
+    spark.range(1320).selectExpr(
+        "id AS event_id", "CASE WHEN id < 1300 THEN 5L ELSE 6L END AS user_id",
+        "timestamp_seconds(1704067200 + id * 600) AS ts", "'view' AS event_type", "CAST(50 AS DOUBLE) AS value", "'{\"k\": 3}' AS props",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["scenario_page_deep"](spark, str(tmp_path)).select("fleet_id", "event_id").collect()
+    assert {r.event_id for r in found if r.fleet_id == 0} == set(range(100, 1288))
+    assert {r.event_id for r in found if r.fleet_id == 1} == set(range(1300, 1308))
