@@ -204,7 +204,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     pieces = written(pieces.groupBy("doc_id", "size").agg(F.collect_list(F.struct("n", "pieces")).alias("sizes")), f"{folder}/spans")
     # Only documents with such starts go on, and their shingles are made again; no row but one per
     # size of items carries all of them.
-    near = with_shingles(rows.join(pieces, "doc_id"), "dc_text", "shingles", settings.shingle).filter(F.size("shingles") == F.col("size"))
+    # Both sides are dealt out by document at every size, as the pieces grow with the table.
+    near = with_shingles(rows.join(pieces.hint("merge"), "doc_id"), "dc_text", "shingles", settings.shingle).filter(F.size("shingles") == F.col("size"))
     near = near.select("doc_id", "shingles", F.inline("sizes")).select("doc_id", "shingles", "n", F.inline("pieces"))
     first = F.col("piece") * _grid(F.col("n"))
     near = near.select("doc_id", "n", first.alias("first"), "spans", "keys", F.slice("shingles", first + 1, _grid(F.col("n")) + F.col("n") - 1).alias("part"))

@@ -127,3 +127,21 @@ def test_spans_are_the_starts_with_enough_anchors(spark):
     rows = spark.createDataFrame(hits, "doc_id bigint, size int, n int, place int, key boolean")
     got = [(r.doc_id, s) for r in D.spans(rows, D.Settings()).collect() for a in r.spans for s in range(a.low, a.high)]
     assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_texts_meet_their_pieces_by_shuffle_at_any_size(spark, monkeypatch):
+    """The plan that reads texts again is the same for small tables, so that its disk grows as the input does."""
+    plans = {}
+
+    def spied(df, path, reuse=False):
+        plans[path.rsplit("/", 1)[-1]] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept(df, path, reuse)
+
+    kept = D.written
+    monkeypatch.setattr(D, "written", spied)
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, "x y " + text), (2, "none of it")], "doc_id bigint, text string")
+    found = D.matches(docs, spark.createDataFrame([(7, text)], "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 7)}
+    joins = [line for line in plans["stretches"].splitlines() if "Join Inner" in line and "doc_id" in line]
+    assert joins and all("strategy=merge" in line for line in joins)
