@@ -33,24 +33,31 @@ from tokenizers import Tokenizer
 from roadledger.llm import text as words
 from roadledger.session import shared_dir, written
 
-CACHE_WORDS = 600_000
-
+# A word cache beyond this size keeps its repeated words, ``KEPT_WORDS`` at most.
+CACHE_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 # A control character: neither white space nor letter, so a token by itself between spaces.
 MARK, TOGETHER = "\x1f", 256
 ENDS = b".,;:!?"
 
 
-def stem_and_end(word: bytes) -> tuple[bytes, bytes]:
-    """The word with A-Z lower-cased, and the punctuation that ends it.
+def stems_and_ends(new: list[bytes], lowered: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """The words with A-Z lower-cased, and the punctuation that ends them.
 
     The tokenizer lower-cases too, and it cuts between a letter or digit and punctuation, so the
     ids of the two parts are the ids of the word.
     """
-    stem = word.rstrip(ENDS)
-    if len(stem) == len(word) or not stem or not stem[-1:].isalnum() or b"<|" in word:
-        return word if b"<|" in word else word.lower(), b""
-    return stem.lower(), word[len(stem) :]
+    stems, ends = [word.rstrip(ENDS) for word in lowered], [b""] * len(new)
+    for k, (stem, word) in enumerate(zip(stems, lowered)):
+        if len(stem) != len(word):
+            if stem[-1:].isalnum():
+                ends[k] = word[len(stem) :]
+            else:
+                stems[k] = word
+    for k in [k for k, word in enumerate(new) if b"<|" in word]:
+        stems[k], ends[k] = new[k], b""
+    return stems, ends
 
 
 @dataclass(frozen=True)
@@ -68,7 +75,7 @@ class Encoder:
     """Token ids and projected vectors of texts, put together from those of their words.
 
     The tokenizer drops white space before anything else, so a text's ids are its words' ids. This
-    and :func:`stem_and_end` hold for lower-casing tokenizers that cut between white space, letters
+    and :func:`stems_and_ends` hold for lower-casing tokenizers that cut between white space, letters
     and punctuation.
     """
 
@@ -80,8 +87,7 @@ class Encoder:
         rng = np.random.default_rng(settings.seed)
         self.matrix = rng.standard_normal((settings.buckets, settings.dimensions)).astype(np.float32)
         self.coded: list[bytes] = []
-        self.stems: dict[bytes, bytes] = {}
-        self.table = words.WordTable(self._features, CACHE_WORDS)
+        self.table, self.uses = words.WordTable(self._features, CACHE_WORDS), np.zeros(0, np.int64)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.ends_word = self._word_ends(tokenizer)
 
@@ -96,24 +102,23 @@ class Encoder:
         return ends
 
     def _features(self, new: list[bytes]) -> np.ndarray:
-        if not self.table.filled:
-            self.coded.clear()
-            self.stems.clear()
-        parts = [stem_and_end(word) for word in new]
-        self._encode([x for x in dict.fromkeys(x for part in parts for x in part if x) if x not in self.stems])
-        self.coded.extend(self.stems[stem] + self.stems[end] if end else self.stems[stem] for stem, end in parts)
+        lowered = b" ".join(new).lower().split(b" ")
+        stems, ends = stems_and_ends(new, lowered)
+        known = self._encode([x for x in dict.fromkeys(stems + ends) if x])
+        self.coded.extend([known[stem] + known[end] if end else known[stem] for stem, end in zip(stems, ends)])
         # Long words say more about a text than short ones.
         weight = np.minimum([len(w) for w in new], 12).astype(np.float32)
-        bucket = words.hash64(w.lower() for w in new) % np.uint64(self.settings.buckets)
+        bucket = words.hash64(lowered) % np.uint64(self.settings.buckets)
         return np.column_stack([self.matrix[bucket.astype(np.int64)] * weight[:, None], weight])
 
-    def _encode(self, new: list[bytes]) -> None:
+    def _encode(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words without white space. Many are handed over as one text; the others go alone.
 
         Where ids tell the end of a word, words of letters only need nothing but a space between them:
         each is cut off as one piece. Others get a mark that is a token of its own behind them, unless
         they hold it themselves.
         """
+        out: dict[bytes, bytes] = {}
         texts = [word.decode("utf-8", "replace") for word in new]
         by_end = [k for k, text in enumerate(texts) if text.isalpha()] if self.ends_word is not None else []
         known = set(by_end)
@@ -132,14 +137,36 @@ class Encoder:
                 raw, size, skip = ids.astype(self.kind).tobytes(), self.kind.itemsize, len(mark) // 2
                 start = 0
                 for k, end in zip(some, ends.tolist()):
-                    self.stems[new[k]] = raw[start * size : end * size]
+                    out[new[k]] = raw[start * size : end * size]
                     start = end + skip
         for k in alone:
-            self.stems[new[k]] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.kind).tobytes()
+            out[new[k]] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.kind).tobytes()
+        return out
+
+    def keep_repeated(self) -> None:
+        """Forget the words met once only, and of the others all but the ``KEPT_WORDS`` most used.
+
+        Most distinct words never come again. Uses count half from now on, so that words no longer
+        met go in the end.
+        """
+        often = self.uses > 1
+        if often.sum() > KEPT_WORDS:
+            place = len(often) - KEPT_WORDS - 1
+            often &= self.uses > np.partition(self.uses, place)[place]
+        marks = often.tolist()
+        kept = [word for word, mark in zip(self.table.index, marks) if mark]
+        self.coded = [ids for ids, mark in zip(self.coded, marks) if mark]
+        self.uses = self.uses[often] // 2
+        self.table.keep(kept, often)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
         """Ids (little-endian, end id included) and Hilbert key of each text."""
+        if self.table.filled > CACHE_WORDS:
+            self.keep_repeated()
         flat, counts = self.table.lookup(texts)
+        uses = np.bincount(flat, minlength=self.table.filled)
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         coded, places, begin, out = self.coded, flat.tolist(), 0, []
         last = np.array([self.settings.end_id], self.kind).tobytes()
         for count in counts.tolist():

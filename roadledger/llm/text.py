@@ -94,6 +94,15 @@ class WordTable:
     def _reset(self) -> None:
         self.index, self.rows, self.filled = WordIndex(), None, 0
 
+    def keep(self, kept: list[bytes], mask: np.ndarray) -> None:
+        """Only the words ``kept`` stay, which are those of the rows marked, in their order."""
+        self.index = WordIndex()
+        for word in kept:
+            self.index[word]
+        self.index.fresh.clear()
+        self.rows = self.rows[: self.filled][mask]
+        self.filled = len(kept)
+
     def lookup(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of all words of the texts, and the number of words of each text.
 

@@ -74,3 +74,20 @@ def test_neighbours_share_words(spark):
     _, keys = encoder([t for _, t in rows])
     topics = np.array([i % 8 for i, _ in rows])[np.argsort(keys, kind="stable")]
     assert (topics[1:] == topics[:-1]).mean() > 0.5
+
+
+def test_repeated_words_outlive_a_full_cache(monkeypatch):
+    """Words met again are not encoded again when the cache is full; those met once are forgotten."""
+    monkeypatch.setattr(P, "CACHE_WORDS", 40)
+    monkeypatch.setattr(P, "KEPT_WORDS", 8)
+    encoder, handed = P.Encoder(open(PATH).read(), P.Settings(PATH)), []
+    features = encoder.table.features
+    encoder.table.features = lambda new: handed.extend(new) or features(new)
+    tokenizer = Tokenizer.from_file(PATH)
+    for k in range(12):
+        texts = ["Often, seen <|x often again!", f"a{k} " + " ".join(f"Once{k}w{j}." for j in range(20))]
+        found, _ = encoder(texts)
+        for text, ids in zip(texts, found):
+            assert np.frombuffer(ids, encoder.kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert encoder.table.filled == len(encoder.table.index) == len(encoder.coded) == len(encoder.uses) <= 40 + 26
+    assert handed.count(b"Often,") == 1 and handed.count(b"often") == 1
