@@ -34,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadledger.llm import text as words
@@ -203,38 +203,44 @@ def _sharing_pairs(rare: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
 
 def _open_members(members: DataFrame) -> DataFrame:
-    """Members of the buckets whose members are not all connected yet, with their number."""
+    """Members of the buckets whose members are not all connected yet, with their number and the least of them."""
     buckets = (
         members.groupBy("bucket")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"))
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held"), F.min("node").alias("first"))
         .filter(F.col("low") != F.col("high"))
-        .select("bucket", "held")
+        .select("bucket", "held", "first")
     )
     return members.join(buckets, "bucket")
 
 
-def _stars(members: DataFrame, seats: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Centres of every bucket, and the pairs of centres with other members not yet connected.
+def _central(seats: int) -> Column:
+    """Is a member a centre of its bucket, in the round of about so many? All are where they are few.
 
-    ``members``: bucket, held, node, size (of its set), rare, root (of its component so far).
+    The members of low hashes are, and the least one. A member tells by itself, so those that go on
+    are found without a join, and the same members are centres in all their buckets.
+    """
+    low = F.pmod(F.xxhash64("node", F.lit(seats)), F.lit(1 << 20)) * F.col("held") < F.lit((seats - 1) << 20)
+    return (F.col("held") <= SMALL) | (F.col("node") == F.col("first")) | low
+
+
+def _stars(members: DataFrame, seats: int, percent: int) -> DataFrame:
+    """Pairs of the centres of every bucket with other members not yet connected.
+
+    ``members``: bucket, held, first, node, size (of its set), rare, root (of its component so far).
     Pairs that share rare shingles are left to :func:`_sharing_pairs`; the others have at most their
     other shingles in common.
     """
-    seat = F.when(F.col("held") <= SMALL, F.col("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(seats)), F.lit(seats)))
-    centres = (
-        members.groupBy("bucket", seat.alias("seat"))
-        .agg(F.min(F.struct("node", "size", "rare", "root")).alias("c"))
-        .select("bucket", *(F.col(f"c.{name}").alias(f"c_{name}") for name in ("node", "size", "rare", "root")))
+    centres = members.filter(_central(seats)).select(
+        "bucket", *(F.col(name).alias(f"c_{name}") for name in ("node", "size", "rare", "root"))
     )
     common = F.least(F.col("size") - F.col("rare"), F.col("c_size") - F.col("c_rare"))
     alike = common * 100 >= (F.col("size") + F.col("c_size") - common) * percent
-    pairs = (
+    return (
         members.join(centres, "bucket")
         .filter((F.col("node") != F.col("c_node")) & (F.col("root") != F.col("c_root")) & alike)
         .select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b"))
         .distinct()
     )
-    return centres.select("bucket", F.col("c_node").alias("node")), pairs
 
 
 def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -248,7 +254,7 @@ def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     )
     seats = classes.select(F.explode(F.array_distinct("bands")).alias("bucket"), "node", "size")
-    shared = seats.groupBy("bucket").agg(F.count("*").alias("held")).filter(F.col("held") > 1)
+    shared = seats.groupBy("bucket").agg(F.count("*").alias("held"), F.min("node").alias("first")).filter(F.col("held") > 1)
     members = seats.join(shared, "bucket").withColumn("rare", F.lit(0).cast("bigint")).withColumn("root", F.col("node"))
     members = written(members, f"{folder}/members-1")
     sets = written(_sets(docs, members, settings), f"{folder}/sets")
@@ -274,11 +280,11 @@ def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         return rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     while not members.isEmpty():
-        centres, pairs = _stars(members, SPREAD ** (round_number - 1), settings.percent)
-        centres = written(centres, f"{folder}/centres-{round_number}")
-        connect(pairs)
-        members = members.join(centres, ["bucket", "node"], "left_anti").select("bucket", "node", "size", "rare")
-        members = _open_members(rooted(members).select("bucket", "node", "size", "rare", "root"))
+        seats = SPREAD ** (round_number - 1)
+        connect(_stars(members, seats, settings.percent))
+        members = members.filter(~_central(seats)).select("bucket", "node", "size", "rare")
+        members = rooted(members).select("bucket", "node", "size", "rare", "root")
+        members = _open_members(written(members, f"{folder}/rooted-{round_number}"))  # read twice
         if round_number == 1:
             members = written(members, f"{folder}/open")
             left = members.select("node", "size").distinct()
@@ -287,7 +293,7 @@ def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             left = written(left.join(counts, "node", "left").fillna(0, ["rare"]), f"{folder}/left")
             # What nobody can be alike to without sharing rare shingles needs no star.
             enough = left.filter((F.col("size") - F.col("rare")) * 100 >= F.col("size") * settings.percent).select("node", "rare")
-            members = _open_members(members.drop("rare", "held").join(enough, "node").select("bucket", "node", "size", "rare", "root"))
+            members = _open_members(members.drop("rare", "held", "first").join(enough, "node").select("bucket", "node", "size", "rare", "root"))
         round_number += 1
         members = written(members, f"{folder}/members-{round_number}")
     if rare is not None:

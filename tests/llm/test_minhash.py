@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roadledger.llm import minhash as M
 from roadledger.llm.components import roots
@@ -100,3 +101,43 @@ def test_edges_nulls_repeats_and_extra_columns(spark):
     kept = sorted(((r.doc_id, r.root) for r in M.deduplicated(docs).collect()), key=str)
     assert kept == sorted([(1, 5), (2, 6), (3, 7), (None, 8)], key=str)
     assert M.components(docs.limit(0)).count() == 0
+
+
+def test_members_of_finished_buckets_are_not_carried_on(spark, monkeypatch):
+    """Small buckets end in one round; members of crowded ones get their root by one join a round."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(10):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+        texts += [varied(rng, base, changes) for changes in (0, 1, 2, 3)]
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts += [varied(rng, base, 8) for _ in range(60)]
+    tables, opened = [], []
+
+    def kept(df, path, write=M.written):
+        tables.append((path.rsplit("/", 1)[-1], df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, path)
+
+    def taken(members, do=M._open_members):
+        opened.append((members.count(), members.select("node").distinct().count()))
+        if len(opened) != 2:  # that one leaves out who needs no star
+            assert "Join" not in members._jdf.queryExecution().optimizedPlan().toString()
+        return do(members)
+
+    monkeypatch.setattr(M, "written", kept)
+    monkeypatch.setattr(M, "_open_members", taken)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(M.components(docs, M.Settings(shingle=2))) == brute(rows, 2)
+    assert opened[0][0] > 0 and opened[0][1] <= 60
+    assert not [name for name, plan in tables if not name.startswith("pairs") and "LeftAnti" in plan]
+
+
+@pytest.mark.parametrize("held", [33, 60, 1000])
+def test_every_member_is_a_centre_in_some_round(spark, held):
+    members = spark.range(held).selectExpr("id node", "7L bucket", f"{held}L held", "0L first").cache()
+    one = members.filter(M._central(1)).collect()
+    assert [r.node for r in one] == [0]
+    assert 4 <= members.filter(M._central(16)).count() <= 40
+    assert members.filter(M._central(16**3)).count() == held
+    assert members.withColumn("held", F.lit(M.SMALL)).filter(M._central(1)).count() == held
