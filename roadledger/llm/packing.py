@@ -19,12 +19,15 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+import re
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,22 +42,29 @@ KEPT_WORDS = 200_000
 
 # A control character: neither white space nor letter, so a token by itself between spaces.
 MARK, TOGETHER = "\x1f", 256
-ENDS = b".,;:!?"
+ENDS = string.punctuation.encode()
+
+# Words of these letters alone can go straight to the tokenizer's model.
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + re.sub("[\xd7\xf7]", "", "".join(map(chr, range(0xC0, 0x100))))
+PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
+# Words of so many bytes of text are told apart at once; more text has fewer distinct words for each, and needs more memory.
+TEXT_CHARS = 2 * words.SLICE_CHARS
 
 
 def stems_and_ends(new: list[bytes], lowered: list[bytes]) -> tuple[list[bytes], list[bytes]]:
     """The words with A-Z lower-cased, and the punctuation that ends them.
 
     The tokenizer lower-cases too, and it cuts between a letter or digit and punctuation, so the
-    ids of the two parts are the ids of the word.
+    ids of the two parts are the ids of the word. Letters beyond ASCII are told for U+00C0 to U+00FF.
     """
     stems, ends = [word.rstrip(ENDS) for word in lowered], [b""] * len(new)
-    for k, (stem, word) in enumerate(zip(stems, lowered)):
-        if len(stem) != len(word):
-            if stem[-1:].isalnum():
-                ends[k] = word[len(stem) :]
-            else:
-                stems[k] = word
+    cut = np.flatnonzero(np.fromiter(map(len, stems), np.int64, len(new)) != np.fromiter(map(len, lowered), np.int64, len(new)))
+    for k in cut.tolist():
+        stem, word = stems[k], lowered[k]
+        if stem[-1:].isalnum() or (stem[-2:-1] == b"\xc3" and stem[-1:] not in (b"\x97", b"\xb7")):
+            ends[k] = word[len(stem) :]
+        else:
+            stems[k] = word
     for k in [k for k, word in enumerate(new) if b"<|" in word]:
         stems[k], ends[k] = new[k], b""
     return stems, ends
@@ -90,6 +100,7 @@ class Encoder:
         self.table, self.uses = words.WordTable(self._features, CACHE_WORDS), np.zeros(0, np.int64)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.ends_word = self._word_ends(tokenizer)
+        self.spelling = self._letters()
 
     def _word_ends(self, tokenizer: str) -> np.ndarray | None:
         """For each id whether it ends a word, where the vocabulary says so (by a suffix of its own)."""
@@ -101,6 +112,24 @@ class Encoder:
             ends[number] = token.endswith(suffix)
         return ends
 
+    def _letters(self) -> dict[int, str] | None:
+        """What the tokenizer makes of each of ``LETTERS`` before its model sees it.
+
+        None if it makes something else of letters next to each other, or cuts words of them: then
+        such words need the whole tokenizer.
+        """
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if normalizer is None or cutter is None:
+            return None
+        pieces = lambda text: [piece for piece, _ in cutter.pre_tokenize_str(normalizer.normalize_str(text))]
+        spelling = {ord(letter): "".join(pieces(letter)) for letter in LETTERS}
+        for text in (LETTERS, LETTERS[::-1], *(LETTERS[k::7] for k in range(7))):
+            spelt = text.translate(spelling)
+            whole = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if pieces(text) != [spelt] or whole != [token.id for token in self.tokenizer.model.tokenize(spelt)]:
+                return None
+        return spelling if LETTERS[:26].translate(spelling) == LETTERS[:26] else None
+
     def _features(self, new: list[bytes]) -> np.ndarray:
         lowered = b" ".join(new).lower().split(b" ")
         stems, ends = stems_and_ends(new, lowered)
@@ -112,13 +141,17 @@ class Encoder:
         return np.column_stack([self.matrix[bucket.astype(np.int64)] * weight[:, None], weight])
 
     def _encode(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words without white space. Many are handed over as one text; the others go alone.
+        """Ids of words without white space.
+
+        Words of ``LETTERS`` are spelt as the model wants them and need neither the tokenizer's normalizer
+        nor its patterns. Of the others, many are handed over as one text; the rest go alone.
 
         Where ids tell the end of a word, words of letters only need nothing but a space between them:
         each is cut off as one piece. Others get a mark that is a token of its own behind them, unless
         they hold it themselves.
         """
-        out: dict[bytes, bytes] = {}
+        out = self._spelt(new)
+        new = [word for word in new if word not in out]
         texts = [word.decode("utf-8", "replace") for word in new]
         by_end = [k for k, text in enumerate(texts) if text.isalpha()] if self.ends_word is not None else []
         known = set(by_end)
@@ -143,6 +176,26 @@ class Encoder:
             out[new[k]] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, self.kind).tobytes()
         return out
 
+    def _spelt(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of those of the words that are made of ``LETTERS`` only."""
+        found: list[bytes] = []
+        ids: list[int] = []
+        ends = [0]
+        tokenize, spelling = self.tokenizer.model.tokenize, self.spelling
+        for word in new if spelling else ():
+            text = word.decode("utf-8", "replace")
+            if word.islower() and word.isalpha():  # a-z, which are spelt as they are
+                spelt = text
+            elif PLAIN(text):
+                spelt = text.translate(spelling)
+            else:
+                continue
+            ids.extend([token.id for token in tokenize(spelt)])
+            found.append(word)
+            ends.append(len(ids))
+        raw, size = np.array(ids, self.kind).tobytes(), self.kind.itemsize
+        return {word: raw[begin * size : end * size] for word, begin, end in zip(found, ends, ends[1:])}
+
     def keep_repeated(self) -> None:
         """Forget the words met once only, and of the others all but the ``KEPT_WORDS`` most used.
 
@@ -159,26 +212,47 @@ class Encoder:
         self.uses = self.uses[often] // 2
         self.table.keep(kept, often)
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-        """Ids (little-endian, end id included) and Hilbert key of each text."""
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Ids (little-endian, end id included), their number and the Hilbert key of each text.
+
+        Every distinct word of the texts is looked up once; what it stands for is then put in its places.
+        """
         if self.table.filled > CACHE_WORDS:
             self.keep_repeated()
-        flat, counts = self.table.lookup(texts)
-        uses = np.bincount(flat, minlength=self.table.filled)
-        uses[: len(self.uses)] += self.uses
+        distinct, place, counts = words.distinct_words(texts)
+        row = self.table.rows_of(distinct)
+        uses = np.zeros(self.table.filled, np.int64)
+        uses[: len(self.uses)] = self.uses
+        uses[row] += np.bincount(place, minlength=len(distinct))
         self.uses = uses
-        coded, places, begin, out = self.coded, flat.tolist(), 0, []
-        last = np.array([self.settings.end_id], self.kind).tobytes()
-        for count in counts.tolist():
-            out.append(b"".join([coded[i] for i in places[begin : begin + count]]) + last)
-            begin += count
-        sums = words.sums_by_text(self.table.rows[flat], counts) if len(flat) else np.zeros((len(counts), self.settings.dimensions + 1))
+        # The end id stands behind the words of each text like one word more.
+        coded = [*map(self.coded.__getitem__, row.tolist()), np.array([self.settings.end_id], self.kind).tobytes()]
+        pool = np.frombuffer(b"".join(coded), self.kind)
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
+        parts = np.insert(place, np.cumsum(counts), len(distinct))
+        length = size[parts]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        narrow = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+        at = np.arange(total, dtype=narrow)
+        at += np.repeat(((np.cumsum(size) - size)[parts] - (ends - length)).astype(narrow), length)
+        ids = pool.take(at)
+        offsets = np.concatenate([[0], ends[np.cumsum(counts + 1) - 1]])
+        buffers = [None, pa.py_buffer((offsets * self.kind.itemsize).astype(np.int64)), pa.py_buffer(ids)]
+        out = pa.Array.from_buffers(pa.large_binary(), len(counts), buffers)
+        rows = self.table.rows[row][place] if len(place) else None
+        sums = words.sums_by_text(rows, counts) if len(place) else np.zeros((len(counts), self.settings.dimensions + 1))
         mean = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
         top = 1 << self.settings.bits
         # Means of many words lie close to zero; the square root spreads them.
         spread = np.sign(mean) * np.sqrt(np.abs(mean))
         cell = np.clip(((np.tanh(spread) + 1) / 2 * top).astype(np.int64), 0, top - 1)
-        return out, hilbert_keys(cell, self.settings.bits)
+        return out, np.diff(offsets), hilbert_keys(cell, self.settings.bits)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+        """Ids and Hilbert key of each text."""
+        ids, _, keys = self.encode(pa.array(texts, pa.string()))
+        return ids.to_pylist(), keys
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -216,11 +290,10 @@ def _tokens(docs: DataFrame, tokenizer: str, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, settings)
         for batch in batches:
-            for part in words.slices(batch, "text"):
-                ids, keys = encoder(part.column("text").to_pylist())
-                n = np.array([len(x) for x in ids], np.int64) // encoder.kind.itemsize
+            for part in words.slices(batch, "text", TEXT_CHARS):
+                ids, n, keys = encoder.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(keys), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "key", "n", "ids"]
+                    [part.column("doc_id"), pa.array(keys), pa.array(n), ids.cast(pa.binary())], names=["doc_id", "key", "n", "ids"]
                 )
 
     return words.texts_of(docs).mapInArrow(words.releasing(run), "doc_id bigint, key bigint, n bigint, ids binary")

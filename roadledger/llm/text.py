@@ -71,6 +71,24 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iter
             yield batch.slice(begin, end - begin)
 
 
+def distinct_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of the texts in the order of first sight, the place of each word among them
+    (text after text), and the number of words of each text."""
+    cut = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
+    found = cut.values.dictionary_encode()
+    place, ends = np.asarray(found.indices).astype(np.int64), np.asarray(cut.offsets).astype(np.int64)
+    words = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    # White space at either end of a text leaves an empty piece there.
+    nothing = words.index(b"") if b"" in words else None
+    if nothing is not None:
+        full = place != nothing
+        ends = np.concatenate([[0], np.cumsum(full)])[ends]
+        place = place[full]
+        place -= place > nothing
+        del words[nothing]
+    return words, place, np.diff(ends)
+
+
 class WordIndex(dict):
     """word -> row number, given in the order of first sight; ``fresh`` are those not handled yet."""
 
@@ -121,6 +139,19 @@ class WordTable:
         flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
         return flat, np.asarray(counts, np.int64)
 
+    def rows_of(self, words: list[bytes]) -> np.ndarray:
+        """Row numbers of different words."""
+        found = list(map(self.index.get, words))
+        fresh = [place for place, row in enumerate(found) if row is None]
+        if fresh:
+            new = [words[place] for place in fresh]
+            rows = range(len(self.index), len(self.index) + len(new))
+            self.index.update(zip(new, rows))
+            self._append(self.features(new))
+            for place, row in zip(fresh, rows):
+                found[place] = row
+        return np.array(found, np.int64)
+
     def _append(self, new: np.ndarray) -> None:
         if self.rows is None:
             self.rows = np.empty((max(1024, 2 * len(new)), *new.shape[1:]), new.dtype)

@@ -4,10 +4,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from roadledger.llm import packing as P
+from roadledger.llm import text as words
 from roadledger.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -91,3 +93,39 @@ def test_repeated_words_outlive_a_full_cache(monkeypatch):
             assert np.frombuffer(ids, encoder.kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
         assert encoder.table.filled == len(encoder.table.index) == len(encoder.coded) == len(encoder.uses) <= 40 + 26
     assert handed.count(b"Often,") == 1 and handed.count(b"often") == 1
+
+
+def test_words_of_letters_go_straight_to_the_model():
+    """Neither the tokenizer's normalizer nor its patterns are run for them, whatever ends them; the ids are the same."""
+    tokenizer = Tokenizer.from_file(PATH)
+    encoder, whole = P.Encoder(open(PATH).read(), P.Settings(PATH)), []
+
+    class Watched:
+        model = tokenizer.model
+
+        def encode(self, text, **options):
+            whole.append(text)
+            return tokenizer.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            whole.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Watched()
+    easy = ["The Weather, isöliche. caf\xe9! \xc9T\xc9&&& Stra\xdfe### \xffa\xc0\xf8\xdem", "the\x0bthe\x0c  the\r\n", None, " \t"]
+    odd = ["don't dogs' x\xd7y 2\xf7 a\u0301b \xe9\u0301. \u0391\u03a3 42# <|endoftext|>. Is<|startoftext|>! a.b### \x1f. \u212a\u0130", "\x1c\x85 \xd7### \xb5. \xaa\xba"]
+    ends = []
+    for texts in (easy, odd, easy + odd):
+        for text, ids in zip(texts, encoder(texts)[0]):
+            assert np.frombuffer(ids, encoder.kind).tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        ends.append(" ".join(whole))
+    assert not any(c.isalpha() for c in ends[0]) and any(c.isalpha() for c in ends[1])
+
+
+def test_distinct_words_are_the_words_of_each_text():
+    texts = [None, "", "b a\tb", "".join(map(chr, range(64))) * 2, " \n", "  a\x0b\x0c\r\u2003\x85 c\x1cd "]
+    for some in ([], texts[:2], ["a b", "b"], texts):
+        distinct, place, counts = words.distinct_words(pa.array(some, pa.string()))
+        found = [distinct[k] for k in place]
+        assert found == [word for text in some for word in words.words_of(text)] and counts.tolist() == [len(words.words_of(t)) for t in some]
+        assert distinct == list(dict.fromkeys(found))
