@@ -48,7 +48,7 @@ ENDS = string.punctuation.encode()
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + re.sub("[\xd7\xf7]", "", "".join(map(chr, range(0xC0, 0x100))))
 PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
 # Words of so many bytes of text are told apart at once; more text has fewer distinct words for each, and needs more memory.
-TEXT_CHARS = 2 * words.SLICE_CHARS
+TEXT_CHARS = words.SLICE_CHARS
 
 
 def stems_and_ends(new: list[bytes], lowered: list[bytes]) -> tuple[list[bytes], list[bytes]]:
@@ -81,6 +81,36 @@ class Settings:
     seed: int = 5
 
 
+class Coded:
+    """The ids of each word of the cache, in one array, behind the end id."""
+
+    def __init__(self, kind: np.dtype, end_id: int):
+        self.pool, self.start, self.size = np.array([end_id], kind), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def extend(self, coded: list[bytes]) -> None:
+        size = np.fromiter(map(len, coded), np.int32, len(coded)) // self.pool.itemsize
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size, dtype=np.int64) - size])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(coded), self.pool.dtype)])
+        self.size = np.concatenate([self.size, size])
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of many places, one place after the other."""
+        ends = np.cumsum(size, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        narrow = np.int32 if max(total, len(self.pool)) < 1 << 31 else np.int64
+        at = np.arange(total, dtype=narrow)
+        at += np.repeat((start - (ends - size)).astype(narrow), size)
+        return self.pool.take(at)
+
+    def keep(self, mask: np.ndarray) -> None:
+        start, self.size = self.start[mask], self.size[mask]
+        self.pool = np.concatenate([self.pool[:1], self.take(start, self.size)])
+        self.start = 1 + np.cumsum(self.size, dtype=np.int64) - self.size
+
+
 class Encoder:
     """Token ids and projected vectors of texts, put together from those of their words.
 
@@ -96,8 +126,8 @@ class Encoder:
         self.settings = settings
         rng = np.random.default_rng(settings.seed)
         self.matrix = rng.standard_normal((settings.buckets, settings.dimensions)).astype(np.float32)
-        self.coded: list[bytes] = []
-        self.table, self.uses = words.WordTable(self._features, CACHE_WORDS), np.zeros(0, np.int64)
+        self.coded = Coded(self.kind, settings.end_id)
+        self.table, self.uses = words.DigestTable(self._features, CACHE_WORDS), np.zeros(0, np.int64)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.ends_word = self._word_ends(tokenizer)
         self.spelling = self._letters()
@@ -206,11 +236,9 @@ class Encoder:
         if often.sum() > KEPT_WORDS:
             place = len(often) - KEPT_WORDS - 1
             often &= self.uses > np.partition(self.uses, place)[place]
-        marks = often.tolist()
-        kept = [word for word, mark in zip(self.table.index, marks) if mark]
-        self.coded = [ids for ids, mark in zip(self.coded, marks) if mark]
+        self.coded.keep(often)
         self.uses = self.uses[often] // 2
-        self.table.keep(kept, often)
+        self.table.keep(often)
 
     def encode(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Ids (little-endian, end id included), their number and the Hilbert key of each text.
@@ -225,23 +253,17 @@ class Encoder:
         uses[: len(self.uses)] = self.uses
         uses[row] += np.bincount(place, minlength=len(distinct))
         self.uses = uses
+        sums = np.zeros((len(counts), self.settings.dimensions + 1))
+        if len(place):
+            sums = words.sums_by_text(self.table.rows[row][place], counts)
         # The end id stands behind the words of each text like one word more.
-        coded = [*map(self.coded.__getitem__, row.tolist()), np.array([self.settings.end_id], self.kind).tobytes()]
-        pool = np.frombuffer(b"".join(coded), self.kind)
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
         parts = np.insert(place, np.cumsum(counts), len(distinct))
-        length = size[parts]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        narrow = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
-        at = np.arange(total, dtype=narrow)
-        at += np.repeat(((np.cumsum(size) - size)[parts] - (ends - length)).astype(narrow), length)
-        ids = pool.take(at)
-        offsets = np.concatenate([[0], ends[np.cumsum(counts + 1) - 1]])
+        del distinct, place
+        size = np.append(self.coded.size[row], np.int32(1))[parts]
+        ids = self.coded.take(np.append(self.coded.start[row], 0)[parts], size)
+        offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)[np.cumsum(counts + 1) - 1]])
         buffers = [None, pa.py_buffer((offsets * self.kind.itemsize).astype(np.int64)), pa.py_buffer(ids)]
         out = pa.Array.from_buffers(pa.large_binary(), len(counts), buffers)
-        rows = self.table.rows[row][place] if len(place) else None
-        sums = words.sums_by_text(rows, counts) if len(place) else np.zeros((len(counts), self.settings.dimensions + 1))
         mean = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
         top = 1 << self.settings.bits
         # Means of many words lie close to zero; the square root spreads them.

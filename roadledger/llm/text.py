@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 2_000_000
 # A word cache that reaches this size is started anew before the next slice.
 CACHE_WORDS = 300_000
+# So many new words are handled at once.
+FRESH_WORDS = 1 << 16
 
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:
@@ -112,15 +114,6 @@ class WordTable:
     def _reset(self) -> None:
         self.index, self.rows, self.filled = WordIndex(), None, 0
 
-    def keep(self, kept: list[bytes], mask: np.ndarray) -> None:
-        """Only the words ``kept`` stay, which are those of the rows marked, in their order."""
-        self.index = WordIndex()
-        for word in kept:
-            self.index[word]
-        self.index.fresh.clear()
-        self.rows = self.rows[: self.filled][mask]
-        self.filled = len(kept)
-
     def lookup(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of all words of the texts, and the number of words of each text.
 
@@ -139,19 +132,6 @@ class WordTable:
         flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
         return flat, np.asarray(counts, np.int64)
 
-    def rows_of(self, words: list[bytes]) -> np.ndarray:
-        """Row numbers of different words."""
-        found = list(map(self.index.get, words))
-        fresh = [place for place, row in enumerate(found) if row is None]
-        if fresh:
-            new = [words[place] for place in fresh]
-            rows = range(len(self.index), len(self.index) + len(new))
-            self.index.update(zip(new, rows))
-            self._append(self.features(new))
-            for place, row in zip(fresh, rows):
-                found[place] = row
-        return np.array(found, np.int64)
-
     def _append(self, new: np.ndarray) -> None:
         if self.rows is None:
             self.rows = np.empty((max(1024, 2 * len(new)), *new.shape[1:]), new.dtype)
@@ -161,6 +141,46 @@ class WordTable:
         self.filled += len(new)
 
 
+class DigestTable(WordTable):
+    """Caches rows of numbers per distinct word like :class:`WordTable`, but keeps 128-bit digests of the
+    words instead of the words: a fifth of the memory. ``index`` are the first halves in ascending order."""
+
+    def _reset(self) -> None:
+        self.index, self.second, self.place = (np.empty(0, kind) for kind in (np.uint64, np.uint64, np.int32))
+        self.rows, self.filled = None, 0
+
+    def keep(self, mask: np.ndarray) -> None:
+        """Only the rows marked stay, in their order."""
+        kept = mask[self.place]
+        self.index, self.second = self.index[kept], self.second[kept]
+        self.place = (np.cumsum(mask) - 1).astype(np.int32)[self.place[kept]]
+        self.rows = self.rows[: self.filled][mask]
+        self.filled = len(self.rows)
+
+    def rows_of(self, words: list[bytes]) -> np.ndarray:
+        """Row numbers of different words."""
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+        # Ascending digests are found faster.
+        order = np.argsort(digests[:, 0])
+        one, two = digests[order].T
+        out = np.full(len(words), -1, np.int64)
+        if len(self.index):
+            at = np.minimum(np.searchsorted(self.index, one), len(self.index) - 1)
+            known = (self.index[at] == one) & (self.second[at] == two)
+            out[order[known]] = self.place[at[known]]
+        fresh = np.flatnonzero(out < 0)
+        if len(fresh):
+            out[fresh] = np.arange(self.filled, self.filled + len(fresh))
+            for begin in range(0, len(fresh), FRESH_WORDS):
+                self._append(self.features([words[k] for k in fresh[begin : begin + FRESH_WORDS].tolist()]))
+            self.index = np.concatenate([self.index, digests[fresh, 0]])
+            merged = np.argsort(self.index, kind="stable")
+            self.index = self.index[merged]
+            self.second = np.concatenate([self.second, digests[fresh, 1]])[merged]
+            self.place = np.concatenate([self.place, out[fresh].astype(np.int32)])[merged]
+        return out
+
+
 def sums_by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches; zero for empty ones."""
     out = np.zeros((len(counts), *values.shape[1:]), np.float64)

@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -95,6 +96,23 @@ def test_repeated_words_outlive_a_full_cache(monkeypatch):
     assert handed.count(b"Often,") == 1 and handed.count(b"often") == 1
 
 
+def test_a_cached_word_takes_little_memory():
+    """A full cache holds arrays, not objects for each word and its ids."""
+    encoder = P.Encoder(open(PATH).read(), P.Settings(PATH))
+    new = [f"w{k}x{k * k} y{k}." for k in range(40_000)]
+    tracemalloc.start()
+    encoder.encode(pa.array(new, pa.string()))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert encoder.table.filled == 80_000 and held < 130 * 80_000
+    encoder.uses[::3] += 2
+    encoder.keep_repeated()
+    assert encoder.table.filled == len(encoder.table.index) == len(encoder.coded) == len(encoder.uses)
+    tokenizer = Tokenizer.from_file(PATH)
+    for text, ids in zip(new[::997], encoder(new[::997])[0]):
+        assert np.frombuffer(ids, encoder.kind).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_words_of_letters_go_straight_to_the_model():
     """Neither the tokenizer's normalizer nor its patterns are run for them, whatever ends them; the ids are the same."""
     tokenizer = Tokenizer.from_file(PATH)
