@@ -254,24 +254,26 @@ def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     )
     seats = classes.select(F.explode(F.array_distinct("bands")).alias("bucket"), "node", "size")
-    shared = seats.groupBy("bucket").agg(F.count("*").alias("held"), F.min("node").alias("first")).filter(F.col("held") > 1)
-    members = seats.join(shared, "bucket").withColumn("rare", F.lit(0).cast("bigint")).withColumn("root", F.col("node"))
+    crowded = seats.groupBy("bucket").agg(F.count("*").alias("held"), F.min("node").alias("first")).filter(F.col("held") > 1)
+    members = seats.join(crowded, "bucket").withColumn("rare", F.lit(0).cast("bigint")).withColumn("root", F.col("node"))
     members = written(members, f"{folder}/members-1")
     sets = written(_sets(docs, members, settings), f"{folder}/sets")
-    nothing = spark.createDataFrame([], "a bigint, b bigint")
-    checked, root, rare, round_number = nothing, None, None, 1
+    checked, root, rare, shared, round_number = None, None, None, None, 1
 
     def connect(pairs: DataFrame) -> None:
         """Confirm pairs and take the links into ``root``."""
         nonlocal checked, root
-        pairs = written(pairs.join(checked, ["a", "b"], "left_anti"), f"{folder}/pairs-{round_number}")
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = written(pairs, f"{folder}/pairs-{round_number}")
         if pairs.isEmpty():
             return
-        checked = checked.unionByName(pairs)
+        checked = checked.unionByName(pairs) if checked is not None else pairs
         found = written(_confirmed(sets, pairs, settings), f"{folder}/confirmed-{round_number}").filter("linked").select("a", "b")
         if not found.isEmpty():
-            known = root.select(F.col("node").alias("a"), F.col("root").alias("b")) if root is not None else nothing
-            root = roots(known.unionByName(found))
+            if root is not None:
+                found = found.unionByName(root.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            root = roots(found)
 
     def rooted(rows: DataFrame) -> DataFrame:
         """``rows`` (with node) and the node's root so far."""
@@ -281,7 +283,10 @@ def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     while not members.isEmpty():
         seats = SPREAD ** (round_number - 1)
-        connect(_stars(members, seats, settings.percent))
+        pairs = _stars(members, seats, settings.percent)
+        if shared is not None:  # settled along with the stars of the second round, not in a round of their own
+            pairs, shared = pairs.unionByName(shared).distinct(), None
+        connect(pairs)
         members = members.filter(~_central(seats)).select("bucket", "node", "size", "rare")
         members = rooted(members).select("bucket", "node", "size", "rare", "root")
         members = _open_members(written(members, f"{folder}/rooted-{round_number}"))  # read twice
@@ -294,10 +299,11 @@ def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             # What nobody can be alike to without sharing rare shingles needs no star.
             enough = left.filter((F.col("size") - F.col("rare")) * 100 >= F.col("size") * settings.percent).select("node", "rare")
             members = _open_members(members.drop("rare", "held", "first").join(enough, "node").select("bucket", "node", "size", "rare", "root"))
+            shared = _sharing_pairs(rare, rooted(left), settings.percent)
         round_number += 1
         members = written(members, f"{folder}/members-{round_number}")
-    if rare is not None:
-        connect(_sharing_pairs(rare, rooted(left), settings.percent))
+    if shared is not None:
+        connect(shared)
     first = classes.select("digest", "node")
     out = sketch.select("doc_id", "n_shingles", "digest").join(first, "digest", "left")
     if root is not None:

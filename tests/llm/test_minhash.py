@@ -133,6 +133,27 @@ def test_members_of_finished_buckets_are_not_carried_on(spark, monkeypatch):
     assert not [name for name, plan in tables if not name.startswith("pairs") and "LeftAnti" in plan]
 
 
+def test_pairs_that_share_rare_shingles_take_no_round_of_their_own(spark, monkeypatch):
+    """They are confirmed along with the stars of the second round, and the components found once for both."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [varied(rng, base, 8) for _ in range(100)]
+    other = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts += [varied(rng, other, changes) for changes in (0, 12, 14, 16, 18)]
+    tables = []
+
+    def kept(df, path, write=M.written):
+        tables.append(path.rsplit("/", 1)[-1])
+        return write(df, path)
+
+    monkeypatch.setattr(M, "written", kept)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(M.components(docs, M.Settings(shingle=2))) == brute(rows, 2)
+    assert "rare" in tables and "members-3" in tables
+    assert tables[-1].startswith("members-")
+
+
 @pytest.mark.parametrize("held", [33, 60, 1000])
 def test_every_member_is_a_centre_in_some_round(spark, held):
     members = spark.range(held).selectExpr("id node", "7L bucket", f"{held}L held", "0L first").cache()
