@@ -210,8 +210,9 @@ def _judged(docs: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
     texts = words.texts_of(docs)
     copies = written(_copies(texts), shared_dir(spark, "substring-copies"))
-    # Made twice, for the counts and for the join: counts are added up before their shuffle.
+    # Made once and read twice, for the counts and for the join: counts are added up before their shuffle.
     rows = _mark_rows(texts.filter(F.col("doc_id").isNotNull()).join(copies, "doc_id", "left_anti"), window)
+    rows = written(rows, shared_dir(spark, "substring-marks"))
     again = rows.groupBy("mark").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("mark")
     stretches = (
         rows.join(again, "mark")

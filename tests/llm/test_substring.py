@@ -90,6 +90,21 @@ def test_long_text(spark):
     assert found(S.kept_texts(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
 
 
+def test_marks_are_made_once(spark, monkeypatch):
+    """Counts and join read the same written marks."""
+    plans = {}
+
+    def kept(df, path, write=S.written):
+        plans[path.rsplit("/", 1)[-1].rsplit("-", 1)[0]] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, path)
+
+    monkeypatch.setattr(S, "written", kept)
+    passage = " ".join(f"p{k}" for k in range(25))
+    docs = spark.createDataFrame([(1, passage), (2, f"a {passage} b")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in S.kept_texts(docs).collect()) == [(1, 0), (2, 25)]
+    assert sum(plan.count("MapInArrow") for plan in plans.values()) == 1
+
+
 def test_slices_of_a_batch_give_what_the_batch_gives():
     rng = np.random.default_rng(0)
     texts = [" ".join(f"é{x}" for x in rng.integers(0, 9, rng.integers(0, 90))) if k % 7 else None for k in range(300)]
