@@ -13,10 +13,12 @@ word that neither class has seen says nothing: both back off to the same value.
 
 The counts cover all training rows but the bounded sample set aside for calibration; they are taken by
 Spark, whole texts, and grow with the corpus. No word or pair is left out of them, however rare, and no
-ratio is rounded to nothing. The tables stay in Spark: texts are cut into slices, the distinct words and
-pairs of a slice are joined with the tables, and what is found goes back to the slice, whose tokens are
-kept as places in the list of pairs. So a common word or pair is looked up once per slice, and only
-scalars go to executors.
+ratio is rounded to nothing. The tables stay in Spark, in buckets of the hashes of their words and pairs:
+texts are cut into slices, the distinct words and pairs of a slice go to their buckets, and what is found
+there goes back to the slice, whose tokens are kept as places in the list of its words. So a common word or
+pair is looked up once per slice, and only scalars go to executors. What a slice asks of a bucket is one row
+of packed numbers, and so is the answer; documents are scored in a fixed number of waves, by the hash of
+their id, and what a wave shuffles is dropped at its end. A task holds a slice, or one bucket of the tables.
 
 A document's evidence are log-likelihood ratios, normalised by length: per word over the text, per
 word of its most toxic stretch of ``window`` words, of its most toxic expression, and the excess
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadledger.llm import text as words
-from roadledger.session import shared_dir, written
+from roadledger.session import shared_dir, shuffles_dropped, written
 
 HELD_OUT_MODULUS = 5
 CALIBRATION = 4
@@ -66,7 +68,8 @@ class Settings:
 @dataclass(frozen=True)
 class Model:
     """``table``: a row of ``WORDS`` for every word, ``pairs``: (before, word, toxic, ordinary), how often each
-    pair occurs (None: nothing learned), ``discounts`` of pairs, toxic and ordinary."""
+    pair occurs (None: nothing learned), ``discounts`` of pairs, toxic and ordinary; ``packed``: both tables by bucket,
+    made by :func:`evidence` if it is not there."""
 
     table: DataFrame | None
     pairs: DataFrame | None
@@ -74,11 +77,14 @@ class Model:
     prior: float
     settings: Settings
     weights: np.ndarray | None = None
+    packed: Packed | None = None
 
 
 def word_keys(found: list[bytes]) -> np.ndarray:
     """Hashes of words in lower case, without punctuation around them."""
-    return words.hash64(w.decode("utf-8", "replace").lower().encode("utf-8").strip(EDGES) for w in found)
+    # One text with a word in each line: a line feed is in no word, and what stands beyond it does not change lower case.
+    lines = b"\n".join(found).decode("utf-8", "replace").lower().encode("utf-8").split(b"\n") if found else []
+    return words.hash64(w.strip(EDGES) for w in lines)
 
 
 def training_labels(labels: DataFrame, label: str) -> DataFrame:
@@ -93,13 +99,19 @@ def training_labels(labels: DataFrame, label: str) -> DataFrame:
     )
 
 
-def _neighbours(table: words.WordTable, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Hashes of all words of the texts, of the words before them (0 at the start), and words per text."""
-    flat, counts = table.lookup(texts)
-    word = table.rows[flat] if len(flat) else np.empty(0, np.uint64)
-    before = np.concatenate([np.zeros(1, np.uint64), word])[:-1]
-    before[(np.cumsum(counts) - counts)[counts > 0]] = 0
-    return word, before, counts
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different words of the texts, ascending, with the 0 that starts a text; places among them
+    of all words and of the words before them; words per text."""
+    found, place, counts = words.distinct_words(texts)
+    keys, same = np.unique(np.concatenate([np.zeros(1, np.uint64), word_keys(found)]), return_inverse=True)
+    second = same[1:][place]
+    return keys, second, _before(second, counts, same[0]), counts
+
+
+def _before(second: np.ndarray, counts: np.ndarray, start: int) -> np.ndarray:
+    first = np.concatenate([[start], second])[:-1]
+    first[(np.cumsum(counts) - counts)[counts > 0]] = start
+    return first
 
 
 _P1, _P2, _P3, _P4, _P5 = (
@@ -124,19 +136,18 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct pairs of neighbouring words with the number of times they occur in each class."""
-    table = words.WordTable(word_keys)
     for batch in batches:
-        for part in words.slices(batch, "text", 8 * words.SLICE_CHARS):
-            word, before, counts = _neighbours(table, part.column("text").to_pylist())
-            if not len(word):
+        for part in words.slices(batch, "text", LOOKUP_CHARS):
+            keys, second, first, counts = _cut(part.column("text"))
+            if not len(second):
                 continue
             label = np.repeat(np.asarray(part.column("label"), np.int64), counts)
-            _, first, number = np.unique(words.pair64(before, word), return_index=True, return_inverse=True)
-            toxic = np.bincount(number[label == 1], minlength=len(first))
-            ordinary = np.bincount(number[label != 1], minlength=len(first))
+            pairs, number = np.unique(first * len(keys) + second, return_inverse=True)
+            toxic = np.bincount(number[label == 1], minlength=len(pairs))
+            ordinary = np.bincount(number[label != 1], minlength=len(pairs))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array(keys[first].view(np.int64)) for keys in (before, word)),
+                    *(pa.array(keys[k].view(np.int64)) for k in np.divmod(pairs, len(keys))),
                     *(pa.array(n.astype(np.int64)) for n in (toxic, ordinary)),
                 ],
                 names=["before", "word", *CLASSES],
@@ -146,7 +157,7 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pair_counts(rows: DataFrame) -> DataFrame:
     """(before, word, toxic, ordinary): how often each word follows each other one in each class."""
     return (
-        rows.mapInArrow(_pair_rows, "before bigint, word bigint, toxic bigint, ordinary bigint")
+        rows.mapInArrow(words.releasing(_pair_rows), "before bigint, word bigint, toxic bigint, ordinary bigint")
         .groupBy("before", "word")
         .agg(*(F.sum(name).alias(name) for name in CLASSES))
     )
@@ -258,54 +269,220 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     if total <= BROADCAST_LABELS:
         learned = F.broadcast(learned)
     texts = words.texts_of(docs)
-    pairs = written(pair_counts(texts.join(learned, "doc_id").select("label", "text")), shared_dir(spark, "toxicity-pairs"))
-    if any(pairs.filter(F.col(name) > 0).isEmpty() for name in CLASSES):
-        return nothing
-    model = Model(word_table(pairs), pairs, pair_discounts(pairs), prior, settings)
-    rows = evidence(texts.join(aside, "doc_id"), model).select("label", *EVIDENCE).toArrow()
+    with shuffles_dropped(spark):
+        pairs = written(pair_counts(texts.join(learned, "doc_id").select("label", "text")), shared_dir(spark, "toxicity-pairs"))
+        if any(pairs.filter(F.col(name) > 0).isEmpty() for name in CLASSES):
+            return nothing
+        table = word_table(pairs)
+        model = Model(table, pairs, pair_discounts(pairs), prior, settings, packed=packed(table, pairs))
+    rows = evidence(texts.join(aside, "doc_id"), model, waves=1).select("label", *EVIDENCE).toArrow()
     return replace(model, weights=calibrated(rows, prior))
 
 
 MEASURES = ("mean", "stretch", "expression", "excess")
 EVIDENCE = (*MEASURES, *(f"word_{name}" for name in MEASURES))
+JUDGED = "doc_id bigint, label int, " + ", ".join(f"{name} double" for name in (*EVIDENCE, "score"))
 # Words of so many bytes of text are looked up at once; less text, more lookups of the same word.
-LOOKUP_CHARS = 4 * words.SLICE_CHARS
-# What a slice keeps for itself, packed: rows that are sent to Python with the answers have no lists.
-BODY = ("docs", "labels", "lengths", "tokens", "seconds", "firsts")
-# Place of a slice itself, after those of the answers to it.
-SLICE = 2**31 - 1
-SLICES = "slice bigint, n_words int, words array<bigint>, pairs array<bigint>, body binary"
+LOOKUP_CHARS = 2 * words.SLICE_CHARS
+# Documents are scored in so many waves, in fewer if they are few.
+WAVES = 10
+WAVE_ROWS = 4000
+# A bucket of the tables has about so many pairs at most; a task holds one at a time.
+BUCKET_PAIRS = 200_000
+# So many rows of the tables are sorted and dealt to buckets at once.
+MODEL_ROWS = 1_000_000
+# Tasks hand on rows of so many bytes together.
+ROWS_BYTES = 4_000_000
+# ``slice`` of rows of the tables, which come before what is asked of them.
+MODEL = -1
+# Rows of the tables (hashes and values), of what slices ask (hashes) and of the answers (values), by bucket;
+# what a slice keeps for itself (``body``) comes after all answers.
+PACKED = "bucket int, slice bigint, words binary, pairs binary, body binary"
+BODY = ("docs", "labels", "lengths", "keys", "tokens")
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers, column by column, their bytes of equal weight together, compressed."""
+    flat = np.ascontiguousarray(values.T).reshape(-1)
+    planes = np.ascontiguousarray(flat.view(np.uint8).reshape(len(flat), flat.itemsize).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind: type, columns: int = 1) -> np.ndarray:
+    n, size = int.from_bytes(packed[:4], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(packed[4:], n * columns * size, codec="zstd", asbytes=True)
+    flat = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n * columns).T).view(kind)
+    return flat.reshape(n) if columns == 1 else flat.reshape(columns, n).T
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Differences of hashes: small where they ascend."""
+    return _pack(np.diff(keys, prepend=np.zeros(1, np.uint64)))
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed, np.uint64), dtype=np.uint64)
+
+
+def _edges(keys: np.ndarray, bits: int) -> list[int]:
+    """Where the buckets begin and end among ascending hashes: a bucket is their first ``bits`` bits."""
+    inner = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
+    return [0, *np.searchsorted(keys, inner).tolist(), len(keys)]
+
+
+def _rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows of ``PACKED``, a few megabytes each."""
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=[c.split()[0] for c in PACKED.split(", ")])
 
+    for row in rows:
+        held.append(row)
+        size += sum(len(value) for value in row[2:] if value)
+        if size > ROWS_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of texts: their documents, distinct words and pairs, and each token's place among the pairs."""
-    table, number = words.WordTable(word_keys), TaskContext.get().partitionId() << 32
+
+@dataclass(frozen=True)
+class Packed:
+    """The tables of a model by bucket: rows of ``PACKED`` of which ``words`` and ``pairs`` are hashes and values."""
+
+    rows: DataFrame
+    bits: int
+
+
+def _dealt(bits: int, kind: str, columns: list[str], number: type):
+    """Rows (key, columns) of one of the tables, packed by bucket."""
+
+    def packed(key: np.ndarray, values: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(key)
+        key, values = key[order], values[order]
+        edges = _edges(key, bits)
+        for bucket, (begin, end) in enumerate(zip(edges[:-1], edges[1:])):
+            if end > begin:
+                both = _pack_keys(key[begin:end]), _pack(values[begin:end])
+                both = len(both[0]).to_bytes(4, "little") + both[0] + both[1]
+                yield (bucket, MODEL, both, None, None) if kind == "words" else (bucket, MODEL, None, both, None)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, size = [], 0
+        for batch in batches:
+            key = np.asarray(batch.column("key")).view(np.uint64)
+            held.append((key, np.column_stack([np.asarray(batch.column(c), number) for c in columns])))
+            size += len(key)
+            if size >= MODEL_ROWS:
+                yield from packed(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if held:
+            yield from packed(*map(np.concatenate, zip(*held)))
+
+    return words.releasing(lambda batches: _rows(rows(batches)))
+
+
+def packed(table: DataFrame, pairs: DataFrame) -> Packed:
+    """The tables in buckets, written."""
+    spark = pairs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(2 * tasks, -(-pairs.count() // BUCKET_PAIRS)).bit_length()
+    single = table.select(F.col("word").alias("key"), *WORDS).mapInArrow(_dealt(bits, "words", list(WORDS), np.float64), PACKED)
+    double = pairs.select(F.xxhash64("before", "word").alias("key"), *CLASSES).mapInArrow(_dealt(bits, "pairs", list(CLASSES), np.int64), PACKED)
+    return Packed(written(single.unionByName(double), shared_dir(spark, "toxicity-packed")), bits)
+
+
+def _sliced(bits: int):
+    """Slices of texts: what they ask of each bucket, and what they keep for themselves."""
     single = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-    packing = pa.ipc.IpcWriteOptions(compression="zstd")
-    for batch in batches:
-        for part in words.slices(batch, "text", LOOKUP_CHARS):
-            word, before, counts = _neighbours(table, part.column("text").to_pylist())
-            pairs, place, tokens = np.unique(pair_keys(before, word), return_index=True, return_inverse=True)
-            second, first = word[place], before[place]
-            keys = np.unique(np.concatenate([second, first]))
-            lists = [
+    blob = lambda value: pa.array([value], pa.binary())
+
+    def asked(part: pa.RecordBatch, number: int) -> Iterator[tuple]:
+        keys, second, first, counts = _cut(part.column("text"))
+        pairs = np.sort(pair_keys(keys[first], keys[second]))
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+        ends = _edges(keys, bits), _edges(pairs, bits)
+        for bucket, (a, b, c, d) in enumerate(zip(ends[0][:-1], ends[0][1:], ends[1][:-1], ends[1][1:])):
+            if b > a or d > c:
+                yield bucket, number, _pack_keys(keys[a:b]) if b > a else None, _pack_keys(pairs[c:d]) if d > c else None, None
+        # Frequent words have small places; words of equal frequency keep their order.
+        order = np.argsort(-np.bincount(second, minlength=len(keys)), kind="stable")
+        place = np.empty(len(keys), np.int32)
+        place[order] = np.arange(len(keys), dtype=np.int32)
+        body = pa.RecordBatch.from_arrays(
+            [
                 single(part.column("doc_id"), pa.int64()),
                 single(part.column("label"), pa.int32()),
-                *(single(v, pa.int32()) for v in (counts, tokens, np.searchsorted(keys, second), np.searchsorted(keys, first))),
-            ]
-            body, sink = pa.RecordBatch.from_arrays(lists, names=list(BODY)), pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, body.schema, options=packing) as stream:
-                stream.write_batch(body)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    pa.array([len(keys)], pa.int32()),
-                    *(single(v.view(np.int64), pa.int64()) for v in (keys, pairs)),
-                    pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                ],
-                names=["slice", "n_words", "words", "pairs", "body"],
-            )
-            number += 1
+                single(counts, pa.int64()),
+                blob(_pack_keys(keys[order])),
+                blob(_pack(place[second])),
+            ],
+            names=list(BODY),
+        )
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(body)
+        # Any bucket will do, but not the same one for the first slices of all tasks.
+        yield (number + (number >> 32)) % (1 << bits), number, None, None, sink.getvalue().to_pybytes()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in words.slices(batch, "text", LOOKUP_CHARS):
+                yield from asked(part, number)
+                number += 1
+
+    return words.releasing(lambda batches: _rows(rows(batches)))
+
+
+def _looked_up(bits: int):
+    """Answers of the buckets to what slices ask of them: values of each hash, 0 where the table has none."""
+
+    def merged(parts: list[bytes], kind: type, columns: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = [np.empty(0, np.uint64)], [np.empty((0, columns), kind)]
+        for both in parts:
+            end = 4 + int.from_bytes(both[:4], "little")
+            keys.append(_unpack_keys(both[4:end]))
+            values.append(_unpack(both[end:], kind, columns))
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        return key[order], np.concatenate(values)[order]
+
+    def answer(asked: bytes | None, key: np.ndarray, values: np.ndarray) -> bytes | None:
+        if asked is None:
+            return None
+        wanted = _unpack_keys(asked)
+        out = np.zeros((len(wanted), values.shape[1]), values.dtype)
+        if len(key):
+            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            known = key[at] == wanted
+            out[known] = values[at[known]]
+        return _pack(out)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        here, parts, tables = None, ([], []), None
+        for batch in batches:
+            columns = [batch.column(c) for c in ("bucket", "slice", "words", "pairs", "body")]
+            for bucket, number, single, double, body in zip(*columns):
+                bucket, number, single, double, body = (v.as_py() for v in (bucket, number, single, double, body))
+                if body is not None:
+                    yield 1 << bits, number, None, None, body
+                    continue
+                if bucket != here:
+                    here, parts, tables = bucket, ([], []), None
+                if number == MODEL:
+                    for held, part in zip(parts, (single, double)):
+                        if part is not None:
+                            held.append(part)
+                    continue
+                if tables is None:
+                    tables = merged(parts[0], np.float64, len(WORDS)), merged(parts[1], np.int64, len(CLASSES))
+                    parts = [], []
+                yield bucket, number, answer(single, *tables[0]), answer(double, *tables[1]), None
+
+    return lambda batches: _rows(rows(batches))
 
 
 def measures(ratio: np.ndarray, counts: np.ndarray, settings: Settings) -> np.ndarray:
@@ -359,56 +536,58 @@ def calibrated(rows: pa.Table, prior: float) -> np.ndarray | None:
 
 
 def _answered(weights: np.ndarray | None, prior: float, discounts: tuple[float, float], settings: Settings):
-    def judge(n_words: int, body: pa.Buffer, answers: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def judge(body: pa.Buffer, answers: tuple[list[bytes], list[bytes]]) -> pa.RecordBatch:
         row = pa.ipc.open_stream(body).read_next_batch()
-        docs, labels, *places = (row.column(name).flatten() for name in BODY)
-        lengths, tokens, second, first = (np.asarray(p, np.int64) for p in places)
-        # Words come first, pairs after them; what no answer fills was never seen.
-        known = np.zeros((n_words + len(second), 2))
-        history = np.zeros((n_words, len(HISTORY)))
-        for at, values in answers:
-            known[at] = values[:, :2]
-            history[at[at < n_words]] = values[at < n_words, 2:]
-        single, counts = np.hstack([known[:n_words], history]), known[n_words:]
+        docs, labels, lengths = (row.column(name).flatten() for name in BODY[:3])
+        keys, second = _unpack_keys(row.column("keys")[0].as_py()), _unpack(row.column("tokens")[0].as_py(), np.int32)
+        lengths = np.asarray(lengths, np.int64)
+        first = _before(second, lengths, int(np.flatnonzero(keys == 0)[0]))
+        single = np.empty((len(keys), len(WORDS)))
+        single[np.argsort(keys)] = np.concatenate([_unpack(part, np.float64, len(WORDS)) for part in answers[0]])
+        pairs, tokens = np.unique(pair_keys(keys[first], keys[second]), return_inverse=True)
+        counts = np.concatenate([np.empty((0, len(CLASSES))), *(_unpack(part, np.int64, len(CLASSES)) for part in answers[1])])
+        token = np.empty(len(pairs), np.int64)
+        token[tokens] = np.arange(len(tokens))
+        second, first = second[token], first[token]
         levels = pair_ratios(counts, single[second], single[first], discounts), log_ratio(*single[second, :2].T)
         found = np.hstack([measures(ratio[tokens], lengths, settings) for ratio in levels])
         score = logistic(found, weights, prior)
         return pa.RecordBatch.from_arrays([docs, labels, *(pa.array(c) for c in found.T), pa.array(score)], names=["doc_id", "label", *EVIDENCE, "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers: list[tuple[np.ndarray, np.ndarray]] = []
+        answers: tuple[list[bytes], list[bytes]] = [], []
         for batch in batches:
-            at, begin = np.asarray(batch.column("at")), 0
-            values = np.column_stack([np.asarray(batch.column(name).fill_null(0.0)) for name in WORDS])
-            for end in [*np.flatnonzero(at == SLICE).tolist(), len(at)]:
-                answers.append((at[begin:end], values[begin:end]))
-                if end < len(at):
-                    yield judge(batch.column("n_words")[end].as_py(), batch.column("body")[end].as_buffer(), answers)
-                    answers.clear()
-                begin = end + 1
+            for single, double, body in zip(*(batch.column(c) for c in ("words", "pairs", "body"))):
+                for held, part in zip(answers, (single, double)):
+                    if part.is_valid:
+                        held.append(part.as_py())
+                if body.is_valid:
+                    yield judge(body.as_buffer(), answers)
+                    answers = [], []
 
     return run
 
 
-def evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, label, evidence, score) of every row of (doc_id, text, label)."""
+def evidence(docs: DataFrame, model: Model, waves: int | None = None) -> DataFrame:
+    """(doc_id, label, evidence, score) of every row of (doc_id, text, label), written."""
     spark = docs.sparkSession
-    schema = "doc_id bigint, label int, " + ", ".join(f"{name} double" for name in (*EVIDENCE, "score"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("label").cast("int").alias("label"))
     if model.table is None:
         return docs.select("doc_id", "label", *(F.lit(0.0).alias(name) for name in EVIDENCE), F.lit(float(model.prior)).alias("score"))
-    sliced = docs.select("doc_id", "text", "label").mapInArrow(_sliced, SLICES)
-    sliced = written(sliced, shared_dir(spark, "toxicity-slices"))
-    asked = sliced.select("slice", F.posexplode("words").alias("at", "word"))
-    answers = asked.join(model.table, "word").select("slice", "at", *WORDS)
-    # Places of pairs come after those of words; ``n_words`` is a column, as an array would be carried along by every pair.
-    asked = sliced.select("slice", "n_words", F.posexplode("pairs").alias("place", "pair"))
-    counts = model.pairs.select(F.xxhash64("before", "word").alias("pair"), *(F.col(name).cast("double").alias(name) for name in CLASSES))
-    seen = asked.join(counts, "pair").select("slice", (F.col("n_words") + F.col("place")).alias("at"), *CLASSES)
-    itself = sliced.select("slice", F.lit(SLICE).alias("at"), "n_words", "body")
-    rows = answers.unionByName(seen, allowMissingColumns=True).unionByName(itself, allowMissingColumns=True)
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(count, "slice").sortWithinPartitions("slice", "at")
-    return rows.mapInArrow(_answered(model.weights, model.prior, model.discounts, model.settings), schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    judge = _answered(model.weights, model.prior, model.discounts, model.settings)
+    path = shared_dir(spark, "toxicity-evidence")
+    with shuffles_dropped(spark):
+        waves = waves or max(1, min(WAVES, -(-docs.count() // WAVE_ROWS)))
+        tables = model.packed or packed(model.table, model.pairs)
+        for wave in range(waves):
+            part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(waves)) == wave)
+            rows = part.mapInArrow(_sliced(tables.bits), PACKED).unionByName(tables.rows)
+            rows = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "slice")
+            rows = rows.mapInArrow(_looked_up(tables.bits), PACKED)
+            rows = rows.repartition(tasks, "slice").sortWithinPartitions("slice", "bucket")
+            rows.mapInArrow(judge, JUDGED).write.parquet(f"{path}/{wave}")
+    return spark.read.schema(JUDGED).parquet(*(f"{path}/{wave}" for wave in range(waves)))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

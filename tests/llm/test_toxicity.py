@@ -1,8 +1,11 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from roadledger.llm import text as W
@@ -169,3 +172,69 @@ def test_slices_without_any_word(spark):
     got = X.scores(docs, model).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "2", "None"]
     assert all(r.score == 0.25 and all(r[name] == 0 for name in X.EVIDENCE) for r in got)
+
+
+def test_a_task_holds_a_few_megabytes_of_words(monkeypatch):
+    """Neither all words a task has met nor more than a slice of its text at once."""
+    monkeypatch.setattr(X, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)), raising=False)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{n:08x}" for n in rng.integers(0, 400_000, 500).tolist()) for _ in range(3200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3200)), pa.array(texts), pa.array([i % 2 for i in range(3200)])], names=["doc_id", "text", "label"])
+    for run in (lambda batches: X._pair_rows(batches), lambda batches: X._sliced(5)(batches)):
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 90e6
+
+
+def test_waves_and_buckets_do_not_change_a_score(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i if i % 17 else None, " ".join(f"w{n}{'!' if i % 2 and n % 5 == 0 else ''}" for n in rng.zipf(1.3, 60).tolist())) for i in range(300)]
+    rows += rows[:20] + [(900, None), (901, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    model = X.fit(docs, labels)
+    table = lambda found: np.array(sorted((r.doc_id or -1, *map(float, r[1:])) for r in found.collect()))
+    wanted = table(X.scores(docs, model))
+    assert len(wanted) == len(rows) and len(np.unique(wanted[:, -1])) > 200
+    monkeypatch.setattr(X, "WAVE_ROWS", 40)
+    monkeypatch.setattr(X, "BUCKET_PAIRS", 20)
+    monkeypatch.setattr(X, "MODEL_ROWS", 1000)
+    monkeypatch.setattr(X, "ROWS_BYTES", 100)
+    monkeypatch.setattr(X, "LOOKUP_CHARS", 2000)
+    assert np.allclose(table(X.scores(docs, X.replace(model, packed=None))), wanted, rtol=0, atol=1e-9)
+
+
+def test_no_shuffle_files_stay_after_scoring(spark):
+    rows = [(i, f"some words of text {'oaf' if i % 2 else 'friend'} x{i % 9}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").cache()
+    model = X.fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int"))
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split()
+    before = {b for b in blocks() if b.startswith("shuffle_")}
+    found = X.scores(docs, model).collect()
+    assert len(found) == 60 and not {b for b in blocks() if b.startswith("shuffle_")} - before
+
+
+def test_packed_numbers_come_back(spark):
+    rng = np.random.default_rng(4)
+    keys = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
+    for part in (keys, keys[::-1], keys[:1], keys[:0]):
+        assert np.array_equal(X._unpack_keys(X._pack_keys(part)), part)
+    for values in (rng.normal(size=(70, 6)), rng.integers(-(2**62), 2**62, (70, 2)), np.empty((0, 2), np.int64)):
+        assert np.array_equal(X._unpack(X._pack(values), values.dtype.type, values.shape[1]), values)
+    for bits in (0, 1, 7):
+        edges = X._edges(keys, bits)
+        assert edges[0] == 0 and edges[-1] == len(keys) and len(edges) == 2**bits + 1
+        assert all((k >> np.uint64(64 - bits) if bits else 0) == b for b, (c, d) in enumerate(zip(edges, edges[1:])) for k in keys[c:d])
+
+
+def test_first_slices_of_all_tasks_do_not_meet_in_one_bucket(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"]), pa.array([0])], names=["doc_id", "text", "label"])
+    found = []
+    for task in range(32):
+        monkeypatch.setattr(X, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: task)))
+        rows = pa.Table.from_batches(X._sliced(5)(iter([batch]))).to_pylist()
+        found += [r["bucket"] for r in rows if r["body"] is not None]
+    assert len(found) == len(set(found)) == 32
