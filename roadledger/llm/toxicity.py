@@ -287,10 +287,12 @@ LOOKUP_CHARS = 2 * words.SLICE_CHARS
 # Documents are scored in so many waves, in fewer if they are few.
 WAVES = 10
 WAVE_ROWS = 4000
-# A bucket of the tables has about so many pairs at most; a task holds one at a time.
-BUCKET_PAIRS = 200_000
+# A bucket of the tables has about so many pairs at most; a task holds one at a time. There are two buckets a
+# shuffle partition, to share the work, but not beyond ``BUCKETS``: every slice asks nearly all of them.
+BUCKET_PAIRS = 500_000
+BUCKETS = 512
 # So many rows of the tables are sorted and dealt to buckets at once.
-MODEL_ROWS = 1_000_000
+MODEL_ROWS = 500_000
 # Tasks hand on rows of so many bytes together.
 ROWS_BYTES = 4_000_000
 # ``slice`` of rows of the tables, which come before what is asked of them.
@@ -348,9 +350,28 @@ def _rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def _pack_table(keys: np.ndarray, values: np.ndarray) -> bytes:
+    first = _pack_keys(keys)
+    return len(first).to_bytes(4, "little") + first + _pack(values)
+
+
+def _merged(parts: list[bytes], kind: type, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and values of what :func:`_pack_table` has packed."""
+    keys, values = [np.empty(0, np.uint64)], [np.empty((0, columns), kind)]
+    for part in parts:
+        end = 4 + int.from_bytes(part[:4], "little")
+        keys.append(_unpack_keys(part[4:end]))
+        values.append(_unpack(part[end:], kind, columns))
+    if len(parts) == 1:
+        return keys[1], values[1]
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    return key[order], np.concatenate(values)[order]
+
+
 @dataclass(frozen=True)
 class Packed:
-    """The tables of a model by bucket: rows of ``PACKED`` of which ``words`` and ``pairs`` are hashes and values."""
+    """The tables of a model, a row of ``PACKED`` for each bucket of which ``words`` and ``pairs`` are hashes and values."""
 
     rows: DataFrame
     bits: int
@@ -365,9 +386,8 @@ def _dealt(bits: int, kind: str, columns: list[str], number: type):
         edges = _edges(key, bits)
         for bucket, (begin, end) in enumerate(zip(edges[:-1], edges[1:])):
             if end > begin:
-                both = _pack_keys(key[begin:end]), _pack(values[begin:end])
-                both = len(both[0]).to_bytes(4, "little") + both[0] + both[1]
-                yield (bucket, MODEL, both, None, None) if kind == "words" else (bucket, MODEL, None, both, None)
+                part = _pack_table(key[begin:end], values[begin:end])
+                yield (bucket, MODEL, part, None, None) if kind == "words" else (bucket, MODEL, None, part, None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held, size = [], 0
@@ -384,14 +404,39 @@ def _dealt(bits: int, kind: str, columns: list[str], number: type):
     return words.releasing(lambda batches: _rows(rows(batches)))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket from its parts, which follow each other."""
+
+    def row(bucket: int, parts: tuple[list[bytes], list[bytes]]) -> tuple:
+        kinds = (np.float64, len(WORDS)), (np.int64, len(CLASSES))
+        return bucket, MODEL, *(_pack_table(*_merged(held, *kind)) if held else None for held, kind in zip(parts, kinds)), None
+
+    def rows() -> Iterator[tuple]:
+        here, parts = None, ([], [])
+        for batch in batches:
+            for bucket, *both in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "pairs"))):
+                if bucket != here:
+                    if here is not None:
+                        yield row(here, parts)
+                    here, parts = bucket, ([], [])
+                for held, part in zip(parts, both):
+                    if part is not None:
+                        held.append(part)
+        if here is not None:
+            yield row(here, parts)
+
+    return _rows(rows())
+
+
 def packed(table: DataFrame, pairs: DataFrame) -> Packed:
     """The tables in buckets, written."""
     spark = pairs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(2 * tasks, -(-pairs.count() // BUCKET_PAIRS)).bit_length()
+    bits = (max(min(2 * tasks, BUCKETS), -(-pairs.count() // BUCKET_PAIRS)) - 1).bit_length()
     single = table.select(F.col("word").alias("key"), *WORDS).mapInArrow(_dealt(bits, "words", list(WORDS), np.float64), PACKED)
     double = pairs.select(F.xxhash64("before", "word").alias("key"), *CLASSES).mapInArrow(_dealt(bits, "pairs", list(CLASSES), np.int64), PACKED)
-    return Packed(written(single.unionByName(double), shared_dir(spark, "toxicity-packed")), bits)
+    parts = single.unionByName(double).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    return Packed(written(parts.mapInArrow(words.releasing(_gathered), PACKED), shared_dir(spark, "toxicity-packed")), bits)
 
 
 def _sliced(bits: int):
@@ -440,16 +485,6 @@ def _sliced(bits: int):
 def _looked_up(bits: int):
     """Answers of the buckets to what slices ask of them: values of each hash, 0 where the table has none."""
 
-    def merged(parts: list[bytes], kind: type, columns: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = [np.empty(0, np.uint64)], [np.empty((0, columns), kind)]
-        for both in parts:
-            end = 4 + int.from_bytes(both[:4], "little")
-            keys.append(_unpack_keys(both[4:end]))
-            values.append(_unpack(both[end:], kind, columns))
-        key = np.concatenate(keys)
-        order = np.argsort(key)
-        return key[order], np.concatenate(values)[order]
-
     def answer(asked: bytes | None, key: np.ndarray, values: np.ndarray) -> bytes | None:
         if asked is None:
             return None
@@ -478,7 +513,7 @@ def _looked_up(bits: int):
                             held.append(part)
                     continue
                 if tables is None:
-                    tables = merged(parts[0], np.float64, len(WORDS)), merged(parts[1], np.int64, len(CLASSES))
+                    tables = _merged(parts[0], np.float64, len(WORDS)), _merged(parts[1], np.int64, len(CLASSES))
                     parts = [], []
                 yield bucket, number, answer(single, *tables[0]), answer(double, *tables[1]), None
 

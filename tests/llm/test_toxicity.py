@@ -238,3 +238,18 @@ def test_first_slices_of_all_tasks_do_not_meet_in_one_bucket(monkeypatch):
         rows = pa.Table.from_batches(X._sliced(5)(iter([batch]))).to_pylist()
         found += [r["bucket"] for r in rows if r["body"] is not None]
     assert len(found) == len(set(found)) == 32
+
+
+def test_tables_have_one_row_a_bucket(spark, monkeypatch):
+    """However many tasks and parts they come from, so that what a wave reads does not grow with tasks times buckets."""
+    rng = np.random.default_rng(6)
+    rows = [(i % 2, " ".join(f"w{n}" for n in rng.integers(0, 900, 50).tolist())) for i in range(120)]
+    pairs = X.pair_counts(spark.createDataFrame(rows, "label int, text string").repartition(6)).cache()
+    monkeypatch.setattr(X, "MODEL_ROWS", 100)
+    monkeypatch.setattr(X, "BUCKETS", 8)
+    tables = X.packed(X.word_table(pairs), pairs)
+    held = tables.rows.orderBy("bucket").collect()
+    assert tables.bits == 3 and [r.bucket for r in held] == list(range(8))
+    found = {(k, *v) for r in held for k, v in zip(*(x.tolist() for x in X._merged([r.pairs], np.int64, 2)))}
+    wanted = pairs.selectExpr("xxhash64(before, word) k", "toxic", "ordinary").collect()
+    assert found == {(r.k % 2**64, r.toxic, r.ordinary) for r in wanted} and len(wanted) > 1000
